@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import secret_scan, substring_dedup
 
 QUERIES = {
     "op4_substring_dedup": substring_dedup.query,
+    "op10_secret_scan": secret_scan.query,
 }
 
 ORACLES: dict[str, str] = {}
