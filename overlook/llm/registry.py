@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import secret_scan, substring_dedup
+from . import packing, secret_scan, substring_dedup
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op4_substring_dedup": substring_dedup.query,
     "op10_secret_scan": secret_scan.query,
 }
