@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, ngram_join, packing, piece_codec, secret_scan, substring_dedup, toxicity
+from . import embedding_dedup, fingerprints, language_id, ngram_join, packing, piece_codec, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_piece_codec": piece_codec.query,
     "op4_substring_dedup": substring_dedup.query,
     "op6_toxicity": toxicity.query,
+    "op7_language_id": language_id.query,
     "op8_ngram_join": ngram_join.query,
     "op9_fingerprints": fingerprints.query,
     "op10_secret_scan": secret_scan.query,
