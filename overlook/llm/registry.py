@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, fingerprints, language_id, ngram_join, packing, piece_codec, secret_scan, substring_dedup, toxicity
+from . import chat_format, embedding_dedup, fingerprints, language_id, ngram_join, packing, piece_codec, secret_scan, substring_dedup, toxicity
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_embedding_dedup": embedding_dedup.query,
     "op3_piece_codec": piece_codec.query,
     "op4_substring_dedup": substring_dedup.query,
+    "op5_chat_format": chat_format.query,
     "op6_toxicity": toxicity.query,
     "op7_language_id": language_id.query,
     "op8_ngram_join": ngram_join.query,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_secret_scan": secret_scan.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat_format": chat_format.ORACLE}
