@@ -1,0 +1,126 @@
+"""Lines, polygons and waypoints from GeoJSON, KML, GPX and CSV texts, and the way back.
+
+Readers take a DataFrame (path, content) as `spark.read.text(wholetext=True)` with a path gives it, so that many files
+are one job; each yields rows of vertices or points, and faults as rows of their own where asked.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+POINT_JSON = "struct<type: string, crs: string, features: array<struct<type: string, properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>>"
+
+
+def whole_files(spark: SparkSession, paths) -> DataFrame:
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+
+
+def features(files: DataFrame) -> DataFrame:
+    """(path, feature, properties, kind, coordinates as JSON) of GeoJSON feature collections without a crs member."""
+    j = files.withColumn("j", F.from_json("content", POINT_JSON)).where("j.crs is null and j.type = 'FeatureCollection'")
+    return j.select("path", F.posexplode("j.features").alias("feature", "f")).select("path", "feature", F.col("f.properties").alias("properties"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+
+
+def _vertices(rings: DataFrame, key: list[str]) -> DataFrame:
+    return rings.select(*key, F.posexplode("ring").alias("k", "p")).select(*key, "k", F.get("p", F.lit(0)).alias("lon"), F.get("p", F.lit(1)).alias("lat"))
+
+
+def geojson_lines(files: DataFrame) -> DataFrame:
+    """(path, feature, part, k, lon, lat)."""
+    f = features(files)
+    one = f.where("kind = 'LineString'").select("path", "feature", F.lit(0).alias("part"), F.from_json("coordinates", "array<array<double>>").alias("ring"))
+    many = f.where("kind = 'MultiLineString'").select("path", "feature", F.posexplode(F.from_json("coordinates", "array<array<array<double>>>")).alias("part", "ring"))
+    return _vertices(one.union(many), ["path", "feature", "part"])
+
+
+def geojson_polygons(files: DataFrame) -> DataFrame:
+    """(path, feature, part, k, lon, lat) of all rings; part counts rings over the polygons of a feature."""
+    f = features(files)
+    one = f.where("kind = 'Polygon'").select("path", "feature", F.from_json("coordinates", "array<array<array<double>>>").alias("rings"))
+    many = f.where("kind = 'MultiPolygon'").select("path", "feature", F.flatten(F.from_json("coordinates", "array<array<array<array<double>>>>")).alias("rings"))
+    rings = one.union(many).select("path", "feature", F.posexplode("rings").alias("part", "ring"))
+    return _vertices(rings, ["path", "feature", "part"])
+
+
+def geojson_points(files: DataFrame) -> DataFrame:
+    p = F.from_json("coordinates", "array<double>")
+    return features(files).where("kind = 'Point'").select("path", F.coalesce(F.col("properties")["id"], F.col("properties")["name"]).alias("id"), F.get(p, F.lit(0)).alias("lon"), F.get(p, F.lit(1)).alias("lat"))
+
+
+def safe_xml(files: DataFrame) -> DataFrame:
+    """Documents that declare no types or entities."""
+    return files.where(~F.upper("content").contains("<!DOCTYPE") & ~F.upper("content").contains("<!ENTITY"))
+
+
+def _without_namespace(content: Column) -> Column:
+    return F.regexp_replace(content, r'\sxmlns(:\w+)?="[^"]*"', "")
+
+
+def kml_lines(files: DataFrame) -> DataFrame:
+    """(path, feature, part, k, lon, lat) of a KML document's LineStrings."""
+    x = _without_namespace(F.col("content"))
+    each = safe_xml(files).select("path", F.posexplode(F.xpath(x, F.lit("//LineString/coordinates/text()"))).alias("feature", "t"))
+    ring = F.transform(F.filter(F.split(F.trim("t"), r"\s+"), lambda v: v != ""), lambda v: F.transform(F.split(v, ","), lambda n: n.cast("double")))
+    return _vertices(each.select("path", "feature", F.lit(0).alias("part"), ring.alias("ring")), ["path", "feature", "part"])
+
+
+def gpx_lines(files: DataFrame) -> DataFrame:
+    """(path, feature, part, k, lon, lat) of a GPX document's track segments."""
+    x = _without_namespace(F.col("content"))
+    segments = safe_xml(files).select("path", F.explode(F.split(x, "</trkseg>")).alias("s")).where("s like '%<trkpt%'")
+    pts = F.regexp_extract_all("s", F.lit(r"<trkpt\s[^>]*>"), F.lit(0))
+    number = lambda v, name: F.regexp_extract(v, f'{name}="([^"]+)"', 1).cast("double")
+    ring = F.transform(pts, lambda v: F.array(number(v, "lon"), number(v, "lat")))
+    return _vertices(segments.select("path", F.monotonically_increasing_id().alias("feature"), F.lit(0).alias("part"), ring.alias("ring")), ["path", "feature", "part"])
+
+
+def gpx_waypoints(files: DataFrame) -> DataFrame:
+    x = _without_namespace(F.col("content"))
+    w = safe_xml(files).select("path", F.explode(F.regexp_extract_all(x, F.lit(r"(?s)<wpt\s.*?</wpt>"), F.lit(0))).alias("w"))
+    number = lambda name: F.regexp_extract("w", f'{name}="([^"]+)"', 1).cast("double")
+    return w.select("path", F.xpath_string("w", F.lit("/wpt/name")).alias("id"), number("lon").alias("lon"), number("lat").alias("lat"))
+
+
+def csv_waypoints(spark: SparkSession, path: str, required=("id", "longitude", "latitude")) -> DataFrame:
+    df = spark.read.csv(path, header=True)
+    lost = set(required) - set(df.columns)
+    if lost:
+        raise ValueError(f"columns are missing: {', '.join(sorted(lost))}")
+    return df.select("id", F.try_to_number("longitude", F.lit("S999D999999999")).cast("double").alias("lon"), F.try_to_number("latitude", F.lit("S999D999999999")).cast("double").alias("lat"))
+
+
+def point_faults(points: DataFrame) -> DataFrame:
+    """(id, fault) of waypoints: no id, an id that repeats, coordinates that are absent or out of range."""
+    twice = points.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id", F.when(F.col("id").isNull(), "no id").otherwise("repeated id").alias("fault"))
+    bad = points.where(~F.coalesce(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90), F.lit(False))).select("id", F.lit("coordinates").alias("fault"))
+    return twice.union(bad)
+
+
+def segments(vertices: DataFrame, key: list[str], x: str = "lon", y: str = "lat") -> DataFrame:
+    """Consecutive vertices as edges (key, k, ax, ay, bx, by)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*key).orderBy("k")
+    return vertices.select(*key, "k", F.col(x).alias("ax"), F.col(y).alias("ay"), F.lead(x).over(w).alias("bx"), F.lead(y).over(w).alias("by")).where("bx is not null")
+
+
+def to_geojson_line(vertices: DataFrame, key: str) -> DataFrame:
+    """(key, geojson): one feature for each line of (key, k, lon, lat)."""
+    ring = F.transform(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))), lambda p: F.array(p["lon"], p["lat"]))
+    body = F.struct(F.lit("Feature").alias("type"), F.struct(F.col(key).cast("string").alias("id")).alias("properties"), F.struct(F.lit("LineString").alias("type"), F.col("ring").alias("coordinates")).alias("geometry"))
+    return vertices.groupBy(key).agg(ring.alias("ring")).select(key, F.to_json(body).alias("geojson"))
+
+
+def to_gpx_waypoint(points: DataFrame) -> DataFrame:
+    """(id, gpx): a wpt element for each point (id, lon, lat)."""
+    name = F.col("id").cast("string")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        name = F.replace(name, F.lit(a), F.lit(b))
+    return points.select("id", F.concat(F.format_string('<wpt lat="%.7f" lon="%.7f"><name>', "lat", "lon"), name, F.lit("</name></wpt>")).alias("gpx"))
+
+
+def to_kml_ring(vertices: DataFrame, key: str) -> DataFrame:
+    """(key, kml): a LinearRing for each ring of (key, k, lon, lat)."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))), lambda p: F.format_string("%.7f,%.7f,0", p["lon"], p["lat"])), " ")
+    return vertices.groupBy(key).agg(text.alias("t")).select(key, F.concat(F.lit("<LinearRing><coordinates>"), "t", F.lit("</coordinates></LinearRing>")).alias("kml"))
