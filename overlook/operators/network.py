@@ -152,3 +152,32 @@ def approaches(scenarios: DataFrame, grid: DataFrame, starts: DataFrame, res: fl
     asked = scenarios.select("scenario", "area").toDF("scenario", "area").join(starts.toDF(*starts.columns), "area").groupBy("scenario")
     out = cells.cogroup(asked).applyInPandas(one, "scenario string, start string, cost double")
     return out.withColumn("cost", F.when(~F.isnan("cost"), F.col("cost")))
+
+
+def departures(segments: DataFrame, target: tuple[float, float], reach: float = 1609.344, step: float = 20.0) -> DataFrame:
+    """(x, y) stations every `step` metres along segments (ax, ay, bx, by), ends included, within reach of the target."""
+    long = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
+    s = segments.withColumn("len", long).where("len > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.ceil(F.col("len") / step).cast("int"))))
+    t = F.least(F.col("i") * step, F.col("len")) / F.col("len")
+    p = s.select(F.round(F.col("ax") + t * (F.col("bx") - F.col("ax")), 6).alias("x"), F.round(F.col("ay") + t * (F.col("by") - F.col("ay")), 6).alias("y"))
+    return p.where((F.col("x") - target[0]) ** 2 + (F.col("y") - target[1]) ** 2 <= reach * reach).distinct()
+
+
+def merged_labels(paths: DataFrame) -> DataFrame:
+    """Objectives (objective, path, cost) that found the same path become one row with their labels in order."""
+    return paths.groupBy("path").agg(F.array_sort(F.collect_set("objective")).alias("objectives"), F.min("cost").alias("cost"))
+
+
+def path_summary(steps: DataFrame) -> DataFrame:
+    """steps (id, length, slope, tree, shrub, rise, ws, wt, wb, wg): the parts of each path's cost, length-weighted mean cover over known steps, unknown share of the length."""
+    n, known = F.col("length"), F.col("tree").isNotNull() & F.col("shrub").isNotNull()
+    part = lambda v: F.sum(v)
+    return steps.groupBy("id").agg(
+        part(n).alias("distance"),
+        part(n * F.col("ws") * (F.col("slope") / 15) ** 2).alias("slope_part"),
+        part(n * F.col("wt") * F.coalesce("tree", F.lit(1.0))).alias("tree_part"),
+        part(n * F.col("wb") * F.coalesce("shrub", F.lit(1.0))).alias("shrub_part"),
+        part(10 * F.col("wg") * F.greatest("rise", F.lit(0.0))).alias("gain_part"),
+        F.try_divide(F.sum(F.when(known, n * F.col("tree"))), F.sum(F.when(known, n))).alias("mean_tree"),
+        (F.sum(F.when(~known, n).otherwise(0.0)) / F.sum(n)).alias("unknown_share"),
+    )

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import geo, scoring, terrain
-from .operators import attention, coverage, filters, habitat, network, points, ranking, visibility
-from .plans import candidates
+from .operators import attention, coverage, evaluation, filters, habitat, network, points, ranking, visibility
+from .plans import candidates, catalog
 from .sources import terrain as grids
 from .sources import vectors
 from .streaming import rates
@@ -596,5 +596,209 @@ def wedge_rings(spark, sf_dir):
     return p.select("vec_id", (F.size("ring") - 2).cast("int").alias("n"), F.round(F.get("ring", F.lit(4))["x"], 4).alias("mid_x"), F.round(F.get("ring", F.lit(4))["y"], 4).alias("mid_y"))
 
 
+@query(
+    "cover_classes",
+    f"""WITH {HILLS}, {COVER('hills')}, s AS (SELECT *, r // 28 * 5 + c // 28 AS id FROM cover) SELECT id::INT AS id, round(count(*) * 0.0001::DOUBLE, 6) AS raw, round(count(*) FILTER (tree < 0.1) * 0.0001::DOUBLE, 6) AS open, round(count(*) FILTER (tree >= 0.1 AND tree < 0.4) * 0.0001::DOUBLE, 6) AS partial,
+    round(count(*) FILTER (tree >= 0.4) * 0.0001::DOUBLE, 6) AS dense, round(count(*) FILTER (tree IS NULL) * 0.0001::DOUBLE, 6) AS unknown, round(avg(shrub), 8) AS mean_shrub, round(avg((tree IS NULL OR shrub IS NULL)::INT), 8) AS unknown_share, true AS closes FROM s GROUP BY id""",
+)
+def cover_classes(spark, sf_dir):
+    g = grids.with_cover(grids.hills(spark, N, RES)).withColumn("id", (F.floor(F.col("r") / 28) * 5 + F.floor(F.col("c") / 28)).cast("int"))
+    out = evaluation.cover_classes(g, "id", 1e-4)
+    return out.select("id", *(F.round(k, 6).alias(k) for k in ("raw", "open", "partial", "dense", "unknown")), F.round("mean_shrub", 8).alias("mean_shrub"), F.round("unknown_share", 8).alias("unknown_share"), "closes")
+
+
+@query(
+    "directional_cover",
+    f"""WITH p AS ({POINT_SQL}), q AS (SELECT label, sqrt(x * x + y * y) AS d, floor((degrees(atan2(x, y)) - 360 * floor(degrees(atan2(x, y)) / 360)) / 30) * 30 AS s, CASE WHEN vec_id % 7 = 0 THEN NULL ELSE (vec_id % 100) / 100.0::DOUBLE END AS t FROM p),
+    f AS (SELECT label, CASE WHEN d < 800 THEN 100.0 ELSE 800.0 END AS i, s::INT AS start, count(*) AS cells, avg(t) AS m, avg((t IS NULL)::INT) AS u FROM q WHERE d >= 100 AND d < 2000 GROUP BY ALL),
+    e AS (SELECT label, i, s::INT AS start FROM (SELECT DISTINCT label FROM p), (VALUES (100.0), (800.0)) v(i), range(0, 360, 30) w(s))
+    SELECT e.label, e.i::DOUBLE AS inner, e.start, coalesce(cells, 0) AS cells, round(m, 8) AS mean_tree, round(coalesce(u, 1), 8) AS unknown_share FROM e LEFT JOIN f ON e.label = f.label AND e.i = f.i AND e.start = f.start""".replace(" AS inner", ' AS "inner"'),
+)
+def directional_cover(spark, sf_dir):
+    p = _points(spark, sf_dir).select("label", F.col("x").alias("dx"), F.col("y").alias("dy"), F.when(F.col("vec_id") % 7 != 0, (F.col("vec_id") % 100) / 100).alias("tree"))
+    out = evaluation.directional(p, "label", [(100, 800), (800, 2000)])
+    return out.withColumn("mean_tree", F.round("mean_tree", 8)).withColumn("unknown_share", F.round("unknown_share", 8))
+
+
+@query(
+    "support_masks",
+    f"""WITH p AS ({POINT_SQL}), q AS (SELECT label, sqrt(x * x + y * y) AS d, vec_id FROM p), s AS (SELECT *, 'whole' AS support FROM q UNION ALL SELECT *, 'even' FROM q WHERE vec_id % 2 = 0 UNION ALL SELECT *, 'third' FROM q WHERE vec_id % 3 = 0)
+    SELECT label, support, round(count(*) * 0.0001::DOUBLE, 6) AS visible, round(count(*) FILTER (d <= 1000) * 0.0001::DOUBLE, 6) AS near FROM s GROUP BY ALL""",
+)
+def support_masks(spark, sf_dir):
+    p = _points(spark, sf_dir).withColumn("d", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2))
+    out = evaluation.by_support(p, "label", {"whole": F.lit(True), "even": F.col("vec_id") % 2 == 0, "third": F.col("vec_id") % 3 == 0}, 1e-4)
+    return out.withColumn("visible", F.round("visible", 6)).withColumn("near", F.round("near", 6))
+
+
+@query(
+    "quadrant_baseline",
+    f"""WITH p AS ({POINT_SQL}), m AS (SELECT (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my FROM p), q AS (SELECT vec_id, x >= mx AS east, y >= my AS north, k FROM p, m, range(20) t(k))
+    SELECT k::INT AS replicate, east, north, arg_min(vec_id, md5('5402:' || k || ':' || vec_id)) AS id FROM q GROUP BY ALL""",
+)
+def quadrant_baseline(spark, sf_dir):
+    return evaluation.quadrant_draws(_points(spark, sf_dir).withColumnRenamed("vec_id", "id"), 20, 5402)
+
+
+ARMS = f"""SELECT 'revenue' AS arm, id, round(revenue, 2) AS score FROM ({SALES}) UNION ALL SELECT 'quantity', id, quantity FROM ({SALES}) UNION ALL SELECT 'returns', id, returned::DOUBLE FROM ({SALES})"""
+
+
+def _arms(spark, sf_dir):
+    s = _sales(spark, sf_dir)
+    return s.select("id", F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), v.cast("double").alias("score")) for a, v in (("revenue", F.round("revenue", 2)), ("quantity", F.col("quantity")), ("returns", F.col("returned")))))).alias("x")).select("x.arm", "id", "x.score")
+
+
+@query(
+    "cross_evaluation",
+    f"""WITH a AS ({ARMS}), b AS (SELECT arm AS nominator, id FROM (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY score DESC, id) AS n FROM a) WHERE n <= 4)
+    SELECT nominator, arm AS evaluator, round(avg(score), 4) AS mean FROM b JOIN a USING (id) GROUP BY ALL""",
+)
+def cross_evaluation(spark, sf_dir):
+    return evaluation.cross_scores(_arms(spark, sf_dir), 4).withColumn("mean", F.round("mean", 4))
+
+
+@query(
+    "distinct_leaders",
+    f"""WITH a AS ({ARMS}), x AS (SELECT id FROM a WHERE arm = 'revenue' ORDER BY score DESC, id LIMIT 1), y AS (SELECT id FROM a WHERE arm = 'quantity' AND id NOT IN (SELECT id FROM x) ORDER BY score DESC, id LIMIT 1),
+    z AS (SELECT id FROM a WHERE arm = 'returns' AND id NOT IN (SELECT id FROM x UNION SELECT id FROM y) ORDER BY score DESC, id LIMIT 1) SELECT 0 AS place, 'revenue' AS arm, id FROM x UNION ALL SELECT 1, 'quantity', id FROM y UNION ALL SELECT 2, 'returns', id FROM z""",
+)
+def distinct_leaders(spark, sf_dir):
+    return evaluation.distinct_leaders(_arms(spark, sf_dir), ["revenue", "quantity", "returns"])
+
+
+@query(
+    "nearby_alternatives",
+    f"""WITH p AS (SELECT *, row_number() OVER (ORDER BY x DESC, vec_id)::INT AS rank FROM ({POINT_SQL})), c AS (SELECT vec_id AS site, x AS sx, y AS sy FROM p WHERE vec_id % 50 = 0)
+    SELECT site, string_agg(vec_id, ',' ORDER BY rank) AS alternatives FROM c JOIN p ON vec_id % 50 <> 0 AND (x - sx) * (x - sx) + (y - sy) * (y - sy) < 90000 GROUP BY site""",
+)
+def nearby_alternatives(spark, sf_dir):
+    p = _points(spark, sf_dir).withColumnRenamed("vec_id", "id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("x"), "id")))
+    out = evaluation.alternatives_near(p, p.where("id % 50 = 0"), 300.0)
+    return out.select("site", F.array_join(F.transform("alternatives", lambda v: v.cast("string")), ",").alias("alternatives"))
+
+
+@query(
+    "sampled_rays",
+    "WITH d AS (SELECT l_suppkey AS id, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_suppkey ORDER BY md5('9:' || l_suppkey || ':' || l_orderkey || ':' || l_linenumber)) AS n FROM lineitem) SELECT id, l_orderkey, l_linenumber FROM d WHERE n <= 8",
+)
+def sampled_rays(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), "l_orderkey", "l_linenumber")
+    return evaluation.sampled_per(cells, "id", ["l_orderkey", "l_linenumber"], 8, 9)
+
+
+@query(
+    "farthest_parents",
+    f"""WITH p AS (SELECT vec_id AS id, x, y, x AS score FROM ({POINT_SQL})), a AS (SELECT id, x, y, row_number() OVER (ORDER BY score DESC, id)::INT AS place FROM p ORDER BY score DESC, id LIMIT 2),
+    b AS (SELECT p.id, p.x, p.y, 3 AS place FROM p, a WHERE p.id NOT IN (SELECT id FROM a) GROUP BY p.id, p.x, p.y ORDER BY min((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y)) DESC, p.id LIMIT 1), ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+    c AS (SELECT p.id, p.x, p.y, 4 AS place FROM p, ab WHERE p.id NOT IN (SELECT id FROM ab) GROUP BY p.id, p.x, p.y ORDER BY min((p.x - ab.x) * (p.x - ab.x) + (p.y - ab.y) * (p.y - ab.y)) DESC, p.id LIMIT 1)
+    SELECT place, id FROM ab UNION ALL SELECT place, id FROM c""",
+)
+def farthest_parents(spark, sf_dir):
+    return evaluation.far_apart(_points(spark, sf_dir).withColumnRenamed("vec_id", "id").withColumn("score", F.col("x")), 2, 4)
+
+
+@query(
+    "largest_openings",
+    """WITH RECURSIVE g AS (SELECT (i // 24)::INT AS r, (i % 24)::INT AS c FROM range(576) t(i)), m AS (SELECT r // 12 AS id, r * 24 + c AS node, r, c FROM g WHERE (r * 7 + c * 5 + r * c) % 3 <> 0),
+    e AS (SELECT a.node AS u, b.node AS v FROM m a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 AND a.id = b.id), w AS (SELECT node, node AS label FROM m UNION SELECT e.v, w.label FROM w JOIN e ON e.u = w.node), l AS (SELECT node, min(label)::BIGINT AS label FROM w GROUP BY node),
+    j AS (SELECT m.*, label, avg(r) OVER k AS mr, avg(c) OVER k AS mc, count(*) OVER k AS n FROM m JOIN l USING (node) WINDOW k AS (PARTITION BY id, label)), t AS (SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY n DESC, label)::INT AS place, row_number() OVER (PARTITION BY id, label ORDER BY round((r - mr) * (r - mr) + (c - mc) * (c - mc), 9), r, c) AS q FROM j)
+    SELECT id, label, n, place, r, c FROM t WHERE place <= 2 AND q = 1""",
+)
+def largest_openings(spark, sf_dir):
+    m = grids.cells(spark, 24, 24).where((F.col("r") * 7 + F.col("c") * 5 + F.col("r") * F.col("c")) % 3 != 0).withColumn("node", (F.col("r") * 24 + F.col("c")).cast("long")).withColumn("id", F.floor(F.col("r") / 12).cast("int"))
+    steps = F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((1, 0), (0, 1))))
+    e = m.select("id", F.col("node").alias("u"), F.explode(steps).alias("x")).select("id", "u", "x.r", "x.c").join(m.withColumnRenamed("node", "v"), ["id", "r", "c"]).select("u", "v")
+    labels = network.components(e, m).join(m.select("node", "id"), "node")
+    return evaluation.openings(m, labels, "id")
+
+
+@query(
+    "catalog_cover",
+    """WITH q AS (SELECT s_suppkey AS id, 'p' || s_nationkey % 3 AS product, s_suppkey % 50 AS x0, s_suppkey % 40 AS y0, s_suppkey % 50 + 5 AS x1, s_suppkey % 40 + 4 AS y1 FROM supplier), c AS (SELECT p_partkey AS entry, 'p' || p_size % 3 AS product, p_partkey % 37 AS ex0, p_partkey % 29 AS ey0, p_partkey % 37 + p_size AS ex1, p_partkey % 29 + p_size AS ey1 FROM part)
+    SELECT q.id, arg_min(c.entry, ((ex1 - ex0) * (ey1 - ey0), c.entry)) AS entry FROM q LEFT JOIN c ON q.product = c.product AND ex0 <= x0 AND ey0 <= y0 AND ex1 >= x1 AND ey1 >= y1 GROUP BY q.id""",
+)
+def catalog_cover(spark, sf_dir):
+    q = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "concat('p', s_nationkey % 3) as product", "s_suppkey % 50 as x0", "s_suppkey % 40 as y0", "s_suppkey % 50 + 5 as x1", "s_suppkey % 40 + 4 as y1")
+    c = table(spark, sf_dir, "part").selectExpr("p_partkey as entry", "concat('p', p_size % 3) as product", "p_partkey % 37 as ex0", "p_partkey % 29 as ey0", "p_partkey % 37 + p_size as ex1", "p_partkey % 29 + p_size as ey1")
+    return catalog.covering(q, c)
+
+
+@query(
+    "acquisition_choice",
+    """WITH e AS (SELECT 'a' || l_suppkey % 9 AS acquisition, round(l_quantity) AS km2, l_linenumber = 1 AS cached, CASE WHEN l_orderkey % 11 = 0 THEN 'n/a' ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date, l_partkey AS bytes FROM lineitem)
+    SELECT acquisition, sum(CASE WHEN cached THEN km2 ELSE 0 END) AS cached_km2, sum(km2) AS km2, max(date) FILTER (date <> 'n/a') AS date, sum(CASE WHEN cached THEN 0 ELSE bytes END)::BIGINT AS fetch FROM e GROUP BY 1 ORDER BY 2 DESC, 3 DESC, 4 DESC, 5, 1 LIMIT 1""",
+)
+def acquisition_choice(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("a"), (F.col("l_suppkey") % 9).cast("string")).alias("acquisition"), F.round("l_quantity").alias("km2"), (F.col("l_linenumber") == 1).alias("cached"), F.when(F.col("l_orderkey") % 11 == 0, "n/a").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("date"), F.col("l_partkey").alias("bytes"))
+    return catalog.choose_acquisition(e)
+
+
+@query(
+    "bytes_by_host",
+    """WITH i AS (SELECT regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, length(html) AS bytes, page_id % 4 = 0 AS cached FROM pages) SELECT host, sum(bytes)::BIGINT AS bytes, (ceil(sum(bytes) / 1e6 * 1.2 / 10) * 10)::BIGINT AS suggested_mb FROM i WHERE NOT cached GROUP BY host""",
+)
+def bytes_by_host(spark, sf_dir):
+    return catalog.bytes_by_host(table(spark, sf_dir, "pages").select("url", F.length("html").alias("bytes"), (F.col("page_id") % 4 == 0).alias("cached")))
+
+
+@query(
+    "newest_imagery",
+    "SELECT l_orderkey AS id, l_returnflag AS tag, year(l_shipdate)::INT AS year, count(*) AS n FROM lineitem l WHERE year(l_shipdate) = (SELECT max(year(m.l_shipdate)) FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_returnflag = l.l_returnflag) GROUP BY ALL",
+)
+def newest_imagery(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("tag"), F.year("l_shipdate").alias("year"))
+    return catalog.newest_per(rows, ["id", "tag"], "year").groupBy("id", "tag", "year").agg(F.count("*").alias("n"))
+
+
+@query(
+    "line_display",
+    """SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'paved' WHEN p_size % 5 = 1 THEN 'gravel' WHEN p_size % 5 = 2 THEN 'natural' ELSE 'other' END AS surface, CASE WHEN p_size % 3 = 0 THEN 'motorized' WHEN p_size % 3 = 1 THEN 'closed' ELSE 'unknown' END AS use FROM part""",
+)
+def line_display(spark, sf_dir):
+    k = F.col("p_size")
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(k % 5 == 0, "AC - ASPHALT").when(k % 5 == 1, "agg - crushed").when(k % 5 == 2, "NAT").when(k % 5 == 3, "natural?").alias("surface"), F.when(k % 3 == 0, "y").when(k % 3 == 1, "N").alias("motor"))
+    return catalog.line_display(lines)
+
+
+@query(
+    "departure_stations",
+    f"""WITH {LINK_SQL}, s AS (SELECT ax, ay, bx, by_, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM l), i AS (SELECT *, unnest(range(0, ceil(len / 20)::INT + 1)) AS i FROM s), p AS (SELECT round(ax + least(i * 20, len) / len * (bx - ax), 6) AS x, round(ay + least(i * 20, len) / len * (by_ - ay), 6) AS y FROM i)
+    SELECT DISTINCT x, y FROM p WHERE (x - 400) * (x - 400) + (y - 350) * (y - 350) <= 90000""",
+)
+def departure_stations(spark, sf_dir):
+    return network.departures(spark.createDataFrame(LINKS, "record int, ax double, ay double, bx double, by double, motor boolean"), (400.0, 350.0), 300.0)
+
+
+STEP_SQL = "SELECT l_orderkey AS id, l_quantity AS length, l_tax * 300 AS slope, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_discount * 5 END AS tree, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_tax * 4 END AS shrub, l_discount * 100 - 5 AS rise FROM lineitem"
+
+
+@query(
+    "path_summary",
+    f"""WITH s AS ({STEP_SQL}) SELECT id, round(sum(length), 6) AS distance, round(sum(length * 1.5 * power(slope / 15, 2)), 6) AS slope_part, round(sum(length * coalesce(tree, 1)), 6) AS tree_part, round(sum(length * 2 * coalesce(shrub, 1)), 6) AS shrub_part, round(sum(10 * greatest(rise, 0)), 6) AS gain_part,
+    round(sum(length * tree) FILTER (tree IS NOT NULL AND shrub IS NOT NULL) / sum(length) FILTER (tree IS NOT NULL AND shrub IS NOT NULL), 12) AS mean_tree, round(sum(CASE WHEN tree IS NULL OR shrub IS NULL THEN length ELSE 0 END) / sum(length), 12) AS unknown_share FROM s GROUP BY id""",
+)
+def path_summary(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as id", "l_quantity as length", "l_tax * 300 as slope", "if(l_partkey % 7 = 0, null, l_discount * 5) as tree", "if(l_partkey % 11 = 0, null, l_tax * 4) as shrub", "l_discount * 100 - 5 as rise", "1.5D as ws", "1D as wt", "2D as wb", "1D as wg")
+    out = network.path_summary(s)
+    return out.select("id", *(F.round(k, 6).alias(k) for k in ("distance", "slope_part", "tree_part", "shrub_part", "gain_part")), F.round("mean_tree", 12).alias("mean_tree"), F.round("unknown_share", 12).alias("unknown_share"))
+
+
+@query("merged_objectives", "SELECT o_custkey AS path, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS objectives, min(o_totalprice) AS cost FROM orders GROUP BY 1")
+def merged_objectives(spark, sf_dir):
+    out = network.merged_labels(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("objective"), F.col("o_custkey").alias("path"), F.col("o_totalprice").alias("cost")))
+    return out.select("path", F.array_join("objectives", "|").alias("objectives"), "cost")
+
+
+@query(
+    "median_colours",
+    """WITH p AS (SELECT (i // 40)::INT AS r, (i % 40)::INT AS c, (i * 37 % 251)::INT AS red, (i * 91 % 241)::INT AS green, (i * 53 % 239)::INT AS blue, CASE WHEN i % 5 < 3 THEN 255 ELSE 0 END AS alpha FROM range(1600) t(i)), k AS (SELECT r * 40 + c AS id, r, c FROM p WHERE (r + c) % 3 = 0)
+    SELECT k.id, coalesce(round_even(0.75 * median(red) + 18, 0), 72)::INT AS red, coalesce(round_even(0.75 * median(green) + 27, 0), 108)::INT AS green, coalesce(round_even(0.75 * median(blue) + 13.25, 0), 53)::INT AS blue FROM k LEFT JOIN p ON abs(p.r - k.r) <= 1 AND abs(p.c - k.c) <= 1 AND alpha > 0 GROUP BY k.id""",
+)
+def median_colours(spark, sf_dir):
+    i = F.col("r") * 40 + F.col("c")
+    p = grids.cells(spark, 40, 40).select("r", "c", (i * 37 % 251).alias("red"), (i * 91 % 241).alias("green"), (i * 53 % 239).alias("blue"), F.when(i % 5 < 3, 255).otherwise(0).alias("alpha"))
+    return evaluation.median_colours(p.where((F.col("r") + F.col("c")) % 3 == 0).select(i.alias("id"), "r", "c"), p, (72, 108, 53))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewshed_rank(spark, sf_dir)

@@ -250,3 +250,26 @@ def test_stream_matches_batch(spark, sf_dir, tmp_path):
     q.stop()
     key = lambda df: sorted((str(r.start), r.event_type, r.n, round(r.total, 6)) for r in df.collect())
     assert key(spark.table("rates")) == key(rates.windowed(events, "event_type", "1 hour", "1 hour", "30 minutes"))
+
+
+def test_catalog_rules(spark):
+    from overlook.plans import catalog
+
+    want = spark.createDataFrame([("r", "https://Host.org/a?LAYER=1&bbox=1,2&fmt=tif")], "id string, url string")
+    held = spark.createDataFrame([("h1", "https://host.org/a?fmt=tif&bbox=9,9&layer=1"), ("h2", "https://host.org/a?fmt=png&layer=1"), ("h3", "https://host.org/b?fmt=tif&layer=1")], "entry string, url string")
+    assert [r.entry for r in catalog.reusable(want, held).collect()] == ["h1"]
+    good, bad = catalog.quarantined(spark.createDataFrame([("a", '{"id":"1","kind":"x"}'), ("b", '{"id":"1"}'), ("c", "{broken")], "path string, content string"), ["id", "kind"])
+    assert [r.path for r in good.collect()] == ["a"] and sorted(r.path for r in bad.collect()) == ["b", "c"]
+    hosts = catalog.bytes_by_host(spark.createDataFrame([("https://a.org/x", 100, False), ("https://a.org/y", 50, None), ("https://b.org/z", 70, True)], "url string, bytes long, cached boolean"))
+    assert [(r.host, r.bytes, r.suggested_mb) for r in hosts.collect()] == [("a.org", 150, 10)]
+    t = catalog.seconds_to_fetch(hosts, spark.createDataFrame([("a.org", 10.0)], "host string, rate double"), 1.0).first()
+    assert abs(t.minimum_s - 10) < 1e-9 and abs(t.maximum_s - 30) < 1e-9 and t.measured
+
+
+def test_two_largest_openings(spark):
+    from overlook.operators import evaluation
+
+    cells = spark.createDataFrame([("g", r, c, r * 10 + c) for r, c in ((0, 0), (0, 1), (0, 2), (5, 5), (5, 6), (8, 8))], "id string, r int, c int, node long")
+    labels = spark.createDataFrame([("g", 0, 0), ("g", 1, 0), ("g", 2, 0), ("g", 55, 55), ("g", 56, 55), ("g", 88, 88)], "id string, node long, label long")
+    out = evaluation.openings(cells, labels, "id").orderBy("place").collect()
+    assert [(r.n, r.r, r.c) for r in out] == [(3, 0, 1), (2, 5, 5)]
