@@ -5,7 +5,7 @@ import pytest
 
 from overlook import queries
 
-TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
+TABLES = "region nation customer supplier part orders lineitem events embeddings pages".split()
 
 
 @pytest.fixture(scope="module")
