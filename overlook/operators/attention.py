@@ -34,3 +34,16 @@ def knapsack(patches: DataFrame, by: str, budget: float, rate: float = 0.02, ove
     best = F.expr(f"""aggregate(items, transform(sequence(0, {capacity}), t -> 0D),
         (b, x) -> transform(b, (old, t) -> if(t >= x.u and b[t - x.u] + x.v > old + 1e-14, b[t - x.u] + x.v, old)), b -> b[{capacity}])""")
     return items.select(by, best.alias("score"))
+
+
+def sweep(patches: DataFrame, by: str, budgets: list[float], **costs) -> DataFrame:
+    """(by, budget, selective, uniform) for a fixed list of budgets: the exact choice of patches, and the score if the time went evenly over all that is visible."""
+    rate = costs.get("rate", 0.02)
+    whole = patches.groupBy(by).agg(F.sum("reward").alias("reward"), F.sum("visible_km2").alias("km2"))
+    out = None
+    for b in budgets:
+        one = knapsack(patches, by, b, **costs).join(whole, by)
+        even = F.when(F.col("km2") > 0, F.col("reward") * F.least(F.lit(1.0), b * rate / F.col("km2"))).otherwise(0.0)
+        one = one.select(by, F.lit(float(b)).alias("budget"), F.col("score").alias("selective"), even.alias("uniform"))
+        out = one if out is None else out.union(one)
+    return out

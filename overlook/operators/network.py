@@ -181,3 +181,27 @@ def path_summary(steps: DataFrame) -> DataFrame:
         F.try_divide(F.sum(F.when(known, n * F.col("tree"))), F.sum(F.when(known, n))).alias("mean_tree"),
         (F.sum(F.when(~known, n).otherwise(0.0)) / F.sum(n)).alias("unknown_share"),
     )
+
+
+def connections(cells: DataFrame, seats: DataFrame, departures_: DataFrame, res: float, limits: tuple[float, ...] = (25.0, 30.0, 35.0)) -> DataFrame:
+    """(id, status, limit) of seats (id, r, c): the first slope limit at which they hang together with a departure (r, c) over cells (r, c, z, slope, ok), or why not. Components of the grid for a fixed list of limits; diagonal steps don't cut corners."""
+    out = None
+    here = cells.select("r", "c", "z", "slope", "ok")
+    for limit in limits:
+        open_ = here.where(F.col("ok") & F.col("z").isNotNull() & (F.col("slope") <= limit)).withColumn("node", F.col("r").cast("long") * (1 << 31) + F.col("c"))
+        ways = F.array(*(F.struct((F.col("r") + a).alias("r2"), (F.col("c") + b).alias("c2"), F.lit(res * math.hypot(a, b)).alias("len")) for a, b in ((0, 1), (1, 0), (1, 1), (1, -1))))
+        e = open_.select("node", "r", "c", "z", F.explode(ways).alias("k")).select("node", "r", "c", "z", "k.*")
+        e = e.join(open_.select(F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("z").alias("z2"), F.col("node").alias("v")), ["r2", "c2"])
+        e = e.where(F.degrees(F.atan(F.abs(F.col("z2") - F.col("z")) / F.col("len"))) <= limit)
+        side = lambda r, c: open_.select(F.col("r").alias(r), F.col("c").alias(c))
+        straight = e.where("r = r2 or c = c2")
+        bent = e.where("r <> r2 and c <> c2").join(side("r", "c2"), ["r", "c2"], "left_semi").join(side("r2", "c"), ["r2", "c"], "left_semi")
+        links = straight.select(F.col("node").alias("u"), "v").union(bent.select(F.col("node").alias("u"), "v"))
+        label = components(links, open_).join(open_.select("node", "r", "c"), "node")
+        reached = label.join(departures_.select("r", "c").distinct(), ["r", "c"]).select("label").distinct()
+        found = seats.join(label, ["r", "c"]).join(reached, "label", "left_semi").select("id", F.lit(limit).alias("limit"))
+        out = found if out is None else out.union(found)
+    best = out.groupBy("id").agg(F.min("limit").alias("limit"))
+    where = seats.join(here, ["r", "c"], "left").join(best, "id", "left")
+    status = F.when(F.col("limit").isNotNull(), "connected").when(F.col("z").isNull(), "no terrain").when(~F.col("ok"), "outside the domain").when(F.col("slope") > limits[-1], "too steep").otherwise("no connection")
+    return where.select("id", status.alias("status"), "limit")

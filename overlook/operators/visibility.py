@@ -162,3 +162,46 @@ def triangle_hits(triangles: DataFrame, segments: DataFrame) -> DataFrame:
     p = p.withColumn("u", dot(s, h) / det).withColumn("w", dot(d, q) / det).withColumn("t", dot(e2, q) / det)
     p = p.where("u >= 0 and w >= 0 and u + w <= 1 and t >= 0 and t <= 1")
     return p.groupBy("id").agg(F.countDistinct(F.round("t", 7)).alias("crossings"), F.min("t").alias("first_t")).withColumn("inside", F.col("crossings") % 2 == 1)
+
+
+def vegetation_rays(pairs: DataFrame, grid: DataFrame, rows: int, cols: int, res: float, eye: float = 1.7, target: float = 0.8, curvature: float = CURVATURE, near: float = 30.0, last: float = 30.0) -> DataFrame:
+    """Where vegetation columns (grid.height) meet each ray: near the observer, between, near the target; unknown heights; terrain itself. Columns in the two end cells don't count, but a target under its own column does."""
+    at = lambda r, c, z, h: grid.select(F.col("r").alias(r), F.col("c").alias(c), F.col("z").alias(z), F.col("height").alias(h))
+    ends = pairs.join(at("r0", "c0", "z0", "h0"), ["r0", "c0"]).join(at("r", "c", "z1", "h1"), ["r", "c"])
+    d = F.sqrt((F.col("r") - F.col("r0")) ** 2 + (F.col("c") - F.col("c0")) ** 2) * res
+    s = ends.withColumn("d", d).where("d > 0").withColumn("steps", F.greatest(F.lit(3), F.ceil(F.col("d") / (res / 2)).cast("int")))
+    s = s.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("steps") - 1))).withColumn("t", F.col("i") / F.col("steps"))
+    s = s.withColumn("pr", F.col("r0") + F.col("t") * (F.col("r") - F.col("r0"))).withColumn("pc", F.col("c0") + F.col("t") * (F.col("c") - F.col("c0")))
+    drop = curvature / (2 * EARTH)
+    s = s.withColumn("line", (F.col("z0") + eye) * (1 - F.col("t")) + (F.col("z1") + target - drop * F.col("d") ** 2) * F.col("t") + drop * (F.col("t") * F.col("d")) ** 2)
+    s = s.withColumn("nr", F.floor(F.col("pr") + 0.5).cast("int")).withColumn("nc", F.floor(F.col("pc") + 0.5).cast("int"))
+    s = s.join(grid.select(F.col("r").alias("nr"), F.col("c").alias("nc"), "height"), ["nr", "nc"])
+    low = lambda x, n: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(n - 1)).cast("int")
+    fr, fc = F.col("pr") - F.floor("pr"), F.col("pc") - F.floor("pc")
+    corners = F.array(*(F.struct(low(F.col("pr") + a, rows).alias("kr"), low(F.col("pc") + b, cols).alias("kc"), ((fr if a else 1 - fr) * (fc if b else 1 - fc)).alias("w")) for a in (0, 1) for b in (0, 1)))
+    key = ["id", "r0", "c0", "r", "c", "d", "t", "line", "height", "nr", "nc", "h0", "h1"]
+    s = s.select(*key, F.explode(corners).alias("k")).select(*key, "k.kr", "k.kc", "k.w").where("w > 0")
+    g = s.join(grid.select(F.col("r").alias("kr"), F.col("c").alias("kc"), "z"), ["kr", "kc"]).groupBy(*key).agg(F.sum(F.col("w") * F.col("z")).alias("z"))
+    inner = ~(((F.col("nr") == F.col("r0")) & (F.col("nc") == F.col("c0"))) | ((F.col("nr") == F.col("r")) & (F.col("nc") == F.col("c"))))
+    hit = inner & F.coalesce((F.col("height") > 0) & (F.col("z") + F.col("height") > F.col("line")), F.lit(False))
+    first = F.col("t") * F.col("d") <= near
+    end = ((1 - F.col("t")) * F.col("d") <= last) & ~first
+    return g.groupBy("id", "r0", "c0", "r", "c").agg(
+        F.bool_or(hit & first).alias("observer"),
+        F.bool_or(hit & ~first & ~end).alias("intermediate"),
+        (F.bool_or(hit & end) | F.coalesce(F.first("h1") > target, F.lit(False))).alias("target"),
+        (F.bool_or(inner & F.col("height").isNull()) | F.first("h0").isNull() | F.first("h1").isNull()).alias("unknown"),
+        F.bool_or(inner & (F.col("z") > F.col("line") + 1e-6)).alias("terrain"),
+    )
+
+
+def polyhedron_hits(faces: DataFrame, segments: DataFrame) -> DataFrame:
+    """Segments (id, area, ox..dz) against convex bodies (area, body, nx, ny, nz, k: outward normals, n.p <= k inside): bodies hit and the first entry. A body's faces are aggregated: latest entry, earliest exit."""
+    p = segments.join(faces, "area")
+    slope = F.col("nx") * F.col("dx") + F.col("ny") * F.col("dy") + F.col("nz") * F.col("dz")
+    room = F.col("k") - (F.col("nx") * F.col("ox") + F.col("ny") * F.col("oy") + F.col("nz") * F.col("oz"))
+    t = F.when(F.abs(slope) > 1e-12, room / slope)
+    p = p.select("id", "body", F.when(slope < -1e-12, t).alias("enter"), F.when(slope > 1e-12, t).alias("leave"), ((F.abs(slope) <= 1e-12) & (room < 0)).alias("off"))
+    b = p.groupBy("id", "body").agg(F.coalesce(F.max("enter"), F.lit(float("-inf"))).alias("enter"), F.coalesce(F.min("leave"), F.lit(float("inf"))).alias("leave"), F.bool_or("off").alias("off"))
+    b = b.where("not off and enter <= leave and leave >= 0 and enter <= 1")
+    return b.groupBy("id").agg(F.count("*").alias("hits"), F.min(F.greatest(F.col("enter"), F.lit(0.0))).alias("first_t"))

@@ -800,5 +800,40 @@ def median_colours(spark, sf_dir):
     return evaluation.median_colours(p.where((F.col("r") + F.col("c")) % 3 == 0).select(i.alias("id"), "r", "c"), p, (72, 108, 53))
 
 
+@query(
+    "vegetation_rays",
+    f"""WITH {ROLLING(RAYS)}, g AS (SELECT *, CASE WHEN (r * 31 + c * 17) % 29 = 0 THEN NULL WHEN (r * 5 + c * 3) % 11 = 0 THEN 4.0 ELSE 0.0 END AS height FROM rolling), {SEAT_SQL},
+    p AS (SELECT s.*, g.r, g.c, g.z AS z1, o.z AS z0, o.height AS h0, g.height AS h1, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) * {RRES} AS d FROM s JOIN g o ON o.r = r0 AND o.c = c0 JOIN g ON abs(g.r - r0) <= 12 AND abs(g.c - c0) <= 12),
+    q AS (SELECT *, greatest(3, ceil(d / 5)::INT) AS steps FROM p WHERE d <= {RADIUS} AND d > 0), i AS (SELECT *, unnest(range(1, steps)) AS i FROM q), t AS (SELECT *, i / steps AS t, r0 + i / steps * (r - r0) AS pr, c0 + i / steps * (c - c0) AS pc FROM i),
+    k AS (SELECT t.*, floor(pr)::INT AS fr, floor(pc)::INT AS fc, floor(pr + 0.5)::INT AS nr, floor(pc + 0.5)::INT AS nc FROM t),
+    h AS (SELECT k.*, n.height, (1 - (pr - fr)) * ((1 - (pc - fc)) * a.z + (pc - fc) * b.z) + (pr - fr) * ((1 - (pc - fc)) * e.z + (pc - fc) * f.z) AS z, (z0 + 1.7) * (1 - t) + (z1 + 0.8 - {DROP!r} * d * d) * t + {DROP!r} * (t * d) * (t * d) AS line,
+        NOT ((nr = r0 AND nc = c0) OR (nr = k.r AND nc = k.c)) AS mid FROM k JOIN g n ON n.r = nr AND n.c = nc JOIN g a ON a.r = fr AND a.c = fc JOIN g b ON b.r = fr AND b.c = least(fc + 1, {RAYS - 1}) JOIN g e ON e.r = least(fr + 1, {RAYS - 1}) AND e.c = fc JOIN g f ON f.r = least(fr + 1, {RAYS - 1}) AND f.c = least(fc + 1, {RAYS - 1})),
+    x AS (SELECT *, mid AND coalesce(height > 0 AND z + height > line, false) AS hit, t * d <= 30 AS near, (1 - t) * d <= 30 AND NOT t * d <= 30 AS fin FROM h)
+    SELECT id, r, c, bool_or(hit AND near) AS observer, bool_or(hit AND NOT near AND NOT fin) AS intermediate, bool_or(hit AND fin) OR coalesce(any_value(h1) > 0.8, false) AS target, bool_or(mid AND height IS NULL) OR bool_or(h0 IS NULL) OR bool_or(h1 IS NULL) AS unknown, bool_or(mid AND z > line + 1e-6) AS terrain FROM x GROUP BY id, r, c""",
+)
+def vegetation_rays(spark, sf_dir):
+    k = F.col("r")
+    g = grids.rolling(spark, RAYS).withColumn("height", F.when((k * 31 + F.col("c") * 17) % 29 == 0, None).when((k * 5 + F.col("c") * 3) % 11 == 0, 4.0).otherwise(0.0))
+    pairs = visibility.targets_within(_seats(spark), g.select("r", "c"), RADIUS, RRES).drop("d")
+    return visibility.vegetation_rays(pairs, g, RAYS, RAYS, RRES).drop("r0", "c0")
+
+
+@query("attention_sweep")
+def attention_sweep(spark, sf_dir):
+    """Exact and even use of three budgets over polar patches; a fold that SQL can't state (patch_knapsack's test covers it)."""
+    p = _points(spark, sf_dir).select("label", F.col("x").alias("dx"), F.col("y").alias("dy"), F.lit(1.0).alias("reward"))
+    out = attention.sweep(attention.polar_patches(p, "label", 30, 500, 2000, 1e-4), "label", [10.0, 30.0, 60.0])
+    return out.select("label", "budget", F.round("selective", 9).alias("selective"), F.round("uniform", 9).alias("uniform"))
+
+
+@query("connection_screen")
+def connection_screen(spark, sf_dir):
+    """Seats that hang together with a departure at the first slope limit that allows it; held against a flood fill in the tests."""
+    g = terrain.gradient(grids.rolling(spark, 20).withColumn("z", F.col("z") * 1.8), "z", 12.0)
+    g = g.select("r", "c", "z", terrain.slope_of(F.col("gx"), F.col("gy")).alias("slope"), ((F.col("r") * 3 + F.col("c") * 7) % 5 != 0).alias("ok"))
+    seats = g.where("r % 7 = 3 and c % 6 = 2").select(F.concat_ws("-", "r", "c").alias("id"), "r", "c")
+    return network.connections(g, seats, g.where("r = 0").select("r", "c"), 12.0, (25.0, 35.0))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewshed_rank(spark, sf_dir)

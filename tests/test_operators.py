@@ -273,3 +273,56 @@ def test_two_largest_openings(spark):
     labels = spark.createDataFrame([("g", 0, 0), ("g", 1, 0), ("g", 2, 0), ("g", 55, 55), ("g", 56, 55), ("g", 88, 88)], "id string, node long, label long")
     out = evaluation.openings(cells, labels, "id").orderBy("place").collect()
     assert [(r.n, r.r, r.c) for r in out] == [(3, 0, 1), (2, 5, 5)]
+
+
+def test_vegetation_ray_fixtures(spark):
+    def flags(cells, rows=5, cols=25, at=((2, 3), (2, 23)), z=100.0):
+        g = flat(spark, 25, z).where(F.col("r") < rows).withColumn("height", F.lit(0.0))
+        for (r, c), h in cells.items():
+            g = g.withColumn("height", F.when((F.col("r") == r) & (F.col("c") == c), F.lit(h).cast("double")).otherwise(F.col("height")))
+        (a, b), (e, f) = at
+        p = spark.createDataFrame([(1, a, b, e, f)], "id int, r0 int, c0 int, r int, c int")
+        x = visibility.vegetation_rays(p, g, rows, 25, 10.0).first()
+        return (x.observer, x.intermediate, x.target, x.unknown, x.terrain)
+
+    assert flags({}) == (False,) * 5
+    assert flags({(2, 5): 3.0}) == (True, False, False, False, False)
+    assert flags({(2, 12): 3.0}) == (False, True, False, False, False)
+    assert flags({(2, 23): 4.0}) == (False, False, True, False, False)
+    assert flags({(2, 12): None}) == (False, False, False, True, False)
+    assert flags({(2, 3): 9.0}) == (False,) * 5
+
+
+def test_polyhedron_is_the_box(spark):
+    n = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
+    faces = spark.createDataFrame([(1, 1, *map(float, v), sum(a * b for a, b in zip(v, (5.0, 1.0, 0.0))) + 0.5) for v in n], "area int, body int, nx double, ny double, nz double, k double")
+    rays = spark.createDataFrame([(7, 1, 0.0, 1.0, 0.0, 10.0, 0.0, 0.0), (8, 1, 0.0, 3.0, 0.0, 10.0, 0.0, 0.0)], "id int, area int, ox double, oy double, oz double, dx double, dy double, dz double")
+    out = visibility.polyhedron_hits(faces, rays).collect()
+    assert [(r.id, r.hits) for r in out] == [(7, 1)] and abs(out[0].first_t - 0.45) < 1e-12
+
+
+def test_connections_equal_a_flood_fill(spark):
+    rng = np.random.default_rng(5)
+    z, ok = rng.random((9, 10)) * 14, rng.random((9, 10)) > 0.2
+    gy, gx = np.gradient(z, 10.0)
+    slope = np.degrees(np.arctan(np.hypot(gx, gy)))
+    cells = spark.createDataFrame([(i, j, float(z[i, j]), float(slope[i, j]), bool(ok[i, j])) for i in range(9) for j in range(10)], "r int, c int, z double, slope double, ok boolean")
+    seats = cells.select((F.col("r") * 10 + F.col("c")).alias("id"), "r", "c")
+    got = {r.id: (r.status, r.limit) for r in network.connections(cells, seats, spark.createDataFrame([(0, 0), (0, 5)], "r int, c int"), 10.0, (25.0, 35.0)).collect()}
+    want = {}
+    for limit in (35.0, 25.0):
+        free = ok & (slope <= limit)
+        todo = [s for s in ((0, 0), (0, 5)) if free[s]]
+        seen = set(todo)
+        while todo:
+            i, j = todo.pop()
+            for a, b in network.STEPS8:
+                p, q = i + a, j + b
+                if 0 <= p < 9 and 0 <= q < 10 and free[p, q] and (p, q) not in seen and not (a and b and not (free[i, q] and free[p, j])):
+                    if math.degrees(math.atan(abs(z[i, j] - z[p, q]) / (10 * math.hypot(a, b)))) <= limit:
+                        seen.add((p, q))
+                        todo.append((p, q))
+        for i, j in seen:
+            want[i * 10 + j] = limit
+    assert {k: v[1] for k, v in got.items() if v[0] == "connected"} == want
+    assert all(v[0] == "outside the domain" for k, v in got.items() if not ok[k // 10, k % 10])
