@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
+
 
 def overlaps(masks: DataFrame) -> DataFrame:
     """(a, b, shared, jaccard, of_smaller) of pairs a < b that share a cell. The join is on the cell; sizes come from one aggregation."""
@@ -30,7 +32,7 @@ def greedy(masks: DataFrame, ranks: DataFrame, k: int, weights: DataFrame | None
     spark = masks.sparkSession
     m = masks.select("id", "cell").distinct()
     m = m.join(weights, "cell") if weights is not None else m.withColumn("w", F.lit(1.0))
-    m = m.join(ranks.select("id", "rank"), "id")
+    m = cut(m.join(ranks.select("id", "rank"), "id"))  # every round reads it again
     chosen: list = []
     rows = []
     for step in range(1, k + 1):
