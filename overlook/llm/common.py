@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +54,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(F.col("doc_id"), text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
+def bounded_sample(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame:
+    """The `size` rows whose hashed key is least. Rows are counted first and those of large hashes left out, so that the sort sees about 2 size rows of any table."""
+    h = F.xxhash64(key)
+    n = rows.count()
+    if n > 2 * size:
+        rows = rows.where(h < F.lit(int(2 * size / n * 2.0**64) - (1 << 63)))
+    return rows.orderBy(h, key).limit(size)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -140,15 +148,7 @@ class Words:
         return span_hash(self.data.astype(np.uint64) + np.uint64(1), self.starts, self.ends, R_BYTE)
 
 
-def string_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
-
-
 def blobs(values: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     """values cut at the given positions, as bytes."""
     raw, size = np.ascontiguousarray(values).tobytes(), values.dtype.itemsize
     return [raw[a * size : b * size] for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def code_root() -> str:
-    return os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

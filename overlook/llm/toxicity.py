@@ -21,7 +21,6 @@ without labels); rows are independent; empty tables give empty results; extra co
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -30,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bounded_sample, table
 
-FIT_ROWS, THRESHOLD = 4000, 0.7
+FIT_ROWS, THRESHOLD = 2500, 0.7
 SPAN, BUCKETS = 64, 1 << 18
 OFTEN, OFFENDS = 4, 20.0
+#: Slots of the offenders' counts.
+SLOTS = 1 << 22
 CACHE = 200_000
 WORD = re.compile(r"\S+")
 EDGES = "\"'.,;:!?()[]{}<>$%&*#|-_~^`+=/\\"
@@ -101,8 +102,8 @@ def in_spans(counts: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
     return np.repeat(base, counts) + rank // SPAN, rank % SPAN, int(runs.sum())
 
 
-def fit_chain(texts: list[list[str]], tags: list[np.ndarray], steps: int = 300, batch: int = 256, seed: int = 6) -> tuple[np.ndarray, Chain]:
-    """Weights of buckets and the chain, from tagged words; runs with no tag are kept one in three."""
+def fit_chain(texts: list[np.ndarray], tags: list[np.ndarray], table: np.ndarray, steps: int = 300, batch: int = 256, seed: int = 6) -> tuple[np.ndarray, Chain]:
+    """Weights of buckets and the chain, from tagged words; runs with no tag are kept one in three. texts are places in table, which has each word's buckets (-1: none)."""
     rng = np.random.default_rng(seed)
     row, col, n = in_spans([len(t) for t in texts])
     y = np.zeros((n, SPAN), bool)
@@ -110,22 +111,11 @@ def fit_chain(texts: list[list[str]], tags: list[np.ndarray], steps: int = 300,
     keep = y.any(axis=1) | (rng.random(n) < 1 / 3)
     mask = np.zeros((n, SPAN), bool)
     mask[row, col] = True
-    known: dict[str, list[int]] = {}
-    words = [w for t in texts for w in t]
-    use = keep[row]
-    flat, owner = [], []
-    at = np.full(n, -1)
-    at[keep] = np.arange(keep.sum())
-    for i in np.flatnonzero(use):
-        w = words[i]
-        found = known.get(w)
-        if found is None:
-            found = known[w] = buckets(w)
-        flat += found
-        owner += [at[row[i]] * SPAN + col[i]] * len(found)
-    flat, owner = np.array(flat, np.int64), np.array(owner, np.int64)
-    order = np.argsort(owner, kind="stable")
-    flat, owner = flat[order], owner[order]
+    at = np.cumsum(keep) - 1
+    use = np.flatnonzero(keep[row])
+    found = table[np.concatenate(texts)[use]]
+    owner = np.broadcast_to((at[row[use]] * SPAN + col[use])[:, None], found.shape)[found >= 0]
+    flat = found[found >= 0]
     y, mask = y[keep], mask[keep]
     n = len(y)
     w = np.zeros(BUCKETS)
@@ -183,11 +173,14 @@ class Model:
 
     def marginals(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """(each word's marginal of being toxic, each text's first word)."""
-        counts = [len(t) for t in texts]
+        return self.tagged([np.array(self.unary(t)) for t in texts])
+
+    def tagged(self, scores: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        counts = [len(t) for t in scores]
         first = np.r_[0, np.cumsum(counts)].astype(np.int64)
         row, col, n = in_spans(counts)
         out = np.zeros(first[-1])
-        u = np.fromiter((x for t in texts for x in self.unary(t)), float, first[-1])
+        u = np.concatenate([np.zeros(0), *scores])
         for lo in range(0, n, 1 << 14):
             a, b = np.searchsorted(row, (lo, lo + (1 << 14)))
             if a == b:
@@ -227,24 +220,33 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
-    words = [t.split() for t in texts]
     y = np.array(labels, int)
     base = float(y.mean()) if len(y) else 0.0
     if len(np.unique(y)) < 2:
         return Model(None, None, np.zeros(3), base)
-    seen = (Counter(), Counter())
-    features = {w: lexical(w) for t in words for w in set(t)}
-    for t, label in zip(words, y):
-        seen[label].update({f for w in set(t) for f in features[w]})
+    # texts become places in the vocabulary, words become rows of hashed features
+    place: dict[str, int] = {}
+    coded = [np.fromiter((place.setdefault(w, len(place)) for w in t.split()), np.int32) for t in texts]
+    lexicon, features = np.full((len(place), 4), -1, np.int32), np.full((len(place), 6), -1, np.int32)
+    for i, w in enumerate(place):
+        names, found = lexical(w), buckets(w)
+        lexicon[i, : len(names)] = [crc32(n.encode()) & (SLOTS - 1) for n in names]
+        features[i, : len(found)] = found
+    del place
+    seen = np.zeros((2, SLOTS), np.int32)
+    for t, label in zip(coded, y):
+        slots = np.unique(lexicon[np.unique(t)])
+        seen[label, slots[slots >= 0]] += 1
     total = np.bincount(y, minlength=2)
-    worst = {f for f, c in seen[1].items() if c >= OFTEN and c / total[1] >= OFFENDS * (seen[0][f] + 0.5) / total[0]}
-    if not worst:
+    worst = (seen[1] >= OFTEN) & (seen[1] / total[1] >= OFFENDS * (seen[0] + 0.5) / total[0])
+    bad = (worst[lexicon] & (lexicon >= 0)).any(axis=1)
+    if not bad.any():
         return Model(None, None, np.zeros(3), base)
-    bad = {w for w, f in features.items() if not worst.isdisjoint(f)}
-    tags = [np.array([label == 1 and w in bad for w in t], bool) for t, label in zip(words, y)]
-    weights, chain = fit_chain(words, tags)
+    tags = [bad[t] if label == 1 else np.zeros(len(t), bool) for t, label in zip(coded, y)]
+    weights, chain = fit_chain(coded, tags, features)
     model = Model(weights, chain, np.zeros(3), base)
-    p, first = model.marginals(words)
+    unary = np.where(features >= 0, weights[features], 0).sum(axis=1)
+    p, first = model.tagged([unary[t] for t in coded])
     model.layer = logistic(model.pooled(p, first), y.astype(float))
     return model
 
@@ -252,9 +254,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """The model of a bounded sample of the labelled rows in the training folds; at most `rows` texts come to the driver."""
     marked = labels.where(training_fold(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    toxic = marked.where("toxic = 1").orderBy(*order).limit(rows // 4)
-    other = marked.where("toxic = 0").orderBy(*order).limit(rows - rows // 4)
+    toxic, other = bounded_sample(marked.where("toxic = 1"), rows // 4), bounded_sample(marked.where("toxic = 0"), rows - rows // 4)
     picked = F.broadcast(toxic.union(other))  # at most `rows` pairs of numbers
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "doc_id").limit(2 * rows).collect()
     found.sort(key=lambda r: (r.doc_id, r.text))
