@@ -4,11 +4,13 @@ Merge-type BPE has a local property: a token sequence is the encoding of its tex
 neighbours is the encoding of its own text, and of all tokens that end at a position, just one follows
 the encoding of the prefix before it. So an Aho-Corasick automaton over the vocabulary walks the text
 once; at each position the match whose pair with the last token of the prefix before it is compatible is
-stored; ids are recovered from the end backwards. Pairs are tested by merging the two tokens' text alone
-(best score first, leftmost on ties, as the library does) and remembered.
+stored; ids are recovered from the end backwards. A pair is tested along the two tokens' merge trees: the
+symbols on either side of the border grow in order of score, and the pair fails if a piece across the
+border would come first (leftmost on ties, as in the library). Where scores tie or a piece scores better
+than its parts, the two tokens' text is merged outright. Results are remembered.
 
 Pieces hold the space mark only as a prefix, so a text falls into chunks that start at a run of marks;
-chunks repeat, and each task remembers the CACHE last ones. Characters that no piece holds become byte
+chunks repeat, and each task process remembers the last ones, twice CACHE at most. Characters that no piece holds become byte
 tokens. Decoding is piece by piece from the ids: bytes join to UTF-8, marks become spaces, the one that
 encoding put before the text goes.
 
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +34,7 @@ from .common import table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-CACHE, LONG = 200_000, 48
+CACHE, LONG = 150_000, 48
 
 
 class Codec:
@@ -48,6 +51,9 @@ class Codec:
         self.end = sp.eos_id()
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.byte and i not in self.silent}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
+        counts = Counter(self.score.values())
+        self.tied = {s for s, n in counts.items() if n > 1}
+        self.trees: dict[int, tuple[list, list] | None] = {}
         letters = {c for p in self.ids for c in p}
         if len(self.byte) != 256 or not letters <= set(self.ids) or any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the model isn't of the kind whose texts fall apart at space marks, with bytes for unknown characters")
@@ -57,11 +63,15 @@ class Codec:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
+        #: Chunks met lately, and those met before them: a full memory ages instead of being forgotten.
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.plain = [None if i in self.byte else "" if i in self.silent else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
+        self.names = [str(i) for i in range(len(self.pieces))]
         blank = "".join(c for c in "\n\t\r\x0b\x0c" if c not in letters)
         self.chunks = re.compile(f"{MARK}+[^{MARK}{blank}]*|[^{MARK}{blank}]+|[{blank}]+" if blank else f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
-    def merged(self, text: str) -> list[str]:
+    def merged(self, text: str, last: list[str] | None = None) -> list[str]:
         """The merges themselves, for one or two pieces' text: the pair of best score, leftmost on ties, until none is a piece."""
         parts = list(text)
         while len(parts) > 1:
@@ -72,42 +82,90 @@ class Codec:
                     best, at = s, k
             if best is None:
                 break
+            if last is not None:
+                last[:] = parts[at : at + 2]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def spines(self, token: int) -> tuple[list, list] | None:
+        """A token's symbols at its left and its right border from the letter up, each with its score; None where scores don't fall on the way up."""
+        found = self.trees.get(token, 0)
+        if found == 0:
+            piece = self.pieces[token]
+            parts = [piece] if len(piece) == 1 else self.halves(piece)
+            found = ([], []) if len(parts) == 1 else tuple(self.spines(self.ids[p]) for p in parts)
+            if len(parts) == 2:
+                s = self.score[piece]
+                sure = None not in found and s not in self.tied and all(len(p) == 1 or self.score[p] > s for p in parts)
+                found = (found[0][0] + [(s, piece)], found[1][1] + [(s, piece)]) if sure else None
+            else:
+                found = ([(0.0, piece)], [(0.0, piece)])
+            self.trees[token] = found
+        return found
+
+    def halves(self, piece: str) -> list[str]:
+        """The two parts of a piece's last merge."""
+        last: list[str] = []
+        self.merged(piece, last)
+        return last
+
     def compatible(self, a: int, b: int) -> bool:
         key = a << 20 | b
         found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
-            x, y = self.pieces[a], self.pieces[b]
-            found = self.pairs[key] = self.merged(x + y) == [x, y]
+            left, right = self.spines(a), self.spines(b)
+            if left is None or right is None:
+                x, y = self.pieces[a], self.pieces[b]
+                found = self.merged(x + y) == [x, y]
+            else:
+                found = self._apart(left[1], right[0])
+            self.pairs[key] = found
         return found
 
+    def _apart(self, left: list, right: list) -> bool:
+        """Whether no piece across the border forms while both sides grow."""
+        i = j = 0
+        score = self.score.get
+        while True:
+            cross = score(left[i][1] + right[j][1])
+            up = left[i + 1][0] if i + 1 < len(left) else None
+            down = right[j + 1][0] if j + 1 < len(right) else None
+            if cross is not None and (up is None or cross > up) and (down is None or cross >= down):
+                return False
+            if up is None and down is None:
+                return True
+            if down is None or up is not None and up >= down:
+                i += 1
+            else:
+                j += 1
+
     def encode_chunk(self, chunk: str) -> list[int]:
         n = len(chunk)
-        last = [-1] * (n + 1)  # -1: the start, or a character that no piece holds
-        size = [1] * (n + 1)
+        last = [-1] * n  # by last character; -1: a character that no piece holds (and, at -1, the start: a match never reaches back to it unless it is one)
+        last.append(-1)
         pairs = self.pairs
         for end, (token, length) in self.automaton.iter(chunk):
-            i = end + 1
-            if last[i] < 0:
-                before = last[i - length]
-                if before < 0:
-                    last[i], size[i] = token, length
-                else:
+            if last[end] < 0:
+                before = last[end - length]
+                if before >= 0:
                     fits = pairs.get(before << 20 | token)
-                    if fits or fits is None and self.compatible(before, token):
-                        last[i], size[i] = token, length
+                    if fits is None:
+                        fits = self.compatible(before, token)
+                    if not fits:
+                        continue
+                last[end] = token
         out: list[int] = []
+        pieces = self.pieces
         while n:
-            if last[n] < 0:
+            token = last[n - 1]
+            if token < 0:
                 out += [self.byte_id[b] for b in reversed(chunk[n - 1].encode())]
                 n -= 1
             else:
-                out.append(last[n])
-                n -= size[n]
+                out.append(token)
+                n -= len(pieces[token])
         out.reverse()
         return out
 
@@ -121,30 +179,30 @@ class Codec:
             if raw:
                 out.append(raw.decode(errors="replace"))
                 raw = bytearray()
-            if i not in self.silent:
-                out.append(self.pieces[i].replace(MARK, " "))
+            out.append(self.plain[i])
         if raw:
             out.append(raw.decode(errors="replace"))
         return "".join(out)
 
     def chunk(self, chunk: str) -> tuple[int, str, str]:
         """(number of ids, ids as text, decoded text) of a chunk."""
-        found = self.known.get(chunk)
+        found = self.known.get(chunk) or self.older.get(chunk)
         if found is None:
             ids = self.encode_chunk(chunk)
-            found = len(ids), " ".join(map(str, ids)), self.text_of(ids)
-            if len(chunk) <= LONG:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[chunk] = found
+            texts = [self.plain[i] for i in ids]
+            found = len(ids), " ".join([self.names[i] for i in ids]), self.text_of(ids) if None in texts else "".join(texts)
+        if len(chunk) <= LONG:
+            if len(self.known) >= CACHE:
+                self.older, self.known = self.known, {}
+            self.known[chunk] = found
         return found
 
     def both(self, text: str) -> tuple[int, str, str]:
         """(number of ids, ids as text, decoded text) of a text, end id included."""
         if not text:
             return 1, str(self.end), ""
-        known = self.known
-        parts = [known.get(c) or self.chunk(c) for c in self.chunks.findall(MARK + text.replace(" ", MARK))]
+        known = self.known.get
+        parts = [known(c) or self.chunk(c) for c in self.chunks.findall(MARK + text.replace(" ", MARK))]
         counts, ids, texts = zip(*parts)
         return sum(counts) + 1, f"{' '.join(ids)} {self.end}", "".join(texts)[1:]
 

@@ -50,3 +50,17 @@ def test_round_trip_and_awkward_rows(spark, library):
     assert all(back[r.doc_id] == (r.text or "") for r in df.collect() if r.doc_id != 8)
     assert op.digests(df.limit(0)).collect() == []
     assert op.encode(docs_frame(spark, [None])).collect()[0].ids == [2]
+
+
+def test_pairs_along_trees_equal_merging():
+    c = op.codec()
+    rng = random.Random(2)
+    tokens = [i for i in range(259, len(c.pieces)) if c.merged(c.pieces[i]) == [c.pieces[i]]]
+    for _ in range(30_000):
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if rng.random() < 0.5:  # likely clashes: two tokens that share letters
+            b = c.ids.get(c.pieces[a][-1:] + c.pieces[b][-2:], b)
+        if c.merged(c.pieces[b]) != [c.pieces[b]]:
+            continue
+        assert c.compatible(a, b) == (c.merged(c.pieces[a] + c.pieces[b]) == [c.pieces[a], c.pieces[b]]), (c.pieces[a], c.pieces[b])
+    assert sum(c.spines(t) is not None for t in tokens) > 0.95 * len(tokens)
