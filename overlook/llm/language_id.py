@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, table
+from .common import bounded_sample, steps, table
 
 FIT_ROWS, STEPS, BATCH = 2000, 300, 128
 WINDOW, HIDDEN = 64, 8
@@ -184,8 +184,11 @@ def pooled(p: dict[str, np.ndarray], data: np.ndarray, offs: np.ndarray) -> np.n
 def learn(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], dict[str, np.ndarray] | None]:
     from .toxicity import training_fold
 
-    fold = docs.where(training_fold(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    chosen = fold.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).collect()
+    rows_of = docs.where(training_fold(F.col("doc_id")) & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    picked = F.broadcast(bounded_sample(rows_of, rows).distinct())  # ids and languages alone, at most `rows`
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(F.col("text").rlike(r"\p{L}"))
+    chosen = texts.join(picked, ["doc_id", "lang"]).limit(2 * rows).collect()
+    chosen.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return train([r.text.encode() for r in chosen], [r.lang for r in chosen])
 
 
