@@ -201,11 +201,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     if not order:
         return spark.createDataFrame([], OUT_DDL)
     before = {b: a for a, b in zip([order[-1], *order], order)}
-    head = F.create_map(*(F.lit(x) for kv in heads.items() for x in kv))
-    to = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
+    # by place in the list of ranges: a lookup costs the same however many there are
+    at = range(len(splits))
+    head = F.array(*(F.lit(heads.get(i)).cast("long") for i in at))
+    to = F.array(*(F.lit(before.get(i)).cast("int") for i in at))
     here = F.struct(F.col("part"), F.lit(True).alias("own"))
-    there = F.struct(F.try_element_at(to, F.col("part")).alias("part"), F.lit(False).alias("own"))
-    both = F.when(F.col("doc_id") == F.try_element_at(head, F.col("part")), F.array(here, there)).otherwise(F.array(here))
+    there = F.struct(F.get(to, F.col("part")).alias("part"), F.lit(False).alias("own"))
+    both = F.when(F.col("doc_id") == F.get(head, F.col("part")), F.array(here, there)).otherwise(F.array(here))
     dealt = placed.select("doc_id", "text", F.explode(both).alias("at")).select("at.part", "at.own", "doc_id", "text")
     dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.desc("own"), F.desc("doc_id"), "text")
     out = dealt.mapInArrow(_compare, OUT_DDL)
