@@ -175,8 +175,9 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
 def redact(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """docs with every span of text replaced by a mark (n_chars follows, if there); other texts stay as they are."""
-    rows = with_spans(docs)
-    rows = all_spans(rows, *fitted(with_spans(docs.select("text")), fdr))
+    # the corpus's runs, few and narrow, are kept by one pass; a second one, with the cut known, redacts
+    runs = materialize(with_spans(docs.select("text")).where(F.size("__runs") > 0).select("__runs"), "runs")
+    rows = all_spans(with_spans(docs), *fitted(runs, fdr))
     clean = F.expr(f"""aggregate(__spans, cast(struct(0L, '') as struct<pos: bigint, out: string>),
         (a, x) -> struct(greatest(a.pos, x.e) as pos,
             if(x.s < a.pos, a.out, concat(a.out, substring(__text, cast(a.pos + 1 as int), cast(x.s - a.pos as int)), '{MARK}')) as out),
