@@ -70,23 +70,42 @@ def shortest(edges: DataFrame, sources: DataFrame, rounds: int, motor_only: bool
     return now
 
 
-def components(edges: DataFrame, nodes: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, label) with the smallest node that is reached: neighbours' minimum, then a jump to the label's label, until nothing changes."""
-    both = edges.select("u", "v").union(edges.select("v", "u")).distinct()
-    now = nodes.select("node").withColumn("label", F.col("node"))
-    mark = None
-    for k in range(rounds):
-        near = both.join(now.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        low = now.join(near, now.node == near.u, "left").select("node", F.least("label", F.coalesce("m", "label")).alias("label"))
-        jump = low.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        now = low.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        if k % 2:
-            now = cut(now)
-            new = tuple(now.agg(F.sum("label"), F.count_distinct("label")).first())
-            if new == mark:
-                break
-            mark = new
-    return now
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, label) with the smallest node that is reached over edges (u, v) between nodes: large-star and small-star steps until no link changes, which takes rounds in proportion to the logarithm of a path's length."""
+    own = nodes.select("node").distinct()
+    links = edges.select("u", "v").join(own.toDF("u"), "u", "left_semi").join(own.toDF("v"), "v", "left_semi")
+    now = cut(_downward(links.select(F.col("u").alias("a"), F.col("v").alias("b"))))
+    mark = _links_mark(now)
+    while True:
+        now = cut(_small_star(_large_star(now)))
+        new = _links_mark(now)
+        if new == mark:
+            break
+        mark = new
+    return nodes.select("node").join(now.toDF("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def _downward(links: DataFrame) -> DataFrame:
+    """Distinct links from the larger node a to the smaller node b."""
+    return links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _links_mark(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    """Each larger neighbour of a node joins the smallest node around it."""
+    both = links.union(links.select("b", "a"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return _downward(links.join(least.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")))
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Each node and its smaller neighbours join the smallest of them."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _downward(moved.union(least))
 
 
 def profile(stations: DataFrame) -> DataFrame:

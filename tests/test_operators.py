@@ -326,3 +326,17 @@ def test_connections_equal_a_flood_fill(spark):
             want[i * 10 + j] = limit
     assert {k: v[1] for k, v in got.items() if v[0] == "connected"} == want
     assert all(v[0] == "outside the domain" for k, v in got.items() if not ok[k // 10, k % 10])
+
+
+def test_components_and_connections_of_long_arms(spark):
+    """A U whose arms hold 200 cells, with row-major ids: labels that are settled in each arm meet at the bottom, and the smaller one goes up the whole arm."""
+    u = [(r, c) for r in range(200) for c in (0, 19)] + [(200, c) for c in range(20)]
+    at = set(u)
+    edges = [(r * 20 + c, p * 20 + q) for r, c in u for p, q in ((r + 1, c), (r, c + 1)) if (p, q) in at]
+    nodes = spark.createDataFrame([(r * 20 + c,) for r, c in u] + [(9000,), (9001,)], "node long")
+    got = {r.node: r.label for r in network.components(spark.createDataFrame(edges + [(9000, 9001), (9001, 9500), (19, 9500)], "u long, v long"), nodes).collect()}
+    assert got == {**{r * 20 + c: 0 for r, c in u}, 9000: 9000, 9001: 9000}
+    cells = spark.createDataFrame([(r, c, 0.0, 0.0, (r, c) in at) for r in range(201) for c in range(20)], "r int, c int, z double, slope double, ok boolean")
+    seats = spark.createDataFrame([("top", 0, 19), ("between", 0, 5)], "id string, r int, c int")
+    got = {r.id: (r.status, r.limit) for r in network.connections(cells, seats, spark.createDataFrame([(0, 0)], "r int, c int"), 10.0, (25.0,)).collect()}
+    assert got == {"top": ("connected", 25.0), "between": ("outside the domain", None)}
