@@ -12,9 +12,10 @@ Large groups are compared block by block (pairs.py), each pair once, in the firs
 and a task returns counts and a spanning forest, never pairs.
 
 Edge cases: null, empty and all-blank texts have no shingles, link with nothing and keep their own class;
-rows with equal sets link with each other; a row that repeats a doc_id is one more row (its class is that
-doc_id's); a null doc_id is compared and counted, and its class is null where it has no smaller partner;
-empty tables give empty results; extra columns are ignored by `join` and kept by `keep_one`.
+rows with equal sets link with each other; classes join sets and not ids, so rows that repeat a doc_id share a
+class only where their texts are linked; a null doc_id is compared and counted like any other, counts as larger
+than every id, and its class is null only where no row of the class has an id; empty tables give empty results;
+extra columns are ignored by `join` and kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ from .components import components
 from .pairs import LINKS_DDL, by_group, in_blocks, linked
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: doc_id of rows that have none, within the join.
-NO_ID = -(1 << 63)
 
 
 def choose(threshold: float, recall: float, rows: int = 4) -> tuple[int, int]:
@@ -148,14 +147,17 @@ def _verify(threshold: float):
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
     """(key, doc_id, set_id, class_id, n_links) of every row: smallest doc_id with the same set, smallest doc_id that links reach, number of other rows linked directly."""
+    return _classed(docs, threshold, shingle, recall).drop("keeper")
+
+
+def _classed(docs: DataFrame, threshold: float, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
+    """The columns of `join`, and keeper: the key of the least (doc_id, key) of the row's class, null for rows without shingles."""
     spark = docs.sparkSession
     bands, rows = choose(threshold, recall)
     texts = keyed(docs)
-    signed = materialize(
-        texts.mapInArrow(_signatures(shingle, bands, rows), "key long, doc_id long, size long, set_a long, set_b long, bands array<long>").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))), "signatures"
-    )
+    signed = materialize(texts.mapInArrow(_signatures(shingle, bands, rows), "key long, doc_id long, size long, set_a long, set_b long, bands array<long>"), "signatures")
     there = signed.where("size > 0")
-    reps = there.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    reps = there.groupBy("set_a", "set_b").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("one"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     reps = materialize(reps.select("set_a", "set_b", F.col("one.doc_id").alias("set_id"), F.col("one.key").alias("rep"), "copies", "bands"), "sets")
     in_bands = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
     met = in_bands.groupBy("band", "bucket").agg(
@@ -173,28 +175,37 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
     members = members.select("*", F.posexplode("bands").alias("band", "bucket")).where("bucket <> 0")
     found = materialize(in_blocks(members, met, ["band", "bucket"], "rep").mapInArrow(_verify(threshold), LINKS_DDL), "pairs")
     links = found.groupBy("member").agg(F.sum("links").alias("links"))
-    # components go by doc_id, so that the class is its smallest
-    named = reps.select("rep", "set_id")
-    edges = found.where("member <> root").select("member", "root").distinct()
-    edges = edges.join(named.toDF("member", "a"), "member").join(named.toDF("root", "b"), "root").select("a", "b")
-    classes = components(edges)
-    final = reps.select("set_a", "set_b", "set_id", "rep", "copies").join(links.withColumnRenamed("member", "rep"), "rep", "left").join(classes.toDF("set_id", "component").distinct(), "set_id", "left")
-    final = final.select("set_a", "set_b", "set_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "set_id").alias("class_id"))
-    out = there.join(final, ["set_a", "set_b"]).select("key", "doc_id", "set_id", "class_id", "n_links")
-    alone = signed.where("size = 0").select("key", "doc_id", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.union(alone).select("key", real("doc_id"), real("set_id"), real("class_id"), "n_links")
+    # components go by rep, one node for each distinct set; ids are looked up for the classes that result
+    classes = components(found.where("member <> root").select(F.col("member").alias("a"), F.col("root").alias("b")).distinct()).toDF("rep", "component").distinct()
+    least = classes.join(reps.select("rep", "set_id"), "rep").groupBy("component").agg(F.min(F.struct(F.col("set_id").isNull().alias("none"), "set_id", "rep")).alias("least"))
+    classes = classes.join(least, "component").select("rep", "least")
+    final = reps.select("set_a", "set_b", "set_id", "rep", "copies").join(links.withColumnRenamed("member", "rep"), "rep", "left").join(classes, "rep", "left")
+    final = final.select(
+        "set_a",
+        "set_b",
+        "set_id",
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.when(F.col("least").isNull(), F.col("set_id")).otherwise(F.col("least.set_id")).alias("class_id"),
+        F.coalesce("least.rep", "rep").alias("keeper"),
+    )
+    out = there.join(final, ["set_a", "set_b"]).select("key", "doc_id", "set_id", "class_id", "n_links", "keeper")
+    alone = signed.where("size = 0").select("key", "doc_id", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("keeper"))
+    return out.union(alone)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows of a class but those of its smallest doc_id (rows that repeat that doc_id stay together)."""
+    """docs with one row of each class, that of the least (doc_id, key); rows without shingles stay. Of rows that share a key, and so are equal in id and text, any one stays."""
     spark = docs.sparkSession
-    found = join(docs, threshold)
-    gone = found.where("not doc_id <=> class_id").select(F.col("key").alias("__key")).distinct()
+    found = _classed(docs, threshold).where("keeper is not null").groupBy("key").agg(F.first("keeper").alias("keeper"), F.count("*").alias("n"))
+    copies = materialize(found.where("key <> keeper or n > 1").select(F.col("key").alias("__key"), (F.col("key") == F.col("keeper")).alias("stays"), "n"), "copies")
+    # keys of many rows go apart, so that their rows don't meet in one task
+    many = copies.where("n > 1").select("__key", "stays")
+    gone = copies.where("n = 1").select("__key")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), text)).repartition(shuffle_parts(spark), "__key")
-    left = marked.join(gone.hint("shuffle_hash"), "__key", "left_anti")
-    return left.drop("__key")
+    marked = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), text))  # as in keyed
+    single = marked.join(many, "__key", "left_anti").repartition(shuffle_parts(spark), "__key").join(gone.hint("shuffle_hash"), "__key", "left_anti")
+    firsts = marked.join(many.where("stays"), "__key", "left_semi").dropDuplicates(["__key"])
+    return single.select(docs.columns).union(firsts.select(docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

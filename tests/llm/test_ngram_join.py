@@ -91,3 +91,26 @@ def test_awkward_rows(spark):
     kept = op.keep_one(df.withColumn("rep", df.text).withColumn("key", df.text))
     assert kept.columns == [*df.columns, "rep", "key"] and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 7, 8, 8]
     assert op.join(df.limit(0)).collect() == []
+
+
+def test_repeated_and_null_ids(spark):
+    """Classes join sets, not ids: unlike texts of one id stay apart, and rows without an id are held together by their texts alone."""
+    rng = random.Random(3)
+    base = [" ".join(f"w{rng.randrange(400)}" for _ in range(200)) for _ in range(4)]
+    near = [edited(rng, b, 2) for b in base]
+    rows = [(3, base[0]), (7, near[0]), (7, base[1]), (None, base[2]), (None, near[2]), (None, base[3]), (9, near[3]), (None, base[3]), (None, ""), (None, "")]
+    df = docs_frame(spark, [t for _, t in rows], [d for d, _ in rows])
+    got = {(r.doc_id, r.class_id, r.n_links) for r in op.join(df).collect()}
+    assert got == {(3, 3, 1), (7, 3, 1), (7, 7, 0), (None, None, 1), (None, 9, 2), (9, 9, 2), (None, None, 0)}
+    kept = sorted(((r.doc_id or 0, r.text) for r in op.keep_one(df).collect()), key=str)
+    rest = [x for x in kept if x not in ((0, base[2]), (0, near[2]))]
+    assert len(kept) == len(rest) + 1 and rest == sorted([(0, ""), (0, ""), (3, base[0]), (7, base[1]), (9, near[3])], key=str)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_keep_one_of_other_id_types(spark, kind):
+    rng = random.Random(4)
+    text = " ".join(f"w{rng.randrange(400)}" for _ in range(200))
+    df = docs_frame(spark, [text, edited(rng, text, 2), "a b c", "a b c", "a b c d"], [1, 2, 3, 3, 4])
+    kept = op.keep_one(df.withColumn("doc_id", df.doc_id.cast(kind)))
+    assert sorted(int(r.doc_id) for r in kept.collect()) == [1, 3, 4] and kept.schema["doc_id"].dataType.simpleString() == kind
