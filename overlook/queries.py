@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, scoring, terrain
@@ -672,7 +672,7 @@ def distinct_leaders(spark, sf_dir):
     SELECT site, string_agg(vec_id, ',' ORDER BY rank) AS alternatives FROM c JOIN p ON vec_id % 50 <> 0 AND (x - sx) * (x - sx) + (y - sy) * (y - sy) < 90000 GROUP BY site""",
 )
 def nearby_alternatives(spark, sf_dir):
-    p = _points(spark, sf_dir).withColumnRenamed("vec_id", "id").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("x"), "id")))
+    p = ranking.ranked(_points(spark, sf_dir).withColumnRenamed("vec_id", "id"), [F.desc("x"), F.col("id")])
     out = evaluation.alternatives_near(p, p.where("id % 50 = 0"), 300.0)
     return out.select("site", F.array_join(F.transform("alternatives", lambda v: v.cast("string")), ",").alias("alternatives"))
 

@@ -340,3 +340,26 @@ def test_components_and_connections_of_long_arms(spark):
     seats = spark.createDataFrame([("top", 0, 19), ("between", 0, 5)], "id string, r int, c int")
     got = {r.id: (r.status, r.limit) for r in network.connections(cells, seats, spark.createDataFrame([(0, 0)], "r int, c int"), 10.0, (25.0,)).collect()}
     assert got == {"top": ("connected", 25.0), "between": ("outside the domain", None)}
+
+
+def test_global_ranks_and_spread_use_more_than_one_task(spark):
+    rows = [(i, i % 3 and float(i * 37 % 50) or None, float(i * 7 % 90), float(i * 11 % 70), "a" if i % 4 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, score double, x double, y double, grp string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ranking.dense_rank_by(df, "score", "id")
+        assert out.withColumn("p", F.spark_partition_id()).select("p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    down = lambda r: (r[1] is None, -(r[1] or 0), r[0])
+    assert [r.id for r in out.orderBy("rank").collect()] == [r[0] for r in sorted(rows, key=down)] and out.agg(F.min("rank"), F.max("rank"), F.count_distinct("rank")).first() == (1, 400, 400)
+    got = ranking.spread_by_group(df, "grp", "score", "id", 30.0, 4)
+    assert "InPandas" not in got._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for g in ("a", None):
+        kept = []
+        for r in sorted((r for r in rows if r[4] == g), key=down):
+            if len(kept) < 4 and all((r[2] - q[2]) ** 2 + (r[3] - q[3]) ** 2 >= 900 for q in kept):
+                kept.append(r)
+                want.append((g, r[0], len(kept)))
+    assert sorted(map(str, ((r.grp, r.id, r.pick) for r in got.collect()))) == sorted(map(str, want))
