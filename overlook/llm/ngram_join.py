@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import R_WORD, Words, keyed, materialize, mix, shuffle_parts, span_hash, steps, table
 from .components import components
-from .pairs import LINKS_DDL, by_group, in_blocks, linked
+from .pairs import LINKS_DDL, Links, by_group, in_blocks
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
+#: Members of a group that one side of a comparison holds.
+BLOCK = 512
 
 
 def choose(threshold: float, recall: float, rows: int = 4) -> tuple[int, int]:
@@ -140,7 +142,9 @@ def _verify(threshold: float):
             i, j = i[i < j], j[i < j]
         bands = np.array(group.column("bands").to_pylist(), np.int64)  # 0 where the band was left out
         earlier = ((bands[i, :band] == bands[j, :band]) & (bands[i, :band] != 0)).any(axis=1)
-        yield from linked(ids, copies, i[~earlier], j[~earlier])
+        links = Links(ids, copies)
+        links.add(i[~earlier], j[~earlier])
+        yield from links.rows()
 
     return by_group(["bucket", "bi", "bj"], handle)
 
@@ -164,7 +168,7 @@ def _classed(docs: DataFrame, threshold: float, shingle: int = SHINGLE, recall:
         F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")
     )
     met = met.where("n > 1").groupBy("n", "lo", "hi", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("one"))
-    met = materialize(met.select("one.band", "one.bucket", "n"), "buckets")
+    met = materialize(met.select("one.band", "one.bucket", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("blocks")), "buckets")
     # each member's bands that are left, by place; 0 elsewhere
     mine = in_bands.join(met, ["band", "bucket"]).groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("band", "bucket"))).alias("left"))
     places = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.coalesce(F.try_element_at("left", b), F.lit(0).cast("long")))

@@ -12,20 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_parts
 
-#: Members of a group that one side of a comparison holds.
-BLOCK = 512
-
-
-def in_blocks(members: DataFrame, groups: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
+def in_blocks(members: DataFrame, groups: DataFrame, keys: list[str], member: str) -> DataFrame:
     """members with own, bi, bj: a row for each pair of blocks (bi <= bj) that holds block `own` of its group, dealt and sorted by group and pair.
 
-    groups has the keys and n, the group's number of members; groups of one have been left out.
+    groups has the keys and blocks, how many the group is cut into; groups of one have been left out.
     """
-    count = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    rows = members.join(groups, keys).withColumn("__k", count)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.col(member)), F.col("__k")).cast("int"))
-    rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
-    rows = rows.withColumn("bi", F.least("own", "__o")).withColumn("bj", F.greatest("own", "__o")).drop("__k", "__o", "n")
+    rows = members.join(groups, keys)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.col(member)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("bi", F.least("own", "__o")).withColumn("bj", F.greatest("own", "__o")).drop("__o", "blocks")
     deal = [*keys, "bi", "bj"]
     return rows.repartition(shuffle_parts(members.sparkSession), *deal).sortWithinPartitions(*deal)
 
@@ -62,21 +57,37 @@ LINKS = pa.schema([("member", pa.int64()), ("links", pa.int64()), ("root", pa.in
 LINKS_DDL = "member long, links long, root long"
 
 
-def linked(ids: np.ndarray, copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """For pairs (left, right) of positions that link: each member's count of linked rows, and a root that connects what the pairs connect."""
-    if not len(left):
-        return
-    n = len(ids)
-    links = np.bincount(left, copies[right], n) + np.bincount(right, copies[left], n)
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[left], label[right])
-        new = label.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, right, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    take = np.flatnonzero(links > 0)
-    yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(links[take].astype(np.int64)), pa.array(ids[label[take]])], schema=LINKS)
+class Links:
+    """Links between members of one group, folded as they come: each member's count of linked rows, and a root that connects what the links connect."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray):
+        self.ids, self.copies = ids, copies
+        self.count, self.root = np.zeros(len(ids)), np.arange(len(ids))
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        """Pairs of positions; no pair comes twice."""
+        if not len(left):
+            return
+        n = len(self.ids)
+        self.count += np.bincount(left, self.copies[right], n) + np.bincount(right, self.copies[left], n)
+        a, b = self.root[left], self.root[right]
+        apart = a != b
+        if not apart.any():
+            return
+        both = np.unique(np.stack([a[apart], b[apart]]), axis=1) if apart.sum() < n else np.stack([a[apart], b[apart]])
+        label = np.arange(n)
+        while True:
+            low = np.minimum(label[both[0]], label[both[1]])
+            new = label.copy()
+            np.minimum.at(new, both[0], low)
+            np.minimum.at(new, both[1], low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        self.root = label[self.root]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        take = np.flatnonzero(self.count > 0)
+        if len(take):
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[take]), pa.array(self.count[take].astype(np.int64)), pa.array(self.ids[self.root[take]])], schema=LINKS)

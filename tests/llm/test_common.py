@@ -51,7 +51,10 @@ def test_closing_parts_are_powers_of_two(rest):
 
 
 def test_linked_counts_copies_and_names_roots():
-    out = list(pairs.linked(np.array([10, 11, 12, 13]), np.array([1, 5, 2, 7]), np.array([0, 1]), np.array([1, 2])))[0].to_pydict()
+    links = pairs.Links(np.array([10, 11, 12, 13]), np.array([1, 5, 2, 7]))
+    links.add(np.array([1]), np.array([2]))
+    links.add(np.array([0]), np.array([1]))
+    out = list(links.rows())[0].to_pydict()
     assert out == {"member": [10, 11, 12], "links": [5, 3, 5], "root": [10, 10, 10]}
 
 

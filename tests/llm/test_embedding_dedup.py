@@ -32,9 +32,10 @@ def result(df):
     return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block, dims", [(1024, 64), (8, 64), (1024, 5)])
-def test_matches_brute_force(spark, monkeypatch, block, dims):
-    monkeypatch.setattr(op, "CELL_BLOCK", block)
+@pytest.mark.parametrize("block, tile, dims", [(16 << 20, 1024, 64), (4096, 3, 64), (16 << 20, 2, 5)])
+def test_matches_brute_force(spark, monkeypatch, block, tile, dims):
+    monkeypatch.setattr(op, "CELL_BYTES", block)
+    monkeypatch.setattr(op, "TILE", tile)
     rng = np.random.default_rng(4)
     rows = []
     for g in range(25):
