@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -32,26 +34,95 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset and all of Spark is this machine."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         found = tempfile.mkdtemp(prefix="overlook-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends there, and a lost executor costs nothing."""
+#: Paths written since the innermost `scratch` began.
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+def materialize(df: DataFrame, tag: str, written: list[str] | None = None) -> DataFrame:
+    """df written once to the shared folder and read back: lineage ends there, and a lost executor costs nothing.
+
+    The table stays until the `scratch` around ends, or until whoever holds the list `written` discards it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/overlook/{tag}-{uuid.uuid4().hex}"
+    written = _WRITTEN.get() if written is None else written
+    if written is not None:
+        written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def kept_apart():
+    """The list of paths that are written inside; those that are still in it at the end go to the list around."""
+    mine: list[str] = []
+    around = _WRITTEN.get()
+    token = _WRITTEN.set(mine)
+    try:
+        yield mine
+    finally:
+        _WRITTEN.reset(token)
+        if around is not None:
+            around += mine
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes, at its end, the tables that were written inside; what is still to be read must have been written by then, elsewhere."""
+    with kept_apart() as written:
+        yield
+        discard(spark, written)
+        written.clear()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def boxed(docs: DataFrame, *more: F.Column) -> DataFrame:
+    """docs as one column `row`, beside further columns: no name inside meets one of ours."""
+    return docs.select(F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("row"), *more)
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, new: dict[str, F.Column] | None = None) -> DataFrame:
+    """The columns of docs from `row`, with their types; those in `new` get other values."""
+    new = new or {}
+    return rows.select(*((new[c] if c in new else F.col("row")[c]).cast(t).alias(c) for c, t in docs.dtypes))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def new_text(kept: F.Column, docs: DataFrame) -> dict[str, F.Column]:
+    """Values of text (and n_chars, if there) of boxed rows where `kept` is not null."""
+    out = {"text": F.coalesce(kept, F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(kept.isNull(), F.col("row")["n_chars"]).otherwise(F.length(kept))
+    return out
+
+
+def row_key() -> F.Column:
+    """Rows that repeat both doc_id and text share a key; a null text is empty."""
+    return F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text) of every row. Rows that repeat both doc_id and text share a key; a null text is empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.xxhash64(F.col("doc_id"), text).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    """(key, doc_id, text) of every row."""
+    return docs.select(row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
 def bounded_sample(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame:

@@ -10,19 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, kept_apart, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges(a long, b long); component is the smallest node that its links reach."""
-    now = materialize(_oriented(edges), "links")
-    mark = _mark(now)
-    while True:
-        now = materialize(_small_star(_large_star(now)), "links")
-        new = _mark(now)
-        if new == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
-        mark = new
+    spark = edges.sparkSession
+    before: list[str] = []
+    with kept_apart() as written:
+        now = materialize(_oriented(edges), "links")
+        mark = _mark(now)
+        while True:
+            before, now = [*written], materialize(_small_star(_large_star(now)), "links")
+            discard(spark, before)  # the round before has been read for the last time
+            written[:] = [p for p in written if p not in before]
+            new = _mark(now)
+            if new == mark:
+                break
+            mark = new
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
 
 
 def _oriented(edges: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ states runs forward and one backward; every position gets log probabilities of t
 states, and a document's are their sum, tempered by SHARE for the dependence of neighbours.
 
 Training is numpy backpropagation through time with Adam on a bounded sample of the training folds
-(FIT_ROWS texts, those whose hashed doc_id is least; languages get equal parts of every batch). lang,
-source and doc_id take no part in a prediction.
+(FIT_ROWS texts in equal shares by language, those whose hashed doc_id is least; languages also get equal
+parts of every batch). lang, source and doc_id take no part in a prediction.
 
 Edge cases: null texts and those without a letter are `und` with score 0; null langs aren't learned; a
 single language is always predicted with score 1, and without any every text is `und`; ties go to the
-language that sorts first; rows are independent; empty tables give empty results; extra columns are
-ignored.
+language that sorts first; a null doc_id is predicted, never learned from, and counts as held out; rows are
+independent; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, steps, table
+from .common import steps, table
+from .toxicity import training_fold
 
 FIT_ROWS, STEPS, BATCH = 2000, 300, 128
 WINDOW, HIDDEN = 64, 8
@@ -182,12 +183,22 @@ def pooled(p: dict[str, np.ndarray], data: np.ndarray, offs: np.ndarray) -> np.n
 
 
 def learn(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], dict[str, np.ndarray] | None]:
-    from .toxicity import training_fold
-
-    rows_of = docs.where(training_fold(F.col("doc_id")) & F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    picked = F.broadcast(bounded_sample(rows_of, rows).distinct())  # ids and languages alone, at most `rows`
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where(F.col("text").rlike(r"\p{L}"))
-    chosen = texts.join(picked, ["doc_id", "lang"]).limit(2 * rows).collect()
+    """A model of about `rows` texts, an equal share of each language (one at least), or all it has.
+
+    Ids and languages alone are counted and drawn, four times the share in case texts have no letter; one more pass fetches the texts of what was drawn.
+    """
+    known = training_fold(F.col("doc_id")) & F.col("lang").isNotNull()
+    ids = docs.where(known).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    share = max(1, rows // max(1, counts.count()))
+    # a language's least hashes, from about twice as many rows as are drawn, whatever its number
+    h = F.xxhash64("doc_id")
+    near = ids.withColumn("h", h).join(counts, "lang").where((F.col("n") <= 8 * share) | (F.col("h") < (F.lit(8.0 * share) / F.col("n") * 2.0**64 - 2.0**63).cast("long")))
+    first = lambda k: F.row_number().over(Window.partitionBy("lang").orderBy("h", *k))
+    picked = near.withColumn("place", first(["doc_id"])).where(F.col("place") <= 4 * share).select("doc_id", "lang").distinct()  # at most 4 rows
+    texts = docs.where(known & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    drawn = texts.join(F.broadcast(picked), ["doc_id", "lang"]).withColumn("h", h)
+    chosen = drawn.withColumn("place", first(["doc_id", "text"])).where(F.col("place") <= share).select("doc_id", "lang", "text").collect()
     chosen.sort(key=lambda r: (r.doc_id, r.lang, r.text))
     return train([r.text.encode() for r in chosen], [r.lang for r in chosen])
 
@@ -217,6 +228,4 @@ def identify(docs: DataFrame, model=None, rows: int = FIT_ROWS) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .toxicity import training_fold
-
     return identify(table(spark, sf_dir, "documents")).select("doc_id", (~training_fold(F.col("doc_id"))).alias("held_out"), "lang_pred", "score")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import R_WORD, Words, keyed, materialize, mix, shuffle_parts, span_hash, steps, table
+from .common import R_WORD, Words, boxed, keyed, materialize, mix, row_key, shuffle_parts, span_hash, steps, table, unboxed
 from .components import components
 from .pairs import LINKS_DDL, Links, by_group, in_blocks
 
@@ -201,15 +201,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class, that of the least (doc_id, key); rows without shingles stay. Of rows that share a key, and so are equal in id and text, any one stays."""
     spark = docs.sparkSession
     found = _classed(docs, threshold).where("keeper is not null").groupBy("key").agg(F.first("keeper").alias("keeper"), F.count("*").alias("n"))
-    copies = materialize(found.where("key <> keeper or n > 1").select(F.col("key").alias("__key"), (F.col("key") == F.col("keeper")).alias("stays"), "n"), "copies")
+    copies = materialize(found.where("key <> keeper or n > 1").select("key", (F.col("key") == F.col("keeper")).alias("stays"), "n"), "copies")
     # keys of many rows go apart, so that their rows don't meet in one task
-    many = copies.where("n > 1").select("__key", "stays")
-    gone = copies.where("n = 1").select("__key")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), text))  # as in keyed
-    single = marked.join(many, "__key", "left_anti").repartition(shuffle_parts(spark), "__key").join(gone.hint("shuffle_hash"), "__key", "left_anti")
-    firsts = marked.join(many.where("stays"), "__key", "left_semi").dropDuplicates(["__key"])
-    return single.select(docs.columns).union(firsts.select(docs.columns))
+    many = copies.where("n > 1").select("key", "stays")
+    gone = copies.where("n = 1").select("key")
+    marked = boxed(docs, row_key())
+    single = marked.join(many, "key", "left_anti").repartition(shuffle_parts(spark), "key").join(gone.hint("shuffle_hash"), "key", "left_anti")
+    firsts = marked.join(many.where("stays"), "key", "left_semi").dropDuplicates(["key"])
+    return unboxed(single, docs).union(unboxed(firsts, docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,10 +21,12 @@ empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +39,11 @@ MARK = "▁"
 CACHE, LONG = 150_000, 48
 
 
+#: What an unknown id decodes to, and the handling of broken bytes: a replacement character for each.
+UNKNOWN, EACH = " \u2047 ", "overlook-each-byte"
+codecs.register_error(EACH, lambda e: ("\ufffd", e.start + 1))
+
+
 class Codec:
     def __init__(self, model_file: str | None = None):
         import ahocorasick
@@ -48,7 +55,7 @@ class Codec:
         self.byte = {i: int(p[3:5], 16) for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         self.byte_id = {b: i for i, b in self.byte.items()}
         self.silent = {i for i in range(len(sp)) if sp.is_control(i) or sp.is_unknown(i)}
-        self.end = sp.eos_id()
+        self.end, self.unknown = sp.eos_id(), sp.unk_id()
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.byte and i not in self.silent}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
         counts = Counter(self.score.values())
@@ -210,8 +217,14 @@ class Codec:
         return [int(i) for i in self.both(text)[1].split()]
 
     def decode(self, ids: list[int]) -> str:
-        text = self.text_of(ids)
-        return text[1:] if text.startswith(" ") else text
+        """Any ids: control ids are silent, the first piece after them loses its space mark, an unknown id and each byte that ends up in no character have signs of their own."""
+        lead = next((k for k, i in enumerate(ids) if i not in self.silent or i == self.unknown), len(ids))
+        out: list[str] = []
+        for k, run in groupby(ids[lead:], lambda i: "b" if i in self.byte else "u" if i == self.unknown else "t"):
+            run = list(run)
+            out.append(bytes(self.byte[i] for i in run).decode(errors=EACH) if k == "b" else UNKNOWN * len(run) if k == "u" else "".join(self.plain[i] for i in run))
+        text = "".join(out)
+        return text[1:] if lead < len(ids) and self.pieces[ids[lead]].startswith(MARK) else text
 
 
 _CODECS: dict[str | None, Codec] = {}

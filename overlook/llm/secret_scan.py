@@ -5,8 +5,9 @@ assign  a name such as `api_key`, then `:` or `=`, then a value of 8 characters
 access  AKIA and capitals or digits, 16 characters or more
 hex     32 or more lowercase hex digits
 
-Added spans (kind random): maximal runs of 20 or more characters of base64 alphabets that hold a letter
-and a digit and touch no base span. The encoding is inferred as the smallest alphabet that holds the run
+Added spans (kind random): maximal runs of 20 or more letters, digits, + and /, and such runs with - and _
+instead (a token behind a path is a run of its own), that hold a letter and a digit and touch no base span;
+of those found, one that lies inside another isn't listed. The encoding is inferred as the smallest alphabet that holds the run
 (hex, base 32, base 36, base 62, base 64), which must carry 80 bits or more at that length. Under the
 hypothesis of uniform random characters the run gets four p values: chi-squared over four equal parts
 of the alphabet and over its character classes, Wald-Wolfowitz runs about the alphabet's middle, and
@@ -26,13 +27,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import boxed, materialize, new_text, table, unboxed
 
 #: Fixed patterns.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{20,}+"
+SLUG = r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+"
 
 KINDS = ("assign", "access", "hex", "random")
 #: Alphabets in code order, by what matches them.
@@ -49,6 +51,8 @@ ENCODINGS = (
 )
 MIN_BITS = 80
 FDR = 0.01
+#: Matches of a text that are gathered before the array of all grows.
+STRIDE = 256
 #: Histogram of -8 log2(weighted p value).
 BINS = 512
 MARK = "[SECRET]"
@@ -58,14 +62,23 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _folded(items: str, emit: str, then: str, kind: str, last: str) -> str:
+    """SQL: what each item x emits given `pos`, and `pos` after it, as one array of kind; `last` maps the final struct f of (pos, all).
+
+    Arrays grow by STRIDE items at a time, so that many matches in one text don't copy what came before for each of them.
+    """
+    inner = f"""aggregate(slice({items}, c * {STRIDE} + 1, {STRIDE}), cast(struct(a.pos, array()) as struct<pos: bigint, all: array<{kind}>>),
+        (b, x) -> struct({then.format(pos='b.pos')} as pos, concat(b.all, array({emit.format(pos='b.pos')})) as all))"""
+    return f"""aggregate(sequence(0, greatest(size({items}) - 1, 0) div {STRIDE}), cast(struct(0L, array()) as struct<pos: bigint, all: array<array<{kind}>>>),
+        (a, c) -> transform(array({inner}), i -> struct(i.pos as pos, concat(a.all, array(i.all)) as all))[0],
+        f -> {last})"""
+
+
 def _located(pieces: str, matches: str, values: str) -> str:
     """SQL: array of (s, e, t) from the texts between matches, the matches, and what to keep of each."""
-    return f"""aggregate(
-        transform({matches}, (m, i) -> struct({pieces}[i] as p, m as m, {values}[i] as v)),
-        cast(struct(0L, array()) as struct<pos: bigint, out: array<struct<s: bigint, e: bigint, t: string>>>),
-        (a, x) -> struct(a.pos + length(x.p) + length(x.m) as pos,
-            concat(a.out, array(struct(a.pos + length(x.p) as s, a.pos + length(x.p) + length(x.m) as e, x.v as t))) as out),
-        a -> a.out)"""
+    items = f"transform({matches}, (m, i) -> struct({pieces}[i] as p, m as m, {values}[i] as v))"
+    start = "{pos} + length(x.p)"
+    return _folded(items, f"struct({start} as s, {start} + length(x.m) as e, x.v as t)", f"{start} + length(x.m)", "struct<s: bigint, e: bigint, t: string>", "flatten(f.all)")
 
 
 def _tail(z: str) -> str:
@@ -93,7 +106,7 @@ def _chi_tail(chi: str, degrees: str) -> str:
 def with_spans(docs: DataFrame) -> DataFrame:
     """docs with __text, __base (array of s, k, e) and __runs (array of s, e, n, p), each computed on the whole text."""
     rows = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    for name, pattern, group in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("run", RUN, 0)):
+    for name, pattern, group in (("assign", ASSIGN, 2), ("access", ACCESS, 0), ("hex", HEX, 0), ("run", RUN, 0), ("slug", SLUG, 0)):
         there = F.col("__text").rlike(pattern)
         none = F.expr("cast(array() as array<string>)")
         rows = rows.withColumn(
@@ -102,8 +115,9 @@ def with_spans(docs: DataFrame) -> DataFrame:
                 F.struct(none.alias("p"), none.alias("m"), none.alias("v"))
             ),
         )
-    for name in ("assign", "access", "hex", "run"):
+    for name in ("assign", "access", "hex", "run", "slug"):
         rows = rows.withColumn(f"__{name}", F.expr(_located(f"__{name}.p", f"__{name}.m", f"__{name}.v")))
+    rows = rows.withColumn("__run", F.array_distinct(F.concat("__run", "__slug")))
     base = ", ".join(f"transform({f'filter(__{n}, x -> length(x.t) >= 8)' if n == 'assign' else f'__{n}'}, x -> struct(x.s as s, {k} as k, x.e as e))" for k, n in enumerate(KINDS[:3]))
     rows = rows.withColumn("__base", F.expr(f"array_sort(concat({base}))"))
     apart = "filter(__run, x -> x.t rlike '[0-9]' and x.t rlike '[A-Za-z]' and not exists(__base, b -> b.s < x.e and x.s < b.e))"
@@ -128,7 +142,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     p = f"least(1D, 4 * least({_chi_tail('x.chi', '3')}, {_chi_tail('x.chi2', 'x.df')}, {_tail(runs_z)}, {_tail(rho_z)}))"
     staged = f"transform({staged}, x -> struct(x.s as s, x.e as e, cast(x.n as bigint) as n, {p} as p))"
     rows = rows.withColumn("__runs", F.expr(f"if(size(__run) = 0, cast(array() as array<struct<s: bigint, e: bigint, n: bigint, p: double>>), {staged})"))
-    return rows.drop("__assign", "__access", "__hex", "__run")
+    return rows.drop("__assign", "__access", "__hex", "__run", "__slug")
 
 
 def fitted(rows: DataFrame, fdr: float = FDR) -> tuple[float, int]:
@@ -150,10 +164,13 @@ def _bin(p, n, mean: float):
 
 
 def all_spans(rows: DataFrame, mean: float, cut: int) -> DataFrame:
-    """rows with __spans: base spans and the runs that stay random, by start and kind."""
+    """rows with __spans: base spans and the runs that stay random and lie in no other such run, by start and kind."""
     kept = F.filter("__runs", lambda x: _bin(x["p"], x["n"], mean) < cut)
-    more = F.transform(kept, lambda x: F.struct(x["s"].alias("s"), F.lit(3).alias("k"), x["e"].alias("e")))
-    return rows.withColumn("__spans", F.array_sort(F.concat("__base", more)))
+    rows = rows.withColumn("__more", F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("less")))))
+    # of equal starts the longest comes first; pos is the furthest end so far
+    outer = _folded("__more", "struct(x.s as s, -x.less as e, {pos} >= -x.less as inside)", "greatest({pos}, -x.less)", "struct<s: bigint, e: bigint, inside: boolean>", "transform(filter(flatten(f.all), x -> not x.inside), x -> struct(x.s as s, 3 as k, x.e as e))")
+    plain = "transform(__more, x -> struct(x.s as s, 3 as k, -x.less as e))"
+    return rows.withColumn("__spans", F.expr(f"array_sort(concat(__base, if(size(__more) > 1, {outer}, {plain})))")).drop("__more")
 
 
 def _joined(column: str):
@@ -174,17 +191,14 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
 
 def redact(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """docs with every span of text replaced by a mark (n_chars follows, if there); other texts stay as they are."""
+    """docs with every span of text replaced by a mark (n_chars follows, if there); other texts, and all other columns whatever their names, stay as they are."""
     # the corpus's runs, few and narrow, are kept by one pass; a second one, with the cut known, redacts
     runs = materialize(with_spans(docs.select("text")).where(F.size("__runs") > 0).select("__runs"), "runs")
-    rows = all_spans(with_spans(docs), *fitted(runs, fdr))
-    clean = F.expr(f"""aggregate(__spans, cast(struct(0L, '') as struct<pos: bigint, out: string>),
-        (a, x) -> struct(greatest(a.pos, x.e) as pos,
-            if(x.s < a.pos, a.out, concat(a.out, substring(__text, cast(a.pos + 1 as int), cast(x.s - a.pos as int)), '{MARK}')) as out),
-        a -> concat(a.out, substring(__text, cast(a.pos + 1 as int))))""")
+    rows = all_spans(with_spans(boxed(docs, F.col("text"))), *fitted(runs, fdr))
+    skip = "if(x.s < {pos}, '', concat(substring(__text, cast({pos} + 1 as int), cast(x.s - {pos} as int)), '" + MARK + "'))"
+    clean = F.expr(_folded("__spans", skip, "greatest({pos}, x.e)", "string", "concat(array_join(flatten(f.all), ''), substring(__text, cast(f.pos + 1 as int)))"))
     rows = rows.withColumn("__clean", F.when(F.size("__spans") > 0, clean))
-    new = {"text": F.coalesce("__clean", "text"), "n_chars": F.when(F.col("__clean").isNull(), F.col("n_chars")).otherwise(F.length("__clean")) if "n_chars" in docs.columns else None}
-    return rows.select(*(new[c].cast(t).alias(c) if c in new else F.col(c) for c, t in docs.dtypes))
+    return unboxed(rows, docs, new_text(F.col("__clean"), docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import R_WORD, R_WORD2, Words, blobs, keyed, mix, shuffle_parts, span_hash, steps
+from .common import R_WORD, R_WORD2, Words, blobs, boxed, keyed, mix, new_text, row_key, shuffle_parts, span_hash, steps, table, unboxed
 
 #: Perfect difference covers: every difference modulo the key arises from two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -330,18 +330,12 @@ def dedup_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with every repeated window's words taken out of text (n_chars follows, if there); other texts stay as they are."""
+    """docs with every repeated window's words taken out of text (n_chars follows, if there); other texts, and all other columns whatever their names, stay as they are."""
     spark = docs.sparkSession
-    cut = repeated_spans(docs, window, with_text=True).where("n_removed > 0").dropDuplicates(["key"]).select(F.col("key").alias("__key"), F.col("kept_text").alias("__kept"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("__key", F.xxhash64(F.col("doc_id"), text)).repartition(shuffle_parts(spark), "__key")
-    out = marked.join(cut.hint("shuffle_hash"), "__key", "left")
-    kept = F.col("__kept")
-    new = {"text": F.coalesce(kept, F.col("text")), "n_chars": F.when(kept.isNull(), F.col("n_chars")).otherwise(F.length(kept)) if "n_chars" in docs.columns else None}
-    return out.select(*(new[c].cast(t).alias(c) if c in new else F.col(c) for c, t in docs.dtypes))
+    cut = repeated_spans(docs, window, with_text=True).where("n_removed > 0").dropDuplicates(["key"]).select("key", F.col("kept_text").alias("kept"))
+    out = boxed(docs, row_key()).repartition(shuffle_parts(spark), "key").join(cut.hint("shuffle_hash"), "key", "left")
+    return unboxed(out, docs, new_text(F.col("kept"), docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     return dedup_words(table(spark, sf_dir, "documents"))

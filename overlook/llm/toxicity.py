@@ -14,8 +14,8 @@ their marginals' sum and the logit of the largest marginal gives the document's
 
 Edge cases: null and empty texts score as texts without offenders; labels that are null are skipped, of
 repeated ones the largest counts; without both classes every score is the share of toxic labels (0
-without labels); rows are independent; empty tables give empty results; extra columns are ignored by
-`score` and kept by `keep_clean`.
+without labels); a null doc_id is scored, has no label and counts as held out; rows are independent;
+empty tables give empty results; extra columns are ignored by `score` and kept by `keep_clean`.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, table
+from .common import bounded_sample, keyed, table
 
 FIT_ROWS, THRESHOLD = 2500, 0.7
 SPAN, BUCKETS = 64, 1 << 18
@@ -60,8 +61,8 @@ def buckets(word: str) -> list[int]:
 
 
 def training_fold(doc_id) -> F.Column:
-    """Rows that may be learned from: crc32 of the id as text, modulo 3, is not 1."""
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) != 1
+    """Rows that may be learned from: crc32 of the id as text, modulo 3, is not 1. Rows without an id are never learned from, and so count as held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) != 1, F.lit(False))
 
 
 class Chain:
@@ -286,13 +287,11 @@ def _score(model: Model):
 
 def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
     """(key, doc_id, score, spans) of every row; spans are start:end of offending words."""
-    from .common import keyed
-
     return keyed(docs).select("key", "doc_id", "text").mapInArrow(_score(learn(docs, labels, rows)), SCORED_DDL)
 
 
-def _tagged(model: Model, columns: list[str]):
-    names = [*columns, "__toxic"]
+def _tagged(model: Model, columns: list[str], mark: str):
+    names = [*columns, mark]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = columns.index("text")
@@ -306,11 +305,12 @@ def _tagged(model: Model, columns: list[str]):
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, rows: int = FIT_ROWS) -> DataFrame:
-    """docs without the rows that score the threshold or more. One pass, no shuffle."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    schema = StructType([*docs.schema.fields, StructField("__toxic", DoubleType())])
-    return docs.mapInArrow(_tagged(learn(docs, labels, rows), docs.columns), schema).where(F.col("__toxic") < threshold).drop("__toxic")
+    """docs without the rows that score the threshold or more; all columns stay, whatever their names. One pass, no shuffle."""
+    mark = "score"
+    while mark in (c.lower() for c in docs.columns):
+        mark += "_"
+    schema = StructType([*docs.schema.fields, StructField(mark, DoubleType())])
+    return docs.mapInArrow(_tagged(learn(docs, labels, rows), docs.columns, mark), schema).where(F.col(mark) < threshold).drop(mark)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -67,6 +67,30 @@ def test_likeness_follows_overlap():
     assert near[0] == near[1] == 1 and near[2] > 0.75 and 0.25 < near[3] < 0.75 and near[4] < near[3] and near[5] == 0
 
 
+def test_likeness_estimates_the_jaccard_similarity_of_names(spark, sf_dir):
+    """The slots' share against the exact similarity of the sets of names that they are minima of."""
+
+    def names(text):
+        x, first = op.mix(np.frombuffer(text.encode(), np.uint8).astype(np.uint64) + np.uint64(1)), np.array([0, len(text.encode())])
+        found, level = set(), 0
+        while True:
+            x, first = op._phrases(x, first)
+            level += 1
+            if level >= op.DEPTH or len(x) == 1:
+                found |= set(x.tolist())
+            if len(x) == 1:
+                return found
+
+    rows = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text), reverse=True)
+    out = {r.doc_id: r for r in op.query(spark, sf_dir).collect()}
+    gaps = []
+    for (d, t), (_, after) in zip(rows, rows[1:]):
+        k = len(t) // 3
+        a, e, n = names(t), names(t[: len(t) - k] + after[:k]), names(after)
+        gaps += [out[d].near_edited - len(a & e) / len(a | e), out[d].near_next - len(a & n) / len(a | n)]
+    assert len(gaps) > 300 and abs(np.mean(gaps)) < 0.01 and np.sqrt(np.mean(np.square(gaps))) < 0.07 and max(map(abs, gaps)) < 0.3
+
+
 def test_awkward_rows(spark):
     df = awkward(spark)
     out = op.fingerprints(df.withColumn("part", df.text).withColumn("own", df.text)).collect()

@@ -54,6 +54,9 @@ def test_awkward_rows(spark):
     out = {r.doc_id: r for r in op.identify(docs).collect()}
     assert all(out[i].lang_pred == "und" and out[i].score == 0 for i in range(40, 44))
     assert all(out[i].lang_pred == ("en", "de")[i % 2] for i in range(40))
+    rare = spark.createDataFrame([(i, "the house is there and the man", "en") for i in range(300)] + [(1000 + i, "das haus ist dort und der mann", "de") for i in range(6)] + [(2000 + i, "", "fr") for i in range(5)] + [(None, "el hombre", "es")], "doc_id long, text string, lang string")
+    names, _ = op.learn(rare, 40)
+    assert names == ["de", "en"]
     df = awkward(spark)
     assert op.identify(df.withColumn("has", df.text).withColumn("score", df.text)).count() == 10
     assert {r.lang_pred for r in op.identify(df).collect()} == {"en", "und"}

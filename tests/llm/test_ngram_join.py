@@ -5,7 +5,7 @@ import pytest
 from overlook.llm import ngram_join as op
 from overlook.llm.components import components
 
-from .helpers import awkward, docs_frame
+from .helpers import awkward, clashing, docs_frame, untouched
 
 
 def shingle_set(t, size=5):
@@ -93,6 +93,22 @@ def test_awkward_rows(spark):
     assert op.join(df.limit(0)).collect() == []
 
 
+def test_keep_one_leaves_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs, names = clashing(docs_frame(spark, [text, text, "other", None]))
+    out = op.keep_one(docs)
+    assert untouched(out, docs, names) and sorted(r.doc_id for r in out.collect()) == [0, 2, 3]
+
+
+def test_pair_recall(spark, sf_dir):
+    """Links found among all that full sets give, over the whole next table."""
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()]
+    got = result(op.query(spark, sf_dir.replace("sf0.001", "sf0.01")))
+    want = brute(texts)
+    there = sum(n for _, n in want.values())
+    assert there > 100 and sum(got[d][1] for d in want) >= 0.99 * there and all(got[d][1] <= want[d][1] for d in want)
+
+
 def test_repeated_and_null_ids(spark):
     """Classes join sets, not ids: unlike texts of one id stay apart, and rows without an id are held together by their texts alone."""
     rng = random.Random(3)

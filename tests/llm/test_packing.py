@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -32,6 +33,17 @@ def test_whole_table(spark, sf_dir):
     check(docs, op.query(spark, sf_dir).collect())
 
 
+def test_ids_equal_the_tokenizers_library(spark, sf_dir):
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = op.Tokens()
+    rng = random.Random(1)
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()]
+    alphabet = "abcdetheinr  \n\n\t\r'sé☃𝄞0123.,-_<|>\x00\u00a0\u200d　"
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 120))) for _ in range(3000)]
+    for t in texts:
+        assert encode(t).tolist() == [*tk.encode(t, add_special_tokens=False).ids, 1], t
+
+
 def test_hilbert_steps_are_neighbours():
     cells = np.array(np.meshgrid(*[np.arange(8)] * 3, indexing="ij")).reshape(3, -1).T
     keys = op.hilbert(cells, 3)

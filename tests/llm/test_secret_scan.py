@@ -1,10 +1,13 @@
 import hashlib
+import math
 import random
 import re
 
+import numpy as np
+
 from overlook.llm import secret_scan as op
 
-from .helpers import awkward, docs_frame
+from .helpers import awkward, clashing, docs_frame, untouched
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -56,6 +59,70 @@ def test_redact_and_awkward_rows(spark):
     assert [r.text for r in op.redact(df).collect()] == [r.text for r in df.collect()]
 
 
+def test_redact_leaves_columns_of_any_name(spark):
+    docs, names = clashing(docs_frame(spark, ["a token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" b", "plain", None]))
+    out = op.redact(docs)
+    assert untouched(out, docs, names) and sorted(r.text or "" for r in out.collect()) == ["", f"a {op.MARK}\" b", "plain"]
+
+
+def test_many_matches_and_tokens_behind_paths(spark):
+    rng = random.Random(5)
+    key = "aB3-xY_" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-") for _ in range(41))
+    many = " ".join(f"token={i:08d}x" for i in range(3 * op.STRIDE + 7))
+    texts = [f"https://host/hooks/{key}", many]
+    out = {r.doc_id: r for r in op.scan(docs_frame(spark, texts)).collect()}
+    assert f"random:19:{19 + 48}" in out[0].spans.split(",")
+    check([(1, many)], [out[1]])
+    assert {r.doc_id: r.text for r in op.redact(docs_frame(spark, texts)).collect()}[1] == " ".join([op.MARK] * (3 * op.STRIDE + 7))
+
+
+def battery(text):
+    """The combined p value of one run by numpy and exact normal tails, from the docstring's description."""
+    abc = next(letters for pattern, letters in op.ENCODINGS if re.match(pattern, text))
+    n, k = len(text), len(abc)
+    c = np.array([abc.index(x) for x in text], float)
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+
+    def chi(observed, shares):
+        use = shares > 0
+        d = use.sum() - 1
+        z = (((observed[use] - n * shares[use]) ** 2 / (n * shares[use])).sum() / d) ** (1 / 3)
+        z = (z - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d))
+        return 1.0 if z <= 0 else tail(z) / 2
+
+    quarter = lambda x: np.bincount((np.asarray(x, int) * 4) // k, minlength=4)
+    kinds = lambda s: np.array([sum(bool(re.match(f"[{g}]", x)) for x in s) for g in ("0-9", "A-Z", "a-z", "+/_-")])
+    up = 2 * c >= k
+    mu = 2 * up.sum() * (n - up.sum()) / n
+    runs = 1 + (up[1:] != up[:-1]).sum()
+    z_runs = 9 if mu <= 0 else (runs - 1 - mu) / math.sqrt(max(1e-9, mu * (mu - 1) / (n - 1)))
+    spread = n * (c * c).sum() - c.sum() ** 2
+    rho = 1.0 if spread <= 0 else (n * (c[1:] * c[:-1]).sum() - c.sum() ** 2) / spread
+    least = min(chi(quarter(c), quarter(range(k)) / k), chi(kinds(text), kinds(abc) / k), tail(z_runs), tail(rho * math.sqrt(n) + 1 / math.sqrt(n)))
+    return min(1, 4 * least)
+
+
+def test_p_values_and_step_up_rule_against_numpy(spark):
+    rng = random.Random(9)
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    runs = ["".join(rng.choice(abc[:m]) for _ in range(rng.randrange(24, 90))) + "7q" for m in (62, 62, 62, 40, 12, 30) for _ in range(25)]
+    docs = docs_frame(spark, runs)
+    got = {r.doc_id: r["__runs"][0] for r in op.with_spans(docs.select("doc_id", "text")).collect() if r["__runs"]}
+    assert len(got) > 0.9 * len(runs)
+    p = {i: battery(runs[i]) for i in got}
+    assert all(abs(got[i].p - p[i]) < 2e-6 for i in got)
+    # Benjamini-Hochberg on weighted values, in the histogram's resolution of an eighth of a bit
+    mean = np.mean([len(runs[i]) for i in got])
+    weighted = {i: p[i] * mean / len(runs[i]) for i in got}
+    at = lambda w: min(op.BINS, max(0, math.floor(-8 * math.log2(w))))
+    ranked = sorted(at(w) for w in weighted.values())[::-1]
+    passed = [b for b in set(ranked) if 2.0 ** (-b / 8) * len(ranked) <= op.FDR * sum(x >= b for x in ranked)]
+    cut = min(passed, default=op.BINS + 1)
+    out = {r.doc_id: r.spans for r in op.scan(docs).collect()}
+    assert sum((out[i] != "") == (at(weighted[i]) < cut) for i in got) >= len(got) - 1  # one may lie on a bin's edge
+    assert 0 < sum(at(w) < cut for w in weighted.values()) < len(got)
+
+
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = op.query(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -3,7 +3,7 @@ import random
 
 from overlook.llm import substring_dedup as op
 
-from .helpers import awkward, docs_frame
+from .helpers import awkward, clashing, docs_frame, untouched
 
 
 def brute(rows, window):
@@ -66,6 +66,13 @@ def test_awkward_rows(spark):
     assert kept.columns == [*df.columns, "key", "found"] and kept.count() == 10
 
 
+def test_drop_repeats_leaves_columns_of_any_name(spark):
+    again = " ".join(f"p{i}" for i in range(30))
+    docs, names = clashing(docs_frame(spark, [again, again + " tail", None]))
+    out = op.drop_repeats(docs)
+    assert untouched(out, docs, names) and sorted(r.text or "" for r in out.collect()) == ["", again, "tail"]
+
+
 def test_drop_repeats_leaves_clean_texts_alone(spark):
     clean = "Some  text,\nwith its own   spacing."
     again = " ".join(f"p{i}" for i in range(30))

@@ -6,7 +6,7 @@ import numpy as np
 
 from overlook.llm import toxicity as op
 
-from .helpers import awkward, docs_frame
+from .helpers import awkward, clashing, docs_frame, untouched
 
 
 def test_passes_match_enumeration():
@@ -62,6 +62,16 @@ def test_spans_and_filter(spark):
     assert kept.columns == [*docs.columns, "score"] and 290 <= kept.count() <= 310
 
 
+def test_keep_clean_leaves_columns_of_any_name_and_null_ids_are_held_out(spark, tmp_path):
+    docs, labels, _ = toy(spark, 80)
+    more, names = clashing(docs)
+    assert untouched(op.keep_clean(more, labels), more, names)
+    docs_frame(spark, ["one two", "three"], [None, 1]).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    out = {r.doc_id: r.held_out for r in op.query(spark, str(tmp_path)).collect()}
+    assert out == {None: True, 1: crc32(b"1") % 3 == 1}
+
+
 def test_awkward_rows(spark):
     docs, labels, _ = toy(spark, 80)
     df = awkward(spark)
