@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from overlook.llm import ngram_join, packing, secret_scan, substring_dedup, toxicity
-from overlook.llm.common import materialize, table
+from overlook.llm.common import discard, materialize, scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; a stage's own tables go once its result is written, and a result once the next one is."""
     docs = table(spark, sf_dir, "documents")
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        result: list[str] = []
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, result)
+        discard(spark, before)
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)
