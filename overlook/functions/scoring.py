@@ -83,3 +83,13 @@ def bearing(dx: Column, dy: Column) -> Column:
     """Degrees from north, clockwise, in [0, 360)."""
     a = F.degrees(F.atan2(dx, dy))
     return a - 360 * F.floor(a / 360)
+
+
+def mixed_season(summer: Column, winter: Column, mix: float, *factors: Column) -> Column:
+    """Reward of a cell: habitat between the two seasons, times the factors."""
+    if not 0 <= mix <= 1:
+        raise ValueError("the mix must lie in 0..1")
+    out = (1 - mix) * summer + mix * winter
+    for f in factors:
+        out = out * f
+    return out

@@ -23,14 +23,15 @@ def polar_patches(points: DataFrame, by: str, width_deg: int, band: float, radiu
 
 
 def knapsack(patches: DataFrame, by: str, budget: float, rate: float = 0.02, overhead: float = 0.5, quantum: float = 0.25) -> DataFrame:
-    """(by, score, units) of the exact best choice of patches (by, patch, full_km2, reward) in each group.
+    """(by, score) of the exact best choice of patches (by, patch, full_km2, reward) in each group; a negative reward raises, an unknown one can't be chosen.
 
     A fold over the group's patches in order, with one best reward per unit of time: array functions
     alone, and a group's patches are as many as its bins.
     """
     capacity = math.floor(budget / quantum + 1e-9)
     units = F.greatest(F.lit(1), F.ceil((F.col("full_km2") / rate + overhead) / quantum - 1e-9)).cast("int")
-    items = patches.where("reward >= 0").groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("patch"), units.alias("u"), F.col("reward").cast("double").alias("v")))).alias("items"))
+    checked = F.when(F.col("reward") < 0, F.raise_error(F.lit("a reward is negative")).cast("double")).otherwise(F.col("reward"))
+    items = patches.withColumn("reward", checked).where("reward is not null").groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("patch"), units.alias("u"), F.col("reward").cast("double").alias("v")))).alias("items"))
     best = F.expr(f"""aggregate(items, transform(sequence(0, {capacity}), t -> 0D),
         (b, x) -> transform(b, (old, t) -> if(t >= x.u and b[t - x.u] + x.v > old + 1e-14, b[t - x.u] + x.v, old)), b -> b[{capacity}])""")
     return items.select(by, best.alias("score"))

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import bearing
+from ..sources.lineage import cut
+from ..sources.terrain import coarsen
+from .attention import knapsack, polar_patches
 from .filters import known
+from .visibility import banded, viewsheds
 
 
 def cover_classes(cells: DataFrame, by: str, area: float) -> DataFrame:
@@ -120,3 +124,77 @@ def median_colours(cells: DataFrame, pixels: DataFrame, fallback: tuple[int, int
     m = near.groupBy("id").agg(*(F.median(n).alias(n) for n in ("red", "green", "blue")))
     mixed = [F.coalesce(F.rint(0.75 * F.col(n) + 0.25 * f), F.lit(float(f))).cast("int").alias(n) for n, f in zip(("red", "green", "blue"), fallback)]
     return cells.select("id").join(m, "id", "left").select("id", *mixed)
+
+
+def evaluation_rows(cells: DataFrame, by: str, area: float, budget: float, rate: float = 0.02, overhead: float = 0.5, width: int = 30, band: float = 500.0, radius: float = 3000.0) -> DataFrame:
+    """One row for each candidate from its visible cells (by, dx, dy, d, tree, shrub, reward): area in sight, within and beyond 1 km, with low cover, share of unknown cover, and the best score of patches that the time budget buys. Two aggregations of one scan."""
+    unknown = ~(known(F.col("tree")) & known(F.col("shrub")))
+    total = lambda flag: F.sum(F.when(flag, area).otherwise(0.0))
+    rows = cells.groupBy(by).agg(
+        (F.count("*") * area).alias("raw"),
+        total(F.col("d") <= 1000).alias("within_1km"),
+        total(F.col("d") > 1000).alias("beyond_1km"),
+        total(~unknown & (F.col("tree") < 0.1)).alias("low_cover"),
+        F.avg(unknown.cast("int")).alias("unknown_share"),
+    )
+    best = knapsack(polar_patches(cells, by, width, band, radius, area), by, budget, rate, overhead)
+    return rows.join(best.withColumnRenamed("score", "selective"), by, "left")
+
+
+def delta_summary(pairs: DataFrame, a: str, b: str, by: str) -> DataFrame:
+    """(by, n, mean, median, p05, p95) of b - a over rows where both are known; quantiles are exact, by linear interpolation."""
+    d = (F.col(b) - F.col(a)).alias("d")
+    return pairs.select(by, d).where("d is not null").groupBy(by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("median"), F.percentile("d", 0.05).alias("p05"), F.percentile("d", 0.95).alias("p95"))
+
+
+def target_shares(cells: DataFrame, flags: list[str]) -> DataFrame:
+    """One row: for each flag the share of target cells that carry it; unknown flags are left out of the mean."""
+    return cells.where("target").agg(*(F.avg(F.col(f).cast("int")).alias(f) for f in flags))
+
+
+def nearest_automated(points: DataFrame, bucket: float) -> DataFrame:
+    """(id, near, distance) of each manual point (id, grp, x, y): the nearest other point, ties by id.
+
+    A search in growing squares of buckets: points without an answer that is surely the nearest go on with twice the reach, until none is left.
+    """
+    auto = points.where("grp <> 'manual'").select(F.col("id").alias("near"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    left = points.where("grp = 'manual'").select("id", "x", "y")
+    box = points.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    span = max([v or 0.0 for v in box])
+    out, reach = None, bucket
+    while True:
+        b = lambda v: F.floor(v / reach).cast("long")  # noqa: B023, E731
+        p = left.withColumn("bi", F.explode(F.sequence(b(F.col("x")) - 1, b(F.col("x")) + 1))).withColumn("bj", F.explode(F.sequence(b(F.col("y")) - 1, b(F.col("y")) + 1)))
+        near = p.join(auto.withColumn("bi", b(F.col("nx"))).withColumn("bj", b(F.col("ny"))), ["bi", "bj"])
+        d = F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)
+        best = near.groupBy("id").agg(F.min(F.struct(d.alias("distance"), "near")).alias("m")).select("id", "m.near", "m.distance")
+        sure = cut(best.where(F.col("distance") <= reach) if reach <= span else best)
+        out = sure if out is None else out.union(sure)
+        left = cut(left.join(sure.select("id"), "id", "left_anti"))
+        if reach > span or not left.take(1):
+            return out
+        reach *= 2
+
+
+def waypoint(seat: DataFrame, grid: DataFrame, radius: float, res: float, eye: float, target: float) -> DataFrame:
+    """One observer (id, r0, c0) computed anew over a grid (r, c, z, tree, shrub): bands of what is in sight and its cover classes."""
+    seen = viewsheds(seat, grid, radius, res, eye, target)
+    seen = seen.join(grid.select("r", "c", "tree", "shrub"), ["r", "c"])
+    return banded(seen, res).join(cover_classes(seen, "id", res * res / 1e6), "id")
+
+
+def resolution_control(seats: DataFrame, grid: DataFrame, factor: int, radius: float, res: float, eye: float, target: float) -> DataFrame:
+    """(id, fine, coarse, relative): area in sight of seats (id, r0, c0) on the grid and on means of factor x factor cells."""
+    fine = banded(viewsheds(seats, grid, radius, res, eye, target), res).select("id", F.col("area_km2").alias("fine"))
+    low = seats.select("id", F.floor(F.col("r0") / factor).cast("int").alias("r0"), F.floor(F.col("c0") / factor).cast("int").alias("c0"))
+    coarse = banded(viewsheds(low, coarsen(grid, factor, ["z"]), radius, res * factor, eye, target), res * factor).select("id", F.col("area_km2").alias("coarse"))
+    return fine.join(coarse, "id").withColumn("relative", F.try_divide(F.col("coarse"), F.col("fine")) - 1)
+
+
+def chosen_for_review(scores: DataFrame, arms: list[str], draws: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(place, role, id): each arm's best unseen id (scores: arm, id, score), then the first unseen of the random draw (n, id), then of all others the one of least median rank (ranks: id, rank)."""
+    first = distinct_leaders(scores, arms).select("place", F.col("arm").alias("role"), "id")
+    drawn = draws.join(first.select("id"), "id", "left_anti").orderBy("n").limit(1).select(F.lit(len(arms)).alias("place"), F.lit("stratified_random").alias("role"), "id")
+    taken = first.union(drawn)
+    steady = ranks.groupBy("id").agg(F.median("rank").alias("m")).join(taken.select("id"), "id", "left_anti").orderBy("m", "id").limit(1)
+    return taken.union(steady.select(F.lit(len(arms) + 1).alias("place"), F.lit("median_rank").alias("role"), "id"))

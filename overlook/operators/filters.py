@@ -81,3 +81,102 @@ def nearest_segment(points: DataFrame, segments: DataFrame, bucket: float, most:
     j = j.withColumn("distance", F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)).where(F.col("distance") <= most)
     best = j.groupBy("id").agg(F.min(F.struct("distance", "nx", "ny")).alias("m")).select("id", "m.*")
     return points.join(best, "id", "left")
+
+
+def network_access(points: DataFrame, segments: DataFrame, heights: DataFrame, x0: float, y0: float, res: float, bucket: float, most: float, distance_m: float | None = None, height_m: float | None = None) -> DataFrame:
+    """points (id, x, y) with their nearest line point and what follows from it: (id, status, distance, height, nx, ny).
+
+    height is how far the point lies above the line point, never below none, from the cells (r, c, z) that hold
+    them; NULL if either is unknown. status: excluded beyond a limit, unknown where the height limit can't be
+    told, or where no segment lies within `most`, qualifies otherwise.
+    """
+    cell = lambda x, y: (F.floor((y0 - y) / res).cast("int"), F.floor((x - x0) / res).cast("int"))
+    at = nearest_segment(points.select("id", "x", "y"), segments, bucket, most)
+    for k, (x, y) in {"p": ("x", "y"), "n": ("nx", "ny")}.items():
+        r, c = cell(F.col(x), F.col(y))
+        at = at.withColumn("__r", r).withColumn("__c", c).join(heights.select(F.col("r").alias("__r"), F.col("c").alias("__c"), F.col("z").alias(f"__z{k}")), ["__r", "__c"], "left").drop("__r", "__c")
+    height = F.greatest(F.lit(0.0), F.col("__zp") - F.col("__zn"))
+    height = F.when(F.col("__zp").isNotNull() & F.col("__zn").isNotNull(), height)
+    far = F.lit(False) if distance_m is None else F.col("distance") > distance_m
+    high = F.lit(False) if height_m is None else F.coalesce(height > height_m, F.lit(False))
+    blind = F.lit(False) if height_m is None else height.isNull()
+    status = F.when(F.col("distance").isNull(), "unknown").when(far | high, "excluded").when(blind, "unknown").otherwise("qualifies")
+    return at.select("id", status.alias("status"), "distance", height.alias("height"), "nx", "ny")
+
+
+def excluded_cells(grid: DataFrame, segments: DataFrame, x0: float, y0: float, res: float, bucket: float, most: float, distance_m: float | None = None, height_m: float | None = None) -> DataFrame:
+    """Cells (r, c) of a grid (r, c, z) whose centre the network rules out for sampling: `network_access` for each of them. Kept as cells, not as polygons."""
+    p = grid.select(F.struct("r", "c").alias("id"), (x0 + (F.col("c") + 0.5) * res).alias("x"), (y0 - (F.col("r") + 0.5) * res).alias("y"))
+    out = network_access(p, segments, grid, x0, y0, res, bucket, most, distance_m, height_m)
+    return out.where("status <> 'qualifies'").select("id.r", "id.c", "status")
+
+
+def layer_mask(points: DataFrame, edges: DataFrame, band: float, repaired: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(mask, log) of a layer of polygons: points inside any of them, once each, and for polygons whose edges came repaired (poly, ax, ay, bx, by), how many points the repair changed."""
+    own = polygon_mask(points, edges, band)
+    if repaired is None:
+        return own.drop("poly").distinct(), own.select("poly").limit(0).withColumn("changed", F.lit(0).cast("long"))
+    fixed = repaired.select("poly").distinct()
+    new = polygon_mask(points, repaired, band)
+    old = own.join(fixed, "poly", "left_semi")
+    changed = old.exceptAll(new).unionByName(new.exceptAll(old)).groupBy("poly").agg(F.count("*").alias("changed"))
+    log = fixed.join(changed, "poly", "left").select("poly", F.coalesce("changed", F.lit(0)).alias("changed"))
+    return own.join(fixed, "poly", "left_anti").unionByName(new).drop("poly").distinct(), log
+
+
+def domains(grid: DataFrame, observers: DataFrame, targets: DataFrame, excluded: DataFrame) -> DataFrame:
+    """grid (r, c, ...) with observer and target: two independent domains (r, c), less the excluded cells. Heights stay, for what isn't a target still hides what is."""
+    flag = lambda cells, name: cells.select("r", "c").distinct().join(excluded.select("r", "c").distinct(), ["r", "c"], "left_anti").withColumn(name, F.lit(True))
+    out = grid.join(flag(observers, "observer"), ["r", "c"], "left").join(flag(targets, "target"), ["r", "c"], "left")
+    return out.withColumn("observer", F.coalesce("observer", F.lit(False))).withColumn("target", F.coalesce("target", F.lit(False)))
+
+
+def low_cover(visible: DataFrame, limit: float = 0.1) -> DataFrame:
+    """Visible cells with known shrub and known tree cover below the limit."""
+    return visible.where(known(F.col("tree")) & (F.col("tree") < limit) & known(F.col("shrub")))
+
+
+def recommendable(candidates: DataFrame) -> DataFrame:
+    """Candidates that may be recommended: not placed by hand, standing allowed (NULL: allowed), something that matches in sight (NULL: anything in sight), effective habitat above none where habitat was scored."""
+    seen = F.coalesce("matching", "raw") > 0
+    habitat = ~F.col("habitat") | (F.coalesce("effective", F.lit(0.0)) > 0)
+    return candidates.where((F.col("grp") != "manual") & F.coalesce("standing", F.lit(True)) & F.coalesce(seen, F.lit(False)) & F.coalesce(habitat, F.lit(True)))
+
+
+def dilated(cells: DataFrame, radius: float, res: float) -> DataFrame:
+    """Cells (r, c) within the radius of any of the cells, centre to centre."""
+    around = F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in disk(radius, res)))
+    return cells.select("r", "c").distinct().select(F.explode(around).alias("x")).select("x.*").distinct()
+
+
+def clipped(segments: DataFrame, cells: DataFrame, x0: float, y0: float, res: float) -> DataFrame:
+    """(id, k, ax, ay, bx, by, inside) of segments (id, ax, ay, bx, by) cut where they cross a row or column of the grid; inside tells whether the piece runs in one of the cells (r, c). Pieces that come twice, whichever way they run, are kept once an id."""
+
+    def cuts(a, b):
+        lo, hi = F.ceil(F.least(a, b)), F.floor(F.greatest(a, b))
+        lines = F.when((hi >= lo) & (a != b), F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+        return F.transform(lines, lambda v: (v - a) / (b - a))
+
+    col, row = (lambda x: (F.col(x) - x0) / res), (lambda y: (y0 - F.col(y)) / res)
+    ts = F.array_sort(F.array_distinct(F.transform(F.concat(F.array(F.lit(0.0), F.lit(1.0)), cuts(col("ax"), col("bx")), cuts(row("ay"), row("by"))), lambda t: F.round(t, 12))))
+    s = segments.select("id", "ax", "ay", "bx", "by", ts.alias("ts"))
+    s = s.select("*", F.posexplode(F.arrays_zip(F.slice("ts", 1, F.size("ts") - 1).alias("t0"), F.slice("ts", 2, F.size("ts") - 1).alias("t1"))).alias("k", "t"))
+    on = lambda t: ((F.col("ax") + t * (F.col("bx") - F.col("ax"))), (F.col("ay") + t * (F.col("by") - F.col("ay"))))
+    (px, py), (qx, qy), (mx, my) = on(F.col("t.t0")), on(F.col("t.t1")), on((F.col("t.t0") + F.col("t.t1")) / 2)
+    pieces = s.select("id", "k", px.alias("px"), py.alias("py"), qx.alias("qx"), qy.alias("qy"), F.floor((y0 - my) / res).cast("int").alias("r"), F.floor((mx - x0) / res).cast("int").alias("c"))
+    held = pieces.join(cells.select("r", "c").distinct().withColumn("inside", F.lit(True)), ["r", "c"], "left")
+    ends = F.array_sort(F.array(F.struct(F.round("px", 6).alias("x"), F.round("py", 6).alias("y")), F.struct(F.round("qx", 6).alias("x"), F.round("qy", 6).alias("y"))))
+    first = held.groupBy("id", ends.alias("ends")).agg(F.min(F.struct("k", "px", "py", "qx", "qy", F.coalesce("inside", F.lit(False)).alias("inside"))).alias("m"))
+    return first.select("id", "m.k", F.col("m.px").alias("ax"), F.col("m.py").alias("ay"), F.col("m.qx").alias("bx"), F.col("m.qy").alias("by"), "m.inside")
+
+
+def covered_segments(segments: DataFrame, cells: DataFrame, x0: float, y0: float, res: float, max_slope: float) -> DataFrame:
+    """(id, covered) of segments (id, ax, ay, bx, by): every cell they run through is one of the cells (r, c, z, slope) with known height and a slope within the limit, and the way from end to end isn't steeper."""
+    ok = cells.where(F.col("z").isNotNull() & (F.col("slope") <= max_slope))
+    inside = clipped(segments, ok, x0, y0, res).groupBy("id").agg(F.bool_and("inside").alias("inside"))
+    s = segments.join(inside, "id", "left")
+    for k in "ab":
+        s = s.withColumn("r", F.floor((y0 - F.col(f"{k}y")) / res).cast("int")).withColumn("c", F.floor((F.col(f"{k}x") - x0) / res).cast("int")).join(ok.select("r", "c", F.col("z").alias(f"z{k}")), ["r", "c"], "left").drop("r", "c")
+    long = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
+    grade = F.when(long > 0, F.degrees(F.atan(F.abs(F.col("za") - F.col("zb")) / long))).otherwise(0.0)
+    return s.select("id", F.coalesce(F.col("inside") & (grade <= max_slope), F.lit(False)).alias("covered"))

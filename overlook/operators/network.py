@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.lineage import cut
 
-#: Words that name a kind of way, not the way.
+#: Words that name a kind of way, not the way.
 KIND_WORDS = ("ROAD", "RD", "TRAIL", "TR", "CR", "FS", "NFSR", "NFST")
 
 
@@ -52,22 +51,38 @@ def repairs(ends: DataFrame, vertices: DataFrame, tolerance: float = 5.0) -> Dat
     return j.where(same).select("r1", "record", "x1", "y1", "x", "y", "gap").distinct()
 
 
-def shortest(edges: DataFrame, sources: DataFrame, rounds: int, motor_only: bool = False) -> DataFrame:
-    """(node, distance) from any source, by rounds of relaxation (join, minimum) until nothing improves; `rounds` bounds the hops."""
+def shortest(edges: DataFrame, sources: DataFrame, rounds: int | None = None, motor_only: bool = False) -> DataFrame:
+    """(node, distance, previous) of every node that is reached from any source; previous is the node before it, NULL at a source.
+
+    Relaxation by rounds: only nodes that came closer in the last round are joined with the edges, and the
+    search ends when none did. A limit of rounds, if given, raises when it is met before that.
+    """
     e = edges.where("motor") if motor_only else edges
-    both = e.select("u", "v", "length").union(e.select("v", "u", "length"))
-    now = sources.select("node").distinct().withColumn("distance", F.lit(0.0))
-    mark = None
-    for k in range(rounds):
-        step = now.join(both.withColumnRenamed("u", "node"), "node").select(F.col("v").alias("node"), (F.col("distance") + F.col("length")).alias("distance"))
-        now = now.union(step).groupBy("node").agg(F.min("distance").alias("distance"))
-        if k % 4 == 3:
-            now = cut(now)
-            new = tuple(now.agg(F.count("*"), F.sum(F.round("distance", 6))).first())
-            if new == mark:
-                break
-            mark = new
-    return now
+    both = e.select("u", "v", "length").union(e.select("v", "u", "length")).toDF("node", "v", "length")
+    kind = edges.schema["u"].dataType.simpleString()
+    now = sources.select("node").distinct().select("node", F.lit(0.0).alias("distance"), F.lit(None).cast(kind).alias("previous"), F.lit(True).alias("fresh"))
+    done = 0
+    while True:
+        step = now.where("fresh").join(both, "node").select(F.col("v").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), F.col("node").alias("previous"), F.lit(True).alias("fresh"))
+        known = now.select("node", "distance", "previous", F.lit(False).alias("fresh"))
+        best = known.union(step).groupBy("node").agg(F.min(F.struct("distance", "fresh", "previous")).alias("m"))  # what is known stays on ties
+        now = cut(best.select("node", "m.distance", "m.previous", "m.fresh"))
+        done += 1
+        if not now.where("fresh").take(1):
+            return now.select("node", "distance", "previous")
+        if done == rounds:
+            raise ValueError(f"nodes still come closer after {rounds} rounds")
+
+
+def traced(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, k, node) from each target (node) back to its source along `previous`; k counts from the target. Rounds are as many as the longest path has edges."""
+    now = targets.select(F.col("node").alias("target"), F.lit(0).alias("k"), "node").join(found.select("node"), "node", "left_semi").select("target", "k", "node")
+    out = now
+    while True:
+        now = cut(now.join(found, "node").where("previous is not null").select("target", (F.col("k") + 1).alias("k"), F.col("previous").alias("node")))
+        if not now.take(1):
+            return out
+        out = out.union(now)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -117,60 +132,197 @@ def profile(stations: DataFrame) -> DataFrame:
     return s.select("id", F.when(F.col("covered") == 1, F.coalesce("up", F.lit(0.0))).alias("gain"), F.when(F.col("covered") == 1, F.coalesce("down", F.lit(0.0))).alias("loss"), "covered")
 
 
+#: Cells of a side of the tiles that least-cost searches work on.
+PATCH = 64
 STEPS8 = tuple((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b)
 
 
-def grid_costs(z: np.ndarray, ok: np.ndarray, tree: np.ndarray, shrub: np.ndarray, res: float, target: tuple[int, int], weights: tuple[float, float, float, float], max_slope: float) -> np.ndarray:
-    """Least cost from every cell to the target: moves go uphill at a price, steep moves and cut corners not at all; unknown cover counts as full."""
-    ws, wt, wb, wg = weights
-    gy, gx = np.gradient(z, res)
-    slope = np.degrees(np.arctan(np.hypot(gx, gy)))
-    t, b = np.where(np.isfinite(tree), tree, 1.0), np.where(np.isfinite(shrub), shrub, 1.0)
-    cost = np.full(z.shape, np.inf)
-    if not ok[target]:
-        return cost
-    cost[target] = 0
-    heap = [(0.0, *target)]
-    rows, cols = z.shape
-    while heap:
-        c, i, j = heapq.heappop(heap)
-        if c > cost[i, j]:
-            continue
-        for a, e in STEPS8:
-            p, q = i + a, j + e
-            if not (0 <= p < rows and 0 <= q < cols and ok[p, q]) or (a and e and not (ok[i, q] and ok[p, j])):
-                continue
-            length = res * math.hypot(a, e)
-            rise = z[i, j] - z[p, q]  # walking from (p, q) to (i, j)
-            if math.degrees(math.atan(abs(rise) / length)) > max_slope:
-                continue
-            s = (slope[i, j] + slope[p, q]) / 2
-            new = c + length * (1 + ws * (s / 15) ** 2 + wt * (t[i, j] + t[p, q]) / 2 + wb * (b[i, j] + b[p, q]) / 2) + 10 * wg * max(0.0, rise)
-            if new < cost[p, q] - 1e-12:
-                cost[p, q] = new
-                heapq.heappush(heap, (new, p, q))
-    return cost
-
-
-def approaches(scenarios: DataFrame, grid: DataFrame, starts: DataFrame, res: float, max_slope: float = 30.0) -> DataFrame:
-    """(scenario, start, cost) for scenarios (scenario, area, tr, tc, ws, wt, wb, wg) over grid (area, r, c, z, ok, tree, shrub) and starts (area, start, r, c): one task group a scenario, which holds its own area's cells alone."""
-
-    def one(key, cells: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        s = cells.iloc[0]
-        shape = (int(cells.r.max()) + 1, int(cells.c.max()) + 1)
-        layer = {n: np.full(shape, np.nan) for n in ("z", "tree", "shrub")}
-        ok = np.zeros(shape, bool)
-        for n, a in layer.items():
-            a[cells.r, cells.c] = cells[n].astype(float)
-        ok[cells.r, cells.c] = cells.ok.astype(bool) & np.isfinite(layer["z"][cells.r, cells.c])
-        cost = grid_costs(layer["z"], ok, layer["tree"], layer["shrub"], res, (int(s.tr), int(s.tc)), (s.ws, s.wt, s.wb, s.wg), max_slope)
-        got = cost[asked.r, asked.c]
-        return pd.DataFrame({"scenario": key[0], "start": asked.start, "cost": np.where(np.isfinite(got), got, np.nan)})
-
-    cells = scenarios.join(grid, "area").groupBy("scenario")
-    asked = scenarios.select("scenario", "area").toDF("scenario", "area").join(starts.toDF(*starts.columns), "area").groupBy("scenario")
-    out = cells.cogroup(asked).applyInPandas(one, "scenario string, start string, cost double")
-    return out.withColumn("cost", F.when(~F.isnan("cost"), F.col("cost")))
+def slopes(z: np.ndarray, inside: np.ndarray, res: float) -> np.ndarray:
+    """Degrees at the cells inside a rim of one: central differences, one-sided at the grid's edge, unknown beside an unknown cell."""
+    part, here = [], z[1:-1, 1:-1]
+    for ahead, behind in (((slice(2, None), slice(1, -1)), (slice(None, -2), slice(1, -1))), ((slice(1, -1), slice(2, None)), (slice(1, -1), slice(None, -2)))):
+        a, b = inside[ahead], inside[behind]
+        part.append((np.where(a, z[ahead], here) - np.where(b, z[behind], here)) / (np.maximum(a.astype(int) + b, 1) * res))
+    return np.degrees(np.arctan(np.hypot(*part)))
+
+
+def step_costs(z: np.ndarray, flag: np.ndarray, tree: np.ndarray, shrub: np.ndarray, res: float, weights: tuple[float, float, float, float] | None, max_slope: float) -> dict[tuple[int, int], np.ndarray]:
+    """For each of eight steps (a, b) what it costs to come to a cell n from its settled neighbour m = n + (a, b); infinite where it can't be done. Arrays have a rim of two cells, results one of one; flag is 1 for cells that may be entered, 0 for others, NaN outside the grid.
+
+    With weights (slope, tree, shrub, gain) it is the walk from n to m, towards the target: the steepest
+    of both cells and the step itself counts, for the price and for the limit alike; unknown cover counts
+    as full. Without, it is the walk from m to n, priced by the slope of n, over cells within the limit.
+    No step cuts a corner.
+    """
+    slope, ok = slopes(z, np.isfinite(flag), res), flag == 1
+    z, tree, shrub = (np.where(np.isfinite(x), x, f)[1:-1, 1:-1] for x, f in ((z, np.nan), (tree, 1.0), (shrub, 1.0)))
+    ok = ok[1:-1, 1:-1] & np.isfinite(z) & np.isfinite(slope)
+    if weights is None:
+        ok &= (slope <= max_slope) & (z > 0)
+    size = len(z)
+    out = {}
+    for a, b in STEPS8:
+        n = (slice(max(0, -a), size - max(0, a)), slice(max(0, -b), size - max(0, b)))
+        m = (slice(max(0, a), size - max(0, -a)), slice(max(0, b), size - max(0, -b)))
+        free = ok[n] & ok[m]
+        if a and b:
+            free &= ok[m[0], n[1]] & ok[n[0], m[1]]
+        length = res * math.hypot(a, b)
+        rise = z[m] - z[n]
+        grade = np.degrees(np.arctan(np.abs(rise) / length))
+        if weights is None:
+            free &= grade <= max_slope
+            cost = length * (1 + (slope[n] / 15) ** 2)
+        else:
+            ws, wt, wb, wg = weights
+            steep = np.maximum(np.maximum(slope[n], slope[m]), grade)
+            free &= steep <= max_slope
+            cost = length * (1 + ws * (steep / 15) ** 2 + wt * (tree[n] + tree[m]) / 2 + wb * (shrub[n] + shrub[m]) / 2) + 10 * wg * np.maximum(0, rise)
+        out[a, b] = np.full(z.shape, np.inf)
+        out[a, b][n] = np.where(free, cost, np.inf)
+    return out
+
+
+def settle(cost: np.ndarray, steps: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+    """Least costs inside the rim, given the costs on it and any inside: sweeps in all eight directions until nothing improves."""
+    size = len(cost)
+    while True:
+        best = cost.copy()
+        for (a, b), w in steps.items():
+            n = (slice(max(0, -a), size - max(0, a)), slice(max(0, -b), size - max(0, b)))
+            m = (slice(max(0, a), size - max(0, -a)), slice(max(0, b), size - max(0, -b)))
+            np.minimum(best[n], cost[m] + w[n], out=best[n])
+        best[[0, -1]], best[:, [0, -1]] = cost[[0, -1]], cost[:, [0, -1]]
+        if not (best < cost).any():
+            return cost
+        cost = best
+
+
+def patches_of(grid: DataFrame, side: int = PATCH) -> DataFrame:
+    """grid (area, r, c, z, ok, tree, shrub) as tiles (area, tr, tc, z, ok, tree, shrub): arrays of side + 4 cells each way, a rim of two around the tile; what isn't there is NaN."""
+    t = lambda x: F.floor(x / side).cast("int")
+    dealt = grid.select("area", "r", "c", "z", "ok", "tree", "shrub").withColumn("tr", F.explode(F.sequence(t(F.col("r") - 2), t(F.col("r") + 2)))).withColumn("tc", F.explode(F.sequence(t(F.col("c") - 2), t(F.col("c") + 2))))
+
+    def pack(key, cells: pd.DataFrame) -> pd.DataFrame:
+        at = (cells.r - key[1] * side + 2, cells.c - key[2] * side + 2)
+        layers = {n: np.full((side + 4, side + 4), np.nan) for n in ("z", "ok", "tree", "shrub")}
+        for n, a in layers.items():
+            a[at] = cells[n].astype(float)
+        return pd.DataFrame({"area": [key[0]], "tr": [key[1]], "tc": [key[2]], **{n: [a.ravel()] for n, a in layers.items()}})
+
+    kind = grid.schema["area"].dataType.simpleString()
+    return dealt.groupBy("area", "tr", "tc").applyInPandas(pack, f"area {kind}, tr int, tc int, z array<double>, ok array<double>, tree array<double>, shrub array<double>")
+
+
+def cost_surfaces(scenarios: DataFrame, grid: DataFrame, res: float, max_slope: float = 30.0, side: int = PATCH) -> DataFrame:
+    """(scenario, tr, tc, cost) for scenarios (scenario, area, tr, tc: the cell searched from; ws, wt, wb, wg, or NULL ws for plain connectors): least costs of every tile that is reached, infinite where a cell isn't.
+
+    A task settles one tile of one scenario; costs that fell on a tile's edge go to the tiles beside it, which
+    settle again. The search ends when no edge improves, so rounds follow the tiles that paths cross, and no
+    task holds more than a tile, however large an area is.
+    """
+    tiles = cut(patches_of(grid, side))
+    key = ["scenario", "tr", "tc"]
+    t = lambda x: F.floor(x / side).cast("int")
+    asked = scenarios.select("scenario", "area", "ws", "wt", "wb", "wg")
+    news = scenarios.select("scenario", t(F.col("tr")).alias("tr"), t(F.col("tc")).alias("tc"), F.col("tr").alias("r"), F.col("tc").alias("c"), F.lit(0.0).alias("cost"))
+
+    def relax(key, came: pd.DataFrame, work: pd.DataFrame) -> pd.DataFrame:
+        if not len(work) or not len(came):
+            return pd.DataFrame({"scenario": [], "tr": [], "tc": [], "cost": [], "sent": []})
+        w = work.iloc[0]
+        whole = {n: np.asarray(w[n]).reshape(side + 4, side + 4) for n in ("z", "ok", "tree", "shrub")}
+        weights = None if pd.isna(w.ws) else (w.ws, w.wt, w.wb, w.wg)
+        steps = step_costs(whole["z"], whole["ok"], whole["tree"], whole["shrub"], res, weights, max_slope)
+        cost = np.full((side + 2, side + 2), np.inf)
+        old = np.full((side, side), np.inf) if w.cost is None else np.asarray(w.cost).reshape(side, side)
+        cost[1:-1, 1:-1] = old
+        open_ = (whole["ok"] == 1) & np.isfinite(whole["z"])
+        at = (came.r.to_numpy() - key[1] * side + 1, came.c.to_numpy() - key[2] * side + 1)
+        np.minimum.at(cost, at, np.where(open_[at[0] + 1, at[1] + 1], came.cost.to_numpy(), np.inf))
+        new = settle(cost, steps)[1:-1, 1:-1]
+        rim = np.zeros((side, side), bool)
+        rim[[0, -1]], rim[:, [0, -1]] = True, True
+        r, c = np.nonzero(rim & (new < old))
+        sent = [{"r": int(i + key[1] * side), "c": int(j + key[2] * side), "cost": float(new[i, j])} for i, j in zip(r, c)]
+        return pd.DataFrame({"scenario": [key[0]], "tr": [key[1]], "tc": [key[2]], "cost": [new.ravel()], "sent": [sent]})
+
+    state = None
+    done = 0
+    while True:
+        work = news.select(*key).distinct().join(asked, "scenario").join(tiles, ["area", "tr", "tc"])
+        work = work.join(state, key, "left") if state is not None else work.withColumn("cost", F.lit(None).cast("array<double>"))
+        out = cut(news.groupBy(*key).cogroup(work.withColumnsRenamed({k: f"of_{k}" for k in key}).groupBy(*(f"of_{k}" for k in key))).applyInPandas(relax, "scenario string, tr int, tc int, cost array<double>, sent array<struct<r: int, c: int, cost: double>>"))
+        fresh = out.select(*key, "cost")
+        state = fresh if state is None else state.join(fresh.select(*key), key, "left_anti").union(fresh)
+        done += 1
+        if done % 4 == 0:
+            state = cut(state)
+        edge = out.select(*key, F.explode("sent").alias("x")).select(*key, "x.*")
+        if not edge.take(1):
+            return state
+        beside = edge.withColumn("nr", F.explode(F.array_distinct(F.array(t(F.col("r") - 1), t(F.col("r") + 1))))).withColumn("nc", F.explode(F.array_distinct(F.array(t(F.col("c") - 1), t(F.col("c") + 1)))))
+        news = beside.where("nr <> tr or nc <> tc").select("scenario", F.col("nr").alias("tr"), F.col("nc").alias("tc"), "r", "c", "cost")
+
+
+def approaches(scenarios: DataFrame, grid: DataFrame, starts: DataFrame, res: float, max_slope: float = 30.0, side: int = PATCH) -> DataFrame:
+    """(scenario, start, cost) for scenarios (scenario, area, tr, tc, ws, wt, wb, wg) over grid (area, r, c, z, ok, tree, shrub) and starts (area, start, r, c); NULL where a start isn't reached."""
+    state = cost_surfaces(scenarios, grid, res, max_slope, side)
+    t = lambda x: F.floor(x / side).cast("int")
+    asked = starts.select("area", "start", "r", "c").join(scenarios.select("scenario", "area"), "area").withColumn("tr", t(F.col("r"))).withColumn("tc", t(F.col("c")))
+    cost = F.get("cost", ((F.col("r") - F.col("tr") * side) * side + F.col("c") - F.col("tc") * side).cast("int"))
+    return asked.join(state, ["scenario", "tr", "tc"], "left").select("scenario", "start", F.when(cost < float("inf"), cost).alias("cost"))
+
+
+def connectors(pairs: DataFrame, grid: DataFrame, res: float, max_slope: float = 30.0, side: int = PATCH) -> DataFrame:
+    """(id, cost) of the least-cost walk between two cells: pairs (id, area, r0, c0, r1, c1); length priced by one plus the square of the slope over 15 degrees, over cells and steps within the limit."""
+    from_ = pairs.select(F.col("id").cast("string").alias("scenario"), "area", F.col("r0").alias("tr"), F.col("c0").alias("tc"), *(F.lit(None).cast("double").alias(w) for w in ("ws", "wt", "wb", "wg")))
+    state = cost_surfaces(from_, grid.select("area", "r", "c", "z", "ok", F.lit(0.0).alias("tree"), F.lit(0.0).alias("shrub")), res, max_slope, side)
+    t = lambda x: F.floor(x / side).cast("int")
+    to = pairs.select("id", F.col("id").cast("string").alias("scenario"), t(F.col("r1")).alias("tr"), t(F.col("c1")).alias("tc"), (F.pmod("r1", F.lit(side)) * side + F.pmod("c1", F.lit(side))).cast("int").alias("at"))
+    cost = F.get("cost", F.col("at"))
+    return to.join(state, ["scenario", "tr", "tc"], "left").select("id", F.when(cost < float("inf"), cost).alias("cost"))
+
+
+def solved(costs: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Objectives solved: costs (objective, start, cost) of approaches and mapped (start, cost) of the ways to each departure: the cheapest departure of every objective, ties by name; objectives that choose the same departure at the same approach share a row (start, objectives, cost)."""
+    both = costs.join(mapped.select("start", F.col("cost").alias("way")), "start").where("cost is not null and way is not null")
+    best = both.groupBy("objective").agg(F.min(F.struct((F.col("cost") + F.col("way")).alias("cost"), "start")).alias("m")).select("objective", "m.start", "m.cost")
+    return best.groupBy("start").agg(F.array_sort(F.collect_list("objective")).alias("objectives"), F.min("cost").alias("cost"))
+
+
+#: Least weights of tree and shrub under brush avoidance.
+BRUSH = 3.0
+
+
+def objectives(spark, weights: tuple[float, float, float, float]) -> DataFrame:
+    """(objective, ws, wt, wb, wg): as asked, by distance alone, and keeping away from brush."""
+    ws, wt, wb, wg = map(float, weights)
+    return spark.createDataFrame([("Recommended", ws, wt, wb, wg), ("Shortest distance", 0.0, 0.0, 0.0, 0.0), ("Brush avoidance", ws, max(BRUSH, wt), max(BRUSH, wb), wg)], "objective string, ws double, wt double, wb double, wg double")
+
+
+def inserted_vertices(ends: DataFrame, segments: DataFrame, tolerance: float = 5.0, detour: float = 2.0) -> DataFrame:
+    """(record, k, x, y, at) of junctions to insert into segments (record, k, ax, ay, bx, by, rid, name): where ends (record, x, y, rid, name) of other records project onto the record's nearest segment within the tolerance, by equal ids, equal names, or within `detour` metres by names that differ in DETOUR alone; `at` is the distance along the segment."""
+    b = lambda v: F.floor(v / tolerance).cast("long")
+    e = ends.select(F.col("record").alias("r1"), F.col("x").alias("px"), F.col("y").alias("py"), route_id(F.col("rid")).alias("i1"), route_name(F.col("name")).alias("n1"))
+    e = e.withColumn("bi", b(F.col("px"))).withColumn("bj", b(F.col("py")))
+    s = segments.select("record", "k", "ax", "ay", "bx", "by", route_id(F.col("rid")).alias("i2"), route_name(F.col("name")).alias("n2"))
+    s = s.withColumn("bi", F.explode(F.sequence(b(F.least("ax", "bx") - tolerance), b(F.greatest("ax", "bx") + tolerance)))).withColumn("bj", F.explode(F.sequence(b(F.least("ay", "by") - tolerance), b(F.greatest("ay", "by") + tolerance))))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("ax")) * dx + (F.col("py") - F.col("ay")) * dy) / F.greatest(dx * dx + dy * dy, F.lit(1e-18))))
+    j = e.join(s, ["bi", "bj"]).where("r1 <> record").withColumn("t", t).withColumn("x", F.col("ax") + F.col("t") * dx).withColumn("y", F.col("ay") + F.col("t") * dy).withColumn("at", F.col("t") * F.sqrt(dx * dx + dy * dy))
+    j = j.withColumn("gap", F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2)).where(F.col("gap") <= tolerance)
+    less = lambda n: F.replace(n, F.lit(" DETOUR"), F.lit(""))
+    same = ((F.col("i1") != "") & (F.col("i1") == F.col("i2"))) | ((F.col("n1") != "") & ((F.col("n1") == F.col("n2")) | ((less(F.col("n1")) == less(F.col("n2"))) & (F.col("gap") <= detour))))
+    best = j.where(same).groupBy("r1", "px", "py", "record").agg(F.min(F.struct("gap", "k", "x", "y", "at")).alias("m"))
+    return best.select("record", "m.k", "m.x", "m.y", "m.at").distinct()
+
+
+def with_evidence(roads: DataFrame, evidence: DataFrame, first, last) -> DataFrame:
+    """roads (record, rid, ...) with motor: whether an evidence row (rid, vehicle, season) of the same id is open for all dates, and how many rows it has; roads without evidence stay, unopened."""
+    open_ = (F.col("vehicle") == "open") & season_covers(F.col("season"), first, last)
+    g = evidence.groupBy(F.col("rid").alias("__rid")).agg(F.bool_or(F.coalesce(open_, F.lit(False))).alias("motor"), F.count("*").alias("evidence"))
+    return roads.join(g, F.col("rid") == F.col("__rid"), "left").drop("__rid").withColumn("motor", F.coalesce("motor", F.lit(False))).withColumn("evidence", F.coalesce("evidence", F.lit(0)))
 
 
 def departures(segments: DataFrame, target: tuple[float, float], reach: float = 1609.344, step: float = 20.0) -> DataFrame:

@@ -41,6 +41,32 @@ def habitat_order(df: DataFrame) -> DataFrame:
     return ranked(df, [F.col("effective").desc_nulls_last(), F.col("matching").desc(), F.col("visible").desc(), F.col("id")])
 
 
+#: Classes of foreground cover, in order.
+COVER_ORDER = ("low mapped tree cover", "other known cover", "insufficient coverage")
+
+
+def three_mode_rank(df: DataFrame) -> DataFrame:
+    """Rank of candidates (id, raw, and the columns of their mode): by habitat where df has `effective`, else by matching area where it has `matching`, else by foreground class (`foreground`); then by more area in sight, then by id."""
+    if "effective" in df.columns:
+        return habitat_order(df.withColumnRenamed("raw", "visible")).withColumnRenamed("visible", "raw")
+    if "matching" in df.columns:
+        return ranked(df, [F.desc("matching"), F.desc("raw"), F.col("id")])
+    place = F.array_position(F.array(*(F.lit(c) for c in COVER_ORDER)), F.col("foreground"))
+    return ranked(df, [place, F.desc("raw"), F.col("id")])
+
+
+def filter_order(df: DataFrame) -> DataFrame:
+    """Rank of filter results (id, qualifies, matching, original): those that qualify first."""
+    return ranked(df, [F.col("qualifies").desc(), F.desc("matching"), F.desc("original"), F.col("id")])
+
+
+def two_orderings(now: DataFrame, history: DataFrame) -> DataFrame:
+    """now (id, matching, raw) with established_rank among the rows of today and historical_rank among all rows of the run (id, matching, raw), where no matching area counts as all in sight."""
+    a = ranked(now, [F.desc("matching"), F.desc("raw"), F.col("id")], "established_rank")
+    b = ranked(history, [F.coalesce("matching", "raw").desc(), F.desc("raw"), F.col("id")], "historical_rank").select("id", "historical_rank")
+    return a.join(b, "id", "left")
+
+
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """Ranks from 1, ties sharing their mean: counts of each value alone are ordered."""
     counts = df.groupBy(value).agg(F.count("*").alias("__n"))

@@ -13,10 +13,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.terrain import EARTH, TILE, tiles
+from ..sources.terrain import EARTH, TILE, corner_triangles, tiles
 
 CURVATURE = 6 / 7
 
@@ -58,56 +58,162 @@ def banded(visible: DataFrame, res: float, by: str = "id") -> DataFrame:
     return visible.groupBy(by).agg((F.count("*") * a).alias("area_km2"), (band(0, 1000) + F.sum(F.when(F.col("d") == 0, a).otherwise(0.0))).alias("band_1km"), band(1000, 2000).alias("band_2km"), band(2000, 3000).alias("band_3km"))
 
 
-def _window(z: np.ndarray, r0: int, c0: int, radius: float, res: float, eye: float, target: float, curvature: float):
-    """(rows, columns, distances) of the visible cells of one window; rays of equal length go together."""
+#: Cells of a ray sample chunk, every how many samples a ray is tried first, and seats that share a task's window.
+CHUNK, COARSE, SEATS = 1 << 21, 8, 64
+
+
+def _seen(z: np.ndarray, seats: np.ndarray, radius: float, res: float, eye: float, target: float, curvature: float) -> list[np.ndarray]:
+    """(rows, columns, distances) of the visible cells of each seat (row, column) in one height window.
+
+    Offsets, weights and curvature of a ray are the same for every seat, so they are made once for a chunk of
+    rays of equal length. Each seat tries every COARSE-th sample first: most hidden rays fail there, and
+    the others are looked at in full.
+    """
     n = math.ceil(radius / res)
     dr, dc = (a.ravel() for a in np.mgrid[-n : n + 1, -n : n + 1])
     far = np.hypot(dr, dc)
-    ok = (far * res <= radius) & (r0 + dr >= 0) & (r0 + dr < z.shape[0]) & (c0 + dc >= 0) & (c0 + dc < z.shape[1])
-    dr, dc, far = dr[ok], dc[ok], far[ok]
-    known = np.isfinite(z[r0 + dr, c0 + dc])
-    dr, dc, far = dr[known], dc[known], far[known]
+    keep = far * res <= radius
+    dr, dc, far = dr[keep], dc[keep], far[keep]
     steps = np.maximum(3, (far * 4).astype(int))
     drop = curvature / (2 * EARTH)
-    seen = far == 0
-    order = np.argsort(steps, kind="stable")
-    edges = np.flatnonzero(np.r_[True, np.diff(steps[order]) > 0, True])
     rows, cols = z.shape
-    for a, b in zip(edges[:-1], edges[1:]):
-        k = order[a:b]
-        t = (np.arange(1, steps[k[0]]) / steps[k[0]])[:, None]
-        pr, pc = r0 + t * dr[k], c0 + t * dc[k]
-        i, j = np.floor(pr).astype(int), np.floor(pc).astype(int)
+    wide = np.pad(z, ((0, 1), (0, 1)), "edge")  # a sample on the last row or column has no weight beyond it
+    flat, step = wide.ravel(), cols + 1
+    seen = [far == 0 for _ in seats]
+    there = [(r0 + dr >= 0) & (r0 + dr < rows) & (c0 + dc >= 0) & (c0 + dc < cols) for r0, c0 in seats]
+    order = np.argsort(steps, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(steps[order]) > 0, True])
+
+    def clear(k: np.ndarray, t: np.ndarray, seats_of: list[tuple[int, np.ndarray]]) -> None:
+        """For each (seat, which of the rays k): keep those whose samples t all lie under the line."""
+        pr, pc = t[:, None] * dr[k], t[:, None] * dc[k]
+        i, j = np.floor(pr), np.floor(pc)
         fr, fc = pr - i, pc - j
-        i1, j1 = np.minimum(i + 1, rows - 1), np.minimum(j + 1, cols - 1)
-        ground = z[i, j] * (1 - fr) * (1 - fc) + z[i, j1] * (1 - fr) * fc + z[i1, j] * fr * (1 - fc) + z[i1, j1] * fr * fc
+        at = (i * step + j).astype(np.int64)
+        w = (1 - fr) * (1 - fc), (1 - fr) * fc, fr * (1 - fc), fr * fc
         d = far[k] * res
-        line = (z[r0, c0] + eye) * (1 - t) + (z[r0 + dr[k], c0 + dc[k]] + target - drop * d**2) * t + drop * (t * d) ** 2
-        seen[k] |= (line - ground).min(axis=0) >= 0
-    return r0 + dr[seen], c0 + dc[seen], far[seen] * res
+        bend = drop * (t[:, None] * d) ** 2 - drop * d**2 * t[:, None]
+        for s, use in seats_of:
+            r0, c0 = seats[s]
+            a = at[:, use] + (r0 * step + c0)
+            ground = flat[a] * w[0][:, use] + flat[a + 1] * w[1][:, use] + flat[a + step] * w[2][:, use] + flat[a + step + 1] * w[3][:, use]
+            ends = z[r0 + dr[k[use]], c0 + dc[k[use]]] + target
+            line = (z[r0, c0] + eye) * (1 - t[:, None]) + ends * t[:, None] + bend[:, use]
+            seen[s][k[use]] = (line - ground).min(axis=0) >= 0
+
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        n_steps = int(steps[order[a]])
+        t = np.arange(1, n_steps) / n_steps
+        size = max(1, CHUNK // n_steps)
+        for lo in range(a, b, size):
+            k = order[lo : min(b, lo + size)]
+            k = k[far[k] > 0]
+            first = [(s, np.flatnonzero(there[s][k])) for s in range(len(seats))]
+            if len(t) < 3 * COARSE:
+                clear(k, t, first)
+                continue
+            clear(k, t[::COARSE], first)
+            for s, _ in first:
+                left = k[seen[s][k]]
+                if len(left):
+                    clear(left, t, [(s, np.arange(len(left)))])
+    out = []
+    for s, (r0, c0) in enumerate(seats):
+        hit = seen[s] & there[s]
+        hit[hit] = np.isfinite(z[r0 + dr[hit], c0 + dc[hit]])
+        out.append((r0 + dr[hit], c0 + dc[hit], far[hit] * res))
+    return out
 
 
 def viewsheds(candidates: DataFrame, grid: DataFrame, radius: float, res: float, eye: float, target: float, curvature: float = CURVATURE, tile: int = TILE) -> DataFrame:
-    """(id, r, c, d) of visible cells of candidates (id, r0, c0). Each candidate's group holds the tiles of its window alone."""
+    """(id, r, c, d) of visible cells of candidates (id, r0, c0).
+
+    Near candidates share a task and its window: a group is a block of cells as wide as the radius, or part
+    of its candidates where there are many, and is sent the tiles that its windows touch once, as arrays.
+    """
     n = math.ceil(radius / res) + 1
+    side = -(-n // tile) * tile
     t = lambda x: F.floor(x / tile).cast("int")
-    asked = candidates.select("id", "r0", "c0").withColumn("tr", F.explode(F.sequence(t(F.col("r0") - n), t(F.col("r0") + n)))).withColumn("tc", F.explode(F.sequence(t(F.col("c0") - n), t(F.col("c0") + n))))
-    sent = asked.join(tiles(grid, size=tile), ["tr", "tc"])
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(group.r0.iloc[0]), int(group.c0.iloc[0])
-        at_r, at_c = int(group.tr.min()) * tile, int(group.tc.min()) * tile
-        z = np.full(((int(group.tr.max()) + 1) * tile - at_r, (int(group.tc.max()) + 1) * tile - at_c), np.nan)
-        for tr, tc, cells in zip(group.tr, group.tc, group.cells):
-            p = np.array([x["p"] for x in cells])
-            z[tr * tile - at_r + p // tile, tc * tile - at_c + p % tile] = [np.nan if x["v"] is None else x["v"] for x in cells]
+    seats = candidates.select("id", "r0", "c0").withColumn("br", F.floor(F.col("r0") / side).cast("int")).withColumn("bc", F.floor(F.col("c0") / side).cast("int"))
+    parts = seats.groupBy("br", "bc").agg(F.ceil(F.count("*") / F.lit(SEATS)).alias("parts"))
+    seats = seats.join(parts, ["br", "bc"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    group = seats.groupBy("br", "bc", "part").agg(F.min("r0").alias("r_lo"), F.max("r0").alias("r_hi"), F.min("c0").alias("c_lo"), F.max("c0").alias("c_hi"))
+    asked = group.withColumn("tr", F.explode(F.sequence(t(F.col("r_lo") - n), t(F.col("r_hi") + n)))).withColumn("tc", F.explode(F.sequence(t(F.col("c_lo") - n), t(F.col("c_hi") + n))))
+    sent = asked.join(tiles(grid, size=tile), ["tr", "tc"]).select(F.col("br").alias("gr"), F.col("bc").alias("gc"), F.col("part").alias("gp"), "tr", "tc", "p", "v")
+    kind = candidates.schema["id"].dataType.simpleString()
+
+    def one(key, here: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"id": pd.Series([], dtype=object), "r": [], "c": [], "d": []})
+        if not len(here) or not len(ground):
+            return none
+        at_r, at_c = int(ground.tr.min()) * tile, int(ground.tc.min()) * tile
+        z = np.full(((int(ground.tr.max()) + 1) * tile - at_r, (int(ground.tc.max()) + 1) * tile - at_c), np.nan)
+        for tr, tc, p, v in zip(ground.tr, ground.tc, ground.p, ground.v):
+            z[tr * tile - at_r + p // tile, tc * tile - at_c + p % tile] = v
         have = np.isfinite(z)
+        if not have.any():
+            return none
         z = z[: np.flatnonzero(have.any(axis=1)).max() + 1, : np.flatnonzero(have.any(axis=0)).max() + 1]
-        r, c, d = _window(z, r0 - at_r, c0 - at_c, radius, res, eye, target, curvature)
-        return pd.DataFrame({"id": group.id.iloc[0], "r": (r + at_r).astype("int32"), "c": (c + at_c).astype("int32"), "d": d})
+        places = np.stack([here.r0 - at_r, here.c0 - at_c], axis=1).astype(int)
+        inside = (places >= 0).all(axis=1) & (places < z.shape).all(axis=1)
+        ids, places = here.id[inside], places[inside]
+        found = _seen(z, places, radius, res, eye, target, curvature)
+        sizes = [len(r) for r, _, _ in found]
+        r, c, d = (np.concatenate([np.zeros(0), *part]) for part in zip(*found)) if found else (np.zeros(0),) * 3
+        return pd.DataFrame({"id": np.repeat(ids.to_numpy(), sizes), "r": (r + at_r).astype("int32"), "c": (c + at_c).astype("int32"), "d": d})
+
+    return seats.groupBy("br", "bc", "part").cogroup(sent.groupBy("gr", "gc", "gp")).applyInPandas(one, f"id {kind}, r int, c int, d double")
+
+
+def whole_masks(visible: DataFrame, targets: DataFrame, claimed: DataFrame, area: float) -> DataFrame:
+    """(id, r, c) of visible cells (id, r, c) that are targets (r, c), with the area that was claimed for each id (id, km2) held against it: an id whose cells come to another area raises."""
+    inside = visible.join(targets.select("r", "c").distinct(), ["r", "c"], "left_semi")
+    size = claimed.join(inside.groupBy("id").agg((F.count("*") * area).alias("__km2")), "id", "left")
+    off = F.abs(F.coalesce("__km2", F.lit(0.0)) - F.col("km2")) > 1e-9
+    sound = size.where(F.when(off, F.raise_error(F.concat(F.lit("area differs: "), F.col("id").cast("string"))).cast("boolean")).otherwise(True)).select("id")
+    return inside.join(sound, "id")
 
-    kind = candidates.schema["id"].dataType.simpleString()
-    return sent.groupBy("id").applyInPandas(one, f"id {kind}, r int, c int, d double")
+
+def crossings(pairs: DataFrame, grid: DataFrame, rows: int, cols: int, res: float, eye: float, target: float, curvature: float = CURVATURE, near: float = 0.05) -> DataFrame:
+    """pairs (id, r0, c0, r, c) held against the triangles between cell centres at every place where the ray crosses a row, a column or a diagonal: between two crossings the ground is straight, so no rise is missed.
+
+    (id, clearance, first_t, borderline, complete): the least clearance, the first t that is under ground, whether
+    the clearance lies within `near` metres of none, and whether all heights are known.
+    """
+    ends = pairs.join(grid.select(F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("z").alias("z0")), ["r0", "c0"]).join(grid.select("r", "c", F.col("z").alias("z1")), ["r", "c"])
+    ends = ends.withColumn("d", F.sqrt((F.col("r") - F.col("r0")) ** 2 + (F.col("c") - F.col("c0")) ** 2) * res).where("d > 0")
+
+    def between(a, b):  # t of the whole numbers strictly between a and b
+        lo, hi = F.least(a, b), F.greatest(a, b)
+        inner = F.when(hi - lo > 1, F.sequence(lo + 1, hi - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(inner, lambda v: (v - a) / (b - a))
+
+    lines = F.concat(between(F.col("r0"), F.col("r")), between(F.col("c0"), F.col("c")), between(F.col("c0") - F.col("r0"), F.col("c") - F.col("r")))
+    s = ends.withColumn("t", F.explode(F.array_distinct(F.transform(lines, lambda t: F.round(t, 12)))))
+    s = s.select("id", "d", "z0", "z1", "t", (F.col("r0") + F.col("t") * (F.col("r") - F.col("r0"))).alias("pr"), (F.col("c0") + F.col("t") * (F.col("c") - F.col("c0"))).alias("pc"))
+    snap = lambda v: F.when(F.abs(v - F.round(v)) < 1e-9, F.round(v)).otherwise(v)
+    s = s.withColumn("pr", snap(F.col("pr"))).withColumn("pc", snap(F.col("pc"))).withColumn("ray", F.col("id")).withColumn("id", F.struct("ray", "t"))
+    drop = curvature / (2 * EARTH)
+    line = (F.col("z0") + eye) * (1 - F.col("t")) + (F.col("z1") + target - drop * F.col("d") ** 2) * F.col("t") + drop * (F.col("t") * F.col("d")) ** 2
+    g = corner_triangles(grid, s, rows, cols).withColumn("gap", line - F.col("z"))
+    out = g.groupBy(F.col("ray").alias("id")).agg(F.min("gap").alias("clearance"), F.min(F.when(F.col("gap") < 0, F.col("t"))).alias("first_t"), F.bool_and(F.col("z").isNotNull()).alias("complete"))
+    out = ends.select("id").join(out, "id", "left")
+    return out.select("id", "clearance", "first_t", F.coalesce(F.abs("clearance") <= near, F.lit(False)).alias("borderline"), F.coalesce("complete", F.lit(True)).alias("complete"))
+
+
+#: Sides of inferred vegetation by scenario, in metres.
+VEGETATION_SIDES = {"sparse": 1.0, "medium": 1.5, "dense": 2.0}
+
+
+def vegetation_scenarios(centres: DataFrame, segments: DataFrame) -> DataFrame:
+    """`slab_hits` of the same centres (area, x, y, z) at each scenario's side; a fixed list of three, segments without hits included."""
+    sides = F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(s).alias("side")) for n, s in VEGETATION_SIDES.items()))
+    key = lambda df: df.withColumn("x_", F.explode(sides)).withColumn("area", F.struct(F.col("area"), F.col("x_.scenario").alias("scenario")))
+    boxes = key(centres).withColumn("side", F.col("x_.side")).drop("x_")
+    asked = key(segments).drop("x_").withColumn("id", F.struct(F.col("id"), F.col("area.scenario").alias("scenario")))
+    found = slab_hits(boxes, asked)
+    out = asked.select("id").join(found, "id", "left")
+    return out.select("id.id", "id.scenario", F.coalesce("hits", F.lit(0)).alias("hits"), "first_t", F.coalesce("starts_inside", F.lit(False)).alias("starts_inside"), F.coalesce("ends_inside", F.lit(False)).alias("ends_inside"))
 
 
 def cover_rays(pairs: DataFrame, grid: DataFrame, rows: int, cols: int, res: float, eye: float, target: float, canopy: float, threshold: float = 0.2, curvature: float = CURVATURE) -> DataFrame:
@@ -131,9 +237,29 @@ def cover_rays(pairs: DataFrame, grid: DataFrame, rows: int, cols: int, res: flo
     return g.groupBy("id", "r", "c").agg(F.bool_or(hit & (near > 30) & (last > 30)).alias("blocked"), F.bool_or(hit & (near <= 30)).alias("foreground"), F.bool_or(F.col("tree").isNull()).alias("unknown"))
 
 
-def slab_hits(boxes: DataFrame, segments: DataFrame) -> DataFrame:
-    """segments (id, area, x0..z1) against axis-parallel boxes (area, x, y, z: centres, side): hits, first entry along the segment, whether either end lies inside."""
-    pairs = segments.join(boxes, "area")
+def _met(left: DataFrame, right: DataFrame, spans: dict[str, tuple[Column, Column, Column, Column]], bucket: float | None) -> DataFrame:
+    """left x right of equal area whose ranges can touch: with a bucket width both go to the buckets they span on each axis, and a pair counts in the first bucket that both span. spans: axis -> (left low, left high, right low, right high)."""
+    if bucket is None:
+        return left.join(right, "area")
+    b = lambda v: F.floor(v / bucket).cast("long")
+    keys, firsts = ["area"], []
+    for axis, (l0, l1, r0, r1) in spans.items():
+        k, lo, ro = f"__k{axis}", f"__l{axis}", f"__r{axis}"
+        left = left.withColumn(lo, b(l0)).withColumn(k, F.explode(F.sequence(F.col(lo), b(l1))))
+        right = right.withColumn(ro, b(r0)).withColumn(k, F.explode(F.sequence(F.col(ro), b(r1))))
+        keys.append(k)
+        firsts += [(k, lo, ro)]
+    out = left.join(right, keys)
+    for k, lo, ro in firsts:
+        out = out.where(F.col(k) == F.greatest(lo, ro))
+    return out.drop(*(c for f in firsts for c in f))
+
+
+def slab_hits(boxes: DataFrame, segments: DataFrame, bucket: float | None = None) -> DataFrame:
+    """segments (id, area, x0..z1) against axis-parallel boxes (area, x, y, z: centres, side): hits, first entry along the segment, whether either end lies inside. With a bucket width, only those meet that share a bucket in x and y."""
+    half = F.col("side") / 2
+    spans = {a: (F.least(f"{a}0", f"{a}1"), F.greatest(f"{a}0", f"{a}1"), F.col(a) - half, F.col(a) + half) for a in "xy"}
+    pairs = _met(segments, boxes, spans, bucket)
     enter, leave = F.lit(float("-inf")), F.lit(float("inf"))
     miss = F.lit(False)
     for a in "xyz":
@@ -148,9 +274,10 @@ def slab_hits(boxes: DataFrame, segments: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.count("*").alias("hits"), F.min(F.greatest(F.col("enter"), F.lit(0.0))).alias("first_t"), F.bool_or((F.col("enter") <= 0)).alias("starts_inside"), F.bool_or((F.col("leave") >= 1)).alias("ends_inside"))
 
 
-def triangle_hits(triangles: DataFrame, segments: DataFrame) -> DataFrame:
-    """Segments (id, area, ox..dz: origin and direction) against triangles (area, ax..cz): number of distinct crossings and the first, by signed volumes."""
-    p = segments.join(triangles, "area")
+def triangle_hits(triangles: DataFrame, segments: DataFrame, bucket: float | None = None) -> DataFrame:
+    """Segments (id, area, ox..dz: origin and direction) against triangles (area, ax..cz): number of distinct crossings and the first, by signed volumes. With a bucket width, only those meet that share a bucket in x and y."""
+    spans = {a: (F.least(F.col(f"o{a}"), F.col(f"o{a}") + F.col(f"d{a}")), F.greatest(F.col(f"o{a}"), F.col(f"o{a}") + F.col(f"d{a}")), F.least(f"a{a}", f"b{a}", f"c{a}"), F.greatest(f"a{a}", f"b{a}", f"c{a}")) for a in "xy"}
+    p = _met(segments, triangles, spans, bucket)
     v = lambda a, b: [F.col(f"{b}{k}") - F.col(f"{a}{k}") for k in "xyz"]
     cross = lambda u, w: [u[1] * w[2] - u[2] * w[1], u[2] * w[0] - u[0] * w[2], u[0] * w[1] - u[1] * w[0]]
     dot = lambda u, w: u[0] * w[0] + u[1] * w[1] + u[2] * w[2]

@@ -90,14 +90,38 @@ def sample_bilinear(grid: DataFrame, points: DataFrame, rows: int, cols: int) ->
     return asked.join(grid.select("r", "c", "z"), ["r", "c"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("z")).alias("z"))
 
 
-def sample_nearest(grid: DataFrame, points: DataFrame, x0: float, y0: float, res: float) -> DataFrame:
-    """points (id, x, y) with the value of the cell that holds them; points outside the grid are left out."""
+def sample_nearest(grid: DataFrame, points: DataFrame, x0: float, y0: float, res: float, outside: str = "drop") -> DataFrame:
+    """points (id, x, y) with the value of the cell that holds them; points outside the grid are left out, or raise with outside="error"."""
     r, c = cell_of(F.col("x"), F.col("y"), x0, y0, res)
-    return points.withColumn("r", r).withColumn("c", c).join(grid, ["r", "c"])
+    asked = points.withColumn("r", r).withColumn("c", c)
+    if outside != "error":
+        return asked.join(grid, ["r", "c"])
+    held = asked.join(grid.withColumn("__in", F.lit(True)), ["r", "c"], "left")
+    return held.where(F.coalesce("__in", F.raise_error(F.concat(F.lit("outside the grid: "), F.col("id").cast("string"))).cast("boolean"))).drop("__in")
+
+
+def cell_cut(x: Column, y: Column, x0: float, y0: float, res: float) -> tuple[Column, Column]:
+    """(row, column) by cutting towards zero: unlike `cell_of`, points up to a cell above or left of the grid fall into its first row or column."""
+    return ((y0 - y) / res).cast("int"), ((x - x0) / res).cast("int")
+
+
+def corner_triangles(grid: DataFrame, points: DataFrame, rows: int, cols: int) -> DataFrame:
+    """points (id, pr, pc) with z on the two triangles of each square of cell centres, cut along the diagonal from its first corner; NULL outside, or where a corner of the triangle is unknown: nothing bridges it."""
+    r, c = F.least(F.greatest(F.floor("pr"), F.lit(0)), F.lit(rows - 2)).cast("int"), F.least(F.greatest(F.floor("pc"), F.lit(0)), F.lit(cols - 2)).cast("int")
+    p = points.withColumn("__r", r).withColumn("__c", c)
+    at = F.array(*(F.struct((F.col("__r") + i).alias("r"), (F.col("__c") + j).alias("c"), F.lit(n).alias("n")) for i, j, n in ((0, 0, "a"), (0, 1, "b"), (1, 0, "d"), (1, 1, "e"))))
+    seen = p.select("id", F.explode(at).alias("k")).select("id", "k.*").join(grid.select("r", "c", "z"), ["r", "c"])
+    four = seen.groupBy("id").agg(*(F.max(F.when(F.col("n") == n, F.col("z"))).alias(n) for n in "abde"))
+    fr, fc = F.col("pr") - F.col("__r"), F.col("pc") - F.col("__c")
+    inside = (F.col("pr") >= 0) & (F.col("pc") >= 0) & (F.col("pr") <= rows - 1) & (F.col("pc") <= cols - 1)
+    above = F.col("a") * (1 - fc) + F.col("b") * (fc - fr) + F.col("e") * fr
+    below = F.col("a") * (1 - fr) + F.col("e") * fc + F.col("d") * (fr - fc)
+    return p.join(four, "id", "left").withColumn("z", F.when(inside, F.when(fr <= fc, above).otherwise(below))).drop("__r", "__c", *"abde")
 
 
 def tiles(grid: DataFrame, value: str = "z", size: int = TILE) -> DataFrame:
-    """(tr, tc, cells): each tile's (position, value) pairs, position = row * size + column in the tile."""
+    """(tr, tc, p, v): each tile's positions (row * size + column in the tile) and values, as two arrays."""
     at = (F.col("r") % size) * size + F.col("c") % size
     by = grid.groupBy((F.col("r") / size).cast("int").alias("tr"), (F.col("c") / size).cast("int").alias("tc"))
-    return by.agg(F.collect_list(F.struct(at.cast("int").alias("p"), F.col(value).cast("double").alias("v"))).alias("cells"))
+    held = by.agg(F.collect_list(F.struct(at.cast("int").alias("p"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v"))).alias("x"))
+    return held.select("tr", "tc", F.col("x.p").alias("p"), F.col("x.v").alias("v"))

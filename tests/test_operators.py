@@ -139,27 +139,94 @@ def test_refined_goes_round_the_leaders(spark):
     assert [r.id for r in out] == [f"R{i:04d}" for i in range(1, 7)] and [r.parent for r in out[:4]] == ["C1", "C2", "C1", "C2"]
 
 
-def test_approach_costs_equal_relaxation():
-    rng = np.random.default_rng(6)
-    z, ok = rng.random((7, 8)) * 6, rng.random((7, 8)) > 0.15
-    ok[3, 3] = True
-    tree, shrub = rng.random((7, 8)), np.full((7, 8), np.nan)
-    w = (1.0, 0.5, 0.5, 1.0)
-    got = network.grid_costs(z, ok, tree, shrub, 20.0, (3, 3), w, 30.0)
-    gy, gx = np.gradient(z, 20.0)
+def relaxed(z, ok, tree, shrub, res, target, weights, limit):
+    """Least costs to the target over a whole grid, cell by cell until nothing improves: the steepest of both cells and the step prices and limits a move."""
+    gy, gx = np.gradient(z, res)
     slope = np.degrees(np.arctan(np.hypot(gx, gy)))
+    ok = ok & np.isfinite(z) & np.isfinite(slope)
+    t, s = np.where(np.isfinite(tree), tree, 1.0), np.where(np.isfinite(shrub), shrub, 1.0)
     cost = np.full(z.shape, np.inf)
-    cost[3, 3] = 0
-    for _ in range(80):
-        for i, j in itertools.product(range(7), range(8)):
+    cost[target] = 0 if ok[target] else np.inf
+    rows, cols = z.shape
+    moved = True
+    while moved:
+        moved = False
+        for i, j in itertools.product(range(rows), range(cols)):
             for a, b in network.STEPS8:
                 p, q = i + a, j + b
-                if not (0 <= p < 7 and 0 <= q < 8 and ok[i, j] and ok[p, q]) or (a and b and not (ok[i, q] and ok[p, j])):
+                if not (0 <= p < rows and 0 <= q < cols and ok[i, j] and ok[p, q]) or (a and b and not (ok[i, q] and ok[p, j])):
                     continue
-                length, rise = 20 * math.hypot(a, b), z[i, j] - z[p, q]
-                if math.degrees(math.atan(abs(rise) / length)) <= 30:
-                    cost[p, q] = min(cost[p, q], cost[i, j] + length * (1 + w[0] * ((slope[i, j] + slope[p, q]) / 30) ** 2 + w[1] * (tree[i, j] + tree[p, q]) / 2 + w[2]) + 10 * w[3] * max(0, rise))
-    assert np.allclose(got, cost)
+                length, rise = res * math.hypot(a, b), z[i, j] - z[p, q]
+                steep = max(slope[i, j], slope[p, q], math.degrees(math.atan2(abs(rise), length)))
+                if steep <= limit:
+                    new = cost[i, j] + length * (1 + weights[0] * (steep / 15) ** 2 + weights[1] * (t[i, j] + t[p, q]) / 2 + weights[2] * (s[i, j] + s[p, q]) / 2) + 10 * weights[3] * max(0, rise)
+                    if new < cost[p, q] - 1e-9:
+                        cost[p, q], moved = new, True
+    return cost
+
+
+def cells_of(spark, z, ok, tree, shrub):
+    rows = [("a", int(i), int(j), None if np.isnan(z[i, j]) else float(z[i, j]), bool(ok[i, j]), None if np.isnan(tree[i, j]) else float(tree[i, j]), None if np.isnan(shrub[i, j]) else float(shrub[i, j])) for i, j in np.ndindex(z.shape)]
+    return spark.createDataFrame(rows, "area string, r int, c int, z double, ok boolean, tree double, shrub double")
+
+
+def test_approach_costs_equal_relaxation_across_tiles(spark):
+    rng = np.random.default_rng(6)
+    z, ok = rng.random((13, 11)) * 6, rng.random((13, 11)) > 0.15
+    z[9, 8], ok[3, 3] = np.nan, True
+    tree, shrub = rng.random((13, 11)), np.full((13, 11), np.nan)
+    asked = {"one": (1.0, 0.5, 0.5, 1.0), "far": (0.0, 0.0, 0.0, 0.0)}
+    s = spark.createDataFrame([(k, "a", 3, 3, *w) for k, w in asked.items()], "scenario string, area string, tr int, tc int, ws double, wt double, wb double, wg double")
+    g = cells_of(spark, z, ok, tree, shrub)
+    got = {(r.scenario, r.start): r.cost for r in network.approaches(s, g, g.select("area", F.concat_ws("-", "r", "c").alias("start"), "r", "c"), 20.0, 30.0, side=4).collect()}
+    for k, w in asked.items():
+        want = relaxed(z, ok, tree, shrub, 20.0, (3, 3), w, 30.0)
+        for i, j in np.ndindex(z.shape):
+            a, b = got[k, f"{i}-{j}"], want[i, j]
+            assert (a is None) == (not np.isfinite(b)) and (a is None or abs(a - b) < 1e-6), (k, i, j)
+
+
+def test_approach_fixtures_climb_and_limit(spark):
+    """A ramp of 3 m a step of 20 m: uphill costs 30 more than downhill, and a limit of 5 degrees stops both."""
+    z = np.tile(np.arange(12) * 3.0, (12, 1))
+    g = cells_of(spark, z, z >= 0, np.full(z.shape, 0.0), np.full(z.shape, 0.0))
+    s = spark.createDataFrame([("up", "a", 1, 2, 1.0, 1.0, 1.0, 1.0), ("down", "a", 1, 1, 1.0, 1.0, 1.0, 1.0)], "scenario string, area string, tr int, tc int, ws double, wt double, wb double, wg double")
+    starts = spark.createDataFrame([("a", "low", 1, 1), ("a", "high", 1, 2)], "area string, start string, r int, c int")
+    cost = {(r.scenario, r.start): r.cost for r in network.approaches(s, g, starts, 20.0, 30.0).collect()}
+    assert abs(cost["up", "low"] - cost["down", "high"] - 30) < 1e-9 and cost["up", "high"] == cost["down", "low"] == 0
+    none = {(r.scenario, r.start): r.cost for r in network.approaches(s, g, starts, 20.0, 5.0).collect()}
+    assert none["up", "low"] is None and none["down", "high"] is None
+
+
+def test_connectors(spark):
+    flat5 = np.full((5, 5), 10.0)
+    nan = np.full((5, 5), np.nan)
+    pair = spark.createDataFrame([("p", "a", 2, 0, 2, 4)], "id string, area string, r0 int, c0 int, r1 int, c1 int")
+    go = lambda ok, z=flat5: network.connectors(pair, cells_of(spark, z, ok, nan, nan), 20.0, side=4).first().cost
+    assert abs(go(flat5 > 0) - 80) < 1e-9
+    wall = flat5 > 0
+    wall[:, 2] = False
+    assert go(wall) is None
+    corner = np.zeros((5, 5), bool)
+    corner[[2, 1, 2, 1, 2], [0, 1, 2, 3, 4]] = True
+    assert go(corner) is None  # diagonal steps alone
+    ramp = 10 + np.tile(np.arange(5) * 4.0, (5, 1))
+    steep = math.degrees(math.atan(0.2))
+    assert abs(go(flat5 > 0, ramp) - 80 * (1 + (steep / 15) ** 2)) < 1e-9
+
+
+def test_shortest_and_spaced_run_to_the_end(spark):
+    path = spark.createDataFrame([(str(i), str(i + 1), 1.0, True) for i in range(44)], "u string, v string, length double, motor boolean")
+    source = spark.createDataFrame([("0",)], "node string")
+    found = network.shortest(path, source)
+    assert {r.node: r.distance for r in found.collect()} == {str(i): float(i) for i in range(45)}
+    assert [r.node for r in network.traced(found, spark.createDataFrame([("3",)], "node string")).orderBy("k").collect()] == ["3", "2", "1", "0"]
+    with pytest.raises(ValueError):
+        network.shortest(path, source, 16)
+    line = spark.range(84).select(F.lit(0).alias("r"), F.col("id").cast("int").alias("c"), (F.col("id") / 100).alias("draw"))
+    assert sorted(r.c for r in candidates.spaced(line, 2.0).collect()) == list(range(0, 84, 2))
+    with pytest.raises(ValueError):
+        candidates.spaced(line, 2.0, 5)
 
 
 def test_network_names_seasons_and_crossings(spark):
@@ -190,7 +257,11 @@ def test_vector_formats_round_trip(spark, tmp_path):
     read = lambda name: vectors.whole_files(spark, str(tmp_path / name))
     for f in (vectors.geojson_lines(read("a.geojson")), vectors.kml_lines(read("b.kml")), vectors.gpx_lines(read("c.gpx"))):
         assert [(r.lon, r.lat) for r in f.orderBy("k").collect()] == line
-    assert vectors.kml_lines(read("d.kml")).count() == 0
+    with pytest.raises(Exception, match="declares types"):
+        vectors.kml_lines(read("d.kml")).collect()
+    (tmp_path / "f.geojson").write_text('{"type":"FeatureCollection","crs":{"type":"name"},"features":[]}')
+    with pytest.raises(Exception, match="plain feature collection"):
+        vectors.geojson_lines(read("f.geojson")).collect()
     assert [(r.id, r.lon, r.lat) for r in vectors.geojson_points(read("a.geojson")).collect()] == [(r.id, r.lon, r.lat) for r in vectors.gpx_waypoints(read("c.gpx")).collect()] == [("p1", -107.0, 38.5)]
     assert {r.fault for r in vectors.point_faults(vectors.csv_waypoints(spark, str(tmp_path / "e.csv"))).collect()} == {"repeated id", "coordinates"}
     with pytest.raises(ValueError):
