@@ -289,11 +289,11 @@ def wilson_rate(spark, sf_dir):
     return _sales(spark, sf_dir).select("id", F.round(low, 8).alias("low"), F.round(high, 8).alias("high"))
 
 
-MASKS = "SELECT DISTINCT s_nationkey AS id, l_partkey AS cell FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 45"
+MASKS = "SELECT DISTINCT s_nationkey AS id, l_partkey AS cell FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
 
 
 def _masks(spark, sf_dir):
-    j = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return j.select(F.col("s_nationkey").alias("id"), F.col("l_partkey").alias("cell")).distinct()
 
 
@@ -345,13 +345,13 @@ def spread_topk(spark, sf_dir):
 
 @query(
     "nearest_segment",
-    f"""WITH p AS ({POINT_SQL}), s AS (SELECT vec_id AS seg, x AS ax, y AS ay, x + 300 AS bx, y + 200 AS by FROM p WHERE vec_id % 5 = 0),
+    f"""WITH p AS ({POINT_SQL}), s AS (SELECT vec_id AS seg, x AS ax, y AS ay, x + 300 AS bx, y + 200 AS by FROM p),
     d AS (SELECT vec_id, ax + t * 300 AS nx, ay + t * 200 AS ny, x, y FROM p, s, LATERAL (SELECT greatest(0, least(1, ((x - ax) * 300 + (y - ay) * 200) / 130000)) AS t)),
     b AS (SELECT vec_id, min(sqrt((x - nx) * (x - nx) + (y - ny) * (y - ny))) AS distance FROM d GROUP BY vec_id) SELECT p.vec_id AS id, round(CASE WHEN distance <= 400 THEN distance END, 4) AS distance FROM p JOIN b USING (vec_id)""",
 )
 def nearest_segment(spark, sf_dir):
     p = _points(spark, sf_dir)
-    s = p.where("vec_id % 5 = 0").select(F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 300).alias("bx"), (F.col("y") + 200).alias("by"))
+    s = p.select(F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + 300).alias("bx"), (F.col("y") + 200).alias("by"))
     return filters.nearest_segment(p.select(F.col("vec_id").alias("id"), "x", "y"), s, 500.0, 400.0).select("id", F.round("distance", 4).alias("distance"))
 
 
@@ -378,7 +378,7 @@ def habitat_features(spark, sf_dir):
     return f.select("r", "c", F.round("mixed", 6).alias("mixed"), F.round("cover", 6).alias("cover"), "known", F.round("h", 9).alias("h"), F.round("g", 9).alias("g"))
 
 
-PART_CELLS = """SELECT l_suppkey AS id, l_quantity >= 10 AS visible, l_discount >= 0.03 AS matching, l_partkey % 7 <> 0 AS known, l_tax * 10 AS h, 1 - l_discount AS g FROM lineitem WHERE l_suppkey % 4 <> 1 OR l_partkey % 7 = 0"""
+PART_CELLS = """SELECT l_suppkey AS id, l_quantity >= 10 AS visible, l_discount >= 0.03 AS matching, l_partkey % 7 <> 0 AND l_suppkey % 4 <> 1 AS known, l_tax * 10 AS h, 1 - l_discount AS g FROM lineitem"""
 
 
 @query(
@@ -388,7 +388,7 @@ PART_CELLS = """SELECT l_suppkey AS id, l_quantity >= 10 AS visible, l_discount
     count(*) FILTER (visible AND matching AND known AND h >= 0.45 AND g >= 0.93) * 900.0::DOUBLE AS priority, round(avg(g) FILTER (visible AND matching AND known), 8) AS mean_g FROM c GROUP BY id""",
 )
 def habitat_metrics(spark, sf_dir):
-    c = table(spark, sf_dir, "lineitem").where("l_suppkey % 4 <> 1 or l_partkey % 7 = 0").selectExpr("l_suppkey as id", "l_quantity >= 10 as visible", "l_discount >= 0.03 as matching", "l_partkey % 7 <> 0 as known", "l_tax * 10 as h", "1 - l_discount as g")
+    c = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as id", "l_quantity >= 10 as visible", "l_discount >= 0.03 as matching", "l_partkey % 7 <> 0 and l_suppkey % 4 <> 1 as known", "l_tax * 10 as h", "1 - l_discount as g")
     m = habitat.metrics(c, "id", 900.0, 0.45, 0.93)
     return m.select("id", F.round("effective", 4).alias("effective"), "visible", "matching", "scorable", "habitat_unknown", "high_habitat", "priority", F.round("mean_g", 8).alias("mean_g"))
 
@@ -423,12 +423,12 @@ def network_repairs(spark, sf_dir):
 
 @query(
     "component_sizes",
-    f"""WITH RECURSIVE g AS (SELECT (i // 24)::INT AS r, (i % 24)::INT AS c FROM range(576) t(i)), m AS (SELECT r * 24 + c AS node, r, c FROM g WHERE (r * 7 + c * 5 + r * c) % 3 <> 0),
+    f"""WITH RECURSIVE g AS (SELECT (i // 24)::INT AS r, (i % 24)::INT AS c FROM range(576) t(i)), m AS (SELECT r * 24 + c AS node, r, c FROM g WHERE (r * r * 3 + c * 7 + r * c * 2) % 5 < 3),
     e AS (SELECT a.node AS u, b.node AS v FROM m a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), w AS (SELECT node, node AS label FROM m UNION SELECT e.v, w.label FROM w JOIN e ON e.u = w.node), l AS (SELECT node, min(label) AS label FROM w GROUP BY node)
     SELECT label::BIGINT AS label, count(*) AS n FROM l GROUP BY label""",
 )
 def component_sizes(spark, sf_dir):
-    m = grids.cells(spark, 24, 24).where((F.col("r") * 7 + F.col("c") * 5 + F.col("r") * F.col("c")) % 3 != 0).withColumn("node", (F.col("r") * 24 + F.col("c")).cast("long"))
+    m = grids.cells(spark, 24, 24).where((F.col("r") * F.col("r") * 3 + F.col("c") * 7 + F.col("r") * F.col("c") * 2) % 5 < 3).withColumn("node", (F.col("r") * 24 + F.col("c")).cast("long"))
     steps = F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((1, 0), (0, 1))))
     e = m.select(F.col("node").alias("u"), F.explode(steps).alias("x")).select("u", "x.r", "x.c").join(m.withColumnRenamed("node", "v"), ["r", "c"]).select("u", "v")
     return network.components(e, m).groupBy("label").agg(F.count("*").alias("n"))
@@ -570,15 +570,15 @@ def access_evidence(spark, sf_dir):
 
 @query(
     "ray_boxes",
-    f"""WITH p AS ({POINT_SQL}), b AS (SELECT label AS area, x / 100 AS x, y / 100 AS y, 5.0 AS z, 4.0 AS side FROM p WHERE vec_id % 10 = 0), s AS (SELECT vec_id AS id, label AS area, -20.0 AS x0, y / 100 AS y0, 5.0 AS z0, 20.0 AS x1, y / 100 + 3 AS y1, 6.0 AS z1 FROM p WHERE vec_id % 10 = 1),
+    f"""WITH p AS ({POINT_SQL}), b AS (SELECT label AS area, x / 100 AS x, y / 100 AS y, 5.0 AS z, 4.0 AS side FROM p), s AS (SELECT vec_id AS id, label AS area, -20.0 AS x0, y / 100 AS y0, 5.0 AS z0, 20.0 AS x1, y / 100 + 3 AS y1, 6.0 AS z1 FROM p),
     t AS (SELECT id, (x - 2 - x0) / (x1 - x0) AS ax, (x + 2 - x0) / (x1 - x0) AS bx, (y - 2 - y0) / (y1 - y0) AS ay, (y + 2 - y0) / (y1 - y0) AS by_, (z - 2 - z0) / (z1 - z0) AS az, (z + 2 - z0) / (z1 - z0) AS bz FROM s JOIN b USING (area)), h AS (SELECT id, greatest(ax, ay, az) AS enter, least(bx, by_, bz) AS leave FROM t)
     SELECT id, count(*) AS hits, round(min(greatest(enter, 0)), 8) AS first_t, bool_or(enter <= 0) AS starts_inside, bool_or(leave >= 1) AS ends_inside FROM h WHERE enter <= leave AND leave >= 0 AND enter <= 1 GROUP BY id""",
 )
 def ray_boxes(spark, sf_dir):
     p = _points(spark, sf_dir)
-    b = p.where("vec_id % 10 = 0").selectExpr("label as area", "x / 100 as x", "y / 100 as y", "5D as z", "4D as side")
-    s = p.where("vec_id % 10 = 1").selectExpr("vec_id as id", "label as area", "-20D as x0", "y / 100 as y0", "5D as z0", "20D as x1", "y / 100 + 3 as y1", "6D as z1")
-    return visibility.slab_hits(b, s).withColumn("first_t", F.round("first_t", 8))
+    b = p.selectExpr("label as area", "x / 100 as x", "y / 100 as y", "5D as z", "4D as side")
+    s = p.selectExpr("vec_id as id", "label as area", "-20D as x0", "y / 100 as y0", "5D as z0", "20D as x1", "y / 100 + 3 as y1", "6D as z1")
+    return visibility.slab_hits(b, s, 8.0).withColumn("first_t", F.round("first_t", 8))
 
 
 @query(
@@ -750,13 +750,20 @@ def newest_imagery(spark, sf_dir):
     return catalog.newest_per(rows, ["id", "tag"], "year").groupBy("id", "tag", "year").agg(F.count("*").alias("n"))
 
 
+SURFACES = ["AC - ASPHALT", "bst", "PCC - concrete", "Paved", "agg - crushed", "Gravel", "NAT", "native material", "EARTH - graded", "FSOIL", "unknown", None]
+MOTORS = ["y", "Yes", "TRUE", "N", "no", "false", "maybe", None]
+
+
 @query(
     "line_display",
-    """SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'paved' WHEN p_size % 5 = 1 THEN 'gravel' WHEN p_size % 5 = 2 THEN 'natural' ELSE 'other' END AS surface, CASE WHEN p_size % 3 = 0 THEN 'motorized' WHEN p_size % 3 = 1 THEN 'closed' ELSE 'unknown' END AS use FROM part""",
+    f"""WITH k AS (SELECT p_partkey AS id, p_size % 2 = 0 AS road, [{', '.join('NULL' if v is None else f"'{v}'" for v in SURFACES)}][p_size % 12 + 1] AS surface, [{', '.join('NULL' if v is None else f"'{v}'" for v in MOTORS)}][p_size % 8 + 1] AS motor FROM part), c AS (SELECT *, split_part(upper(surface), ' - ', 1) AS code FROM k)
+    SELECT id, CASE WHEN road THEN CASE WHEN code IN ('AC', 'BST', 'PCC', 'ASPHALT', 'CONCRETE', 'PAVED') THEN 'paved' WHEN code IN ('AGG', 'GRAVEL', 'AGGREGATE') THEN 'gravel' WHEN code IN ('NAT', 'NATIVE MATERIAL', 'DIRT', 'EARTH') THEN 'natural' WHEN surface <> 'unknown' THEN 'other' ELSE 'unknown' END
+        ELSE CASE WHEN upper(motor) IN ('Y', 'YES', 'TRUE') THEN 'motorized' WHEN upper(motor) IN ('N', 'NO', 'FALSE') THEN 'nonmotorized' ELSE 'unknown' END END AS display FROM c""",
 )
 def line_display(spark, sf_dir):
     k = F.col("p_size")
-    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(k % 5 == 0, "AC - ASPHALT").when(k % 5 == 1, "agg - crushed").when(k % 5 == 2, "NAT").when(k % 5 == 3, "natural?").alias("surface"), F.when(k % 3 == 0, "y").when(k % 3 == 1, "N").alias("motor"))
+    pick = lambda values, n: F.get(F.array(*(F.lit(v) for v in values)), (k % n).cast("int"))
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(k % 2 == 0, "roads").otherwise("trails").alias("kind"), pick(SURFACES, 12).alias("surface"), pick(MOTORS, 8).alias("motor"))
     return catalog.line_display(lines)
 
 
@@ -837,3 +844,6 @@ def connection_screen(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewshed_rank(spark, sf_dir)
+
+
+from . import decision_queries  # noqa: E402, F401  registers its queries beside these

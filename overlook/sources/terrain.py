@@ -111,12 +111,12 @@ def corner_triangles(grid: DataFrame, points: DataFrame, rows: int, cols: int) -
     p = points.withColumn("__r", r).withColumn("__c", c)
     at = F.array(*(F.struct((F.col("__r") + i).alias("r"), (F.col("__c") + j).alias("c"), F.lit(n).alias("n")) for i, j, n in ((0, 0, "a"), (0, 1, "b"), (1, 0, "d"), (1, 1, "e"))))
     seen = p.select("id", F.explode(at).alias("k")).select("id", "k.*").join(grid.select("r", "c", "z"), ["r", "c"])
-    four = seen.groupBy("id").agg(*(F.max(F.when(F.col("n") == n, F.col("z"))).alias(n) for n in "abde"))
+    four = seen.groupBy("id").agg(*(F.max(F.when(F.col("n") == n, F.col("z"))).alias(f"__{n}") for n in "abde"))
     fr, fc = F.col("pr") - F.col("__r"), F.col("pc") - F.col("__c")
     inside = (F.col("pr") >= 0) & (F.col("pc") >= 0) & (F.col("pr") <= rows - 1) & (F.col("pc") <= cols - 1)
-    above = F.col("a") * (1 - fc) + F.col("b") * (fc - fr) + F.col("e") * fr
-    below = F.col("a") * (1 - fr) + F.col("e") * fc + F.col("d") * (fr - fc)
-    return p.join(four, "id", "left").withColumn("z", F.when(inside, F.when(fr <= fc, above).otherwise(below))).drop("__r", "__c", *"abde")
+    above = F.col("__a") * (1 - fc) + F.col("__b") * (fc - fr) + F.col("__e") * fr
+    below = F.col("__a") * (1 - fr) + F.col("__e") * fc + F.col("__d") * (fr - fc)
+    return p.join(four, "id", "left").withColumn("z", F.when(inside, F.when(fr <= fc, above).otherwise(below))).drop("__r", "__c", *(f"__{n}" for n in "abde"))
 
 
 def tiles(grid: DataFrame, value: str = "z", size: int = TILE) -> DataFrame:
