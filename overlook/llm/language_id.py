@@ -183,13 +183,14 @@ def pooled(p: dict[str, np.ndarray], data: np.ndarray, offs: np.ndarray) -> np.n
 
 
 def learn(docs: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], dict[str, np.ndarray] | None]:
-    """A model of about `rows` texts, an equal share of each language (one at least), or all it has.
+    """A model of at most `rows` texts, an equal share of each language (one at least), or all it has.
 
     Ids and languages alone are counted and drawn, four times the share in case texts have no letter; one more pass fetches the texts of what was drawn.
     """
     known = training_fold(F.col("doc_id")) & F.col("lang").isNotNull()
     ids = docs.where(known).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    # the `rows` commonest languages; more could not be learned from so many texts
+    counts = F.broadcast(ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows))
     share = max(1, rows // max(1, counts.count()))
     # a language's least hashes, from about twice as many rows as are drawn, whatever its number
     h = F.xxhash64("doc_id")
