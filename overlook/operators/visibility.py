@@ -94,12 +94,17 @@ def _seen(z: np.ndarray, seats: np.ndarray, radius: float, res: float, eye: floa
         d = far[k] * res
         bend = drop * (t[:, None] * d) ** 2 - drop * d**2 * t[:, None]
         for s, use in seats_of:
+            if not len(use):
+                continue
             r0, c0 = seats[s]
-            a = at[:, use] + (r0 * step + c0)
-            ground = flat[a] * w[0][:, use] + flat[a + 1] * w[1][:, use] + flat[a + step] * w[2][:, use] + flat[a + step + 1] * w[3][:, use]
+            part = (lambda x: x) if len(use) == len(k) else (lambda x: x[:, use])  # noqa: B023
+            a = part(at) + (r0 * step + c0)
             ends = z[r0 + dr[k[use]], c0 + dc[k[use]]] + target
-            line = (z[r0, c0] + eye) * (1 - t[:, None]) + ends * t[:, None] + bend[:, use]
-            seen[s][k[use]] = (line - ground).min(axis=0) >= 0
+            gap = (z[r0, c0] + eye) * (1 - t[:, None]) + ends * t[:, None]
+            gap += part(bend)
+            for shift, share in zip((0, 1, step, step + 1), w):
+                gap -= flat.take(a + shift) * part(share)
+            seen[s][k[use]] = gap.min(axis=0) >= 0
 
     for a, b in zip(cuts[:-1], cuts[1:]):
         n_steps = int(steps[order[a]])
@@ -113,10 +118,9 @@ def _seen(z: np.ndarray, seats: np.ndarray, radius: float, res: float, eye: floa
                 clear(k, t, first)
                 continue
             clear(k, t[::COARSE], first)
-            for s, _ in first:
-                left = k[seen[s][k]]
-                if len(left):
-                    clear(left, t, [(s, np.arange(len(left)))])
+            left = k[np.logical_or.reduce([seen[s][k] for s, _ in first])]
+            if len(left):
+                clear(left, t, [(s, np.flatnonzero(seen[s][left])) for s, _ in first])
     out = []
     for s, (r0, c0) in enumerate(seats):
         hit = seen[s] & there[s]
@@ -162,6 +166,9 @@ def viewsheds(candidates: DataFrame, grid: DataFrame, radius: float, res: float,
         r, c, d = (np.concatenate([np.zeros(0), *part]) for part in zip(*found)) if found else (np.zeros(0),) * 3
         return pd.DataFrame({"id": np.repeat(ids.to_numpy(), sizes), "r": (r + at_r).astype("int32"), "c": (c + at_c).astype("int32"), "d": d})
 
+    # groups are heavy and their rows few: dealt by number, so that they aren't coalesced into one task
+    deal = 4 * int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seats, sent = seats.repartition(deal, "br", "bc", "part"), sent.repartition(deal, "gr", "gc", "gp")
     return seats.groupBy("br", "bc", "part").cogroup(sent.groupBy("gr", "gc", "gp")).applyInPandas(one, f"id {kind}, r int, c int, d double")
 
 
