@@ -5,7 +5,9 @@ into a chain, prefix by prefix; a conversation whose last hash occurs among the
 another, or ends a conversation of a smaller id, goes by anti-join; those that stay, the maximal ones,
 are rendered one block a turn.
 
-Hashes of 128 bits (half of a SHA-256 chain) travel alone: texts are sent once, to gather a conversation's turns.
+A turn's hash is 120 bits of SHA-256 over its place, role and text; a prefix's hash is the
+running exclusive or of its turns' hashes, beside its length: a window, linear in the turns. Hashes travel
+alone: texts are sent once, to gather a conversation's turns.
 
 Edge cases: turns go by (turn, role, text), nulls first; rows that repeat all of these count once; a null
 role is `unknown`, a null text empty; rows without a conv_id are dropped; roles and texts are rendered as
@@ -15,7 +17,7 @@ empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table
@@ -24,25 +26,31 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns, chain): turns in order, and the hash of each prefix."""
+    """(conv_id, turns, marks): turns in order, and a hash (a, b) of each turn with its place."""
     rows = turns.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     held = rows.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("turn", "role", "text")))).alias("turns"))
     # lengths keep role and text apart
-    link = "substring(sha2(concat(a.last, length(x.role), ':', x.role, x.text), 256), 1, 32)"
-    chain = f"""aggregate(turns, cast(struct('', array()) as struct<last: string, all: array<string>>),
-        (a, x) -> struct({link} as last, concat(a.all, array({link})) as all), a -> a.all)"""
-    return held.withColumn("chain", F.expr(chain))
+    digests = "transform(turns, (x, i) -> sha2(concat(i, ':', length(x.role), ':', x.role, x.text), 256))"
+    half = lambda at: f"cast(conv(substring(h, {at}, 15), 16, 10) as bigint)"
+    return held.withColumn("marks", F.expr(f"transform({digests}, h -> struct({half(1)} as a, {half(17)} as b))"))
+
+
+def prefixes(held: DataFrame) -> DataFrame:
+    """(conv_id, n, k, a, b): the hash of each conversation's first k of n turns."""
+    each = held.select("conv_id", F.size("marks").alias("n"), F.posexplode("marks").alias("at", "m")).select("conv_id", "n", (F.col("at") + 1).alias("k"), "m.a", "m.b")
+    so_far = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return each.select("conv_id", "n", "k", F.bit_xor("a").over(so_far).alias("a"), F.bit_xor("b").over(so_far).alias("b"))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """(conv_id, turns) of the conversations that are no prefix of another; of equal ones that of the smallest conv_id."""
-    held = materialize(conversations(turns).withColumn("last", F.element_at("chain", -1)), "conversations")
-    keys = held.select("conv_id", "last", "chain")
-    prefixes = keys.select(F.explode(F.slice("chain", 1, F.greatest(F.size("chain") - 1, F.lit(0)))).alias("last")).distinct()
-    first = keys.groupBy("last").agg(F.min("conv_id").alias("conv_id"))
-    stay = first.join(prefixes, "last", "left_anti").select("conv_id")
+    held = materialize(conversations(turns), "conversations")
+    chain = prefixes(held.select("conv_id", "marks"))
+    inner = chain.where("k < n").select("k", "a", "b").distinct()
+    first = chain.where("k = n").groupBy("k", "a", "b").agg(F.min("conv_id").alias("conv_id"))
+    stay = first.join(inner, ["k", "a", "b"], "left_anti").select("conv_id")
     return held.select("conv_id", "turns").join(stay, "conv_id", "left_semi")
 
 

@@ -33,3 +33,14 @@ def test_snapshots_copies_and_awkward_rows(spark):
     assert out[6].n_turns == 1 and out[10].n_turns == 300 and out[7].rendered.count(op.CLOSE) == 1
     assert out[3].rendered == "".join(f"{op.OPEN}{r}\n{t}{op.CLOSE}\n" for r, t in (("user", "hi"), ("assistant", "yo"), ("user", "bye")))
     assert op.format_chats(df.limit(0)).collect() == []
+
+
+def test_prefix_hashes_tell_order_place_and_length(spark):
+    """Equal hashes where, and only where, the turns so far are equal."""
+    chats = {1: "abcd", 2: "abdc", 3: "abcda", 4: "abab", 5: "aabb", 6: "bb"}
+    df = spark.createDataFrame([(c, i, "user", x) for c, xs in chats.items() for i, x in enumerate(xs)], SCHEMA)
+    found = {}
+    for r in op.prefixes(op.conversations(df)).collect():
+        found.setdefault((r.k, r.a, r.b), set()).add(chats[r.conv_id][: r.k])
+    assert all(len(v) == 1 for v in found.values())
+    assert len(found) == len({xs[:k] for xs in chats.values() for k in range(1, len(xs) + 1)})
