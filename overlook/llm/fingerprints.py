@@ -11,9 +11,10 @@ A fingerprint is the root's name (16 hex digits: equal texts and, but for hash c
 SLOTS minima over the names of level DEPTH and up (4 hex digits each); the likeness of two is the share
 of equal slots, an estimate of the Jaccard similarity of their names.
 
-For the edited texts each row needs the next document's text. doc_ids are cut into ranges at quantiles;
-the head of each range is also sent to the range before it, so that one shuffle by range suffices; two
-numbers a range come to the driver.
+For the edited texts each row needs the next document's text. doc_ids are cut into ranges at quantiles; the rows of
+an id that fills whole ranges, or of none, are cut further by text, at heads of texts of a bounded sample. The first
+row of each range is also sent to the range before it, so that one shuffle by range suffices; one number a range
+comes to the driver. Cuts balance work and change no row; equal texts that lie together are parsed once.
 
 Edge cases: a null or empty text has the root 0 and empty slots, is like another empty text and unlike
 others; rows that share a doc_id follow each other in order of text; a null doc_id comes last; a single
@@ -34,6 +35,10 @@ from .common import R_WORD, mix, shuffle_parts, span_hash, table
 
 SLOTS, DEPTH, ROUNDS = 64, 2, 4
 NO_ID = -(1 << 63)
+#: Place of rows without an id, below that of any; and the bound under which ids are places exactly.
+NOWHERE, EXACT = -1e19, float(1 << 53)
+#: Rows sampled for each further cut of a frequent id, and the characters of a text that such a cut holds.
+SAMPLED, HEAD = 20, 256
 #: Bytes of text parsed at once (a longer text is parsed alone).
 STEP = 1 << 20
 
@@ -123,16 +128,21 @@ def printed(roots: np.ndarray, slots: np.ndarray) -> list[str]:
 
 
 def _parsed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """parse in steps of bounded size."""
+    """parse of the distinct texts, in steps of bounded size."""
+    if not texts:
+        return np.zeros(0, np.uint64), np.zeros((0, SLOTS), np.uint16)
+    place: dict[bytes, int] = {}
+    back = np.array([place.setdefault(t, len(place)) for t in texts])
+    every = list(place)
     roots, slots, lo, size = [], [], 0, 0
-    for i, t in enumerate(texts):
+    for i, t in enumerate(every):
         size += len(t)
-        if size >= STEP or i == len(texts) - 1:
-            r, s = parse(texts[lo : i + 1])
+        if size >= STEP or i == len(every) - 1:
+            r, s = parse(every[lo : i + 1])
             roots.append(r)
             slots.append(s)
             lo, size = i + 1, 0
-    return (np.concatenate(roots), np.concatenate(slots)) if roots else (np.zeros(0, np.uint64), np.zeros((0, SLOTS), np.uint16))
+    return np.concatenate(roots)[back], np.concatenate(slots)[back]
 
 
 OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -184,33 +194,83 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows the least text of each range."""
+    found: dict[int, tuple] = {}
+    for batch in batches:
+        for part, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "text"))):
+            if part not in found or text < found[part][1]:
+                found[part] = (doc_id, text)
+    if found:
+        rows = [(part, *row) for part, row in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.string()))], names=["part", "doc_id", "text"])
+
+
+def _cuts(rows: DataFrame, parts: int) -> tuple[list[float], dict[float, list[str]]]:
+    """Where ranges of place begin, and for the place of a frequent id, which is a range of its own, the texts at which it is cut further."""
+    cuts = rows.select(F.percentile_approx("place", [i / parts for i in range(1, parts)] or [0.5], 20 * parts).alias("cuts")).first()["cuts"] or []
+    times: dict[float, int] = {}
+    for c in cuts:
+        times[c] = times.get(c, 0) + 1
+    often = {c: n for c, n in times.items() if n > 1 and (c == NOWHERE or abs(c) < EXACT)}
+    inner: dict[float, list[str]] = {}
+    if often:
+        size = SAMPLED * sum(often.values())
+        mine = rows.where(F.col("place").isin(list(often)))
+        n = mine.count()
+        h = F.xxhash64("text")  # by text, so that copies of one text can't fill the sample
+        picked = mine.where(h < F.lit(int(size / n * 2.0**64) - (1 << 63))) if n > size else mine
+        heads = picked.select("place", F.substring("text", 1, HEAD).alias("head")).distinct().limit(4 * size).collect()
+        for c, m in often.items():
+            have = sorted(r["head"] for r in heads if r["place"] == c)
+            inner[c] = sorted({have[i * len(have) // (m + 1)] for i in range(1, m + 1)}) if have else []
+    starts = set(times) | {float(np.nextafter(c, np.inf)) for c in often}
+    return sorted(c for c in starts if c > NOWHERE or c in often), inner
+
+
+def dealt(docs: DataFrame) -> DataFrame | None:
+    """(part, own, doc_id, text): every row in its range, in the order of the result, and after a range's rows the first row of the next range, whose `own` is false; None if there are no rows."""
     from pyspark.ml.feature import Bucketizer
 
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(number.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), number.cast("double").alias("place"))
-    cuts = rows.select(F.percentile_approx("place", [i / parts for i in range(1, parts)] or [0.5], 20 * parts).alias("cuts")).first()["cuts"] or []
-    splits = [float("-inf"), *sorted({c for c in cuts if c > NO_ID}), float("inf")]
-    split = Bucketizer(splits=splits, inputCol="place", outputCol="range")
-    placed = split.transform(rows).withColumn("part", F.lit(len(splits) - 2) - F.col("range").cast("int")) if len(splits) > 2 else rows.withColumn("part", F.lit(0))
+    number = F.col("doc_id").cast("long")
+    rows = docs.select(F.coalesce(number, F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(number.cast("double"), F.lit(NOWHERE)).alias("place"))
+    starts, inner = _cuts(rows, parts)
+    # ranges in descending order of place, those of a frequent id in ascending order of text
+    splits = [float("-inf"), *starts, float("inf")]
+    width = [len(inner.get(c, [])) + 1 for c in splits[:-1]]
+    base = [sum(width[i + 1 :]) for i in range(len(width))]
+    if len(splits) > 2:
+        placed = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(rows)
+        part = F.get(F.array(*map(F.lit, base)), F.col("range").cast("int"))
+        for c, texts in inner.items():
+            if texts:
+                part = part + F.when(F.col("place") == c, F.size(F.filter(F.array(*map(F.lit, texts)), lambda t: t <= F.col("text")))).otherwise(0)
+        placed = placed.withColumn("part", part.cast("int"))
+    else:
+        placed = rows.withColumn("part", F.lit(0))
     heads = {r["part"]: r["head"] for r in placed.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}  # one number for each range
     order = sorted(heads)
     if not order:
-        return spark.createDataFrame([], OUT_DDL)
+        return None
     before = {b: a for a, b in zip([order[-1], *order], order)}
     # by place in the list of ranges: a lookup costs the same however many there are
-    at = range(len(splits))
+    at = range(order[-1] + 1)
     head = F.array(*(F.lit(heads.get(i)).cast("long") for i in at))
     to = F.array(*(F.lit(before.get(i)).cast("int") for i in at))
-    here = F.struct(F.col("part"), F.lit(True).alias("own"))
-    there = F.struct(F.get(to, F.col("part")).alias("part"), F.lit(False).alias("own"))
-    both = F.when(F.col("doc_id") == F.get(head, F.col("part")), F.array(here, there)).otherwise(F.array(here))
-    dealt = placed.select("doc_id", "text", F.explode(both).alias("at")).select("at.part", "at.own", "doc_id", "text")
-    dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.desc("own"), F.desc("doc_id"), "text")
-    out = dealt.mapInArrow(_compare, OUT_DDL)
+    # equal rows may head a range in any number: each task sends its least one
+    first = placed.where(F.col("doc_id") == F.get(head, F.col("part"))).select("part", "doc_id", "text").mapInArrow(_least, "part int, doc_id long, text string")
+    sent = first.select(F.get(to, F.col("part")).alias("part"), F.lit(False).alias("own"), "doc_id", "text")
+    return placed.select("part", F.lit(True).alias("own"), "doc_id", "text").union(sent).repartitionById(parts, F.pmod("part", F.lit(parts))).sortWithinPartitions("part", F.desc("own"), F.desc("doc_id"), "text")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
+    rows = dealt(docs)
+    if rows is None:
+        return docs.sparkSession.createDataFrame([], OUT_DDL)
+    out = rows.mapInArrow(_compare, OUT_DDL)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 

@@ -99,3 +99,22 @@ def test_awkward_rows(spark):
     one = op.fingerprints(docs_frame(spark, ["abcdef"])).collect()
     assert [(r.n_chars, r.edited_sha256, r.near_next) for r in one] == [(6, hashlib.sha256(b"abcdab").hexdigest(), 1.0)]
     assert {r.near_next for r in op.fingerprints(docs_frame(spark, ["", None, ""])).collect()} == {1.0}
+
+
+def test_frequent_ids_are_cut_by_text(spark):
+    """A third of the rows of one id, another third of none: neighbours as in a global sort, and no range holds a group."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(40))) for _ in range(600)]
+    rows = [(7, t) for t in texts[:200]] + [(None, t) for t in texts[200:400]] + [(i, t) for i, t in enumerate(texts[400:])] + [(7, "same")] * 60
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+        out = op.fingerprints(df).collect()
+        sizes = {r["part"]: r["n"] for r in op.dealt(df).where("own").groupBy("part").agg(F.count("*").alias("n")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in out], key=key) == sorted(want(rows), key=key)
+    assert sum(sizes.values()) == len(rows) and max(sizes.values()) < 150
