@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import geo, scoring
-from .operators import coverage, evaluation, filters, network, points, ranking, visibility
+from .operators import attention, coverage, evaluation, filters, network, points, ranking, visibility
 from .plans import candidates, catalog
 from .queries import POINT_SQL, ROLLING, _points, query, table
 from .sources import sinks, vectors
@@ -477,3 +477,103 @@ def adapted_candidates(spark, sf_dir):
     """Spacing that shrinks until four fifths of the wanted points are there; `spaced` is held against going through in order."""
     g = grids.cells(spark, 60, 60).withColumn("draw", candidates.drawn(["r", "c"], 7))
     return candidates.adapted(g, 60, (15, 10, 7), 5.0).select("r", "c", "spacing")
+
+
+TAPS = network.gaussian_taps(1.0)
+
+
+@query(
+    "smoothed_profile",
+    f"""WITH s AS (SELECT s_nationkey AS id, s_suppkey AS k, s_acctbal / 100 AS z FROM supplier), i AS (SELECT id, k, z, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM s), t(o, w) AS (VALUES {', '.join(f'({o}, {w!r}::DOUBLE)' for o, w in TAPS)}),
+    a AS (SELECT id, k, i, n, w, ((i + o) % (2 * n) + 2 * n) % (2 * n) AS q FROM i, t), m AS (SELECT a.id, a.k, sum(a.w * j.z) AS z FROM a JOIN i j ON j.id = a.id AND j.i = CASE WHEN q >= a.n THEN 2 * a.n - 1 - q ELSE q END GROUP BY ALL),
+    d AS (SELECT id, z - lag(z) OVER (PARTITION BY id ORDER BY k) AS dz FROM m) SELECT id, round(coalesce(sum(greatest(dz, 0)), 0), 6)::DOUBLE AS gain, round(coalesce(sum(greatest(-dz, 0)), 0), 6)::DOUBLE AS loss FROM d GROUP BY id""",
+)
+def smoothed_profile(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").selectExpr("s_nationkey as id", "s_suppkey as k", "s_acctbal / 100 as z")
+    return network.profile(network.smoothed(s)).select("id", F.round("gain", 6).alias("gain"), F.round("loss", 6).alias("loss"))
+
+
+def _parents_sql(leaders: int, by_direction: int, count: int, apart: float) -> str:
+    out = f"WITH p AS (SELECT vec_id AS id, x, y, x AS score, y - x / 2 AS directional FROM ({POINT_SQL})), c{leaders} AS (SELECT id, x, y, row_number() OVER (ORDER BY score DESC, id)::INT AS place FROM p ORDER BY score DESC, id LIMIT {leaders})"
+    for i in range(leaders + 1, count + 1):
+        d = "min((p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y))"
+        order = "p.directional" if i <= by_direction else d
+        out += f", b{i} AS (SELECT p.id, p.x, p.y, {i}::INT AS place FROM p, c{i - 1} c WHERE p.id NOT IN (SELECT id FROM c{i - 1}) GROUP BY p.id, p.x, p.y, p.directional HAVING {d} >= {apart**2} ORDER BY {order} DESC, p.id LIMIT 1), c{i} AS (SELECT * FROM c{i - 1} UNION ALL SELECT * FROM b{i})"
+    return out + f" SELECT place, id FROM c{count}"
+
+
+@query("directional_parents", _parents_sql(3, 6, 8, 400.0))
+def directional_parents(spark, sf_dir):
+    p = _points(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", "y", F.col("x").alias("score"), (F.col("y") - F.col("x") / 2).alias("directional"))
+    return evaluation.parents(p, 8)
+
+
+@query("eligible_candidates", "SELECT s_suppkey AS id, s_nationkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)")
+def eligible_candidates(spark, sf_dir):
+    screened = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49), "connected").otherwise("no connection").alias("status"))
+    return network.eligible(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey"), screened)
+
+
+_EASE = lambda t, s: f"CASE WHEN {t} < 0.1 THEN 1.0 WHEN {t} < 0.4 THEN 0.6 ELSE 0.25 END * CASE WHEN {s} > 0.3 THEN 0.75 ELSE 1.0 END"
+
+
+@query(
+    "unknown_cover_bounds",
+    f"WITH v AS (SELECT *, tree IS NULL OR shrub IS NULL AS u FROM ({SEEN})) SELECT id, round(sum(CASE WHEN u THEN {_EASE('1.0', '0.6')} ELSE {_EASE('tree', 'shrub')} END) * 1e-2, 6)::DOUBLE AS dense, round(sum(CASE WHEN u THEN {_EASE('0.0', '0.3')} ELSE {_EASE('tree', 'shrub')} END) * 1e-2, 6)::DOUBLE AS open, round(avg(u::INT), 8) AS unknown_share FROM v GROUP BY id",
+)
+def unknown_cover_bounds(spark, sf_dir):
+    v = _seen(spark, sf_dir).withColumn("herb", F.lit(0.1))
+    out = evaluation.cover_bounds(v, "id", scoring.searchability(F.col("tree"), F.col("shrub")), F.col("tree").isNull() | F.col("shrub").isNull(), 1e-2)
+    return out.select("id", F.round("dense", 6).alias("dense"), F.round("open", 6).alias("open"), F.round("unknown_share", 8).alias("unknown_share"))
+
+
+PLACE = "c_custkey AS id, (c_custkey * 37 % 4800) / 100.0 - 126 AS lon, (c_custkey * 91 % 4000) / 100.0 + 10 AS lat"
+
+
+@query("projected_there_and_back", f"SELECT id, round(lon, 8)::DOUBLE AS lon, round(lat, 8)::DOUBLE AS lat FROM (SELECT {PLACE} FROM customer)")
+def projected_there_and_back(spark, sf_dir):
+    """Every place through its zone's projection and back: the SQL is the place itself."""
+    p = table(spark, sf_dir, "customer").selectExpr("c_custkey as id", "(c_custkey * 37 % 4800) / 100.0D - 126 as lon", "(c_custkey * 91 % 4000) / 100.0D + 10 as lat")
+    zone = geo.utm_zone(F.col("lon"))
+    e, n = geo.utm(F.col("lon"), F.col("lat"), zone)
+    flat = p.select("id", zone.alias("zone"), e.alias("e"), n.alias("n"))
+    lon, lat = geo.lonlat(F.col("e"), F.col("n"), F.col("zone"))
+    return flat.select("id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
+@query(
+    "kml_polygons",
+    """WITH v AS (SELECT s_nationkey AS id, s_suppkey % 3 AS ring, s_suppkey AS k, (-105 - s_suppkey % 50 / 64.0)::DOUBLE AS lon, (38 + s_suppkey % 70 / 128.0)::DOUBLE AS lat FROM supplier), r AS (SELECT id, ring, CASE WHEN ring = 0 THEN 'outerBoundaryIs' ELSE 'innerBoundaryIs' END AS side, string_agg(printf('%.7f,%.7f,0', lon, lat), ' ' ORDER BY k) AS t FROM v GROUP BY ALL)
+    SELECT id, '<Polygon>' || string_agg('<' || side || '><LinearRing><coordinates>' || t || '</coordinates></LinearRing></' || side || '>', '' ORDER BY ring) || '</Polygon>' AS kml FROM r GROUP BY id""",
+)
+def kml_polygons(spark, sf_dir):
+    v = table(spark, sf_dir, "supplier").selectExpr("s_nationkey as id", "s_suppkey % 3 as ring", "s_suppkey as k", "-105 - s_suppkey % 50 / 64.0D as lon", "38 + s_suppkey % 70 / 128.0D as lat")
+    return vectors.to_kml_polygon(v, "id")
+
+
+@query("chosen_patches")
+def chosen_patches(spark, sf_dir):
+    """The patches behind `patch_knapsack`'s scores; held against exhaustive search in the tests."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("grp"), F.col("p_partkey").alias("patch"), ((F.col("p_partkey") % 9 + 1) / 100).alias("full_km2"), (F.round(F.col("p_retailprice")) / 1000).alias("reward"))
+    return attention.chosen(p, "grp", 10.0).select("grp", F.round("score", 6).alias("score"), F.array_join("patches", ",").alias("patches"), "minutes")
+
+
+@query(
+    "point_classes_in_feet",
+    "WITH q AS (SELECT (event_id * 37 % 4000) / 2.0 * 0.3048 AS x, (event_id * 91 % 3000) / 2.0 * 0.3048 AS y, (event_id % 20)::INT AS class, event_id % 23 = 0 AS withheld FROM events), o(id, ox, oy) AS (VALUES (1, 300.03, 300.0), (2, 500.03, 400.0)) SELECT id, class, count(*) AS n FROM q, o WHERE class NOT IN (7, 18) AND NOT withheld AND (x - ox) * (x - ox) + (y - oy) * (y - oy) <= 8100 GROUP BY ALL",
+)
+def point_classes_in_feet(spark, sf_dir):
+    r = table(spark, sf_dir, "events").selectExpr("(event_id * 37 % 4000) / 2.0D as x", "(event_id * 91 % 3000) / 2.0D as y", "1D as z", "cast(event_id % 20 as int) as class", "event_id % 23 = 0 as withheld")
+    o = spark.createDataFrame([(1, 300.03, 300.0), (2, 500.03, 400.0)], "id int, ox double, oy double")
+    return points.class_counts(points.cropped(r, o, 90.0, unit=geo.FOOT, height_unit=geo.FOOT))
+
+
+@query(
+    "web_tiles",
+    f"""WITH p AS (SELECT {PLACE}, c_acctbal AS value FROM customer), g AS (SELECT floor((lon + 180) / 360 * 64 * 256)::BIGINT AS gx, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 64 * 256)::BIGINT AS gy, value FROM p), m AS (SELECT gx, gy, max(value) AS value FROM g GROUP BY ALL)
+    SELECT 6 AS z, (gx // 256)::INT AS x, (gy // 256)::INT AS y, count(*) AS n, string_agg((gy % 256) || ':' || (gx % 256) || ':' || round(value)::BIGINT, ' ' ORDER BY gy, gx) AS pixels FROM m GROUP BY ALL""",
+)
+def web_tiles(spark, sf_dir):
+    p = table(spark, sf_dir, "customer").selectExpr("(c_custkey * 37 % 4800) / 100.0D - 126 as lon", "(c_custkey * 91 % 4000) / 100.0D + 10 as lat", "c_acctbal as value")
+    text = F.transform("pixels", lambda v: F.concat_ws(":", v["py"].cast("string"), v["px"].cast("string"), F.round(v["value"]).cast("long").cast("string")))
+    return sinks.tile_table(p, 6).select("z", "x", "y", "n", F.array_join(text, " ").alias("pixels"))

@@ -33,6 +33,24 @@ def utm(lon: Column, lat: Column, zone: Column | int) -> tuple[Column, Column]:
     return 500000 + SCALE * big * x, SCALE * big * y
 
 
+def lonlat(easting: Column, northing: Column, zone: Column | int) -> tuple[Column, Column]:
+    """(lon, lat) of a point of the northern hemisphere: the series back, latitude from the conformal one by three terms."""
+    zone = F.lit(zone) if isinstance(zone, int) else zone
+    n = FLAT / (2 - FLAT)
+    big = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = northing / (SCALE * big), (easting - 500000) / (SCALE * big)
+    x, y = xi, eta
+    for j, b in enumerate(beta, 1):
+        x, y = x - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta), y - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(x) / F.cosh(y))
+    phi = chi
+    for j, d in enumerate(delta, 1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return zone * 6 - 183 + F.degrees(F.atan2(F.sinh(y), F.cos(x))), F.degrees(phi)
+
+
 def tile_bounds(z: Column, x: Column, y: Column) -> tuple[Column, Column, Column, Column]:
     """(west, south, east, north) in web-Mercator metres."""
     size = 2 * HALF / F.pow(F.lit(2.0), z)

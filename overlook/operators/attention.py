@@ -22,6 +22,13 @@ def polar_patches(points: DataFrame, by: str, width_deg: int, band: float, radiu
     return every.join(found, [by, "patch"], "left").select(by, "patch", full.alias("full_km2"), F.coalesce("visible_km2", F.lit(0.0)).alias("visible_km2"), F.coalesce("reward", F.lit(0.0)).alias("reward"))
 
 
+def _items(patches: DataFrame, by: str, rate: float, overhead: float, quantum: float) -> DataFrame:
+    """(by, items) with each group's patches in order, their cost in units of time and their reward."""
+    units = F.greatest(F.lit(1), F.ceil((F.col("full_km2") / rate + overhead) / quantum - 1e-9)).cast("int")
+    checked = F.when(F.col("reward") < 0, F.raise_error(F.lit("a reward is negative")).cast("double")).otherwise(F.col("reward"))
+    return patches.withColumn("reward", checked).where("reward is not null").groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("patch"), units.alias("u"), F.col("reward").cast("double").alias("v")))).alias("items"))
+
+
 def knapsack(patches: DataFrame, by: str, budget: float, rate: float = 0.02, overhead: float = 0.5, quantum: float = 0.25) -> DataFrame:
     """(by, score) of the exact best choice of patches (by, patch, full_km2, reward) in each group; a negative reward raises, an unknown one can't be chosen.
 
@@ -29,14 +36,22 @@ def knapsack(patches: DataFrame, by: str, budget: float, rate: float = 0.02, ove
     alone, and a group's patches are as many as its bins.
     """
     capacity = math.floor(budget / quantum + 1e-9)
-    units = F.greatest(F.lit(1), F.ceil((F.col("full_km2") / rate + overhead) / quantum - 1e-9)).cast("int")
-    checked = F.when(F.col("reward") < 0, F.raise_error(F.lit("a reward is negative")).cast("double")).otherwise(F.col("reward"))
-    items = patches.withColumn("reward", checked).where("reward is not null").groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("patch"), units.alias("u"), F.col("reward").cast("double").alias("v")))).alias("items"))
+    items = _items(patches, by, rate, overhead, quantum)
     best = F.expr(f"""aggregate(items, transform(sequence(0, {capacity}), t -> 0D),
         (b, x) -> transform(b, (old, t) -> if(t >= x.u and b[t - x.u] + x.v > old + 1e-14, b[t - x.u] + x.v, old)), b -> b[{capacity}])""")
     return items.select(by, best.alias("score"))
 
 
+def chosen(patches: DataFrame, by: str, budget: float, rate: float = 0.02, overhead: float = 0.5, quantum: float = 0.25) -> DataFrame:
+    """(by, score, patches, minutes) of the exact best choice: the fold of `knapsack` with the list of chosen patches beside each best reward."""
+    capacity = math.floor(budget / quantum + 1e-9)
+    kind = patches.schema["patch"].dataType.simpleString()
+    items = _items(patches, by, rate, overhead, quantum)
+    best = F.expr(f"""aggregate(items, transform(sequence(0, {capacity}), t -> named_struct('v', 0D, 'u', 0, 'p', cast(array() as array<{kind}>))),
+        (b, x) -> transform(b, (old, t) -> if(t >= x.u and b[t - x.u].v + x.v > old.v + 1e-14, named_struct('v', b[t - x.u].v + x.v, 'u', b[t - x.u].u + x.u, 'p', concat(b[t - x.u].p, array(x.patch))), old)), b -> b[{capacity}])""")
+    return items.select(by, best.alias("m")).select(by, F.col("m.v").alias("score"), F.col("m.p").alias("patches"), (F.col("m.u") * quantum).alias("minutes"))
+
+
 def sweep(patches: DataFrame, by: str, budgets: list[float], **costs) -> DataFrame:
     """(by, budget, selective, uniform) for a fixed list of budgets: the exact choice of patches, and the score if the time went evenly over all that is visible."""
     rate = costs.get("rate", 0.02)

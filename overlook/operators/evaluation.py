@@ -117,6 +117,40 @@ def far_apart(points: DataFrame, leaders: int, count: int) -> DataFrame:
     return spark.createDataFrame([(i, p["id"]) for i, p in enumerate(chosen, 1)], f"place int, id {points.schema['id'].dataType.simpleString()}")
 
 
+def parents(points: DataFrame, count: int, leaders: int = 3, by_direction: int = 6, apart: float = 400.0) -> DataFrame:
+    """(place, id) of points (id, x, y, score, directional): the `leaders` best scores; up to `by_direction` in all by directional score, `apart` from all chosen; then the farthest from all chosen, as long as it is `apart`. Ties by id; a round brings one row to the driver."""
+    spark = points.sparkSession
+    p = cut(points.select("id", "x", "y", "score", "directional"))
+    chosen = p.orderBy(F.desc_nulls_last("score"), "id").limit(leaders).select("id", "x", "y").collect()
+    while chosen and len(chosen) < max(count, by_direction):
+        near = F.array_min(F.array(*((F.col("x") - q["x"]) ** 2 + (F.col("y") - q["y"]) ** 2 for q in chosen)))
+        left = p.where(~F.col("id").isin([q["id"] for q in chosen])).withColumn("near", near).where(F.col("near") >= apart**2)
+        order = F.desc_nulls_last("directional") if len(chosen) < by_direction else F.desc("near")
+        best = left.orderBy(order, "id").limit(1).select("id", "x", "y").collect()
+        if not best:
+            break
+        chosen += best
+    return spark.createDataFrame([(i, q["id"]) for i, q in enumerate(chosen, 1)], f"place int, id {points.schema['id'].dataType.simpleString()}")
+
+
+#: Cover (tree, shrub, herb) that stands for unknown cover at its least and at its most.
+UNKNOWN_COVER = {"open": (0.0, 0.3, 0.3), "dense": (1.0, 0.6, 0.0)}
+
+
+def assumed_cover(cells: DataFrame, kind: str, uncertain: Column) -> DataFrame:
+    """cells (tree, shrub, herb, ...) whose uncertain ones are taken as open or as dense."""
+    return cells.withColumns({c: F.when(uncertain, F.lit(v)).otherwise(F.col(c)) for c, v in zip(("tree", "shrub", "herb"), UNKNOWN_COVER[kind])})
+
+
+def cover_bounds(cells: DataFrame, by: str, score: Column, uncertain: Column, area: float) -> DataFrame:
+    """(by, dense, open, unknown_share): a sum of scores over cells if all unknown cover were dense, and if it were open."""
+    cover = ("tree", "shrub", "herb")
+    rows = cells.withColumns({"__u": F.coalesce(uncertain, F.lit(True)), **{f"__{c}": F.col(c) for c in cover}})
+    for k in ("dense", "open"):
+        rows = assumed_cover(rows, k, F.col("__u")).withColumn(f"__{k}", score * area).withColumns({c: F.col(f"__{c}") for c in cover})
+    return rows.groupBy(by).agg(*(F.sum(f"__{k}").alias(k) for k in ("dense", "open")), F.avg(F.col("__u").cast("int")).alias("unknown_share"))
+
+
 def median_colours(cells: DataFrame, pixels: DataFrame, fallback: tuple[int, int, int]) -> DataFrame:
     """cells (id, r, c) with the colour of the 3 x 3 pixels (r, c, red, green, blue, alpha) around: three quarters their median, a quarter the fallback; the fallback where none is opaque."""
     around = F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1)))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.terrain import gaussian_taps
 from ..sources.lineage import cut
 
 #: Words that name a kind of way, not the way.
@@ -123,6 +124,23 @@ def _small_star(links: DataFrame) -> DataFrame:
     return _downward(moved.union(least))
 
 
+def smoothed(stations: DataFrame, sigma: float = 1.0) -> DataFrame:
+    """stations (id, k, z) with heights smoothed along each line, its ends mirrored; a line with an unknown height has none. A line's stations are one array."""
+    taps = gaussian_taps(sigma)
+    lines = stations.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "z"))).alias("a"))
+    n = F.size("a")
+
+    def one(i):
+        total = F.lit(0.0)
+        for o, w in taps:
+            at = F.pmod(i + o, 2 * n)
+            total = total + F.get(F.col("a"), F.when(at >= n, 2 * n - 1 - at).otherwise(at))["z"] * w
+        return F.struct(F.get(F.col("a"), i)["k"].alias("k"), total.alias("z"))
+
+    whole = F.when(~F.exists("a", lambda x: x["z"].isNull()), F.transform(F.sequence(F.lit(0), n - 1), one))
+    return lines.select("id", F.explode(F.coalesce(whole, F.transform("a", lambda x: F.struct(x["k"].alias("k"), F.lit(None).cast("double").alias("z"))))).alias("x")).select("id", "x.k", "x.z")
+
+
 def profile(stations: DataFrame) -> DataFrame:
     """(id, gain, loss, covered) along stations (id, k, z): sums of rises and falls, NULL unless every station has a height."""
     from pyspark.sql import Window
@@ -376,3 +394,8 @@ def connections(cells: DataFrame, seats: DataFrame, departures_: DataFrame, res:
     where = seats.join(here, ["r", "c"], "left").join(best, "id", "left")
     status = F.when(F.col("limit").isNotNull(), "connected").when(F.col("z").isNull(), "no terrain").when(~F.col("ok"), "outside the domain").when(F.col("slope") > limits[-1], "too steep").otherwise("no connection")
     return where.select("id", status.alias("status"), "limit")
+
+
+def eligible(candidates: DataFrame, screened: DataFrame) -> DataFrame:
+    """Candidates (id, ...) that the screen (id, status) found connected."""
+    return candidates.join(screened.where("status = 'connected'").select("id").distinct(), "id", "left_semi")

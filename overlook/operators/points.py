@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cropped(returns: DataFrame, observers: DataFrame, radius: float, bucket: float = 256.0) -> DataFrame:
-    """returns (x, y, z, class, withheld) within the radius of observers (id, ox, oy), one scan for all: noise (7, 18) and withheld returns go."""
+def cropped(returns: DataFrame, observers: DataFrame, radius: float, bucket: float = 256.0, unit: float = 1.0, height_unit: float = 1.0) -> DataFrame:
+    """returns (x, y, z, class, withheld) within the radius of observers (id, ox, oy), one scan for all: noise (7, 18) and withheld returns go. Coordinates in other units are brought to metres by `unit` and `height_unit`."""
+    if unit != 1 or height_unit != 1:
+        returns = returns.withColumns({"x": F.col("x") * unit, "y": F.col("y") * unit, "z": F.col("z") * height_unit})
     b = lambda v: F.floor(v / bucket).cast("long")
     o = observers.withColumn("bi", F.explode(F.sequence(b(F.col("ox") - radius), b(F.col("ox") + radius)))).withColumn("bj", F.explode(F.sequence(b(F.col("oy") - radius), b(F.col("oy") + radius))))
     p = returns.where(~F.col("class").isin(7, 18) & ~F.coalesce("withheld", F.lit(False))).withColumn("bi", b(F.col("x"))).withColumn("bj", b(F.col("y")))
@@ -34,3 +36,8 @@ def voxels(returns: DataFrame, side: float = 1.0) -> DataFrame:
 def first_in_bin(returns: DataFrame, side: float = 0.25) -> DataFrame:
     """(i, j, seq, z): the first return, in source order, of each bin."""
     return returns.groupBy(F.floor(F.col("dx") / side).cast("long").alias("i"), F.floor(F.col("dy") / side).cast("long").alias("j")).agg(F.min("seq").alias("seq"), F.min_by("z", "seq").alias("z"))
+
+
+def class_counts(crop: DataFrame) -> DataFrame:
+    """(id, class, n) of the returns kept for each observer."""
+    return crop.groupBy("id", "class").agg(F.count("*").alias("n"))

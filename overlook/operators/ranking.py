@@ -26,14 +26,20 @@ def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
 
 
 def dense_rank_by(df: DataFrame, score: str, key: str, group: str | None = None, digits: int | None = None, out: str = "rank") -> DataFrame:
-    """1..n by descending score (rounded, if digits are given) and ascending key; NULL scores come last. Without a group the order is global."""
+    """1..n by descending score (rounded, if digits are given) and ascending key; NULL scores come last. Without a group the order is global; with one, rows are ranked by group and order over all and each group's first rank is taken off, so that no task holds a group."""
     s = F.round(score, digits) if digits is not None else F.col(score)
     order = [s.desc_nulls_last(), F.col(key)]
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(*order))) if group else ranked(df, order, out)
+    if group is None:
+        return ranked(df, order, out)
+    every = cut(ranked(df, [F.col(group), *order], "__n"))
+    first = every.groupBy(F.col(group).alias("__g")).agg((F.min("__n") - 1).alias("__first"))
+    return every.join(first, F.col(group).eqNullSafe(F.col("__g"))).select(*df.columns, (F.col("__n") - F.col("__first")).cast("int").alias(out))
 
 
 def top_per_group(df: DataFrame, group: str, score: str, key: str, k: int) -> DataFrame:
-    return dense_rank_by(df, score, key, group).where(F.col("rank") <= k)
+    """The k best of each group with their rank; Spark cuts groups to k rows before the shuffle."""
+    order = Window.partitionBy(group).orderBy(F.col(score).desc_nulls_last(), F.col(key))
+    return df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def habitat_order(df: DataFrame) -> DataFrame:

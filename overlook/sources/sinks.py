@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def tile_table(points: DataFrame, z: int, size: int = 256) -> DataFrame:
+    """(z, x, y, n, pixels) of points (lon, lat, value): for each web tile its pixels (px, py, value) in order, the largest value of a pixel standing for it; a tile holds size * size pixels at most."""
+    fx = (F.col("lon") + 180) / 360 * 2**z
+    fy = (1 - F.log(F.tan(F.radians("lat")) + 1 / F.cos(F.radians("lat"))) / math.pi) / 2 * 2**z
+    place = points.select(F.floor(fx * size).alias("gx"), F.floor(fy * size).alias("gy"), "value")
+    pixel = place.groupBy("gx", "gy").agg(F.max("value").alias("value"))
+    own = pixel.select(F.floor(F.col("gx") / size).cast("int").alias("x"), F.floor(F.col("gy") / size).cast("int").alias("y"), (F.col("gx") % size).cast("int").alias("px"), (F.col("gy") % size).cast("int").alias("py"), "value")
+    return own.groupBy("x", "y").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("py", "px", "value"))).alias("pixels")).select(F.lit(z).alias("z"), "x", "y", "n", "pixels")
+
+
 def to_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

@@ -125,3 +125,15 @@ def tiles(grid: DataFrame, value: str = "z", size: int = TILE) -> DataFrame:
     by = grid.groupBy((F.col("r") / size).cast("int").alias("tr"), (F.col("c") / size).cast("int").alias("tc"))
     held = by.agg(F.collect_list(F.struct(at.cast("int").alias("p"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v"))).alias("x"))
     return held.select("tr", "tc", F.col("x.p").alias("p"), F.col("x.v").alias("v"))
+
+
+def load_verified(spark: SparkSession, files: DataFrame, manifest: DataFrame, layers: dict[str, str]) -> DataFrame:
+    """The grid of Parquet layers {name: path} as one cell table (r, c, a column a layer), read only if every file of the manifest is there as it was sealed; raises with the first faults otherwise."""
+    faults = verified(files, manifest).orderBy("path").limit(5).collect()
+    if faults:
+        raise ValueError("not as sealed: " + ", ".join(r["path"] for r in faults))
+    grid = None
+    for name, path in layers.items():
+        layer = spark.read.parquet(path).select("r", "c", F.col("value").alias(name))
+        grid = layer if grid is None else grid.join(layer, ["r", "c"], "full")
+    return grid

@@ -169,3 +169,13 @@ def to_kml_ring(vertices: DataFrame, key: str) -> DataFrame:
     """(key, kml): a LinearRing for each ring of (key, k, lon, lat)."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))), lambda p: F.format_string("%.7f,%.7f,0", p["lon"], p["lat"])), " ")
     return vertices.groupBy(key).agg(text.alias("t")).select(key, F.concat(F.lit("<LinearRing><coordinates>"), "t", F.lit("</coordinates></LinearRing>")).alias("kml"))
+
+
+def to_kml_polygon(vertices: DataFrame, key: str) -> DataFrame:
+    """(key, kml): a Polygon for each key of (key, ring, k, lon, lat); ring 0 is the outer boundary, the others are holes."""
+    rings = vertices.groupBy(key, "ring").agg(F.array_sort(F.collect_list(F.struct("k", "lon", "lat"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda p: F.format_string("%.7f,%.7f,0", p["lon"], p["lat"])), " ")
+    side = F.when(F.col("ring") == 0, "outerBoundaryIs").otherwise("innerBoundaryIs")
+    one = F.concat(F.lit("<"), side, F.lit("><LinearRing><coordinates>"), text, F.lit("</coordinates></LinearRing></"), side, F.lit(">"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ring", one.alias("t")))), lambda r: r["t"]), "")
+    return rings.groupBy(key).agg(whole.alias("t")).select(key, F.concat(F.lit("<Polygon>"), "t", F.lit("</Polygon>")).alias("kml"))

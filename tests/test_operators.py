@@ -90,6 +90,34 @@ def test_knapsack_equals_exhaustive_search(spark):
         assert abs(attention.knapsack(df, "g", budget).first().score - best) < 1e-9
 
 
+def test_chosen_patches_are_the_best_and_add_up(spark):
+    rows = [(1, i, a, v) for i, (a, v) in enumerate(zip((0.011, 0.022, 0.035, 0.01, 0.05), (0.3, 0.8, 0.9, 0.1, 0.85)))]
+    df = spark.createDataFrame(rows, "g int, patch int, full_km2 double, reward double")
+    cost = [max(1, math.ceil((a / 0.02 + 0.5) / 0.25 - 1e-9)) * 0.25 for _, _, a, _ in rows]
+    for budget in (0, 0.75, 2.5, 4, 5.5, 20):
+        best = max(sum(rows[i][3] for i in s) for k in range(6) for s in itertools.combinations(range(5), k) if sum(cost[i] for i in s) <= budget + 1e-9)
+        got = attention.chosen(df, "g", budget).first()
+        assert abs(got.score - best) < 1e-9 and abs(sum(rows[i][3] for i in got.patches) - best) < 1e-9
+        assert got.minutes == sum(cost[i] for i in got.patches) <= budget
+
+
+def test_ranks_in_groups_with_unknowns(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "a", None), (3, None, 1.0), (4, "a", 2.0), (5, None, 3.0)], "id int, g string, s double")
+    got = {r.id: r["rank"] for r in ranking.dense_rank_by(df, "s", "id", "g").collect()}
+    assert got == {1: 1, 4: 2, 2: 3, 5: 1, 3: 2}
+
+
+def test_verified_load_refuses_other_bytes(spark, tmp_path):
+    for name, v in (("z", 5.0), ("mask", 1.0)):
+        spark.createDataFrame([(0, 0, v), (0, 1, v + 1)], "r int, c int, value double").coalesce(1).write.parquet(str(tmp_path / name))
+    files = spark.read.format("binaryFile").load([str(tmp_path / n) for n in ("z", "mask")]).select("path", "content")
+    manifest = spark.createDataFrame(files.select("path", F.sha2("content", 256).alias("sha256")).collect())
+    layers = {n: str(tmp_path / n) for n in ("z", "mask")}
+    assert sorted(map(tuple, grids.load_verified(spark, files, manifest, layers).collect())) == [(0, 0, 5.0, 1.0), (0, 1, 6.0, 2.0)]
+    with pytest.raises(ValueError, match="not as sealed"):
+        grids.load_verified(spark, files, manifest.withColumn("sha256", F.lit("0")), layers)
+
+
 def test_polar_patches_fixture(spark):
     df = spark.createDataFrame([(1, 0.0, 10.0, 1.0), (1, 1.0, 10.0, 0.2), (1, 0.0, 510.0, 0.4)], "g int, dx double, dy double, reward double")
     out = {r.patch: r for r in attention.polar_patches(df, "g", 30, 500, 2000, 1e-4).collect()}
