@@ -193,7 +193,8 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 def redact(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """docs with every span of text replaced by a mark (n_chars follows, if there); other texts, and all other columns whatever their names, stay as they are."""
     # the corpus's runs, few and narrow, are kept by one pass; a second one, with the cut known, redacts
-    runs = materialize(with_spans(docs.select("text")).where(F.size("__runs") > 0).select("__runs"), "runs")
+    # (no filter on them: pushed below, it would find every text's runs a second time)
+    runs = materialize(with_spans(docs.select("text")).select("__runs"), "runs")
     rows = all_spans(with_spans(boxed(docs, F.col("text"))), *fitted(runs, fdr))
     skip = "if(x.s < {pos}, '', concat(substring(__text, cast({pos} + 1 as int), cast(x.s - {pos} as int)), '" + MARK + "'))"
     clean = F.expr(_folded("__spans", skip, "greatest({pos}, x.e)", "string", "concat(array_join(flatten(f.all), ''), substring(__text, cast(f.pos + 1 as int)))"))
