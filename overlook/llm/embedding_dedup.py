@@ -17,9 +17,9 @@ bytes; cells of any size are cut into blocks of CELL_BYTES (pairs.py) and compar
 task returns counts and a spanning forest, never pairs.
 
 Edge cases: rows whose label is null, or whose vector is null, empty, zero, of another length, or holds
-null or non-finite components, link with nothing; repeated rows are rows (each links with the other, and
-a repeated vec_id has one component); a null vec_id is compared and counted but names no component unless
-it stands alone; empty tables give empty results; extra columns are ignored.
+null or non-finite components, link with nothing; repeated rows are rows (each links with the other);
+components join vectors and not ids, so rows that repeat a vec_id share one only where links reach; a null vec_id
+is compared and counted, its kept is null, and its component is null only where no row of the component has an id; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,7 +43,6 @@ BLOCKS, GRID = 4, 2
 FIT_ROWS = 2048
 #: Bytes of a cell's vectors that one side of a comparison holds, and members that a tile compares.
 CELL_BYTES, TILE = 16 << 20, 1024
-NO_ID = -(1 << 63)
 #: Relative and absolute allowance for vectors rounded to single precision.
 SLACK, ROUNDED = 1e-4, 1e-5
 
@@ -216,7 +215,7 @@ def _verify(cosine: float, tile: int):
 def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors(vec_id, embedding, label)."""
     finite = F.expr("coalesce(size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0), false)")
-    rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))  # one zero
     same = [F.xxhash64("label", "embedding").alias("same"), F.xxhash64(F.lit(1), "embedding", "label").alias("same2")]
     marked = rows.select("*", (F.col("label").isNotNull() & finite).alias("fit"), *same)
@@ -232,16 +231,16 @@ def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     members = placed.select("label", "rep", "copies", "raw", "turned", F.posexplode("cells").alias("slot", "cell")).where("cell is not null")
     found = materialize(in_blocks(members, crowds, ["label", "cell"], "rep").mapInArrow(_verify(cosine, TILE), LINKS_DDL), "near")
     links = found.groupBy(F.col("member").alias("rep")).agg(F.sum("links").alias("links"))
-    named = placed.select("rep", "vec_id")
-    edges = found.where("member <> root").select("member", "root").distinct()
-    edges = edges.join(named.toDF("member", "a"), "member").join(named.toDF("root", "b"), "root").select("a", "b")
-    final = placed.select("rep", "vec_id", "copies").join(links, "rep", "left").join(components(edges).toDF("vec_id", "component").distinct(), "vec_id", "left")
+    # components go by rep, one node for each distinct vector; ids are looked up for the components that result
+    classes = components(found.where("member <> root").select(F.col("member").alias("a"), F.col("root").alias("b")).distinct()).toDF("rep", "node").distinct()
+    least = classes.join(placed.select("rep", "vec_id"), "rep").groupBy("node").agg(F.min("vec_id").alias("component"))
+    classes = classes.join(least, "node").select("rep", "component")
+    final = placed.select("rep", "vec_id", "copies").join(links, "rep", "left").join(classes, "rep", "left")
     final = final.select("rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     linked_rows = marked.select("vec_id", "fit", rep)
     out = linked_rows.where("fit").join(final, "rep").select("vec_id", "n_links", "component_id")
-    out = out.union(linked_rows.where("not fit").select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(real("vec_id"), "n_links", real("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    out = out.union(linked_rows.where("not fit").select("vec_id", F.lit(0).cast("long"), F.when(~F.col("fit"), F.col("vec_id"))))
+    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -61,3 +61,12 @@ def test_awkward_rows(spark):
     assert op.near(df.limit(0)).collect() == []
     none = op.near(spark.createDataFrame([(None, [1.0, 0.0], 1)], SCHEMA)).collect()
     assert none[0].vec_id is None and none[0].n_links == 0
+
+
+def test_repeated_and_null_ids(spark):
+    """Components join vectors, not ids: null ids and repeated ones don't bring unlike vectors together."""
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = lambda v: [c + 0.1 for c in v]
+    rows = [(3, x, 1), (None, near(x), 1), (9, y, 1), (None, near(y), 1), (None, z, 1), (None, near(z), 1), (3, z, 2), (4, near(z), 2), (4, x, 2)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in op.near(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(3, 1, 3, True), (None, 1, 3, None), (9, 1, 9, True), (None, 1, 9, None), (None, 1, None, None), (None, 1, None, None), (3, 1, 3, True), (4, 1, 3, False), (4, 0, 4, True)], key=str)
