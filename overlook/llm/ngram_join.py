@@ -32,8 +32,8 @@ from .components import components
 from .pairs import LINKS_DDL, Links, by_group, in_blocks
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
-#: Members of a group that one side of a comparison holds.
-BLOCK = 512
+#: Members of a group that one side of a comparison holds; smaller blocks spread a large group over more tasks, and send its members more often.
+BLOCK = 256
 
 
 def choose(threshold: float, recall: float, rows: int = 4) -> tuple[int, int]:

@@ -21,8 +21,11 @@ def in_blocks(members: DataFrame, groups: DataFrame, keys: list[str], member: st
     rows = rows.withColumn("own", F.pmod(F.xxhash64(F.col(member)), F.col("blocks")).cast("int"))
     rows = rows.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("bi", F.least("own", "__o")).withColumn("bj", F.greatest("own", "__o")).drop("__o", "blocks")
-    deal = [*keys, "bi", "bj"]
-    return rows.repartition(shuffle_parts(members.sparkSession), *deal).sortWithinPartitions(*deal)
+    # a group's pairs of blocks are numbered and dealt in turn, from a place that the group's hash gives: no two of them meet before every task has one
+    parts = shuffle_parts(members.sparkSession)
+    number = (F.col("bj").cast("long") * (F.col("bj") + 1) / 2).cast("long") + F.col("bi")
+    place = F.pmod(F.pmod(F.xxhash64(*keys), F.lit(parts)) + number, F.lit(parts)).cast("int")
+    return rows.repartitionById(parts, place).sortWithinPartitions(*keys, "bi", "bj")
 
 
 def by_group(names: list[str], handle: Callable[[pa.Table], Iterator[pa.RecordBatch]]):

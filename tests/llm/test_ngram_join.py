@@ -50,7 +50,7 @@ def edited(rng, text, edits):
 @pytest.mark.parametrize("block", [512, 7])
 def test_matches_brute_force(spark, block, monkeypatch):
     """Small blocks make many pairs of blocks; pairs close to the threshold may be missed at the stated recall, so none lie there."""
-    monkeypatch.setattr(op.in_blocks, "__defaults__", (block,))
+    monkeypatch.setattr(op, "BLOCK", block)
     rng = random.Random(1)
     vocabulary = [f"v{i}" for i in range(500)]
     bases = [" ".join(rng.choice(vocabulary) for _ in range(200)) for _ in range(12)]
