@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from overlook.llm import packing as op
@@ -59,6 +60,22 @@ def test_copies_lie_side_by_side(spark):
     assert sum(a != b for a, b in zip(order, order[1:])) <= 12
 
 
+def test_ranges_hold_equal_bytes_and_follow_the_curve(spark):
+    """A third of all bytes are copies of one text, and a few texts are a hundred times as long as the rest."""
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(2000 if i % 50 == 0 else 20)) for i in range(600)]
+    texts += ["same text again and again " * 4] * 300 + ["", None]
+    rows = docs_frame(spark, texts).selectExpr("doc_id", "coalesce(text, '') AS text").mapInArrow(op._keys, "curve long, doc_id long, text string")
+    rows = rows.withColumn("copy", F.xxhash64("text"))
+    out = op.dealt(rows, 8).select("curve", "doc_id", F.octet_length("text").alias("n"), F.spark_partition_id().alias("part")).collect()
+    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
+    sizes = [sum(r.n for r in out if r.part == p) for p in range(8)]
+    assert max(sizes) <= 1.5 * sum(sizes) / 8
+    stripe = lambda r: r.curve >> (op.DIMS * op.BITS - op.STRIPE_BITS)
+    ends = [(min(map(stripe, x)), max(map(stripe, x))) for p in range(8) if (x := [r for r in out if r.part == p])]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_awkward_rows(spark):
     texts = [None, "", "<|endoftext|> spelled <|endoftext|>", "word " * 9000, "naïve ☃ 𝄞", "\x00"]
     out = op.pack(docs_frame(spark, texts, [None, 1, 2, 3, 4, 5]), 512).collect()
