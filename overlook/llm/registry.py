@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, fingerprints, language_id, ngram_join, packing, piece_codec, secret_scan, substring_dedup, toxicity
+from . import chat_format, embedding_dedup, fingerprints, language_id, ngram_join, packing, piece_codec, secret_scan, substring_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.query,
     "op9_fingerprints": fingerprints.query,
     "op10_secret_scan": secret_scan.query,
+    "op11_vector_codes": vector_codes.query,
 }
 
-ORACLES: dict[str, str] = {"op5_chat_format": chat_format.ORACLE}
+ORACLES: dict[str, str] = {"op5_chat_format": chat_format.ORACLE, "op11_vector_codes": vector_codes.ORACLE}
