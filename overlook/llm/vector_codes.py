@@ -5,10 +5,9 @@ starts as that part of the ENTRIES vectors of least vec_id; ROUNDS times every p
 entry becomes the componentwise floor of its parts' mean. The last codebooks give the codes.
 
 The nearest entry of a part p: entries lie sorted by norm. An entry nearer than the best distance d so far has a norm within
-d of |p|, by the triangle inequality, so binary search gives the interval of entries that are still possible. The search starts at
-|p| itself and evaluates outwards in doubling steps; after each step the interval is cut anew with the better d. Its ends are
-inclusive and a hair wider than d, so that no entry at the same distance is missed; distances are exact integers, ties go to the
-lower index.
+d of |p|, by the triangle inequality, so binary search gives the interval of entries that are still possible: the annulus. The entries
+beside |p| give the first d; then the annulus alone is evaluated, and cut anew as d falls. Its ends are inclusive and a hair wider than d, so that no entry
+at the same distance is missed; distances are exact integers, ties go to the lower index. Parts of like norm share these steps.
 
 A round is one pass over the vectors: a task sends a row for each entry that it met (sums and count), and the codebooks, PARTS x ENTRIES
 x width integers whatever the table holds, come to the driver and go out with the next pass. The last pass is written, so that
@@ -36,8 +35,20 @@ from .common import materialize, table
 SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 #: Integer components are smaller than this, so that squared distances of parts of up to 64 components fit 64 bits.
 LIMIT = 1 << 27
-#: Vectors that one step looks at.
-STEP = 8192
+#: Parts of like norm that share an annulus, and entries on either side of their norms that give the first distances.
+BLOCK, BESIDE = 128, 4
+
+
+def distances(points: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Exact squared distances (points, entries) of integer vectors: a product of doubles where none of its sums can leave 53 bits, else differences of 64-bit integers."""
+    most = max(np.abs(points).max(initial=0), np.abs(entries).max(initial=0))
+    if 4 * int(most) ** 2 * max(1, points.shape[1]) < 1 << 53:
+        p, e = points.astype(np.float64), entries.astype(np.float64)
+        return ((p * p).sum(1)[:, None] - 2 * (p @ e.T) + (e * e).sum(1)[None]).astype(np.int64)
+    out = np.zeros((len(points), len(entries)), np.int64)
+    for x, y in zip(points.T, entries.T):
+        out += (x[:, None] - y[None]) ** 2
+    return out
 
 
 class Annuli:
@@ -45,47 +56,41 @@ class Annuli:
 
     def __init__(self, entries: np.ndarray):
         norms = np.sqrt((entries.astype(np.float64) ** 2).sum(1))
-        self.index = np.argsort(norms, kind="stable")
-        self.entries, self.norms = entries[self.index], norms[self.index]
+        self.index, self.entries = np.argsort(norms, kind="stable"), entries
+        self.norms = norms[self.index]
 
     def nearest(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(index of the nearest entry, squared distance, entries evaluated) of each point; ties go to the lower index."""
-        n, k = len(points), len(self.norms)
+        """(index of the nearest entry, squared distance, distances evaluated) of each point; ties go to the lower index.
+
+        Points go in blocks of like norm. A block looks at the entries beside its own norms, then at those further out, in steps that
+        grow; a point leaves once what has been looked at covers its annulus, and no step goes beyond the annuli of those that are left.
+        """
         norm = np.sqrt((points.astype(np.float64) ** 2).sum(1))
-        start = np.searchsorted(self.norms, norm)
-        best, at = np.full(n, np.iinfo(np.int64).max), np.full(n, k)
-        low, high = np.zeros(n, np.int64), np.full(n, k)  # the annulus: entries low..high
-        left, right = start.copy(), start.copy()  # what has been evaluated: entries left..right
-        work, step, rows = 0, 2, np.arange(n)
-        while len(rows):
-            to_left, to_right = np.maximum(left[rows] - step, np.minimum(low[rows], left[rows])), np.minimum(right[rows] + step, np.maximum(high[rows], right[rows]))
-            for a, b in ((to_left, left[rows]), (right[rows], to_right)):
-                work += self._evaluate(points, rows, a, b, best, at)
-            left[rows], right[rows] = to_left, to_right
-            reach = np.sqrt(best[rows].astype(np.float64))
-            slack = 1e-12 * (reach + norm[rows]) + 1e-9
-            low[rows] = np.searchsorted(self.norms, norm[rows] - reach - slack, side="left")
-            high[rows] = np.searchsorted(self.norms, norm[rows] + reach + slack, side="right")
-            rows = rows[(left[rows] > low[rows]) | (right[rows] < high[rows])]
-            step *= 2
-        return at, best, work
-
-    def _evaluate(self, points, rows, a, b, best, at) -> int:
-        """Distances of points[rows] to entries a..b of each, exactly; best and at take what is better."""
-        size = b - a
-        rows, a, size = rows[size > 0], a[size > 0], size[size > 0]
-        if not len(rows):
-            return 0
-        first = np.cumsum(size) - size
-        entry = np.arange(size.sum()) - np.repeat(first - a, size)
-        gap = points[np.repeat(rows, size)] - self.entries[entry]
-        dist = np.einsum("ij,ij->i", gap, gap)
-        least = np.minimum.reduceat(dist, first)
-        index = np.where(dist == np.repeat(least, size), self.index[entry], len(self.index))
-        index = np.minimum.reduceat(index, first)
-        better = (least < best[rows]) | ((least == best[rows]) & (index < at[rows]))
-        best[rows[better]], at[rows[better]] = least[better], index[better]
-        return len(entry)
+        index, dist, work = np.zeros(len(points), np.int64), np.full(len(points), np.iinfo(np.int64).max), 0
+        order = np.argsort(norm, kind="stable")
+        for first in range(0, len(points), BLOCK):
+            rows = order[first : first + BLOCK]
+            left, right = np.searchsorted(self.norms, norm[rows[[0, -1]]])
+            seen, low, high, step = slice(left, left), 0, len(self.norms), BESIDE
+            while len(rows):
+                now = slice(max(low, left - step), min(high, right + step))
+                now = slice(min(now.start, seen.start), max(now.stop, seen.stop))
+                found = np.sort(np.concatenate([self.index[now.start : seen.start], self.index[seen.stop : now.stop]]))  # by index, as the first of equal distances wins
+                if len(found):
+                    d = distances(points[rows], self.entries[found])
+                    at = d.argmin(1)
+                    d, at = d[np.arange(len(rows)), at], found[at]
+                    better = (d < dist[rows]) | ((d == dist[rows]) & (at < index[rows]))
+                    dist[rows[better]], index[rows[better]] = d[better], at[better]
+                    work += len(rows) * len(found)
+                reach = np.sqrt(dist[rows].astype(np.float64))
+                reach += 1e-12 * (reach + norm[rows]) + 1e-9
+                lows = np.searchsorted(self.norms, norm[rows] - reach, side="left")
+                highs = np.searchsorted(self.norms, norm[rows] + reach, side="right")
+                open_ = (lows < now.start) | (highs > now.stop)
+                rows, seen, step = rows[open_], now, step * 4
+                low, high = lows[open_].min(initial=len(self.norms)), highs[open_].max(initial=0)
+        return index, dist, work
 
 
 def integers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,8 +140,7 @@ def assigned(vectors: np.ndarray, annuli: list[Annuli]) -> tuple[np.ndarray, np.
     parts = vectors.reshape(len(vectors), PARTS, vectors.shape[1] // PARTS)
     index, dist = np.zeros((2, len(vectors), PARTS), np.int64)
     for p, a in enumerate(annuli):
-        for lo in range(0, len(vectors), STEP):
-            index[lo : lo + STEP, p], dist[lo : lo + STEP, p], _ = a.nearest(np.ascontiguousarray(parts[lo : lo + STEP, p]))
+        index[:, p], dist[:, p], _ = a.nearest(np.ascontiguousarray(parts[:, p]))
     return index, dist
 
 
