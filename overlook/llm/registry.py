@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_dedup, fingerprints, language_id, ngram_join, packing, piece_codec, secret_scan, source_mixing, substring_dedup, toxicity, vector_codes
+from . import chat_format, embedding_dedup, fingerprints, language_id, lexical_search, ngram_join, packing, piece_codec, secret_scan, source_mixing, substring_dedup, toxicity, vector_codes
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -17,6 +17,12 @@ QUERIES = {
     "op10_secret_scan": secret_scan.query,
     "op11_vector_codes": vector_codes.query,
     "op12_source_mixing": source_mixing.query,
+    "op13_lexical_search": lexical_search.query,
 }
 
-ORACLES: dict[str, str] = {"op5_chat_format": chat_format.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op12_source_mixing": source_mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_chat_format": chat_format.ORACLE,
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op12_source_mixing": source_mixing.ORACLE,
+    "op13_lexical_search": lexical_search.ORACLE,
+}
