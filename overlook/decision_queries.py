@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import geo, scoring
 from .operators import attention, coverage, evaluation, filters, network, points, ranking, visibility
 from .plans import candidates, catalog
-from .queries import POINT_SQL, ROLLING, _points, query, table
+from .queries import ACROSS, CELLS, COLS, DOWN, POINT_SQL, ROLLING, _cells, _points, _rolling, _rows, _seats, query, table
 from .sources import sinks, vectors
 from .sources import terrain as grids
 
@@ -125,8 +125,8 @@ def nearest_automated(spark, sf_dir):
 # a network of straight ways over the points' plane, heights on a coarse grid
 WAYS = [(float(a), float(b), float(c), float(d)) for a, b, c, d in ((-3000, -2000, 3000, -1500), (-3000, 500, 0, 900), (0, 900, 3000, -300), (-500, -3000, -400, 3000))]
 WAY_SQL = f"w(ax, ay, bx, by_) AS (VALUES {', '.join(f'({a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)' for a, b, c, d in WAYS)})"
-X0, Y0, CELL, SIDE = -6000.0, 6000.0, 200.0, 60
-HEIGHT_SQL = f"g AS (SELECT (i // {SIDE})::INT AS r, (i % {SIDE})::INT AS c, CASE WHEN i % 17 = 0 THEN NULL ELSE 2000 + 120 * sin((i % {SIDE}) / 5.0) + 4 * (i // {SIDE}) END AS z FROM range({SIDE * SIDE}) t(i))"
+X0, Y0, CELL = -5000.0, 3000.0, 200.0
+HEIGHT_SQL = f"{CELLS}, g AS (SELECT r, c, CASE WHEN (r * {COLS} + c) % 17 = 0 THEN NULL ELSE 2000 + 120 * sin(c / 5.0::DOUBLE) + price / 20000 END AS z FROM cells)"
 NEAR_SQL = f"""n AS (SELECT p.*, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t, ax, ay, bx, by_ FROM p, w),
     o AS (SELECT *, ax + t * (bx - ax) AS nx, ay + t * (by_ - ay) AS ny FROM n), k AS (SELECT *, sqrt((x - nx) * (x - nx) + (y - ny) * (y - ny)) AS distance FROM o), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, nx, ny) AS q FROM k WHERE distance <= 900) WHERE q = 1),
     h AS (SELECT p.id, b.distance, greatest(0, u.z - v.z) AS height, u.z IS NOT NULL AND v.z IS NOT NULL AS told FROM p LEFT JOIN b USING (id) LEFT JOIN g u ON u.r = floor(({Y0} - p.y) / {CELL}) AND u.c = floor((p.x - {X0}) / {CELL}) LEFT JOIN g v ON v.r = floor(({Y0} - b.ny) / {CELL}) AND v.c = floor((b.nx - {X0}) / {CELL})),
@@ -137,21 +137,21 @@ def _ways(spark):
     return spark.createDataFrame(WAYS, "ax double, ay double, bx double, by double")
 
 
-def _heights(spark):
-    i = F.col("r") * SIDE + F.col("c")
-    return grids.cells(spark, SIDE, SIDE).withColumn("z", F.when(i % 17 != 0, 2000 + 120 * F.sin(F.col("c") / 5.0) + 4 * F.col("r")))
+def _heights(spark, sf_dir):
+    i = F.col("r") * COLS + F.col("c")
+    return _cells(spark, sf_dir).select("r", "c", F.when(i % 17 != 0, 2000 + 120 * F.sin(F.col("c") / 5.0) + F.col("price") / 20000).alias("z"))
 
 
 @query("network_access", f"WITH p AS (SELECT vec_id AS id, x, y FROM ({POINT_SQL})), {WAY_SQL}, {HEIGHT_SQL}, {NEAR_SQL} SELECT id, status, round(distance, 5) AS distance, round(height, 5) AS height FROM s")
 def network_access(spark, sf_dir):
     p = _points(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", "y")
-    out = filters.network_access(p, _ways(spark), _heights(spark), X0, Y0, CELL, 500.0, 900.0, 700.0, 60.0)
+    out = filters.network_access(p, _ways(spark), _heights(spark, sf_dir), X0, Y0, CELL, 500.0, 900.0, 700.0, 60.0)
     return out.select("id", "status", F.round("distance", 5).alias("distance"), F.round("height", 5).alias("height"))
 
 
-@query("excluded_cells", f"WITH {HEIGHT_SQL}, p AS (SELECT r * {SIDE} + c AS id, {X0} + (c + 0.5) * {CELL} AS x, {Y0} - (r + 0.5) * {CELL} AS y FROM g), {WAY_SQL}, {NEAR_SQL} SELECT (id // {SIDE})::INT AS r, (id % {SIDE})::INT AS c, status FROM s WHERE status <> 'qualifies'")
+@query("excluded_cells", f"WITH {HEIGHT_SQL}, p AS (SELECT r * {COLS} + c AS id, {X0} + (c + 0.5) * {CELL} AS x, {Y0} - (r + 0.5) * {CELL} AS y FROM g), {WAY_SQL}, {NEAR_SQL} SELECT (id // {COLS})::INT AS r, (id % {COLS})::INT AS c, status FROM s WHERE status <> 'qualifies'")
 def excluded_cells(spark, sf_dir):
-    return filters.excluded_cells(_heights(spark), _ways(spark), X0, Y0, CELL, 500.0, 900.0, 700.0, 60.0)
+    return filters.excluded_cells(_heights(spark, sf_dir), _ways(spark), X0, Y0, CELL, 500.0, 900.0, 700.0, 60.0)
 
 
 SETS = "SELECT DISTINCT s_nationkey AS id, l_partkey AS cell FROM lineitem JOIN supplier ON l_suppkey = s_suppkey"
@@ -252,33 +252,48 @@ def point_crop(spark, sf_dir):
     return points.cropped(r, o, 300.0).groupBy("id", "class").agg(F.count("*").alias("n"))
 
 
-LEADERS = [(f"C{k}", k, 200.0 + 150 * k, -300.0 - 90 * k) for k in range(1, 5)]
+#: A leader for each supplier.
+LEADER_SQL = "l AS (SELECT 'C' || s_suppkey AS id, (s_suppkey + 1)::INT AS rank, 60.0::DOUBLE + s_suppkey * 37 % 380 AS x, -20.0::DOUBLE - s_suppkey * 30 AS y FROM supplier)"
+
+
+def _leaders(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").selectExpr("concat('C', s_suppkey) as id", "cast(s_suppkey + 1 as int) as rank", "60D + s_suppkey * 37 % 380 as x", "-20D - s_suppkey * 30 as y")
 
 
 @query(
     "refined_cells",
-    f"""WITH l(id, rank, x, y) AS (VALUES {', '.join(str(v) for v in LEADERS)}), o AS (SELECT dx, dy, dx * dx + dy * dy AS far FROM range(-150, 151, 50) a(dx), range(-150, 151, 50) b(dy)), c AS (SELECT far, dx, dy, rank, id, floor((-y - dy) / 10)::INT AS r, floor((x + dx) / 10)::INT AS c FROM l, o WHERE far BETWEEN 1 AND 22500),
-    k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY far, dx, dy, rank) AS q FROM c WHERE r BETWEEN 0 AND 99 AND c BETWEEN 0 AND 99 AND (r + c) % 7 <> 0), n AS (SELECT *, row_number() OVER (ORDER BY far, dx, dy, rank) AS n FROM k WHERE q = 1) SELECT printf('R%04d', n) AS id, id AS parent, r, c FROM n WHERE n <= 40""",
+    f"""WITH {CELLS}, {LEADER_SQL}, o AS (SELECT dx, dy, dx * dx + dy * dy AS far FROM range(-150, 151, 50) a(dx), range(-150, 151, 50) b(dy)), c AS (SELECT far, dx, dy, rank, id, floor((-y - dy) / 10)::INT AS r, floor((x + dx) / 10)::INT AS c FROM l, o WHERE rank <= 10 AND far BETWEEN 1 AND 22500),
+    k AS (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY far, dx, dy, rank) AS q FROM c SEMI JOIN cells USING (r, c) WHERE (r + c) % 7 <> 0), n AS (SELECT *, row_number() OVER (ORDER BY far, dx, dy, rank) AS n FROM k WHERE q = 1) SELECT printf('R%04d', n) AS id, id AS parent, r, c FROM n WHERE n <= 40""",
 )
 def refined_cells(spark, sf_dir):
-    g = grids.cells(spark, 100, 100)
-    leaders = spark.createDataFrame(LEADERS, "id string, rank int, x double, y double")
-    return candidates.refined(leaders, g.where("(r + c) % 7 = 0"), g, 0.0, 0.0, 10.0, 40)
+    g = _cells(spark, sf_dir)
+    return candidates.refined(_leaders(spark, sf_dir), g.where("(r + c) % 7 = 0"), g, 0.0, 0.0, 10.0, 40)
 
 
 @query(
     "symmetric_cells",
-    f"""WITH l(id, rank, x, y) AS (VALUES {', '.join(str(v) for v in LEADERS)}), m AS (SELECT *, CASE WHEN rank % 2 = 0 THEN 'manual' ELSE 'auto' END AS grp FROM l), c AS (SELECT grp, rank, dx, dy, id, floor((-y - dy) / 10)::INT AS r, floor((x + dx) / 10)::INT AS c FROM m, range(-100, 101, 50) a(dx), range(-100, 101, 50) b(dy) WHERE (dx <> 0 OR dy <> 0) AND dx * dx + dy * dy <= 10000),
-    k AS (SELECT *, row_number() OVER (PARTITION BY grp, r, c ORDER BY rank, dx, dy) AS q FROM c WHERE r BETWEEN 0 AND 99 AND c BETWEEN 0 AND 99), n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rank, dx, dy)::INT AS n FROM k WHERE q = 1) SELECT grp, n, id AS parent, r, c FROM n WHERE n <= 20""",
+    f"""WITH {CELLS}, {LEADER_SQL}, m AS (SELECT *, CASE WHEN rank % 2 = 0 THEN 'manual' ELSE 'auto' END AS grp FROM l), f AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY grp ORDER BY rank, id) <= 4),
+    c AS (SELECT grp, rank, dx, dy, id AS parent, floor((-y - dy) / 10)::INT AS r, floor((x + dx) / 10)::INT AS c FROM f, range(-100, 101, 50) a(dx), range(-100, 101, 50) b(dy) WHERE (dx <> 0 OR dy <> 0) AND dx * dx + dy * dy <= 10000),
+    k AS (SELECT grp, rank, parent, r, c, min({{'dx': dx, 'dy': dy}}) AS o FROM c SEMI JOIN cells USING (r, c) GROUP BY ALL) SELECT printf('R%04d', row_number() OVER (ORDER BY grp, rank, parent, o)) AS id, grp, parent, r, c FROM k""",
 )
 def symmetric_cells(spark, sf_dir):
-    leaders = spark.createDataFrame(LEADERS, "id string, rank int, x double, y double").withColumn("grp", F.when(F.col("rank") % 2 == 0, "manual").otherwise("auto"))
-    return candidates.symmetric(leaders, grids.cells(spark, 100, 100), 0.0, 0.0, 10.0, 100, 50, 20)
+    leaders = _leaders(spark, sf_dir).withColumn("grp", F.when(F.col("rank") % 2 == 0, "manual").otherwise("auto"))
+    return candidates.symmetric(leaders, _cells(spark, sf_dir), 0.0, 0.0, 10.0, 100, 50)
 
 
-@query("dense_lattice", "SELECT i AS id, trunc((500 - (400.0 - 150 + (i // 15) * 20)) / 10)::INT AS r, trunc((300.0 - 150 + (i % 15) * 20) / 10)::INT AS c FROM range(225) t(i)")
+@query(
+    "dense_lattice",
+    f"""WITH {ROLLING}, k AS (SELECT s_suppkey AS centre, 100.0::DOUBLE + s_suppkey * 7 % 300 AS x, -40.0::DOUBLE - s_suppkey * 25 AS y FROM supplier), p AS (SELECT centre, i, trunc((0 - (y - 60 + (i // 15) * 8)) / 10)::INT AS r, trunc((x - 60 + (i % 15) * 8) / 10)::INT AS c, trunc(-y / 10)::INT AS r0, trunc(x / 10)::INT AS c0 FROM k, range(225) t(i))
+    SELECT centre, count(rolling.z) AS n, round(max(rolling.z), 6) AS dense_best, round(max(own.z), 6) AS pool_best, round(max(rolling.z) / max(own.z) - 1, 9) AS relative FROM p LEFT JOIN rolling USING (r, c) LEFT JOIN rolling own ON own.r = r0 AND own.c = c0 GROUP BY centre""",
+)
 def dense_lattice(spark, sf_dir):
-    return candidates.lattice(spark, 300.0, 400.0, 300.0, 20.0, 0.0, 500.0, 10.0)
+    """How much higher the ground is at the best point of a dense lattice about each centre than at the centre itself."""
+    k = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as centre", "100D + s_suppkey * 7 % 300 as x", "-40D - s_suppkey * 25 as y")
+    g = _rolling(spark, sf_dir)
+    dense = candidates.lattices(k, 120.0, 8.0, 0.0, 0.0, 10.0).join(g, ["r", "c"], "left").groupBy("centre").agg(F.count("z").alias("n"), F.max("z").alias("dense_best"))
+    own = k.select("centre", (-F.col("y") / 10).cast("int").alias("r"), (F.col("x") / 10).cast("int").alias("c")).join(g, ["r", "c"], "left").select("centre", F.col("z").alias("pool_best"))
+    out = dense.join(own, "centre")
+    return out.select("centre", "n", F.round("dense_best", 6).alias("dense_best"), F.round("pool_best", 6).alias("pool_best"), F.round(F.col("dense_best") / F.col("pool_best") - 1, 9).alias("relative"))
 
 
 _SCENARIOS = (
@@ -286,13 +301,18 @@ _SCENARIOS = (
     + [(f"without_{f}", "glass", f, "off") for f in candidates.FEATURES]
     + [(f"{k}_{v}", "glass", k, str(v)) for k, vs in candidates.SENSITIVITIES.items() for v in vs]
     + [(f"stress_{k}", "glass", k, "on") for k in ("foreground", "intervening")]
-    + [(f"canopy_stress_{h}", "glass", "canopy_height", str(h)) for h in (5.0, 15.0)]
 )
 
 
-@query("enumerated_scenarios", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in v) + ")" for v in _SCENARIOS) + ") t(scenario, arm, setting, value)")
+@query(
+    "enumerated_scenarios",
+    "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in v) + ")" for v in _SCENARIOS) + """) t(scenario, arm, setting, value)
+    UNION ALL SELECT 'canopy_stress_' || h || '.0', 'glass', 'canopy_height', h || '.0' FROM (SELECT DISTINCT p_size AS h FROM part)""",
+)
 def enumerated_scenarios(spark, sf_dir):
-    return candidates.enumerated(spark, (5.0, 15.0))
+    """The scenarios of a run whose canopy heights are the sizes in use: fifty at most."""
+    heights = [float(r.p_size) for r in table(spark, sf_dir, "part").select("p_size").distinct().collect()]
+    return candidates.enumerated(spark, tuple(heights))
 
 
 @query(
@@ -332,37 +352,37 @@ def solved_objectives(spark, sf_dir):
     return network.solved(c, m).select("start", F.array_join("objectives", "|").alias("objectives"), F.round("cost", 4).alias("cost"))
 
 
-TRI_SQL = f"""{ROLLING(40)}, g AS (SELECT r, c, CASE WHEN (r * 7 + c * 11) % 31 = 0 THEN NULL ELSE z END AS z FROM rolling), p AS (SELECT vec_id AS id, 19.0 + x / 150 AS pr, 19.5 + y / 150 AS pc FROM ({POINT_SQL})), q AS (SELECT *, least(greatest(floor(pr), 0), 38)::INT AS i, least(greatest(floor(pc), 0), 38)::INT AS j FROM p),
+TRI_SQL = f"""{ROLLING}, g AS (SELECT r, c, CASE WHEN (r * 7 + c * 11) % 31 = 0 THEN NULL ELSE z END AS z FROM rolling), p AS (SELECT vec_id AS id, 19.0 + x / 150 AS pr, 19.5 + y / 150 AS pc FROM ({POINT_SQL})), q AS (SELECT *, least(greatest(floor(pr), 0), {DOWN} - 2)::INT AS i, least(greatest(floor(pc), 0), {ACROSS} - 2)::INT AS j FROM p),
     h AS (SELECT q.*, pr - i AS fr, pc - j AS fc, a.z AS a, b.z AS b, d.z AS d, e.z AS e FROM q JOIN g a ON a.r = i AND a.c = j JOIN g b ON b.r = i AND b.c = j + 1 JOIN g d ON d.r = i + 1 AND d.c = j JOIN g e ON e.r = i + 1 AND e.c = j + 1)"""
 
 
-@query("triangle_samples", f"WITH {TRI_SQL} SELECT id, round(CASE WHEN pr >= 0 AND pc >= 0 AND pr <= 39 AND pc <= 39 THEN CASE WHEN fr <= fc THEN a * (1 - fc) + b * (fc - fr) + e * fr ELSE a * (1 - fr) + e * fc + d * (fr - fc) END END, 6) AS z FROM h")
+@query("triangle_samples", f"WITH {TRI_SQL} SELECT id, round(CASE WHEN pr >= 0 AND pc >= 0 AND pr <= {DOWN} - 1 AND pc <= {ACROSS} - 1 THEN CASE WHEN fr <= fc THEN a * (1 - fc) + b * (fc - fr) + e * fr ELSE a * (1 - fr) + e * fc + d * (fr - fc) END END, 6) AS z FROM h")
 def triangle_samples(spark, sf_dir):
-    g = grids.rolling(spark, 40).withColumn("z", F.when((F.col("r") * 7 + F.col("c") * 11) % 31 != 0, F.col("z")))
+    g = _rolling(spark, sf_dir).withColumn("z", F.when((F.col("r") * 7 + F.col("c") * 11) % 31 != 0, F.col("z")))
     p = _points(spark, sf_dir).select(F.col("vec_id").alias("id"), (19.0 + F.col("x") / 150).alias("pr"), (19.5 + F.col("y") / 150).alias("pc"))
-    return grids.corner_triangles(g, p, 40, 40).select("id", F.round("z", 6).alias("z"))
+    return grids.corner_triangles(g, p, _rows(g), COLS).select("id", F.round("z", 6).alias("z"))
 
 
 @query("exact_crossings")
 def exact_crossings(spark, sf_dir):
     """Rays held against every row, column and diagonal they cross; checked in the tests against dense sampling of the same triangles."""
-    g = grids.rolling(spark, 40)
-    pairs = grids.cells(spark, 40, 40).where("r % 9 = 4 and c % 7 = 3").select(F.concat_ws("-", "r", "c").alias("id"), F.lit(20).alias("r0"), F.lit(18).alias("c0"), "r", "c")
-    return visibility.crossings(pairs, g, 40, 40, 10.0, 1.7, 0.8).select("id", F.round("clearance", 6).alias("clearance"), F.round("first_t", 9).alias("first_t"), "borderline", "complete")
+    g = _rolling(spark, sf_dir)
+    pairs = visibility.targets_within(_seats(spark, sf_dir), g.select("r", "c"), 80.0, 10.0).drop("d").withColumn("id", F.concat_ws("-", "id", "r", "c"))
+    return visibility.crossings(pairs, g, _rows(g), COLS, 10.0, 1.7, 0.8).select("id", F.round("clearance", 6).alias("clearance"), F.round("first_t", 9).alias("first_t"), "borderline", "complete")
 
 
-@query("domains", "WITH g AS (SELECT (i // 50)::INT AS r, (i % 50)::INT AS c FROM range(2500) t(i)) SELECT r, c, (r + c) % 3 = 0 AND (r * c) % 5 <> 0 AS observer, (r - c) % 4 = 0 AND (r * c) % 5 <> 0 AS target FROM g")
+@query("domains", f"WITH {CELLS}, g AS (SELECT r, c FROM cells) SELECT r, c, (r + c) % 3 = 0 AND (r * c) % 5 <> 0 AS observer, (r - c) % 4 = 0 AND (r * c) % 5 <> 0 AS target FROM g")
 def domains(spark, sf_dir):
-    g = grids.cells(spark, 50, 50)
+    g = _cells(spark, sf_dir).select("r", "c")
     return filters.domains(g, g.where("(r + c) % 3 = 0"), g.where("(r - c) % 4 = 0"), g.where("(r * c) % 5 = 0"))
 
 
 @query(
     "dilated_cells",
-    "WITH g AS (SELECT (i // 50)::INT AS r, (i % 50)::INT AS c FROM range(2500) t(i)), s AS (SELECT * FROM g WHERE (r * 7 + c * 13) % 97 = 0) SELECT DISTINCT (s.r + a)::INT AS r, (s.c + b)::INT AS c FROM s, range(-3, 4) x(a), range(-3, 4) y(b) WHERE a * a + b * b <= 9",
+    f"WITH {CELLS}, g AS (SELECT r, c FROM cells), s AS (SELECT * FROM g WHERE (r * 7 + c * 13) % 97 = 0) SELECT DISTINCT (s.r + a)::INT AS r, (s.c + b)::INT AS c FROM s, range(-3, 4) x(a), range(-3, 4) y(b) WHERE a * a + b * b <= 9",
 )
 def dilated_cells(spark, sf_dir):
-    return filters.dilated(grids.cells(spark, 50, 50).where("(r * 7 + c * 13) % 97 = 0"), 30.0, 10.0)
+    return filters.dilated(_cells(spark, sf_dir).select("r", "c").where("(r * 7 + c * 13) % 97 = 0"), 30.0, 10.0)
 
 
 @query(
@@ -382,11 +402,11 @@ def layer_mask(spark, sf_dir):
 
 @query(
     "snapped_points",
-    f"WITH p AS ({POINT_SQL}), q AS (SELECT vec_id, floor(({Y0} - y) / {CELL})::INT AS r, floor((x - {X0}) / {CELL})::INT AS c FROM p) SELECT 'E_' || vec_id AS id, ({X0} + (c + 0.5) * {CELL})::DOUBLE AS x, ({Y0} - (r + 0.5) * {CELL})::DOUBLE AS y, r, c FROM q WHERE r BETWEEN 0 AND {SIDE - 1} AND c BETWEEN 0 AND {SIDE - 1} AND (r + c) % 3 <> 0",
+    f"WITH {CELLS}, p AS ({POINT_SQL}), q AS (SELECT vec_id, floor(({Y0} - y) / {CELL})::INT AS r, floor((x - {X0}) / {CELL})::INT AS c FROM p) SELECT 'E_' || vec_id AS id, ({X0} + (c + 0.5) * {CELL})::DOUBLE AS x, ({Y0} - (r + 0.5) * {CELL})::DOUBLE AS y, r, c FROM q SEMI JOIN cells USING (r, c) WHERE (r + c) % 3 <> 0",
 )
 def snapped_points(spark, sf_dir):
     p = _points(spark, sf_dir).select(F.col("vec_id").alias("id"), "x", "y")
-    return vectors.snapped(p, grids.cells(spark, SIDE, SIDE).where("(r + c) % 3 <> 0"), X0, Y0, CELL)
+    return vectors.snapped(p, _cells(spark, sf_dir).select("r", "c").where("(r + c) % 3 <> 0"), X0, Y0, CELL)
 
 
 @query("annual_layers", "WITH e AS (SELECT 'p' || s_nationkey AS product, 2010 + s_suppkey % 14 AS year, 'L' || (2010 + s_suppkey % 14) AS layer FROM supplier), b AS (SELECT product, max(year) AS year FROM e WHERE year <= 2020 GROUP BY 1) SELECT product, 'L' || year AS layer, year, 'https://h.org/wms?LAYERS=L' || year || '&fmt=tif' AS url FROM b")
@@ -436,15 +456,15 @@ def rounded_distances(spark, sf_dir):
 
 @query(
     "clipped_ways",
-    f"""WITH {WAY_SQL}, c AS (SELECT row_number() OVER () AS k, *, (ax - {X0}) / {CELL} AS ca, (bx - {X0}) / {CELL} AS cb, ({Y0} - ay) / {CELL} AS ra, ({Y0} - by_) / {CELL} AS rb FROM w),
-    t AS (SELECT k, 0.0::DOUBLE AS t FROM c UNION SELECT k, 1.0 FROM c UNION SELECT k, round((v - ca) / (cb - ca), 12) FROM c, range(0, 61) g(v) WHERE v BETWEEN least(ca, cb) AND greatest(ca, cb) UNION SELECT k, round((v - ra) / (rb - ra), 12) FROM c, range(0, 61) g(v) WHERE v BETWEEN least(ra, rb) AND greatest(ra, rb)),
+    f"""WITH {CELLS}, {WAY_SQL}, c AS (SELECT row_number() OVER () AS k, *, (ax - {X0}) / {CELL} AS ca, (bx - {X0}) / {CELL} AS cb, ({Y0} - ay) / {CELL} AS ra, ({Y0} - by_) / {CELL} AS rb FROM w),
+    t AS (SELECT k, 0.0::DOUBLE AS t FROM c UNION SELECT k, 1.0 FROM c UNION SELECT k, round((v - ca) / (cb - ca), 12) FROM c, range(-9, 99) g(v) WHERE v BETWEEN least(ca, cb) AND greatest(ca, cb) UNION SELECT k, round((v - ra) / (rb - ra), 12) FROM c, range(-9, 99) g(v) WHERE v BETWEEN least(ra, rb) AND greatest(ra, rb)),
     s AS (SELECT k, t AS t0, lead(t) OVER (PARTITION BY k ORDER BY t) AS t1 FROM t), m AS (SELECT ax, ay, s.*, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) * (t1 - t0) AS len, floor(ra + (t0 + t1) / 2 * (rb - ra))::INT AS r, floor(ca + (t0 + t1) / 2 * (cb - ca))::INT AS c FROM s JOIN c USING (k) WHERE t1 IS NOT NULL)
-    SELECT ax, ay, count(*) AS pieces, round(sum(CASE WHEN (r + c) % 4 <> 0 THEN len ELSE 0 END), 5) AS inside FROM m GROUP BY ALL""",
+    SELECT ax, ay, count(*) AS pieces, round(sum(CASE WHEN (m.r + m.c) % 4 <> 0 AND cells.r IS NOT NULL THEN len ELSE 0 END), 5) AS inside FROM m LEFT JOIN cells ON cells.r = m.r AND cells.c = m.c GROUP BY ALL""",
 )
 def clipped_ways(spark, sf_dir):
     """Ways cut along the grid: how many pieces, and how long they run inside the domain."""
     s = _ways(spark).withColumn("id", F.struct("ax", "ay"))
-    p = filters.clipped(s, grids.cells(spark, SIDE, SIDE).where("(r + c) % 4 <> 0"), X0, Y0, CELL)
+    p = filters.clipped(s, _cells(spark, sf_dir).select("r", "c").where("(r + c) % 4 <> 0"), X0, Y0, CELL)
     long = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
     return p.groupBy("id").agg(F.count("*").alias("pieces"), F.round(F.sum(F.when(F.col("inside"), long).otherwise(0.0)), 5).alias("inside")).select("id.ax", "id.ay", "pieces", "inside")
 
@@ -452,30 +472,28 @@ def clipped_ways(spark, sf_dir):
 @query("resolution_control")
 def resolution_control(spark, sf_dir):
     """Area in sight at the grid's resolution and on means of 3 x 3 cells; the parts are held to their own checks in the tests."""
-    seats = spark.createDataFrame([(1, 30, 30), (2, 45, 51)], "id int, r0 int, c0 int")
-    out = evaluation.resolution_control(seats, grids.rolling(spark, 90), 3, 250.0, 10.0, 1.7, 0.8)
+    out = evaluation.resolution_control(_seats(spark, sf_dir), _rolling(spark, sf_dir), 3, 80.0, 10.0, 1.7, 0.8)
     return out.select("id", *(F.round(c, 8).alias(c) for c in ("fine", "coarse", "relative")))
 
 
 @query("waypoint_recompute")
 def waypoint_recompute(spark, sf_dir):
-    seat = spark.createDataFrame([(1, 30, 30)], "id int, r0 int, c0 int")
-    out = evaluation.waypoint(seat, grids.with_cover(grids.rolling(spark, 90)), 250.0, 10.0, 1.7, 0.8)
+    out = evaluation.waypoint(_seats(spark, sf_dir), grids.with_cover(_rolling(spark, sf_dir)), 80.0, 10.0, 1.7, 0.8)
     return out.select("id", F.round("area_km2", 8).alias("area_km2"), *(F.round(c, 8).alias(c) for c in ("open", "partial", "dense", "unknown")), "closes")
 
 
 @query("connector_costs")
 def connector_costs(spark, sf_dir):
     """Least-cost walks between pairs of cells, tile by tile; held against relaxation in the tests."""
-    g = grids.rolling(spark, 100).withColumn("area", F.lit("a")).withColumn("ok", (F.col("r") * 3 + F.col("c")) % 11 != 0)
-    p = spark.createDataFrame([("p1", "a", 20, 20, 90, 85), ("p2", "a", 5, 90, 60, 10)], "id string, area string, r0 int, c0 int, r1 int, c1 int")
+    g = _rolling(spark, sf_dir).withColumn("ok", (F.col("r") * 3 + F.col("c")) % 11 != 0).withColumn("area", F.expr("r div 30")).withColumn("r", F.col("r") % 30)
+    p = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "s_suppkey div 10 as area", "cast(s_suppkey * 3 % 29 as int) as r0", "cast(s_suppkey * 7 % 49 as int) as c0", "cast(s_suppkey * 11 % 29 as int) as r1", "cast(s_suppkey * 17 % 49 as int) as c1")
     return network.connectors(p, g, 20.0).select("id", F.round("cost", 5).alias("cost"))
 
 
 @query("adapted_candidates")
 def adapted_candidates(spark, sf_dir):
     """Spacing that shrinks until four fifths of the wanted points are there; `spaced` is held against going through in order."""
-    g = grids.cells(spark, 60, 60).withColumn("draw", candidates.drawn(["r", "c"], 7))
+    g = _cells(spark, sf_dir).withColumn("draw", candidates.drawn(["r", "c"], 7))
     return candidates.adapted(g, 60, (15, 10, 7), 5.0).select("r", "c", "spacing")
 
 

@@ -24,13 +24,14 @@ def polar_patches(points: DataFrame, by: str, width_deg: int, band: float, radiu
 
 def _items(patches: DataFrame, by: str, rate: float, overhead: float, quantum: float) -> DataFrame:
     """(by, items) with each group's patches in order, their cost in units of time and their reward."""
-    units = F.greatest(F.lit(1), F.ceil((F.col("full_km2") / rate + overhead) / quantum - 1e-9)).cast("int")
+    area = F.when(F.coalesce(F.col("full_km2") >= 0, F.lit(False)) & ~F.isnan(F.col("full_km2").cast("double")), F.col("full_km2")).otherwise(F.raise_error(F.lit("a patch's area is unknown or negative")).cast("double"))
+    units = F.greatest(F.lit(1), F.ceil((area / rate + overhead) / quantum - 1e-9)).cast("int")
     checked = F.when(F.col("reward") < 0, F.raise_error(F.lit("a reward is negative")).cast("double")).otherwise(F.col("reward"))
     return patches.withColumn("reward", checked).where("reward is not null").groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col("patch"), units.alias("u"), F.col("reward").cast("double").alias("v")))).alias("items"))
 
 
 def knapsack(patches: DataFrame, by: str, budget: float, rate: float = 0.02, overhead: float = 0.5, quantum: float = 0.25) -> DataFrame:
-    """(by, score) of the exact best choice of patches (by, patch, full_km2, reward) in each group; a negative reward raises, an unknown one can't be chosen.
+    """(by, score) of the exact best choice of patches (by, patch, full_km2, reward) in each group; a negative reward raises, as does an area that is negative or unknown; a patch of unknown reward can't be chosen.
 
     A fold over the group's patches in order, with one best reward per unit of time: array functions
     alone, and a group's patches are as many as its bins.

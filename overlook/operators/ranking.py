@@ -52,12 +52,13 @@ COVER_ORDER = ("low mapped tree cover", "other known cover", "insufficient cover
 
 
 def three_mode_rank(df: DataFrame) -> DataFrame:
-    """Rank of candidates (id, raw, and the columns of their mode): by habitat where df has `effective`, else by matching area where it has `matching`, else by foreground class (`foreground`); then by more area in sight, then by id."""
+    """Rank of candidates (id, raw, and the columns of their mode): by habitat where df has `effective`, else by matching area where it has `matching`, else by foreground class (`foreground`; one that isn't in COVER_ORDER raises); then by more area in sight, then by id."""
     if "effective" in df.columns:
         return habitat_order(df.withColumnRenamed("raw", "visible")).withColumnRenamed("visible", "raw")
     if "matching" in df.columns:
         return ranked(df, [F.desc("matching"), F.desc("raw"), F.col("id")])
     place = F.array_position(F.array(*(F.lit(c) for c in COVER_ORDER)), F.col("foreground"))
+    place = F.when(place > 0, place).otherwise(F.raise_error(F.concat(F.lit("no class of foreground cover: "), F.coalesce("foreground", F.lit("null")))).cast("long"))
     return ranked(df, [place, F.desc("raw"), F.col("id")])
 
 

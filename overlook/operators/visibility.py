@@ -3,8 +3,8 @@
 A target cell is visible if the straight line from the eye to the target's height stays on or above every
 sample of the terrain between them, at four samples a cell, bilinear, with an earth-curvature drop. There
 are two forms with one definition: `rays` is relational (samples exploded, corners looked up by key), for
-checks and single rays; `viewsheds` sends each candidate the tiles that its window touches and computes
-the window's rays in numpy, one candidate at a time within a task.
+checks and single rays; `viewsheds` sends candidates the tiles that their windows touch, sweeps outwards over rings of
+cells with bounds of the horizon in every direction, and looks at single rays only where these leave a cell open.
 """
 
 from __future__ import annotations
@@ -61,27 +61,121 @@ def banded(visible: DataFrame, res: float, by: str = "id") -> DataFrame:
 #: Cells of a ray sample chunk, every how many samples a ray is tried first, and seats that share a task's window.
 CHUNK, COARSE, SEATS = 1 << 21, 8, 64
 
+#: Samples a cell along the sweep's directions, directions a cell of the outermost ring, rings that are always looked at ray by ray, and how much wider than its bounds a horizon counts as undecided.
+FINE, PER_CELL, NEAR_RINGS, WIDER = 4, 4, 3, 0.5
 
-def _seen(z: np.ndarray, seats: np.ndarray, radius: float, res: float, eye: float, target: float, curvature: float) -> list[np.ndarray]:
+#: The four sides of a seat: its rays' main and cross steps, each (rows, columns). Diagonals belong to the first two.
+SIDES = (((1, 0), (0, 1)), ((-1, 0), (0, 1)), ((0, 1), (1, 0)), ((0, -1), (1, 0)))
+
+
+def _swept(wide: np.ndarray, seats: np.ndarray, n: int, res: float, eye: float, target: float, drop: float) -> tuple[np.ndarray, np.ndarray]:
+    """(visible, undecided), both (seats, 2n + 1, 2n + 1) around each seat, from one outward sweep over rings.
+
+    On each side directions fan out, PER_CELL to a cell of the last ring. Going out ring by ring, each direction keeps the
+    steepest slope so far in two forms: one that any other samples of this line reach as well, and one that they can hardly exceed.
+    A target between two directions is hidden below both lower bounds and visible above both upper ones; what lies between, by some more than
+    the bounds, is undecided, as is what comes near unknown ground. A seat costs its cells times FINE * PER_CELL samples.
+    `wide` is the window with n + 2 unknown cells around it, and seats are places in it.
+    """
+    size = 2 * n + 1
+    visible, undecided = np.zeros((2, len(seats), size, size), bool)
+    fan = np.linspace(-1, 1, 2 * n * PER_CELL + 1)
+    lanes = len(fan)
+    length = np.sqrt(1 + fan**2) * res
+    # each side as a window (cross, main) with the seat at (n + 1, 0): what is `ring` below is a side's next row of cells
+    window = np.empty((len(seats), 4, n + 2, 2 * n + 3))
+    for s, (r, c) in enumerate(seats):
+        around = wide[r - n - 1 : r + n + 2, c - n - 1 : c + n + 2]
+        for side, view in enumerate((around[n + 1 :], around[n + 1 :: -1], around.T[n + 1 :], around.T[n + 1 :: -1])):
+            window[s, side] = view
+    eyes = window[:, 0, 0, n + 1][:, None, None] + eye
+    upper, lower = np.full((2, len(seats), 4, lanes), -np.inf)
+    last = np.full((len(seats), 4, lanes), -np.inf)
+    for k in range(1, n + 1):
+        slopes = []
+        for q in range((k - 1) * FINE + 1, k * FINE + 1):
+            u = q / FINE
+            i, fr = int(u), u - int(u)
+            row = window[:, :, i] * (1 - fr) + window[:, :, i + 1] * fr if fr else window[:, :, i]
+            at = u * fan + (n + 1)
+            j = np.floor(at).astype(np.int64)
+            fc = at - j
+            z = row.take(j, axis=2)
+            z += (row.take(j + 1, axis=2) - z) * fc
+            d = u * length
+            z -= eyes + drop * d**2
+            z /= d
+            slopes.append(z)
+        before = last
+        for f in slopes[:-1]:
+            rise = np.abs(f - before)
+            rise[~np.isfinite(before)] = 0
+            np.maximum(upper, np.maximum(f, before) + rise / 4, out=upper)
+            np.maximum(lower, np.minimum(f, before), out=lower)
+            before = f
+        # the end of the ray lies between the last sample of the ring and the target itself
+        end = before + np.abs(slopes[-1] - before) / 2
+        for side, (m, c) in enumerate(SIDES):
+            j = np.arange(-k, k + 1) if side < 2 else np.arange(1 - k, k)
+            d = np.hypot(k, j) * res
+            slope = (window[:, side, k, j + n + 1] + target - drop * d**2 - eyes[:, 0]) / d
+            place = (j / k + 1) / 2 * (lanes - 1)
+            one = np.floor(place + 1e-9).astype(int)
+            two = np.minimum(one + (place - one > 1e-9), lanes - 1)
+            high = np.maximum(np.maximum(upper[:, side, one], upper[:, side, two]), np.maximum(end[:, side, one], end[:, side, two]))
+            low = np.minimum(lower[:, side, one], lower[:, side, two])
+            spare = WIDER * np.where(np.isfinite(low), high - low, 0.0) + 1e-9
+            rr, cc = n + k * m[0] + j * c[0], n + k * m[1] + j * c[1]
+            if k <= NEAR_RINGS:
+                undecided[:, rr, cc] = True
+                continue
+            sure = slope > high + spare
+            visible[:, rr, cc] = sure
+            undecided[:, rr, cc] = ~sure & ~(slope < low - spare)
+        f = slopes[-1]
+        rise = np.abs(f - before)
+        np.maximum(upper, np.maximum(f, before) + rise / 4, out=upper)
+        np.maximum(lower, np.minimum(f, before), out=lower)
+        last = f
+    return visible, undecided
+
+
+def _around_unknown(z: np.ndarray) -> np.ndarray:
+    """z without the cells that touch an unknown one, which a ray between two directions may meet."""
+    unknown = np.isnan(z)
+    if unknown.any():
+        wide = np.pad(unknown, 1)
+        unknown = np.logical_or.reduce([wide[a : a + z.shape[0], b : b + z.shape[1]] for a in range(3) for b in range(3)])
+    return np.where(unknown, np.nan, z)
+
+
+def _seen(z: np.ndarray, seats: np.ndarray, radius: float, res: float, eye: float, target: float, curvature: float, sweep: bool = True) -> list[np.ndarray]:
     """(rows, columns, distances) of the visible cells of each seat (row, column) in one height window.
 
-    Offsets, weights and curvature of a ray are the same for every seat, so they are made once for a chunk of
-    rays of equal length. Each seat tries every COARSE-th sample first: most hidden rays fail there, and
-    the others are looked at in full.
+    The sweep decides most cells; the rays of those that it leaves open are looked at one by one, from which offsets, weights and curvature are the same for
+    every seat and are made once for a chunk of rays of equal length. Each seat tries every COARSE-th sample first: most
+    hidden rays fail there, and the others are looked at in full.
     """
     n = math.ceil(radius / res)
     dr, dc = (a.ravel() for a in np.mgrid[-n : n + 1, -n : n + 1])
     far = np.hypot(dr, dc)
     keep = far * res <= radius
-    dr, dc, far = dr[keep], dc[keep], far[keep]
-    steps = np.maximum(3, (far * 4).astype(int))
     drop = curvature / (2 * EARTH)
     rows, cols = z.shape
+    there = [keep & (r0 + dr >= 0) & (r0 + dr < rows) & (c0 + dc >= 0) & (c0 + dc < cols) for r0, c0 in seats]
+    if sweep:
+        with np.errstate(invalid="ignore"):
+            visible, undecided = _swept(_around_unknown(np.pad(z, n + 2, constant_values=np.nan)), np.asarray(seats) + n + 2, n, res, eye, target, drop)
+        seen, asked = [v.ravel() | (far == 0) for v in visible], [u.ravel() & t for u, t in zip(undecided, there)]
+    else:
+        seen, asked = [far == 0 for _ in seats], there
+    keep &= np.logical_or.reduce([a | (far == 0) for a in asked])
+    steps = np.maximum(3, (far * 4).astype(int))
     wide = np.pad(z, ((0, 1), (0, 1)), "edge")  # a sample on the last row or column has no weight beyond it
     flat, step = wide.ravel(), cols + 1
-    seen = [far == 0 for _ in seats]
-    there = [(r0 + dr >= 0) & (r0 + dr < rows) & (c0 + dc >= 0) & (c0 + dc < cols) for r0, c0 in seats]
-    order = np.argsort(steps, kind="stable")
+    holes = np.isnan(z).any()  # an unknown corner without weight hides nothing
+    every = np.flatnonzero(keep)
+    order = every[np.argsort(steps[every], kind="stable")]
     cuts = np.flatnonzero(np.r_[True, np.diff(steps[order]) > 0, True])
 
     def clear(k: np.ndarray, t: np.ndarray, seats_of: list[tuple[int, np.ndarray]]) -> None:
@@ -103,7 +197,8 @@ def _seen(z: np.ndarray, seats: np.ndarray, radius: float, res: float, eye: floa
             gap = (z[r0, c0] + eye) * (1 - t[:, None]) + ends * t[:, None]
             gap += part(bend)
             for shift, share in zip((0, 1, step, step + 1), w):
-                gap -= flat.take(a + shift) * part(share)
+                height, weight = flat.take(a + shift), part(share)
+                gap -= np.where(weight > 1e-9, height, 0.0) * weight if holes else height * weight
             seen[s][k[use]] = gap.min(axis=0) >= 0
 
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -113,14 +208,15 @@ def _seen(z: np.ndarray, seats: np.ndarray, radius: float, res: float, eye: floa
         for lo in range(a, b, size):
             k = order[lo : min(b, lo + size)]
             k = k[far[k] > 0]
-            first = [(s, np.flatnonzero(there[s][k])) for s in range(len(seats))]
+            first = [(s, np.flatnonzero(asked[s][k])) for s in range(len(seats))]
             if len(t) < 3 * COARSE:
                 clear(k, t, first)
                 continue
             clear(k, t[::COARSE], first)
-            left = k[np.logical_or.reduce([seen[s][k] for s, _ in first])]
-            if len(left):
-                clear(left, t, [(s, np.flatnonzero(seen[s][left])) for s, _ in first])
+            left = [(s, k[use][seen[s][k[use]]]) for s, use in first]
+            union = np.unique(np.concatenate([x for _, x in left]))
+            if len(union):
+                clear(union, t, [(s, np.searchsorted(union, np.sort(x))) for s, x in left])
     out = []
     for s, (r0, c0) in enumerate(seats):
         hit = seen[s] & there[s]
@@ -129,13 +225,28 @@ def _seen(z: np.ndarray, seats: np.ndarray, radius: float, res: float, eye: floa
     return out
 
 
-def viewsheds(candidates: DataFrame, grid: DataFrame, radius: float, res: float, eye: float, target: float, curvature: float = CURVATURE, tile: int = TILE) -> DataFrame:
-    """(id, r, c, d) of visible cells of candidates (id, r0, c0).
+def _inside(candidates: DataFrame, grid: DataFrame, margin: int) -> None:
+    """Raises if a candidate lies outside the grid, or has less than `margin` cells of it on any side."""
+    r_lo, r_hi, c_lo, c_hi = grid.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    if r_lo is None:
+        bad = candidates
+    else:
+        fits = F.col("r0").between(r_lo + margin, r_hi - margin) & F.col("c0").between(c_lo + margin, c_hi - margin)
+        bad = candidates.where(~F.coalesce(fits, F.lit(False)))
+    found = [str(r["id"]) for r in bad.orderBy("id").limit(5).collect()]
+    if found:
+        raise ValueError(("terrain ends within the radius of " if margin else "outside the terrain: ") + ", ".join(found))
+
+
+def viewsheds(candidates: DataFrame, grid: DataFrame, radius: float, res: float, eye: float, target: float, curvature: float = CURVATURE, tile: int = TILE, halo: bool = False) -> DataFrame:
+    """(id, r, c, d) of visible cells of candidates (id, r0, c0), for all radii up to `radius` at once: `by_radius` counts them.
 
-    Near candidates share a task and its window: a group is a block of cells as wide as the radius, or part
-    of its candidates where there are many, and is sent the tiles that its windows touch once, as arrays.
+    A candidate outside the grid raises, as does, with `halo`, one around which the grid ends within the radius. Near candidates share a
+    task and its window: a group is a block of cells as wide as the radius, or part of its candidates where there are many, and is
+    sent the tiles that its windows touch once, as arrays.
     """
     n = math.ceil(radius / res) + 1
+    _inside(candidates, grid, n - 1 if halo else 0)
     side = -(-n // tile) * tile
     t = lambda x: F.floor(x / tile).cast("int")
     seats = candidates.select("id", "r0", "c0").withColumn("br", F.floor(F.col("r0") / side).cast("int")).withColumn("bc", F.floor(F.col("c0") / side).cast("int"))
@@ -147,24 +258,15 @@ def viewsheds(candidates: DataFrame, grid: DataFrame, radius: float, res: float,
     kind = candidates.schema["id"].dataType.simpleString()
 
     def one(key, here: pd.DataFrame, ground: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": pd.Series([], dtype=object), "r": [], "c": [], "d": []})
-        if not len(here) or not len(ground):
-            return none
         at_r, at_c = int(ground.tr.min()) * tile, int(ground.tc.min()) * tile
         z = np.full(((int(ground.tr.max()) + 1) * tile - at_r, (int(ground.tc.max()) + 1) * tile - at_c), np.nan)
         for tr, tc, p, v in zip(ground.tr, ground.tc, ground.p, ground.v):
             z[tr * tile - at_r + p // tile, tc * tile - at_c + p % tile] = v
-        have = np.isfinite(z)
-        if not have.any():
-            return none
-        z = z[: np.flatnonzero(have.any(axis=1)).max() + 1, : np.flatnonzero(have.any(axis=0)).max() + 1]
         places = np.stack([here.r0 - at_r, here.c0 - at_c], axis=1).astype(int)
-        inside = (places >= 0).all(axis=1) & (places < z.shape).all(axis=1)
-        ids, places = here.id[inside], places[inside]
         found = _seen(z, places, radius, res, eye, target, curvature)
         sizes = [len(r) for r, _, _ in found]
-        r, c, d = (np.concatenate([np.zeros(0), *part]) for part in zip(*found)) if found else (np.zeros(0),) * 3
-        return pd.DataFrame({"id": np.repeat(ids.to_numpy(), sizes), "r": (r + at_r).astype("int32"), "c": (c + at_c).astype("int32"), "d": d})
+        r, c, d = (np.concatenate([np.zeros(0), *part]) for part in zip(*found))
+        return pd.DataFrame({"id": np.repeat(here.id.to_numpy(), sizes), "r": (r + at_r).astype("int32"), "c": (c + at_c).astype("int32"), "d": d})
 
     # groups are heavy and their rows few: dealt by number, so that they aren't coalesced into one task
     deal = 4 * int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -172,6 +274,14 @@ def viewsheds(candidates: DataFrame, grid: DataFrame, radius: float, res: float,
     return seats.groupBy("br", "bc", "part").cogroup(sent.groupBy("gr", "gc", "gp")).applyInPandas(one, f"id {kind}, r int, c int, d double")
 
 
+def by_radius(visible: DataFrame, radii: list[float], res: float) -> DataFrame:
+    """(id, radius, area_km2) for each of a fixed list of radii, from one table of visible cells (id, d) up to the largest: sums of one aggregation."""
+    area = res * res / 1e6
+    sums = visible.groupBy("id").agg(*(F.sum((F.col("d") <= r).cast("long")).alias(f"n{k}") for k, r in enumerate(radii)))
+    named = F.array(*(F.struct(F.lit(float(r)).alias("radius"), (F.col(f"n{k}") * area).alias("area_km2")) for k, r in enumerate(radii)))
+    return sums.select("id", F.explode(named).alias("x")).select("id", "x.*")
+
+
 def whole_masks(visible: DataFrame, targets: DataFrame, claimed: DataFrame, area: float) -> DataFrame:
     """(id, r, c) of visible cells (id, r, c) that are targets (r, c), with the area that was claimed for each id (id, km2) held against it: an id whose cells come to another area raises."""
     inside = visible.join(targets.select("r", "c").distinct(), ["r", "c"], "left_semi")

@@ -18,7 +18,8 @@ from .streaming import rates
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-N, RES = 140, 10.0
+#: The ground of the queries: a cell for each order, COLS to a row.
+COLS, RES = 50, 10.0
 
 
 def query(name: str, sql: str | None = None):
@@ -35,10 +36,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# SQL of the generated grids
-HILLS = f"""hills AS (SELECT r, c, 2500 + 220 * sin(c * {RES} / 800) * cos(r * {RES} / 1300) + 380 * exp(-power((c * {RES} - 7000) / 350, 2)) + 0.012 * r * {RES} AS z
-    FROM (SELECT (i // {N})::INT AS r, (i % {N})::INT AS c FROM range({N * N}) t(i)))"""
-ROLLING = lambda n: f"""rolling AS (SELECT r, c, 2100 + 80 * sin(c / 18) + 50 * cos(r / 22) + 0.2 * r AS z FROM (SELECT (i // {n})::INT AS r, (i % {n})::INT AS c FROM range({n * n}) t(i)))"""
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(r, c, price): the orders, laid out as a grid that grows by rows."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(F.floor(k / COLS).cast("int").alias("r"), (k % COLS).cast("int").alias("c"), F.col("o_totalprice").alias("price"))
+
+
+def _hills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _cells(spark, sf_dir)
+    return g.select("r", "c", (2500 + 60 * F.sin(F.col("c") / 8) * F.cos(F.col("r") / 13) + F.col("price") / 100000).alias("z"))
+
+
+def _rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _cells(spark, sf_dir)
+    return g.select("r", "c", (2100 + 80 * F.sin(F.col("c") / 18) + 50 * F.cos(F.col("r") / 22) + F.col("price") / 200000).alias("z"))
+
+
+# the same in SQL
+CELLS = f"cells AS (SELECT (o_orderkey // {COLS})::INT AS r, (o_orderkey % {COLS})::INT AS c, o_totalprice AS price FROM orders)"
+HILLS = f"{CELLS}, hills AS (SELECT r, c, 2500 + 60 * sin(c / 8) * cos(r / 13) + price / 100000 AS z FROM cells)"
+ROLLING = f"{CELLS}, rolling AS (SELECT r, c, 2100 + 80 * sin(c / 18) + 50 * cos(r / 22) + price / 200000 AS z FROM cells)"
+#: Rows and columns of the ground in SQL.
+DOWN, ACROSS = "(SELECT max(r) + 1 FROM cells)", str(COLS)
 COVER = lambda src: f"""cover AS (SELECT *, CASE WHEN (r * 131 + c * 17) % 37 = 0 THEN NULL ELSE ((r * 7 + c * 3) % 100) / 100.0::DOUBLE END AS tree,
     CASE WHEN (r * 131 + c * 17) % 41 = 0 THEN NULL ELSE ((r * 5 + c * 11) % 60) / 100.0::DOUBLE END AS shrub, ((r + c * 2) % 50) / 100.0::DOUBLE AS herb FROM {src})"""
 
@@ -58,30 +77,29 @@ def GRADIENT(src: str, value: str = "z", res: float = RES, out: str = "graded")
         round(CASE WHEN sqrt(gx * gx + gy * gy) >= 1e-9 THEN (degrees(atan2(-gx, gy)) + 360) - 360 * floor((degrees(atan2(-gx, gy)) + 360) / 360) END, 6) AS aspect FROM graded""",
 )
 def terrain_slope_aspect(spark, sf_dir):
-    g = terrain.gradient(grids.hills(spark, N, RES), "z", RES)
+    g = terrain.gradient(_hills(spark, sf_dir), "z", RES)
     return g.select("r", "c", F.round(terrain.slope_of(F.col("gx"), F.col("gy")), 6).alias("slope"), F.round(terrain.aspect_of(F.col("gx"), F.col("gy")), 6).alias("aspect"))
 
 
-def _taps_sql(src: str, value: str, taps, n: int, out: str) -> str:
+def _taps_sql(src: str, value: str, taps, out: str) -> str:
     values = ", ".join(f"({o}, {w!r}::DOUBLE)" for o, w in taps)
-    mirror = lambda x: f"(CASE WHEN (({x}) % {2 * n} + {2 * n}) % {2 * n} >= {n} THEN {2 * n - 1} - (({x}) % {2 * n} + {2 * n}) % {2 * n} ELSE (({x}) % {2 * n} + {2 * n}) % {2 * n} END)"
+    at = lambda x, n: f"(({x}) % (2 * {n}) + 2 * {n}) % (2 * {n})"
+    mirror = lambda x, n: f"(CASE WHEN {at(x, n)} >= {n} THEN 2 * {n} - 1 - {at(x, n)} ELSE {at(x, n)} END)::INT"
     return f"""{out}_t(o, w) AS (VALUES {values}),
-    {out}_h AS (SELECT a.r, a.c, sum(b.{value} * t.w) AS v FROM {src} a, {out}_t t, {src} b WHERE b.r = a.r AND b.c = {mirror('a.c + t.o')} GROUP BY ALL),
-    {out} AS (SELECT a.r, a.c, sum(b.v * t.w) AS v FROM {out}_h a, {out}_t t, {out}_h b WHERE b.c = a.c AND b.r = {mirror('a.r + t.o')} GROUP BY ALL)"""
-
-
-M = 60
+    {out}_a AS (SELECT a.r, a.c, t.w, {mirror('a.c + t.o', ACROSS)} AS q FROM {src} a, {out}_t t), {out}_h AS (SELECT a.r, a.c, sum(b.{value} * a.w) AS v FROM {out}_a a JOIN {src} b ON b.r = a.r AND b.c = a.q GROUP BY ALL),
+    {out}_b AS (SELECT a.r, a.c, t.w, {mirror('a.r + t.o', 'd.n')} AS q FROM {out}_h a, {out}_t t, (SELECT max(r) + 1 AS n FROM cells) d), {out} AS (SELECT a.r, a.c, sum(b.v * a.w) AS v FROM {out}_b a JOIN {out}_h b ON b.c = a.c AND b.r = a.q GROUP BY ALL)"""
 
 
 @query(
     "landform_flags",
-    f"""WITH {ROLLING(M)}, {_taps_sql('rolling', 'z', terrain.gaussian_taps(3), M, 'smooth')}, {_taps_sql('smooth', 'v', terrain.box_taps(16), M, 'mean')},
+    f"""WITH {ROLLING}, {_taps_sql('rolling', 'z', terrain.gaussian_taps(3), 'smooth')}, {_taps_sql('smooth', 'v', terrain.box_taps(16), 'mean')},
     {GRADIENT('smooth', 'v', 30.0, 'g1')}, sl AS (SELECT r, c, v, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope FROM g1), {GRADIENT('sl', 'slope', 30.0, 'g2')},
-    b AS (SELECT g2.r, g2.c, slope, g2.v - mean.v AS tpi, sqrt(gx * gx + gy * gy) AS bend FROM g2 JOIN mean USING (r, c)), q AS (SELECT quantile_cont(bend, 0.6) AS sharp FROM b)
-    SELECT r, c, round(slope, 5) AS slope, round(tpi, 5) AS tpi, round(bend, 5) AS bend, slope < 12 AND tpi > -10 AS bench, tpi > 5 AND slope >= 8 AND slope < 30 AS shoulder, tpi > 8 AND bend > sharp AS ridge FROM b, q""",
+    b AS (SELECT g2.r, g2.c, slope, g2.v - mean.v AS tpi, sqrt(gx * gx + gy * gy) AS bend FROM g2 JOIN mean USING (r, c)), ok AS (SELECT *, (r * 3 + c) % 7 <> 0 AS ok FROM b), q AS (SELECT quantile_cont(bend, 0.6) AS sharp FROM ok WHERE ok)
+    SELECT r, c, round(slope, 5) AS slope, round(tpi, 5) AS tpi, round(bend, 5) AS bend, ok AND slope < 12 AND tpi > -10 AS bench, ok AND tpi > 5 AND slope >= 8 AND slope < 30 AS shoulder, ok AND tpi > 8 AND bend > sharp AS ridge FROM ok, q""",
 )
 def landform_flags(spark, sf_dir):
-    g = terrain.landforms(grids.rolling(spark, M), 30.0)
+    g = _rolling(spark, sf_dir)
+    g = terrain.landforms(g, 30.0, g.where("(r * 3 + c) % 7 <> 0"))
     return g.select("r", "c", *(F.round(v, 5).alias(v) for v in ("slope", "tpi", "bend")), "bench", "shoulder", "ridge")
 
 
@@ -90,7 +108,7 @@ SUN = {k: (math.sin(math.radians(a)) * math.cos(math.radians(e)), math.cos(math.
 
 @query(
     "scoring_factors",
-    f"""WITH {HILLS}, {COVER('hills')}, {GRADIENT('cover')}, v AS (SELECT *, ({N // 2} - c) * {RES}::DOUBLE AS dx, (r - {N // 2}) * {RES}::DOUBLE AS dy, 40.0 + (r + c) / 10.0 AS dz FROM graded),
+    f"""WITH {HILLS}, {COVER('hills')}, {GRADIENT('cover')}, v AS (SELECT *, (25 - c) * {RES}::DOUBLE AS dx, (r - 25) * {RES}::DOUBLE AS dy, 40.0 + (r + c) / 10.0 AS dz FROM graded),
     w AS (SELECT *, sqrt(dx * dx + dy * dy) AS d, sqrt(dx * dx + dy * dy + dz * dz) AS len FROM v)
     SELECT r, c, round(0.25 + 0.75 * (0.6 * CASE WHEN (r + c) % 3 = 0 THEN 1 ELSE 0 END + 0.4 * CASE WHEN shrub IS NULL THEN NULL ELSE least(greatest((0.5 * shrub + 0.5 * herb) / 0.6, 0), 1) END), 6) AS habitat,
         round((CASE WHEN tree < 0.1 THEN 1.0 WHEN tree < 0.4 THEN 0.6 ELSE 0.25 END) * (CASE WHEN shrub > 0.3 THEN 0.75 ELSE 1 END)::DOUBLE, 6) AS searchability,
@@ -101,8 +119,8 @@ SUN = {k: (math.sin(math.radians(a)) * math.cos(math.radians(e)), math.cos(math.
         round(least(1.0, 30 * 0.02 / greatest(d / 1000, 1e-12)), 6) AS inspection FROM w""",
 )
 def scoring_factors(spark, sf_dir):
-    g = terrain.gradient(grids.with_cover(grids.hills(spark, N, RES)), "z", RES)
-    g = g.withColumn("dx", (N // 2 - F.col("c")) * RES).withColumn("dy", (F.col("r") - N // 2) * RES).withColumn("dz", 40.0 + (F.col("r") + F.col("c")) / 10.0)
+    g = terrain.gradient(grids.with_cover(_hills(spark, sf_dir)), "z", RES)
+    g = g.withColumn("dx", (25 - F.col("c")) * RES).withColumn("dy", (F.col("r") - 25) * RES).withColumn("dz", 40.0 + (F.col("r") + F.col("c")) / 10.0)
     d = F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2)
     gx, gy, dx, dy, dz = (F.col(k) for k in ("gx", "gy", "dx", "dy", "dz"))
     out = {
@@ -126,7 +144,7 @@ def scoring_factors(spark, sf_dir):
         tree IS NULL OR shrub IS NULL OR aspect IS NULL AS unknown FROM q""",
 )
 def target_criteria_unknown(spark, sf_dir):
-    g = terrain.gradient(grids.with_cover(grids.hills(spark, N, RES)), "z", RES)
+    g = terrain.gradient(grids.with_cover(_hills(spark, sf_dir)), "z", RES)
     g = g.withColumn("slope", terrain.slope_of(F.col("gx"), F.col("gy"))).withColumn("aspect", terrain.aspect_of(F.col("gx"), F.col("gy")))
     return filters.criteria(g, {"z": (2400, 2650), "slope": (2, 20), "tree": (10, 60), "shrub": (5, 45)}, [0, 1, 2, 3, 7])
 
@@ -141,11 +159,11 @@ DISK30 = terrain.disk(30, RES)
     SELECT r, c, n / {len(DISK30)} >= 0.8 AND total / greatest(n, 1) < 0.5 - 1e-7 AS eligible FROM s""",
 )
 def standing_eligibility(spark, sf_dir):
-    return filters.standing(grids.with_cover(grids.hills(spark, N, RES)), 30, RES, 50)
+    return filters.standing(grids.with_cover(_hills(spark, sf_dir)), 30, RES, 50)
 
 
-RING = [(150, 150), (1200, 300), (1100, 900), (700, 600), (250, 1150)]
-HOLE = [(500, 400), (500, 550), (700, 550), (700, 400)]
+RING = [(50, 50), (420, 100), (390, 1900), (250, 200), (90, 2400)]
+HOLE = [(120, 110), (120, 160), (180, 160), (180, 110)]
 EDGES = [(0, float(a), float(b), float(c), float(d)) for ring in (RING, HOLE) for (a, b), (c, d) in zip(ring, ring[1:] + ring[:1])]
 EDGE_SQL = f"e(poly, ax, ay, bx, by_) AS (VALUES {', '.join(f'({p}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE)' for p, a, b, c, d in EDGES)})"
 
@@ -157,33 +175,38 @@ EDGE_SQL = f"e(poly, ax, ay, bx, by_) AS (VALUES {', '.join(f'({p}, {a}::DOUBLE,
 )
 def polygon_mask(spark, sf_dir):
     edges = spark.createDataFrame(EDGES, "poly int, ax double, ay double, bx double, by double")
-    p = grids.cells(spark, N, N).select("r", "c", ((F.col("c") + 0.5) * RES).alias("px"), ((F.col("r") + 0.5) * RES).alias("py"))
+    p = _cells(spark, sf_dir).select("r", "c", ((F.col("c") + 0.5) * RES).alias("px"), ((F.col("r") + 0.5) * RES).alias("py"))
     return filters.polygon_mask(p, edges, 100.0).select("r", "c")
 
 
-RAYS, RRES, RADIUS = 48, 10.0, 120.0
-SEATS = [(k, 14 + 5 * (k % 4), 14 + 6 * (k // 4)) for k in range(12)]
-SEAT_SQL = f"s(id, r0, c0) AS (VALUES {', '.join(map(str, SEATS))})"
+RRES, RADIUS = 10.0, 80.0
+#: A seat for each supplier, down the whole grid.
+SEAT_SQL = "s AS (SELECT s_suppkey AS id, (s_suppkey * 3 + 1)::INT AS r0, (9 + s_suppkey * 7 % 32)::INT AS c0 FROM supplier)"
 DROP = 6 / 7 / (2 * 6378137.0)
-VISIBLE_SQL = f"""{ROLLING(RAYS)}, {SEAT_SQL}, p AS (SELECT s.*, g.r, g.c, g.z AS z1, o.z AS z0, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) AS far FROM s JOIN rolling o ON o.r = r0 AND o.c = c0 JOIN rolling g ON abs(g.r - r0) <= 12 AND abs(g.c - c0) <= 12),
+VISIBLE_SQL = f"""{ROLLING}, {SEAT_SQL}, p AS (SELECT s.*, g.r, g.c, g.z AS z1, o.z AS z0, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) AS far FROM s JOIN rolling o ON o.r = r0 AND o.c = c0 JOIN rolling g ON abs(g.r - r0) <= 8 AND abs(g.c - c0) <= 8),
     q AS (SELECT *, far * {RRES} AS d, greatest(3, floor(far * 4)::INT) AS steps FROM p WHERE far * {RRES} <= {RADIUS}),
     i AS (SELECT *, unnest(range(1, steps)) AS i FROM q WHERE d > 0), t AS (SELECT *, i / steps AS t, r0 + i / steps * (r - r0) AS pr, c0 + i / steps * (c - c0) AS pc FROM i),
     k AS (SELECT t.*, floor(pr)::INT AS fr, floor(pc)::INT AS fc FROM t),
     h AS (SELECT k.*, (1 - (pr - fr)) * ((1 - (pc - fc)) * a.z + (pc - fc) * b.z) + (pr - fr) * ((1 - (pc - fc)) * e.z + (pc - fc) * f.z) AS z
-        FROM k JOIN rolling a ON a.r = fr AND a.c = fc JOIN rolling b ON b.r = fr AND b.c = least(fc + 1, {RAYS - 1}) JOIN rolling e ON e.r = least(fr + 1, {RAYS - 1}) AND e.c = fc JOIN rolling f ON f.r = least(fr + 1, {RAYS - 1}) AND f.c = least(fc + 1, {RAYS - 1})),
+        FROM k JOIN rolling a ON a.r = fr AND a.c = fc JOIN rolling b ON b.r = fr AND b.c = least(fc + 1, {ACROSS} - 1) JOIN rolling e ON e.r = least(fr + 1, {DOWN} - 1) AND e.c = fc JOIN rolling f ON f.r = least(fr + 1, {DOWN} - 1) AND f.c = least(fc + 1, {ACROSS} - 1)),
     clear AS (SELECT id, r0, c0, r, c, d, min((z0 + 1.7) * (1 - t) + (z1 + 0.8 - {DROP!r} * d * d) * t + {DROP!r} * (t * d) * (t * d) - z) AS clearance FROM h GROUP BY ALL
         UNION ALL SELECT id, r0, c0, r, c, d, NULL FROM q WHERE d = 0)"""
 
 
-def _seats(spark):
-    return spark.createDataFrame(SEATS, "id int, r0 int, c0 int")
+def _seats(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), (k * 3 + 1).cast("int").alias("r0"), (9 + k * 7 % 32).cast("int").alias("c0"))
+
+
+def _rows(grid: DataFrame) -> int:
+    return grid.agg(F.max("r")).first()[0] + 1
 
 
 @query("ray_clearance", f"WITH {VISIBLE_SQL} SELECT id, r, c, round(d, 6) AS d, round(clearance, 5) AS clearance FROM clear")
 def ray_clearance(spark, sf_dir):
-    g = grids.rolling(spark, RAYS)
-    pairs = visibility.targets_within(_seats(spark), g.select("r", "c"), RADIUS, RRES).drop("d")
-    out = visibility.rays(pairs, g, RAYS, RAYS, RRES, 1.7, 0.8)
+    g = _rolling(spark, sf_dir)
+    pairs = visibility.targets_within(_seats(spark, sf_dir), g.select("r", "c"), RADIUS, RRES).drop("d")
+    out = visibility.rays(pairs, g, _rows(g), COLS, RRES, 1.7, 0.8)
     return out.select("id", "r", "c", F.round("d", 6).alias("d"), F.round("clearance", 5).alias("clearance"))
 
 
@@ -193,25 +216,40 @@ AREA_SQL = f"WITH {VISIBLE_SQL} SELECT id, round(count(*) * {RRES * RRES / 1e6!r
 @query("viewshed_rank", AREA_SQL.replace("row_number()", "CAST(row_number()").replace(" AS rank", " AS INT) AS rank"))
 def viewshed_rank(spark, sf_dir):
     """Candidates ranked by visible area, viewsheds computed per candidate over the tiles of its window."""
-    seen = visibility.viewsheds(_seats(spark), grids.rolling(spark, RAYS), RADIUS, RRES, 1.7, 0.8)
+    seen = visibility.viewsheds(_seats(spark, sf_dir), _rolling(spark, sf_dir), RADIUS, RRES, 1.7, 0.8)
     out = ranking.dense_rank_by(visibility.banded(seen, RRES), "area_km2", "id")
     return out.select("id", *(F.round(v, 9).alias(v) for v in ("area_km2", "band_1km", "band_2km", "band_3km")), "rank")
 
 
+RADII = [30.0, 55.0, RADIUS]
+HALO_SEAT_SQL = f"s AS (SELECT s_suppkey AS id, (8 + s_suppkey * 3 % ({DOWN} - 16))::INT AS r0, (9 + s_suppkey * 7 % 32)::INT AS c0 FROM supplier)"
+
+
+@query(
+    "viewshed_radii",
+    f"WITH {VISIBLE_SQL.replace(SEAT_SQL, HALO_SEAT_SQL)} SELECT id, radius, round(count(*) FILTER (d <= radius) * {RRES * RRES / 1e6!r}::DOUBLE, 9) AS area_km2 FROM clear, (VALUES {', '.join(f'({x}::DOUBLE)' for x in RADII)}) a(radius) WHERE clearance >= 0 OR clearance IS NULL GROUP BY id, radius",
+)
+def viewshed_radii(spark, sf_dir):
+    """Visible areas within three radii from one sweep, for seats that have the whole of the largest around them."""
+    g = _rolling(spark, sf_dir)
+    seats = _seats(spark, sf_dir).withColumn("r0", (8 + F.col("id") * 3 % (_rows(g) - 16)).cast("int"))
+    return visibility.by_radius(visibility.viewsheds(seats, g, RADIUS, RRES, 1.7, 0.8, halo=True), RADII, RRES).withColumn("area_km2", F.round("area_km2", 9))
+
+
 @query(
     "canopy_rays",
-    f"""WITH {ROLLING(RAYS)}, {COVER('rolling')}, {SEAT_SQL}, p AS (SELECT s.*, g.r, g.c, g.z AS z1, o.z AS z0, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) * {RRES} AS d FROM s JOIN cover o ON o.r = r0 AND o.c = c0 JOIN cover g ON abs(g.r - r0) <= 12 AND abs(g.c - c0) <= 12),
+    f"""WITH {ROLLING}, {COVER('rolling')}, {SEAT_SQL}, p AS (SELECT s.*, g.r, g.c, g.z AS z1, o.z AS z0, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) * {RRES} AS d FROM s JOIN cover o ON o.r = r0 AND o.c = c0 JOIN cover g ON abs(g.r - r0) <= 8 AND abs(g.c - c0) <= 8),
     q AS (SELECT *, greatest(3, floor(d / 5)::INT) AS steps FROM p WHERE d <= {RADIUS} AND d > 0), i AS (SELECT *, unnest(range(1, steps)) AS i FROM q), t AS (SELECT *, i / steps AS t, r0 + i / steps * (r - r0) AS pr, c0 + i / steps * (c - c0) AS pc FROM i),
     k AS (SELECT t.*, floor(pr)::INT AS fr, floor(pc)::INT AS fc, round_even(pr, 0)::INT AS nr, round_even(pc, 0)::INT AS nc FROM t),
     h AS (SELECT k.*, n.tree, (1 - (pr - fr)) * ((1 - (pc - fc)) * a.z + (pc - fc) * b.z) + (pr - fr) * ((1 - (pc - fc)) * e.z + (pc - fc) * f.z) AS z,
         (z0 + 1.7) * (1 - t) + (z1 + 0.8 - {DROP!r} * d * d) * t + {DROP!r} * (t * d) * (t * d) AS line
-        FROM k JOIN cover n ON n.r = nr AND n.c = nc JOIN cover a ON a.r = fr AND a.c = fc JOIN cover b ON b.r = fr AND b.c = least(fc + 1, {RAYS - 1}) JOIN cover e ON e.r = least(fr + 1, {RAYS - 1}) AND e.c = fc JOIN cover f ON f.r = least(fr + 1, {RAYS - 1}) AND f.c = least(fc + 1, {RAYS - 1}))
+        FROM k JOIN cover n ON n.r = nr AND n.c = nc JOIN cover a ON a.r = fr AND a.c = fc JOIN cover b ON b.r = fr AND b.c = least(fc + 1, {ACROSS} - 1) JOIN cover e ON e.r = least(fr + 1, {DOWN} - 1) AND e.c = fc JOIN cover f ON f.r = least(fr + 1, {DOWN} - 1) AND f.c = least(fc + 1, {ACROSS} - 1))
     SELECT id, r, c, bool_or(coalesce(tree >= 0.2 AND z + 15 > line, false) AND t * d > 30 AND (1 - t) * d > 30) AS blocked, bool_or(coalesce(tree >= 0.2 AND z + 15 > line, false) AND t * d <= 30) AS foreground, bool_or(tree IS NULL) AS unknown FROM h GROUP BY id, r, c""",
 )
 def canopy_rays(spark, sf_dir):
-    g = grids.with_cover(grids.rolling(spark, RAYS))
-    pairs = visibility.targets_within(_seats(spark), g.select("r", "c"), RADIUS, RRES).drop("d")
-    return visibility.cover_rays(pairs, g, RAYS, RAYS, RRES, 1.7, 0.8, 15.0)
+    g = grids.with_cover(_rolling(spark, sf_dir))
+    pairs = visibility.targets_within(_seats(spark, sf_dir), g.select("r", "c"), RADIUS, RRES).drop("d")
+    return visibility.cover_rays(pairs, g, _rows(g), COLS, RRES, 1.7, 0.8, 15.0)
 
 
 POINT_SQL = "SELECT vec_id, label, embedding[1]::DOUBLE * 10000 AS x, embedding[2]::DOUBLE * 10000 AS y FROM embeddings"
@@ -355,7 +393,6 @@ def nearest_segment(spark, sf_dir):
     return filters.nearest_segment(p.select(F.col("vec_id").alias("id"), "x", "y"), s, 500.0, 400.0).select("id", F.round("distance", 4).alias("distance"))
 
 
-H = 60
 W_SUM = sum(habitat.WEIGHTS)
 
 
@@ -365,7 +402,7 @@ def _disk_sql(name: str, radius: float, cols: str) -> str:
 
 @query(
     "habitat_features",
-    f"""WITH {ROLLING(H)}, {COVER('rolling')}, k AS (SELECT r, c, tree IS NOT NULL AND shrub IS NOT NULL AS ok, CASE WHEN tree IS NOT NULL AND shrub IS NOT NULL THEN tree ELSE 0 END AS t, CASE WHEN tree IS NOT NULL AND shrub IS NOT NULL THEN shrub ELSE 0 END AS b FROM cover),
+    f"""WITH {ROLLING}, {COVER('rolling')}, k AS (SELECT r, c, tree IS NOT NULL AND shrub IS NOT NULL AS ok, CASE WHEN tree IS NOT NULL AND shrub IS NOT NULL THEN tree ELSE 0 END AS t, CASE WHEN tree IS NOT NULL AND shrub IS NOT NULL THEN shrub ELSE 0 END AS b FROM cover),
     fl AS (SELECT *, ok AND greatest(t, b) >= 0.35 AS cv, ok AND t <= 0.2 AND b >= 0.05 AS op FROM k), nb(a, e) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)),
     dg AS (SELECT x.r, x.c, any_value(x.ok) AS ok, any_value(x.t) AS t, any_value(x.b) AS b, any_value(x.cv) AS cv, any_value(x.op) AS op, sum(CASE WHEN y.cv THEN 1 ELSE 0 END) AS dc, sum(CASE WHEN y.op THEN 1 ELSE 0 END) AS dop FROM fl x CROSS JOIN nb LEFT JOIN fl y ON y.r = x.r + a AND y.c = x.c + e GROUP BY x.r, x.c),
     pat AS (SELECT x.r, x.c, any_value(x.ok) AS ok, any_value(x.t) AS t, any_value(x.b) AS b, any_value(x.cv) AND (any_value(x.dc) >= 2 OR bool_or(coalesce(y.cv AND y.dc >= 2, false))) AS cov, any_value(x.op) AND (any_value(x.dop) >= 2 OR bool_or(coalesce(y.op AND y.dop >= 2, false))) AS opn FROM dg x CROSS JOIN nb LEFT JOIN dg y ON y.r = x.r + a AND y.c = x.c + e GROUP BY x.r, x.c),
@@ -374,7 +411,7 @@ def _disk_sql(name: str, radius: float, cols: str) -> str:
     SELECT r, c, round(mixed, 6) AS mixed, round(cover, 6) AS cover, known, round(0.1 + 0.45 * (b / (b + 0.15)) + 0.25 * mixed + 0.2 * cover, 9) AS h, round((1 - 0.9 * t) * (1 - 0.65 * b), 9) AS g FROM v""",
 )
 def habitat_features(spark, sf_dir):
-    f = habitat.evaluate(habitat.features(grids.with_cover(grids.rolling(spark, H)), 30.0, 90, 270))
+    f = habitat.evaluate(habitat.features(grids.with_cover(_rolling(spark, sf_dir)), 30.0, 90, 270))
     return f.select("r", "c", F.round("mixed", 6).alias("mixed"), F.round("cover", 6).alias("cover"), "known", F.round("h", 9).alias("h"), F.round("g", 9).alias("g"))
 
 
@@ -393,18 +430,26 @@ def habitat_metrics(spark, sf_dir):
     return m.select("id", F.round("effective", 4).alias("effective"), "visible", "matching", "scorable", "habitat_unknown", "high_habitat", "priority", F.round("mean_g", 8).alias("mean_g"))
 
 
-LINKS = [(i, float(x), float(y), float(x + dx), float(y + dy), i % 3 > 0) for i, (x, y, dx, dy) in enumerate((x * 100, y * 100, dx, dy) for x in range(9) for y in range(9) for dx, dy in ((100, 0), (0, 100)) if (x * 7 + y * 5 + dx) % 4)]
-LINK_SQL = f"l(record, ax, ay, bx, by_, motor) AS (VALUES {', '.join(f'({i}, {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {d}::DOUBLE, {str(m).lower()})' for i, a, b, c, d, m in LINKS)})"
+#: Ways along the cells' sides, in blocks of ten by ten cells that don't touch.
+LINK_SQL = f"""{CELLS}, l AS (SELECT r * {COLS} + c AS record, c * 100.0::DOUBLE AS ax, r * 100.0::DOUBLE AS ay, (c + dx) * 100.0::DOUBLE AS bx, (r + 1 - dx) * 100.0::DOUBLE AS by_, r, c FROM cells, range(2) t(dx)
+    WHERE (r * 7 + c * 5 + dx) % 4 <> 0 AND (c + dx) // 10 = c // 10 AND (r + 1 - dx) // 10 = r // 10 AND (r + 1 - dx) < {DOWN})"""
+
+
+def _links(spark, sf_dir):
+    g = _cells(spark, sf_dir)
+    l = g.withColumn("dx", F.explode(F.array(F.lit(0), F.lit(1)))).where("(r * 7 + c * 5 + dx) % 4 <> 0 and (c + dx) div 10 = c div 10 and (r + 1 - dx) div 10 = r div 10").where(F.col("r") + 1 - F.col("dx") < _rows(g))
+    return l.selectExpr(f"r * {COLS} + c as record", "c * 100D as ax", "r * 100D as ay", "(c + dx) * 100D as bx", "(r + 1 - dx) * 100D as by", "r % 3 > 0 as motor")
 
 
 @query(
     "network_shortest_path",
     f"""WITH RECURSIVE {LINK_SQL}, e AS (SELECT printf('%.2f,%.2f', ax, ay) AS u, printf('%.2f,%.2f', bx, by_) AS v, 100.0 AS w FROM l UNION ALL SELECT printf('%.2f,%.2f', bx, by_), printf('%.2f,%.2f', ax, ay), 100.0 FROM l),
-    d(node, hops) AS (SELECT '100.00,100.00', 0 UNION SELECT e.v, hops + 1 FROM d JOIN e ON e.u = d.node WHERE hops < 162) SELECT node, min(hops) * 100.0::DOUBLE AS distance FROM d GROUP BY node""",
+    d(node, hops) AS (SELECT DISTINCT printf('%.2f,%.2f', ax, ay), 0 FROM l WHERE c % 10 = 1 AND r % 10 = 1 UNION SELECT e.v, hops + 1 FROM d JOIN e ON e.u = d.node WHERE hops < 100) SELECT node, min(hops) * 100.0::DOUBLE AS distance FROM d GROUP BY node""",
 )
 def network_shortest_path(spark, sf_dir):
-    e = network.edges_of(spark.createDataFrame(LINKS, "record int, ax double, ay double, bx double, by double, motor boolean"))
-    return network.shortest(e, spark.createDataFrame([("100.00,100.00",)], "node string")).select("node", F.round("distance", 6).alias("distance"))
+    l = _links(spark, sf_dir)
+    starts = l.where("ax % 1000 = 100 and ay % 1000 = 100").select(F.format_string("%.2f,%.2f", "ax", "ay").alias("node")).distinct()
+    return network.shortest(network.edges_of(l), starts).select("node", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -423,28 +468,31 @@ def network_repairs(spark, sf_dir):
 
 @query(
     "component_sizes",
-    f"""WITH RECURSIVE g AS (SELECT (i // 24)::INT AS r, (i % 24)::INT AS c FROM range(576) t(i)), m AS (SELECT r * 24 + c AS node, r, c FROM g WHERE (r * r * 3 + c * 7 + r * c * 2) % 5 < 3),
-    e AS (SELECT a.node AS u, b.node AS v FROM m a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), w AS (SELECT node, node AS label FROM m UNION SELECT e.v, w.label FROM w JOIN e ON e.u = w.node), l AS (SELECT node, min(label) AS label FROM w GROUP BY node)
+    f"""WITH RECURSIVE {CELLS}, m AS (SELECT r * {COLS} + c AS node, r // 10 AS br, c // 10 AS bc, r, c FROM cells WHERE (r * r * 3 + c * 7 + r * c * 2) % 5 < 3),
+    e AS (SELECT a.node AS u, b.node AS v FROM m a JOIN m b ON a.br = b.br AND a.bc = b.bc AND abs(a.r - b.r) + abs(a.c - b.c) = 1), w AS (SELECT node, node AS label FROM m UNION SELECT e.v, w.label FROM w JOIN e ON e.u = w.node), l AS (SELECT node, min(label) AS label FROM w GROUP BY node)
     SELECT label::BIGINT AS label, count(*) AS n FROM l GROUP BY label""",
 )
 def component_sizes(spark, sf_dir):
-    m = grids.cells(spark, 24, 24).where((F.col("r") * F.col("r") * 3 + F.col("c") * 7 + F.col("r") * F.col("c") * 2) % 5 < 3).withColumn("node", (F.col("r") * 24 + F.col("c")).cast("long"))
+    """Cells that hang together inside blocks of ten by ten."""
+    m = _cells(spark, sf_dir).select("r", "c", F.expr("r div 10").alias("br"), F.expr("c div 10").alias("bc")).where("(r * r * 3 + c * 7 + r * c * 2) % 5 < 3").withColumn("node", (F.col("r") * COLS + F.col("c")).cast("long"))
     steps = F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((1, 0), (0, 1))))
-    e = m.select(F.col("node").alias("u"), F.explode(steps).alias("x")).select("u", "x.r", "x.c").join(m.withColumnRenamed("node", "v"), ["r", "c"]).select("u", "v")
+    e = m.select("br", "bc", F.col("node").alias("u"), F.explode(steps).alias("x")).select("br", "bc", "u", "x.r", "x.c").join(m.withColumnRenamed("node", "v"), ["br", "bc", "r", "c"]).select("u", "v")
     return network.components(e, m).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query(
     "route_profile",
-    f"""WITH {ROLLING(N)}, s AS (SELECT id, k, k * 1.3 + id * 3 AS pr, 5 + k * 0.9 + id AS pc FROM range(10) a(id), range(90) b(k)), f AS (SELECT *, floor(pr)::INT AS i, floor(pc)::INT AS j FROM s),
-    z AS (SELECT f.id, f.k, CASE WHEN pr <= {N - 1} AND pc <= {N - 1} THEN (1 - (pr - i)) * ((1 - (pc - j)) * a.z + (pc - j) * b.z) + (pr - i) * ((1 - (pc - j)) * c.z + (pc - j) * d.z) END AS z FROM f LEFT JOIN rolling a ON a.r = i AND a.c = j LEFT JOIN rolling b ON b.r = i AND b.c = least(j + 1, {N - 1}) LEFT JOIN rolling c ON c.r = least(i + 1, {N - 1}) AND c.c = j LEFT JOIN rolling d ON d.r = least(i + 1, {N - 1}) AND d.c = least(j + 1, {N - 1})),
+    f"""WITH {ROLLING}, s AS (SELECT s_suppkey AS id, k, k * 0.3::DOUBLE + s_suppkey * 3 AS pr, 5 + k * 1.3::DOUBLE AS pc FROM supplier, range(36) b(k)), f AS (SELECT *, floor(pr)::INT AS i, floor(pc)::INT AS j FROM s),
+    z AS (SELECT f.id, f.k, CASE WHEN pr <= {DOWN} - 1 AND pc <= {ACROSS} - 1 THEN (1 - (pr - i)) * ((1 - (pc - j)) * a.z + (pc - j) * b.z) + (pr - i) * ((1 - (pc - j)) * c.z + (pc - j) * d.z) END AS z FROM f LEFT JOIN rolling a ON a.r = i AND a.c = j LEFT JOIN rolling b ON b.r = i AND b.c = least(j + 1, {ACROSS} - 1) LEFT JOIN rolling c ON c.r = least(i + 1, {DOWN} - 1) AND c.c = j LEFT JOIN rolling d ON d.r = least(i + 1, {DOWN} - 1) AND d.c = least(j + 1, {ACROSS} - 1)),
     w AS (SELECT *, z - lag(z) OVER (PARTITION BY id ORDER BY k) AS dz FROM z)
     SELECT id, round(CASE WHEN count(z) = count(*) THEN sum(CASE WHEN dz > 0 THEN dz ELSE 0 END) END, 5) AS gain, round(CASE WHEN count(z) = count(*) THEN sum(CASE WHEN dz < 0 THEN -dz ELSE 0 END) END, 5) AS loss, round(count(z) / count(*), 8) AS covered FROM w GROUP BY id""",
 )
 def route_profile(spark, sf_dir):
-    s = spark.range(10).crossJoin(F.broadcast(spark.range(90).toDF("k")))  # ten fixed routes of ninety stations
-    s = s.withColumn("pr", F.col("k") * 1.3 + F.col("id") * 3).withColumn("pc", 5 + F.col("k") * 0.9 + F.col("id"))
-    z = grids.sample_bilinear(grids.rolling(spark, N), s, N, N).withColumn("z", F.when((F.col("pr") <= N - 1) & (F.col("pc") <= N - 1), F.col("z")))
+    g = _rolling(spark, sf_dir)
+    rows = _rows(g)
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(35))).alias("k"))
+    s = s.withColumn("pr", F.col("k") * 0.3 + F.col("id") * 3).withColumn("pc", 5 + F.col("k") * 1.3)
+    z = grids.sample_bilinear(g, s, rows, COLS).withColumn("z", F.when((F.col("pr") <= rows - 1) & (F.col("pc") <= COLS - 1), F.col("z")))
     return network.profile(z).select("id", F.round("gain", 5).alias("gain"), F.round("loss", 5).alias("loss"), F.round("covered", 8).alias("covered"))
 
 
@@ -516,19 +564,19 @@ def rolling_rate(spark, sf_dir):
 
 @query(
     "terrarium_tiles",
-    f"""WITH {HILLS}, v AS (SELECT r, c, round_even((z + 32768) * 256, 0)::BIGINT AS v, r * 360.0 / {N} - 180 AS lon, c * 120.0 / {N} - 60 AS lat FROM hills)
+    f"""WITH {HILLS}, v AS (SELECT r, c, round_even((z + 32768) * 256, 0)::BIGINT AS v, r % 100 * 3.6::DOUBLE - 180 AS lon, c * 2.4::DOUBLE - 60 AS lat FROM hills)
     SELECT r, c, (v >> 16) & 255 AS red, (v >> 8) & 255 AS green, v & 255 AS blue, floor((lon + 180) / 360 * 1024)::INT AS tx, floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / {math.pi!r}) / 2 * 1024)::INT AS ty FROM v""",
 )
 def terrarium_tiles(spark, sf_dir):
-    g = grids.hills(spark, N, RES)
-    lon, lat = F.col("r") * 360.0 / N - 180, F.col("c") * 120.0 / N - 60
+    g = _hills(spark, sf_dir)
+    lon, lat = F.col("r") % 100 * 3.6 - 180, F.col("c") * 2.4 - 60
     (red, green, blue), (tx, ty) = geo.terrarium(F.col("z")), geo.tile_of(lon, lat, 10)
     return g.select("r", "c", red.alias("red"), green.alias("green"), blue.alias("blue"), tx.alias("tx"), ty.alias("ty"))
 
 
 @query("grid_average", f"WITH {HILLS} SELECT (r // 3)::INT AS r, (c // 3)::INT AS c, round(avg(z), 6) AS z, count(*) AS n FROM hills GROUP BY ALL")
 def grid_average(spark, sf_dir):
-    return grids.coarsen(grids.hills(spark, N, RES), 3, ["z"]).withColumn("z", F.round("z", 6))
+    return grids.coarsen(_hills(spark, sf_dir), 3, ["z"]).withColumn("z", F.round("z", 6))
 
 
 @query(
@@ -536,22 +584,24 @@ def grid_average(spark, sf_dir):
     f"""WITH {HILLS}, d AS (SELECT r, c, md5('54:' || r || ':' || c) AS h FROM hills) SELECT (r // 20)::INT AS sr, (c // 20)::INT AS sc, arg_min(r, h[1:12]) AS r, arg_min(c, h[1:12]) AS c FROM d GROUP BY ALL""",
 )
 def stratified_draw(spark, sf_dir):
-    s = candidates.stratified(grids.cells(spark, N, N), 20, 54)
+    s = candidates.stratified(_cells(spark, sf_dir), 20, 54)
     return s.select(F.floor(F.col("r") / 20).cast("int").alias("sr"), F.floor(F.col("c") / 20).cast("int").alias("sc"), "r", "c")
 
 
 @query("spaced_candidates")
 def spaced_candidates(spark, sf_dir):
     """Cells no closer than eight cells, as if taken one by one in order of draw (checked so in the tests)."""
-    g = grids.cells(spark, 60, 60).withColumn("draw", candidates.drawn(["r", "c"], 7))
+    g = _cells(spark, sf_dir).withColumn("draw", candidates.drawn(["r", "c"], 7))
     return candidates.spaced(g, 8.0).select("r", "c")
 
 
 @query("approach_costs")
 def approach_costs(spark, sf_dir):
     """Least-cost approaches for three objectives; heap searches inside grouped tasks, held against relaxation in the tests."""
-    g = grids.with_cover(grids.rolling(spark, 40)).withColumn("area", F.lit("a")).withColumn("ok", (F.col("r") * 3 + F.col("c")) % 11 != 0)
-    s = spark.createDataFrame([("recommended", "a", 20, 20, 1.0, 1.0, 1.0, 1.0), ("shortest", "a", 20, 20, 0.0, 0.0, 0.0, 0.0), ("brush", "a", 20, 20, 1.0, 3.0, 3.0, 1.0)], "scenario string, area string, tr int, tc int, ws double, wt double, wb double, wg double")
+    g = grids.with_cover(_rolling(spark, sf_dir)).withColumn("ok", (F.col("r") * 3 + F.col("c")) % 11 != 0)
+    g = g.withColumn("area", F.expr("r div 50")).withColumn("r", F.col("r") % 50)  # an area for each fifty rows
+    weights = F.array(*(F.struct(F.lit(n).alias("n"), *(F.lit(w).alias(k) for k, w in zip(("ws", "wt", "wb", "wg"), ws))) for n, ws in (("recommended", (1.0, 1.0, 1.0, 1.0)), ("shortest", (0.0, 0.0, 0.0, 0.0)), ("brush", (1.0, 3.0, 3.0, 1.0)))))
+    s = g.where("r = 20 and c = 20").select("area", F.explode(weights).alias("x")).select(F.concat_ws("-", "x.n", "area").alias("scenario"), "area", F.lit(20).alias("tr"), F.lit(20).alias("tc"), "x.ws", "x.wt", "x.wb", "x.wg")
     starts = g.where((F.col("r") % 13 == 5) & (F.col("c") % 13 == 4)).select("area", F.format_string("%d-%d", "r", "c").alias("start"), "r", "c")
     return network.approaches(s, g, starts, 20.0).select("scenario", "start", F.round("cost", 5).alias("cost"))
 
@@ -602,7 +652,7 @@ def wedge_rings(spark, sf_dir):
     round(count(*) FILTER (tree >= 0.4) * 0.0001::DOUBLE, 6) AS dense, round(count(*) FILTER (tree IS NULL) * 0.0001::DOUBLE, 6) AS unknown, round(avg(shrub), 8) AS mean_shrub, round(avg((tree IS NULL OR shrub IS NULL)::INT), 8) AS unknown_share, true AS closes FROM s GROUP BY id""",
 )
 def cover_classes(spark, sf_dir):
-    g = grids.with_cover(grids.hills(spark, N, RES)).withColumn("id", (F.floor(F.col("r") / 28) * 5 + F.floor(F.col("c") / 28)).cast("int"))
+    g = grids.with_cover(_hills(spark, sf_dir)).withColumn("id", (F.floor(F.col("r") / 28) * 5 + F.floor(F.col("c") / 28)).cast("int"))
     out = evaluation.cover_classes(g, "id", 1e-4)
     return out.select("id", *(F.round(k, 6).alias(k) for k in ("raw", "open", "partial", "dense", "unknown")), F.round("mean_shrub", 8).alias("mean_shrub"), F.round("unknown_share", 8).alias("unknown_share"), "closes")
 
@@ -699,13 +749,13 @@ def farthest_parents(spark, sf_dir):
 
 @query(
     "largest_openings",
-    """WITH RECURSIVE g AS (SELECT (i // 24)::INT AS r, (i % 24)::INT AS c FROM range(576) t(i)), m AS (SELECT r // 12 AS id, r * 24 + c AS node, r, c FROM g WHERE (r * 7 + c * 5 + r * c) % 3 <> 0),
+    f"""WITH RECURSIVE {CELLS}, m AS (SELECT r // 12 * 10 + c // 12 AS id, r * {COLS} + c AS node, r, c FROM cells WHERE (r * 7 + c * 5 + r * c) % 3 <> 0),
     e AS (SELECT a.node AS u, b.node AS v FROM m a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 AND a.id = b.id), w AS (SELECT node, node AS label FROM m UNION SELECT e.v, w.label FROM w JOIN e ON e.u = w.node), l AS (SELECT node, min(label)::BIGINT AS label FROM w GROUP BY node),
     j AS (SELECT m.*, label, avg(r) OVER k AS mr, avg(c) OVER k AS mc, count(*) OVER k AS n FROM m JOIN l USING (node) WINDOW k AS (PARTITION BY id, label)), t AS (SELECT *, dense_rank() OVER (PARTITION BY id ORDER BY n DESC, label)::INT AS place, row_number() OVER (PARTITION BY id, label ORDER BY round((r - mr) * (r - mr) + (c - mc) * (c - mc), 9), r, c) AS q FROM j)
     SELECT id, label, n, place, r, c FROM t WHERE place <= 2 AND q = 1""",
 )
 def largest_openings(spark, sf_dir):
-    m = grids.cells(spark, 24, 24).where((F.col("r") * 7 + F.col("c") * 5 + F.col("r") * F.col("c")) % 3 != 0).withColumn("node", (F.col("r") * 24 + F.col("c")).cast("long")).withColumn("id", F.floor(F.col("r") / 12).cast("int"))
+    m = _cells(spark, sf_dir).select("r", "c").where((F.col("r") * 7 + F.col("c") * 5 + F.col("r") * F.col("c")) % 3 != 0).withColumn("node", (F.col("r") * COLS + F.col("c")).cast("long")).withColumn("id", F.expr("cast(r div 12 * 10 + c div 12 as int)"))
     steps = F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c")) for a, b in ((1, 0), (0, 1))))
     e = m.select("id", F.col("node").alias("u"), F.explode(steps).alias("x")).select("id", "u", "x.r", "x.c").join(m.withColumnRenamed("node", "v"), ["id", "r", "c"]).select("u", "v")
     labels = network.components(e, m).join(m.select("node", "id"), "node")
@@ -770,10 +820,10 @@ def line_display(spark, sf_dir):
 @query(
     "departure_stations",
     f"""WITH {LINK_SQL}, s AS (SELECT ax, ay, bx, by_, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM l), i AS (SELECT *, unnest(range(0, ceil(len / 20)::INT + 1)) AS i FROM s), p AS (SELECT round(ax + least(i * 20, len) / len * (bx - ax), 6) AS x, round(ay + least(i * 20, len) / len * (by_ - ay), 6) AS y FROM i)
-    SELECT DISTINCT x, y FROM p WHERE (x - 400) * (x - 400) + (y - 350) * (y - 350) <= 90000""",
+    SELECT DISTINCT x, y FROM p WHERE (x - 2400) * (x - 2400) + (y - 1350) * (y - 1350) <= 5290000""",
 )
 def departure_stations(spark, sf_dir):
-    return network.departures(spark.createDataFrame(LINKS, "record int, ax double, ay double, bx double, by double, motor boolean"), (400.0, 350.0), 300.0)
+    return network.departures(_links(spark, sf_dir), (2400.0, 1350.0), 2300.0)
 
 
 STEP_SQL = "SELECT l_orderkey AS id, l_quantity AS length, l_tax * 300 AS slope, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE l_discount * 5 END AS tree, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE l_tax * 4 END AS shrub, l_discount * 100 - 5 AS rise FROM lineitem"
@@ -798,31 +848,32 @@ def merged_objectives(spark, sf_dir):
 
 @query(
     "median_colours",
-    """WITH p AS (SELECT (i // 40)::INT AS r, (i % 40)::INT AS c, (i * 37 % 251)::INT AS red, (i * 91 % 241)::INT AS green, (i * 53 % 239)::INT AS blue, CASE WHEN i % 5 < 3 THEN 255 ELSE 0 END AS alpha FROM range(1600) t(i)), k AS (SELECT r * 40 + c AS id, r, c FROM p WHERE (r + c) % 3 = 0)
+    """WITH p AS (SELECT (o_orderkey // 50)::INT AS r, (o_orderkey % 50)::INT AS c, (o_custkey * 37 % 251)::INT AS red, (o_custkey * 91 % 241)::INT AS green, (o_custkey * 53 % 239)::INT AS blue, CASE WHEN o_orderkey % 7 < 5 THEN 255 ELSE 0 END AS alpha FROM orders), k AS (SELECT r * 50 + c AS id, r, c FROM p WHERE (r + c) % 3 = 0)
     SELECT k.id, coalesce(round_even(0.75 * median(red) + 18, 0), 72)::INT AS red, coalesce(round_even(0.75 * median(green) + 27, 0), 108)::INT AS green, coalesce(round_even(0.75 * median(blue) + 13.25, 0), 53)::INT AS blue FROM k LEFT JOIN p ON abs(p.r - k.r) <= 1 AND abs(p.c - k.c) <= 1 AND alpha > 0 GROUP BY k.id""",
 )
 def median_colours(spark, sf_dir):
-    i = F.col("r") * 40 + F.col("c")
-    p = grids.cells(spark, 40, 40).select("r", "c", (i * 37 % 251).alias("red"), (i * 91 % 241).alias("green"), (i * 53 % 239).alias("blue"), F.when(i % 5 < 3, 255).otherwise(0).alias("alpha"))
+    i = F.col("r") * COLS + F.col("c")
+    cell = [F.expr(f"cast(o_orderkey div {COLS} as int)").alias("r"), F.expr(f"cast(o_orderkey % {COLS} as int)").alias("c")]
+    p = table(spark, sf_dir, "orders").select(*cell, *(F.expr(f"cast(o_custkey * {a} % {b} as int)").alias(n) for n, a, b in (("red", 37, 251), ("green", 91, 241), ("blue", 53, 239))), F.expr("if(o_orderkey % 7 < 5, 255, 0)").alias("alpha"))
     return evaluation.median_colours(p.where((F.col("r") + F.col("c")) % 3 == 0).select(i.alias("id"), "r", "c"), p, (72, 108, 53))
 
 
 @query(
     "vegetation_rays",
-    f"""WITH {ROLLING(RAYS)}, g AS (SELECT *, CASE WHEN (r * 31 + c * 17) % 29 = 0 THEN NULL WHEN (r * 5 + c * 3) % 11 = 0 THEN 4.0 ELSE 0.0 END AS height FROM rolling), {SEAT_SQL},
-    p AS (SELECT s.*, g.r, g.c, g.z AS z1, o.z AS z0, o.height AS h0, g.height AS h1, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) * {RRES} AS d FROM s JOIN g o ON o.r = r0 AND o.c = c0 JOIN g ON abs(g.r - r0) <= 12 AND abs(g.c - c0) <= 12),
+    f"""WITH {ROLLING}, g AS (SELECT *, CASE WHEN (r * 31 + c * 17) % 29 = 0 THEN NULL WHEN (r * 5 + c * 3) % 11 = 0 THEN 4.0 ELSE 0.0 END AS height FROM rolling), {SEAT_SQL},
+    p AS (SELECT s.*, g.r, g.c, g.z AS z1, o.z AS z0, o.height AS h0, g.height AS h1, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) * {RRES} AS d FROM s JOIN g o ON o.r = r0 AND o.c = c0 JOIN g ON abs(g.r - r0) <= 8 AND abs(g.c - c0) <= 8),
     q AS (SELECT *, greatest(3, ceil(d / 5)::INT) AS steps FROM p WHERE d <= {RADIUS} AND d > 0), i AS (SELECT *, unnest(range(1, steps)) AS i FROM q), t AS (SELECT *, i / steps AS t, r0 + i / steps * (r - r0) AS pr, c0 + i / steps * (c - c0) AS pc FROM i),
     k AS (SELECT t.*, floor(pr)::INT AS fr, floor(pc)::INT AS fc, floor(pr + 0.5)::INT AS nr, floor(pc + 0.5)::INT AS nc FROM t),
     h AS (SELECT k.*, n.height, (1 - (pr - fr)) * ((1 - (pc - fc)) * a.z + (pc - fc) * b.z) + (pr - fr) * ((1 - (pc - fc)) * e.z + (pc - fc) * f.z) AS z, (z0 + 1.7) * (1 - t) + (z1 + 0.8 - {DROP!r} * d * d) * t + {DROP!r} * (t * d) * (t * d) AS line,
-        NOT ((nr = r0 AND nc = c0) OR (nr = k.r AND nc = k.c)) AS mid FROM k JOIN g n ON n.r = nr AND n.c = nc JOIN g a ON a.r = fr AND a.c = fc JOIN g b ON b.r = fr AND b.c = least(fc + 1, {RAYS - 1}) JOIN g e ON e.r = least(fr + 1, {RAYS - 1}) AND e.c = fc JOIN g f ON f.r = least(fr + 1, {RAYS - 1}) AND f.c = least(fc + 1, {RAYS - 1})),
+        NOT ((nr = r0 AND nc = c0) OR (nr = k.r AND nc = k.c)) AS mid FROM k JOIN g n ON n.r = nr AND n.c = nc JOIN g a ON a.r = fr AND a.c = fc JOIN g b ON b.r = fr AND b.c = least(fc + 1, {ACROSS} - 1) JOIN g e ON e.r = least(fr + 1, {DOWN} - 1) AND e.c = fc JOIN g f ON f.r = least(fr + 1, {DOWN} - 1) AND f.c = least(fc + 1, {ACROSS} - 1)),
     x AS (SELECT *, mid AND coalesce(height > 0 AND z + height > line, false) AS hit, t * d <= 30 AS near, (1 - t) * d <= 30 AND NOT t * d <= 30 AS fin FROM h)
     SELECT id, r, c, bool_or(hit AND near) AS observer, bool_or(hit AND NOT near AND NOT fin) AS intermediate, bool_or(hit AND fin) OR coalesce(any_value(h1) > 0.8, false) AS target, bool_or(mid AND height IS NULL) OR bool_or(h0 IS NULL) OR bool_or(h1 IS NULL) AS unknown, bool_or(mid AND z > line + 1e-6) AS terrain FROM x GROUP BY id, r, c""",
 )
 def vegetation_rays(spark, sf_dir):
     k = F.col("r")
-    g = grids.rolling(spark, RAYS).withColumn("height", F.when((k * 31 + F.col("c") * 17) % 29 == 0, None).when((k * 5 + F.col("c") * 3) % 11 == 0, 4.0).otherwise(0.0))
-    pairs = visibility.targets_within(_seats(spark), g.select("r", "c"), RADIUS, RRES).drop("d")
-    return visibility.vegetation_rays(pairs, g, RAYS, RAYS, RRES).drop("r0", "c0")
+    g = _rolling(spark, sf_dir).withColumn("height", F.when((k * 31 + F.col("c") * 17) % 29 == 0, None).when((k * 5 + F.col("c") * 3) % 11 == 0, 4.0).otherwise(0.0))
+    pairs = visibility.targets_within(_seats(spark, sf_dir), g.select("r", "c"), RADIUS, RRES).drop("d")
+    return visibility.vegetation_rays(pairs, g, _rows(g), COLS, RRES).drop("r0", "c0")
 
 
 @query("attention_sweep")
@@ -836,7 +887,7 @@ def attention_sweep(spark, sf_dir):
 @query("connection_screen")
 def connection_screen(spark, sf_dir):
     """Seats that hang together with a departure at the first slope limit that allows it; held against a flood fill in the tests."""
-    g = terrain.gradient(grids.rolling(spark, 20).withColumn("z", F.col("z") * 1.8), "z", 12.0)
+    g = terrain.gradient(_rolling(spark, sf_dir).withColumn("z", F.col("z") * 1.8), "z", 12.0)
     g = g.select("r", "c", "z", terrain.slope_of(F.col("gx"), F.col("gy")).alias("slope"), ((F.col("r") * 3 + F.col("c") * 7) % 5 != 0).alias("ok"))
     seats = g.where("r % 7 = 3 and c % 6 = 2").select(F.concat_ws("-", "r", "c").alias("id"), "r", "c")
     return network.connections(g, seats, g.where("r = 0").select("r", "c"), 12.0, (25.0, 35.0))

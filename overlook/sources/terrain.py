@@ -121,8 +121,8 @@ def corner_triangles(grid: DataFrame, points: DataFrame, rows: int, cols: int) -
 
 def tiles(grid: DataFrame, value: str = "z", size: int = TILE) -> DataFrame:
     """(tr, tc, p, v): each tile's positions (row * size + column in the tile) and values, as two arrays."""
-    at = (F.col("r") % size) * size + F.col("c") % size
-    by = grid.groupBy((F.col("r") / size).cast("int").alias("tr"), (F.col("c") / size).cast("int").alias("tc"))
+    at = F.pmod("r", F.lit(size)) * size + F.pmod("c", F.lit(size))
+    by = grid.groupBy(F.floor(F.col("r") / size).cast("int").alias("tr"), F.floor(F.col("c") / size).cast("int").alias("tc"))
     held = by.agg(F.collect_list(F.struct(at.cast("int").alias("p"), F.coalesce(F.col(value).cast("double"), F.lit(float("nan"))).alias("v"))).alias("x"))
     return held.select("tr", "tc", F.col("x.p").alias("p"), F.col("x.v").alias("v"))
 
