@@ -75,15 +75,28 @@ def shortest(edges: DataFrame, sources: DataFrame, rounds: int | None = None, mo
             raise ValueError(f"nodes still come closer after {rounds} rounds")
 
 
-def traced(found: DataFrame, targets: DataFrame) -> DataFrame:
-    """(target, k, node) from each target (node) back to its source along `previous`; k counts from the target. Rounds are as many as the longest path has edges."""
-    now = targets.select(F.col("node").alias("target"), F.lit(0).alias("k"), "node").join(found.select("node"), "node", "left_semi").select("target", "k", "node")
-    out = now
+def followed(found: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, target, k, node) from each target (by, target, node) back along `previous` of found (by, node, previous); k counts from the target.
+
+    Jumps double: a round joins all nodes known so far with jumps as long as what is known of each way, and then joins the jumps with
+    themselves, so rounds grow with the logarithm of the longest way.
+    """
+    jump = cut(found.select(*by, "node", "previous").where("previous is not null"))
+    out = cut(targets.select(*by, "target", F.lit(0).alias("k"), "node").join(found.select(*by, "node"), [*by, "node"], "left_semi").select(*by, "target", "k", "node"))
+    reach = 1
     while True:
-        now = cut(now.join(found, "node").where("previous is not null").select("target", (F.col("k") + 1).alias("k"), F.col("previous").alias("node")))
-        if not now.take(1):
+        new = cut(out.join(jump, [*by, "node"]).select(*by, "target", (F.col("k") + reach).alias("k"), F.col("previous").alias("node")))
+        if not new.take(1):
             return out
-        out = out.union(now)
+        out = cut(out.union(new))
+        far = jump.select(*by, F.col("node").alias("previous"), F.col("previous").alias("far"))
+        jump = cut(jump.join(far, [*by, "previous"]).select(*by, "node", F.col("far").alias("previous")))
+        reach *= 2
+
+
+def traced(found: DataFrame, targets: DataFrame) -> DataFrame:
+    """(target, k, node) from each target (node) back to its source along `previous`; k counts from the target."""
+    return followed(found, targets.select(F.col("node").alias("target"), "node"), [])
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
