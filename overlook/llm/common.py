@@ -10,7 +10,7 @@ from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that separate words: space, and tab to carriage return.
@@ -81,9 +81,11 @@ def kept_apart():
 def scratch(spark: SparkSession):
     """Deletes, at its end, the tables that were written inside; what is still to be read must have been written by then, elsewhere."""
     with kept_apart() as written:
-        yield
-        discard(spark, written)
-        written.clear()
+        try:
+            yield
+        finally:
+            discard(spark, written)
+            written.clear()
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -134,6 +136,21 @@ def bounded_sample(rows: DataFrame, size: int, key: str = "doc_id") -> DataFrame
     return rows.orderBy(h, key).limit(size)
 
 
+def sums_before(rows: DataFrame, order: list[Column], weight: str, out: str, group: str | None = None) -> DataFrame:
+    """rows with the sum of `weight` over the rows of the same group that come earlier in `order`, which must begin with the group.
+
+    Rows are dealt by range and written; what meets in one task besides a range is one number a range and group.
+    """
+    of = [group] if group else []
+    dealt = materialize(rows.repartitionByRange(shuffle_parts(rows.sparkSession), *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    inside = F.sum(weight).over(Window.partitionBy("range_", *of).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    totals = dealt.groupBy("range_", *of).agg(F.sum(weight).alias("all_"))
+    earlier = F.sum("all_").over(Window.partitionBy(*of).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select("range_", *of, F.coalesce(earlier, F.lit(0)).alias("earlier_"))
+    summed = dealt.withColumn("inside_", F.coalesce(inside, F.lit(0))).join(totals, ["range_", *of])
+    return summed.select(*rows.columns, (F.col("inside_") + F.col("earlier_")).alias(out))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):

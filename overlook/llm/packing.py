@@ -3,10 +3,10 @@
 Each document becomes a feature-hashed bag of words (BUCKETS signed counts); a fixed random projection
 brings it to DIMS dimensions, its cell on a Hilbert curve is the sort key. Rows are dealt to ranges
 of the curve that hold equal numbers of bytes and sorted there by (key, hash of the text, doc_id), so that neighbours
-on the curve, alike in content, become neighbours in sequences. The ranges come from the bytes of each of the curve's
-2**STRIPE_BITS stripes, summed over all rows (`dealt`); a stripe with more bytes than a range holds, such as a large group
-of copies, is spread over the ranges that it covers by (hash of the text, doc_id). Only the key, made of cheap array
-steps, is computed before the one shuffle; the text is tokenized after it, in curve order.
+on the curve, alike in content, become neighbours in sequences. The ranges are cut on the full key, from the bytes of every key summed
+along the curve (`dealt`); only rows of one equal key, such as a large group of copies, are spread over the ranges that it covers, by (hash of the
+text, doc_id). Keys are made once, by cheap array steps, and written beside the texts; a text is tokenized after the one shuffle, in
+curve order.
 
 Each partition is one stream of tokens, cut every `length` tokens. The rest of a stream, under `length`,
 is cut at powers of two, which need no padding: no sequence has any.
@@ -23,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, shuffle_parts, steps, table
+from .common import Words, materialize, shuffle_parts, steps, sums_before, table
 
 LENGTH = 2048
 DIMS, BITS, BUCKETS = 4, 8, 1024
-#: The leading bits of a key that name its stripe of the curve: bounds the table of stripes, whatever the input.
+#: The leading bits of a key that name its stripe of the curve: bounds the table in which rows look up cuts, whatever the input.
 STRIPE_BITS = 14
 #: Documents whose bags of words are held at once.
 ROWS = 2048
@@ -177,27 +177,34 @@ def _pack(length: int, folder: str | None, with_ids: bool):
 
 
 def dealt(rows: DataFrame, parts: int) -> DataFrame:
-    """rows(curve, copy, doc_id, text) in `parts` partitions that follow the curve and hold about equal bytes.
+    """rows(curve, size, copy, doc_id, text), which are read twice, in `parts` partitions that follow the curve and hold about equal bytes.
 
-    A row counts its text's bytes and the end id. A stripe that lies in one range goes there; one that runs over several is
-    spread over them in proportion to what it has in each.
+    Bytes are summed by full key and along the curve. Where the sum passes a multiple of the partitions' share, the key there is a cut:
+    keys before it go to the partition before, keys behind it to the one behind; rows of that one key are spread over
+    what it covers. There are fewer cuts than partitions; a row finds those of its stripe of the curve.
     """
-    rows = rows.withColumn("stripe", F.shiftright("curve", DIMS * BITS - STRIPE_BITS).cast("int"))
-    stripes = rows.groupBy("stripe").agg(F.sum(F.octet_length("text") + F.lit(1).cast("long")).alias("size"))
-    # at most 2**STRIPE_BITS rows: one task, and a broadcast
-    before = Window.orderBy("stripe").rowsBetween(Window.unboundedPreceding, -1)
-    stripes = stripes.select("stripe", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy()).alias("whole"))
-    rows = rows.join(F.broadcast(stripes), "stripe")
+    keys = rows.groupBy("curve").agg(F.sum("size").alias("size"))
+    keys = materialize(sums_before(keys, [F.col("curve")], "size", "before"), "curve")
+    whole = keys.agg(F.sum("size")).first()[0] or 1
+    at = lambda place: F.least(F.floor(place / F.lit(float(whole)) * parts), F.lit(parts - 1)).cast("int")
+    stripe = F.shiftright("curve", DIMS * BITS - STRIPE_BITS).cast("int")
+    keys = keys.withColumn("low", at(F.col("before"))).withColumn("high", at(F.col("before") + F.col("size")))
+    cut = F.when(F.col("high") > F.col("low"), F.struct("curve", "before", "size", "high"))
+    # at most 2**STRIPE_BITS rows, and `parts` cuts in all of them
+    stripes = keys.groupBy(stripe.alias("stripe")).agg(F.min("low").alias("low"), F.array_sort(F.collect_list(cut)).alias("cuts"))
+    rows = rows.withColumn("stripe", stripe).join(F.broadcast(stripes), "stripe")
     within = F.pmod(F.xxhash64("copy", "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    place = F.floor((F.col("before") + within * F.col("size")) / F.col("whole") * parts)
-    return rows.repartitionById(parts, F.least(place, F.lit(parts - 1)).cast("int")).drop("stripe", "size", "before", "whole")
+    mine = F.get(F.filter("cuts", lambda x: x["curve"] == F.col("curve")), F.lit(0))
+    behind = F.aggregate("cuts", F.col("low"), lambda low, x: F.when(x["curve"] < F.col("curve"), x["high"]).otherwise(low))
+    place = F.when(mine.isNull(), behind).otherwise(at(mine["before"] + within * mine["size"]))
+    return rows.repartitionById(parts, place).drop("stripe", "low", "cuts")
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizers: str | None = None, with_ids: bool = True) -> DataFrame:
     """One row per piece of a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids themselves if asked."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.mapInArrow(_keys, "curve long, doc_id long, text string").withColumn("copy", F.xxhash64("text"))
-    rows = dealt(rows, shuffle_parts(docs.sparkSession)).sortWithinPartitions("curve", "copy", "doc_id")
+    rows = rows.mapInArrow(_keys, "curve long, doc_id long, text string").select("*", F.xxhash64("text").alias("copy"), (F.octet_length("text") + F.lit(1).cast("long")).alias("size"))
+    rows = dealt(materialize(rows, "keys"), shuffle_parts(docs.sparkSession)).sortWithinPartitions("curve", "copy", "doc_id")
     return rows.select("doc_id", "text").mapInArrow(_pack(length, tokenizers, with_ids), PIECES_DDL)
 
 

@@ -26,10 +26,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, row_key, shuffle_parts, steps, table
+from .common import Words, materialize, row_key, steps, sums_before, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 #: Documents of more words than this many times their source's mean are long.
@@ -52,21 +52,6 @@ def sized(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_counted, "key long, doc_id long, source string, size long")
 
 
-def sums_before(rows: DataFrame, order: list[Column], weight: str, out: str, group: str | None = None) -> DataFrame:
-    """rows with the sum of `weight` over the rows of the same group that come earlier in `order`, which must begin with the group.
-
-    Rows are dealt by range and written; what meets in one task besides a range is one number a range and group.
-    """
-    of = [group] if group else []
-    dealt = materialize(rows.repartitionByRange(shuffle_parts(rows.sparkSession), *order).withColumn("range_", F.spark_partition_id()), "ranges")
-    inside = F.sum(weight).over(Window.partitionBy("range_", *of).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    totals = dealt.groupBy("range_", *of).agg(F.sum(weight).alias("all_"))
-    earlier = F.sum("all_").over(Window.partitionBy(*of).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.select("range_", *of, F.coalesce(earlier, F.lit(0)).alias("earlier_"))
-    summed = dealt.withColumn("inside_", F.coalesce(inside, F.lit(0))).join(totals, ["range_", *of])
-    return summed.select(*rows.columns, (F.col("inside_") + F.col("earlier_")).alias(out))
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """(place, source, source_size, docs, target) of sizes(source, size)."""
     found = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")).withColumn("one", F.lit(1).cast("long"))

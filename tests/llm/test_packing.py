@@ -65,17 +65,30 @@ def test_ranges_hold_equal_bytes_and_follow_the_curve(spark):
     rng = random.Random(6)
     texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(2000 if i % 50 == 0 else 20)) for i in range(600)]
     texts += ["same text again and again " * 4] * 300 + ["", None]
-    rows = docs_frame(spark, texts).selectExpr("doc_id", "coalesce(text, '') AS text").mapInArrow(op._keys, "curve long, doc_id long, text string")
-    rows = rows.withColumn("copy", F.xxhash64("text"))
-    out = op.dealt(rows, 8).select("curve", "doc_id", F.octet_length("text").alias("n"), F.spark_partition_id().alias("part")).collect()
-    assert sorted(r.doc_id for r in out) == list(range(len(texts)))
-    sizes = [sum(r.n for r in out if r.part == p) for p in range(8)]
-    assert max(sizes) <= 1.5 * sum(sizes) / 8
-    stripe = lambda r: r.curve >> (op.DIMS * op.BITS - op.STRIPE_BITS)
-    ends = [(min(map(stripe, x)), max(map(stripe, x))) for p in range(8) if (x := [r for r in out if r.part == p])]
+    check_ranges(spark, docs_frame(spark, texts).selectExpr("doc_id", "coalesce(text, '') AS text").mapInArrow(op._keys, "curve long, doc_id long, text string"), len(texts))
+
+
+def check_ranges(spark, rows, n, most=1.5):
+    """Ranges of about equal bytes in the order of the full key; only rows of one equal key may lie in several."""
+    rows = rows.withColumn("copy", F.xxhash64("text")).withColumn("size", F.octet_length("text") + F.lit(1).cast("long"))
+    out = op.dealt(rows, 8).select("curve", "doc_id", "size", F.spark_partition_id().alias("part")).collect()
+    assert sorted(r.doc_id for r in out) == list(range(n))
+    sizes = [sum(r.size for r in out if r.part == p) for p in range(8)]
+    assert max(sizes) <= most * sum(sizes) / 8
+    ends = [(min(r.curve for r in x), max(r.curve for r in x)) for p in range(8) if (x := [r for r in out if r.part == p])]
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_one_stripe_of_half_the_bytes_is_cut_by_the_full_key(spark):
+    """Half of all bytes lie in one stripe of the curve, under many keys: their ranges follow the key, not a hash."""
+    rng = random.Random(2)
+    stripe = 5 << (op.DIMS * op.BITS - op.STRIPE_BITS)
+    rows = [(stripe + rng.randrange(1 << 18) if i % 2 else rng.randrange(1 << 32), i, "x" * rng.randrange(1, 90)) for i in range(4000)]
+    check_ranges(spark, spark.createDataFrame(rows, "curve long, doc_id long, text string"), len(rows), 1.1)
+    same = [(7 if i % 3 == 0 else rng.randrange(1 << 32), i, "x" * 50) for i in range(4000)]
+    check_ranges(spark, spark.createDataFrame(same, "curve long, doc_id long, text string"), len(same), 1.2)
+
+
 def test_awkward_rows(spark):
     texts = [None, "", "<|endoftext|> spelled <|endoftext|>", "word " * 9000, "naïve ☃ 𝄞", "\x00"]
     out = op.pack(docs_frame(spark, texts, [None, 1, 2, 3, 4, 5]), 512).collect()
