@@ -9,15 +9,16 @@ join lays a grid as wide as the budget's radius over the block's first GRID dime
 its own cell and, as a visitor, to those among half of the cells around it that its radius reaches, so that
 two neighbours meet in one cell once. The union of candidates is verified exactly: a pair is decided in
 single precision only where that is further from the threshold than its error can be, and otherwise by the
-cosine of the vectors as given in double precision; each pair counts in the first block that holds it.
-Only equal labels meet, for the label is part of the cell.
+cosine of the vectors as given in double precision (scaled by powers of two, so that no
+square of a tiny or huge component is lost); each pair counts in the first block that holds it.
+Only equal labels meet, for the label, of any type and compared by its text, is part of the cell.
 
 Equal vectors of a label are one member with a count. Rotated vectors are computed once and travel as
 bytes; cells of any size are cut into blocks of CELL_BYTES (pairs.py) and compared tile by tile, and a
 task returns counts and a spanning forest, never pairs.
 
-Edge cases: rows whose label is null, or whose vector is null, empty, zero, of another length, or holds
-null or non-finite components, link with nothing; repeated rows are rows (each links with the other);
+Edge cases: rows whose label is null, or whose vector is null, empty, zero, or holds null or non-finite
+components, link with nothing; vectors of different lengths don't link with each other; repeated rows are rows (each links with the other);
 components join vectors and not ids, so rows that repeat a vec_id share one only where links reach; a null vec_id
 is compared and counted, its kept is null, and its component is null only where no row of the component has an id; empty tables give empty results; extra columns are ignored.
 """
@@ -85,7 +86,13 @@ def _cell_hash(block: int, cells: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """rows times powers of two that bring their largest components near 1: the cosine's bits stay, and no square leaves the range of doubles."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
+
+
 def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = _scaled(rows)
     return rows / np.linalg.norm(rows, axis=1)[:, None]
 
 
@@ -120,7 +127,7 @@ def slots(x: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     return np.stack(cells, axis=1), np.stack(reached, axis=1)
 
 
-PLACED_DDL = "label long, rep long, vec_id long, copies long, raw binary, turned binary, cells array<long>"
+PLACED_DDL = "label string, rep long, vec_id long, copies long, raw binary, turned binary, cells array<long>"
 
 
 def _placed(cosine: float, axes: dict[int, np.ndarray]):
@@ -133,7 +140,7 @@ def _placed(cosine: float, axes: dict[int, np.ndarray]):
             turned, out = list(raws), [None] * batch.num_rows
             for dims in np.unique(np.diff(first)):
                 rows = np.flatnonzero(np.diff(first) == dims)
-                raw = np.ascontiguousarray(values[first[rows][:, None] + np.arange(dims)])
+                raw = _scaled(values[first[rows][:, None] + np.arange(dims)])
                 x = (_unit(raw) @ (axes[dims] if dims in axes else rotation(int(dims)))).astype(np.float32)
                 cells, reached = slots(x, cosine)
                 for i, r in enumerate(rows):
@@ -215,7 +222,7 @@ def _verify(cosine: float, tile: int):
 def near(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors(vec_id, embedding, label)."""
     finite = F.expr("coalesce(size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0), false)")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0)))  # one zero
     same = [F.xxhash64("label", "embedding").alias("same"), F.xxhash64(F.lit(1), "embedding", "label").alias("same2")]
     marked = rows.select("*", (F.col("label").isNotNull() & finite).alias("fit"), *same)

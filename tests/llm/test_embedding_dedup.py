@@ -70,3 +70,31 @@ def test_repeated_and_null_ids(spark):
     rows = [(3, x, 1), (None, near(x), 1), (9, y, 1), (None, near(y), 1), (None, z, 1), (None, near(z), 1), (3, z, 2), (4, near(z), 2), (4, x, 2)]
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in op.near(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(3, 1, 3, True), (None, 1, 3, None), (9, 1, 9, True), (None, 1, 9, None), (None, 1, None, None), (None, 1, None, None), (3, 1, 3, True), (4, 1, 3, False), (4, 0, 4, True)], key=str)
+
+
+def test_tiny_and_huge_components(spark):
+    """Norms that under- or overflow lose no link, and spoil no other row's."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(6, 5))
+    rows = [(1, [1e-200, 2e-200, 0.0, 0.0, 0.0], 1), (2, [2e-200, 4e-200, 0.0, 0.0, 0.0], 1), (3, [1e200, 2e200, 0.0, 0.0, 0.0], 1), (4, [1.0, 2.0, 0.0, 0.0, 0.0], 1), (5, [1e-310, 2e-310, 0.0, 0.0, 0.0], 1), (6, [-1e300, 1e300, 0.0, 0.0, 0.0], 1)]
+    for i in range(60):
+        v = (base[i % 6] + rng.normal(size=5) * 0.15) * 10.0 ** float(rng.integers(-290, 290))
+        rows.append((10 + i, v.tolist(), 1))
+    unit = {}
+    for i, v, _ in rows:
+        v = np.ldexp(np.array(v), -int(np.frexp(np.abs(v).max())[1]))
+        unit[i] = v / np.sqrt(v @ v)
+    want = {i: sum(j != i and unit[i] @ unit[j] >= 0.93 for j in unit) for i in unit}
+    got = op.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == want
+    assert {r.component_id for r in got if r.vec_id <= 5} == {1}
+    only = op.near(spark.createDataFrame([r for r in rows if r[0] in (3, 6)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.n_links for r in only} == {0}
+
+
+def test_labels_compare_as_given(spark):
+    v = [1.0, 2.0]
+    links = lambda labels, kind: [r.n_links for r in op.near(spark.createDataFrame([(i, v, x) for i, x in enumerate(labels)], f"vec_id long, embedding array<double>, label {kind}")).orderBy("vec_id").collect()]
+    assert links([1.2, 1.7, 1.2, None], "double") == [1, 0, 1, 0]
+    assert links(["a", "b", "b", None, ""], "string") == [0, 1, 1, 0, 0]
+    assert links([1 << 62, (1 << 62) + 1, 1 << 62], "long") == [1, 0, 1]
