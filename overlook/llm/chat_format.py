@@ -30,7 +30,8 @@ def conversations(turns: DataFrame) -> DataFrame:
     rows = turns.where("conv_id is not null").select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
-    held = rows.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list(F.struct("turn", "role", "text")))).alias("turns"))
+    held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    held = held.withColumn("turns", F.expr("filter(turns, (x, i) -> i = 0 or not (x <=> turns[i - 1]))"))  # in order, so repeats lie side by side
     # lengths keep role and text apart
     digests = "transform(turns, (x, i) -> sha2(concat(i, ':', length(x.role), ':', x.role, x.text), 256))"
     half = lambda at: f"cast(conv(substring(h, {at}, 15), 16, 10) as bigint)"

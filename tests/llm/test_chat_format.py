@@ -44,3 +44,19 @@ def test_prefix_hashes_tell_order_place_and_length(spark):
         found.setdefault((r.k, r.a, r.b), set()).add(chats[r.conv_id][: r.k])
     assert all(len(v) == 1 for v in found.values())
     assert len(found) == len({xs[:k] for xs in chats.values() for k in range(1, len(xs) + 1)})
+
+
+def test_many_turns_take_time_in_proportion(spark):
+    """50,000 turns, a fifth of them repeated rows; four times the turns take far less than sixteen times as long."""
+    import time
+
+    def run(n):
+        rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn ', id) AS text")
+        began = time.time()
+        out = op.format_chats(rows.union(rows.where("turn % 5 = 0"))).selectExpr("n_turns", "length(rendered) AS n").collect()
+        assert [r.n_turns for r in out] == [n]
+        return time.time() - began
+
+    run(1000)
+    short, long = run(12_500), run(50_000)
+    assert long < 8 * short + 2
