@@ -257,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     marked = labels.where(training_fold(F.col("doc_id")) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic, other = bounded_sample(marked.where("toxic = 1"), rows // 4), bounded_sample(marked.where("toxic = 0"), rows - rows // 4)
     picked = F.broadcast(toxic.union(other))  # at most `rows` pairs of numbers
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "doc_id").limit(2 * rows).collect()
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(picked, "doc_id").orderBy("doc_id", "text").limit(2 * rows).collect()
     found.sort(key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in found], [int(r.toxic) for r in found])
 
