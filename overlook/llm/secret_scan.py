@@ -117,10 +117,14 @@ def with_spans(docs: DataFrame) -> DataFrame:
         )
     for name in ("assign", "access", "hex", "run", "slug"):
         rows = rows.withColumn(f"__{name}", F.expr(_located(f"__{name}.p", f"__{name}.m", f"__{name}.v")))
-    rows = rows.withColumn("__run", F.array_distinct(F.concat("__run", "__slug")))
+    rows = rows.withColumn("__run", F.array_sort(F.concat("__run", "__slug"))).withColumn("__run", F.expr("filter(__run, (x, i) -> i = 0 or not (x <=> __run[i - 1]))"))
     base = ", ".join(f"transform({f'filter(__{n}, x -> length(x.t) >= 8)' if n == 'assign' else f'__{n}'}, x -> struct(x.s as s, {k} as k, x.e as e))" for k, n in enumerate(KINDS[:3]))
     rows = rows.withColumn("__base", F.expr(f"array_sort(concat({base}))"))
-    apart = "filter(__run, x -> x.t rlike '[0-9]' and x.t rlike '[A-Za-z]' and not exists(__base, b -> b.s < x.e and x.s < b.e))"
+    # runs by their ends among base spans by their starts: pos is the furthest end of those that start before a run's end
+    rows = rows.withColumn("__both", F.expr("array_sort(concat(transform(__run, x -> struct(x.e as at, 0 as k, x.s as s, x.e as e, x.t as t)), transform(__base, x -> struct(x.s as at, 1 as k, x.s as s, x.e as e, '' as t))))"))
+    beside = _folded("__both", "struct(x.s as s, x.e as e, x.t as t, x.k = 0 and {pos} <= x.s as free)", "if(x.k = 1, greatest({pos}, x.e), {pos})", "struct<s: bigint, e: bigint, t: string, free: boolean>", "transform(filter(flatten(f.all), x -> x.free), x -> struct(x.s as s, x.e as e, x.t as t))")
+    rows = rows.withColumn("__run", F.expr(f"if(size(__base) = 0 or size(__run) = 0, __run, {beside})"))
+    apart = "filter(__run, x -> x.t rlike '[0-9]' and x.t rlike '[A-Za-z]')"
     alphabet = "case " + " ".join(f"when x.t rlike {_quoted(pattern)} then {_quoted(letters)}" for pattern, letters in ENCODINGS) + " end"
     # one lambda step per line: alphabet; codes; sums; p values
     staged = f"transform({apart}, x -> struct(x.s, x.e, x.t, {alphabet} as abc))"
@@ -142,7 +146,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     p = f"least(1D, 4 * least({_chi_tail('x.chi', '3')}, {_chi_tail('x.chi2', 'x.df')}, {_tail(runs_z)}, {_tail(rho_z)}))"
     staged = f"transform({staged}, x -> struct(x.s as s, x.e as e, cast(x.n as bigint) as n, {p} as p))"
     rows = rows.withColumn("__runs", F.expr(f"if(size(__run) = 0, cast(array() as array<struct<s: bigint, e: bigint, n: bigint, p: double>>), {staged})"))
-    return rows.drop("__assign", "__access", "__hex", "__run", "__slug")
+    return rows.drop("__assign", "__access", "__hex", "__run", "__slug", "__both")
 
 
 def fitted(rows: DataFrame, fdr: float = FDR) -> tuple[float, int]:
@@ -192,10 +196,9 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
 def redact(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     """docs with every span of text replaced by a mark (n_chars follows, if there); other texts, and all other columns whatever their names, stay as they are."""
-    # the corpus's runs, few and narrow, are kept by one pass; a second one, with the cut known, redacts
-    # (no filter on them: pushed below, it would find every text's runs a second time)
-    runs = materialize(with_spans(docs.select("text")).select("__runs"), "runs")
-    rows = all_spans(with_spans(boxed(docs, F.col("text"))), *fitted(runs, fdr))
+    # one pass finds all texts' runs and is written beside the rows; the cut is known from the runs alone
+    rows = materialize(with_spans(boxed(docs, F.col("text"))).select("row", "__base", "__runs"), "runs")
+    rows = all_spans(rows.withColumn("__text", F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))), *fitted(rows.select("__runs"), fdr))
     skip = "if(x.s < {pos}, '', concat(substring(__text, cast({pos} + 1 as int), cast(x.s - {pos} as int)), '" + MARK + "'))"
     clean = F.expr(_folded("__spans", skip, "greatest({pos}, x.e)", "string", "concat(array_join(flatten(f.all), ''), substring(__text, cast(f.pos + 1 as int)))"))
     rows = rows.withColumn("__clean", F.when(F.size("__spans") > 0, clean))
