@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.lineage import cut
+from . import packed
 
 
 def overlaps(masks: DataFrame) -> DataFrame:
@@ -33,20 +34,28 @@ def counts(masks: DataFrame) -> DataFrame:
 def greedy(masks: DataFrame, ranks: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
     """(step, id, gain) of the masks that in turn add the most weight of uncovered cells, k at most, until none adds any; ties go to the better rank.
 
-    Each round is an anti-join with the cells covered so far and one aggregation; the round's winner, one
-    row, comes to the driver. Rounds are few by contract (collections hold up to a handful of sites).
+    Masks that only count cells, by whole numbers, go as bitmaps; weighted ones as cells: a round is an anti-join with what is covered so
+    far and one aggregation. The round's winner, one row, comes to the driver. Rounds are few by contract (collections hold up to a handful of sites).
     """
     spark = masks.sparkSession
-    m = masks.select("id", "cell").distinct()
-    m = m.join(weights, "cell") if weights is not None else m.withColumn("w", F.lit(1.0))
-    m = cut(m.join(ranks.select("id", "rank"), "id"))  # every round reads it again
+    bits = weights is None and dict(masks.dtypes)["cell"] in ("smallint", "int", "bigint")
+    if bits:
+        m = packed.packed(masks)
+    else:
+        m = masks.select("id", "cell").distinct()
+        m = m.join(weights, "cell") if weights is not None else m.withColumn("w", F.lit(1.0))
+    order = ranks.groupBy("id").agg(F.min("rank").alias("rank"))
+    m = cut(m.join(order.select("id"), "id", "left_semi"))  # every round reads it again
     chosen: list = []
     rows = []
     for step in range(1, k + 1):
-        left = m.where(~F.col("id").isin(chosen)) if chosen else m
-        if chosen:
-            left = left.join(m.where(F.col("id").isin(chosen)).select("cell").distinct(), "cell", "left_anti")
-        best = left.groupBy("id").agg(F.sum("w").alias("gain"), F.first("rank").alias("rank")).where("gain > 0").orderBy(F.desc(F.round("gain", 9)), "rank").limit(1).collect()
+        left, taken = (m.where(~F.col("id").isin(chosen)), m.where(F.col("id").isin(chosen))) if chosen else (m, m.limit(0))
+        if bits:
+            gains = packed.added(left, packed.union(taken)) if chosen else packed.sizes(left).withColumnRenamed("n", "gain")
+        else:
+            left = left.join(taken.select("cell").distinct(), "cell", "left_anti") if chosen else left
+            gains = left.groupBy("id").agg(F.sum("w").alias("gain"))
+        best = gains.where("gain > 0").join(order, "id").orderBy(F.desc(F.round("gain", 9)), "rank").limit(1).collect()
         if not best:
             break
         chosen.append(best[0]["id"])
