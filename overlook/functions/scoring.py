@@ -65,6 +65,13 @@ def uniform_score(reward: Column, km2: Column, budget: float, rate: float) -> Co
     return F.when(km2 > 0, reward * F.least(F.lit(1.0), budget * rate / km2)).otherwise(0.0)
 
 
+def stress_factor(hits: Column, n: Column, penalty: float) -> Column:
+    """What is left of a score under a stress: a penalty by the share of rays that it hits, all of it where no ray was looked at."""
+    if not 0 <= penalty <= 1:
+        raise ValueError("the penalty must lie in 0..1")
+    return 1 - penalty * F.when(n > 0, hits / n).otherwise(1.0)
+
+
 def wilson(success: Column, n: Column) -> tuple[Column, Column]:
     """95 % interval; [0, 1] without trials."""
     m = F.when(n > 0, n)

@@ -64,7 +64,7 @@ def greedy(masks: DataFrame, ranks: DataFrame, k: int, weights: DataFrame | None
     return spark.createDataFrame(rows, f"step int, id {kind}, gain double")
 
 
-COLLECTED = "step int, role string, id {id}, total_cells long, additional_cells long, overlap_percent double, total_effective double, additional_effective double, total_priority double, additional_priority double"
+COLLECTED = "step int, role string, id {id}, total_cells long, additional_cells long, overlap_percent double, total_effective double, additional_effective double, total_priority double, additional_priority double, weighted_overlap_percent double"
 
 
 def collected(masks: DataFrame, sites: DataFrame, kept: list, size: int, separation: float = 0.0, weights: DataFrame | None = None) -> DataFrame:
@@ -73,7 +73,8 @@ def collected(masks: DataFrame, sites: DataFrame, kept: list, size: int, separat
     sites (id, rank, x, y, eligible); masks (id, cell); weights (cell, w, priority), or every cell counts one.
     Kept sites count towards the size even if they have no mask (their figures are NULL). A site nearer
     than the separation to any site of the collection is left out; ties go to the better rank, then the id.
-    overlap_percent is the share of a site's cells that were covered before it. Collections hold a handful
+    overlap_percent is the share of a site's cells that were covered before it, weighted_overlap_percent that of
+    its weight (NULL without weights, or without any weight). `initial_totals` says what the kept sites cover. Collections hold a handful
     of sites: a round is one aggregation, and its winner comes to the driver.
     """
     spark = masks.sparkSession
@@ -98,7 +99,7 @@ def collected(masks: DataFrame, sites: DataFrame, kept: list, size: int, separat
         known = total is not None
         n, more = (total["cells"], new["cells"] if new else 0) if known else (None, None)
         of = lambda row, k: (row[k] if row else 0.0) if known and weights is not None else None
-        rows.append((len(rows) + 1, role, one, n, more, 100.0 * (n - more) / n if n else None, of(total, "w"), of(new, "w"), of(total, "priority"), of(new, "priority")))
+        rows.append((len(rows) + 1, role, one, n, more, 100.0 * (n - more) / n if n else None, of(total, "w"), of(new, "w"), of(total, "priority"), of(new, "priority"), 100.0 * (of(total, "w") - of(new, "w")) / of(total, "w") if of(total, "w") else None))
         members.append(one)
 
     for one in kept:
@@ -117,6 +118,15 @@ def collected(masks: DataFrame, sites: DataFrame, kept: list, size: int, separat
     return spark.createDataFrame(rows, COLLECTED.format(id=masks.schema["id"].dataType.simpleString()))
 
 
+def initial_totals(masks: DataFrame, collection: DataFrame, layers: DataFrame, area: float) -> DataFrame:
+    """One row with `totals` of the sites that were kept (initial_*) and of the whole collection (step, role, id): what the suggestions add is their difference."""
+    m = masks.select("id", "cell")
+    kept = totals(m.join(collection.where("role = 'kept'").select("id"), "id", "left_semi"), layers, area)
+    whole = totals(m.join(collection.select("id"), "id", "left_semi"), layers, area)
+    names = {c: c.replace("combined", "initial") for c in kept.columns if c.startswith("combined")}
+    return kept.select(*(F.col(a).alias(b) for a, b in names.items())).crossJoin(whole)  # one row by one row
+
+
 def totals(masks: DataFrame, layers: DataFrame, area: float) -> DataFrame:
     """One row over all cells in any mask (id, cell): cells, effective and priority sums, scorable and unknown area of layers (cell, w, priority, known), and whether anything was scored."""
     union = masks.select("cell").distinct().join(layers, "cell", "left")

@@ -409,6 +409,20 @@ def connections(cells: DataFrame, seats: DataFrame, departures_: DataFrame, res:
     return where.select("id", status.alias("status"), "limit")
 
 
+def screened(found: DataFrame, cover: DataFrame, limit: float) -> DataFrame:
+    """(id, status, reason, limit, next_limit) of a screen: found by `connections` (id, status, limit) over several limits, of which `limit` is the one asked for, and cover (id, complete), whether mapped ways are known all around a seat.
+
+    A seat that hangs together with a departure is connected, however little is known of the ways. One that does so at a steeper limit alone is not, and has
+    that limit as its next. Without a connection a seat is unavailable, not disconnected, where terrain or ways are unknown.
+    """
+    j = found.join(cover, "id", "left")
+    near = F.coalesce(F.col("limit") <= limit, F.lit(False))
+    cut_off = F.col("status").isin("connected", "no connection")
+    reason = F.when(near, None).when(F.col("status") == "no terrain", "missing_terrain").when(cut_off & ~F.coalesce("complete", F.lit(False)), "network_coverage").when(F.col("status") == "outside the domain", "outside").when(F.col("status") == "too steep", "slope").otherwise("disconnected")
+    status = F.when(near, "connected").when(reason.isin("missing_terrain", "network_coverage"), "unavailable").otherwise("no connection")
+    return j.select("id", status.alias("status"), reason.alias("reason"), F.when(near, F.col("limit")).alias("limit"), F.when(~near, F.col("limit")).alias("next_limit"))
+
+
 def eligible(candidates: DataFrame, screened: DataFrame) -> DataFrame:
     """Candidates (id, ...) that the screen (id, status) found connected."""
     return candidates.join(screened.where("status = 'connected'").select("id").distinct(), "id", "left_semi")

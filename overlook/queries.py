@@ -897,4 +897,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viewshed_rank(spark, sf_dir)
 
 
-from . import decision_queries, path_queries  # noqa: E402, F401  register their queries beside these
+from . import decision_queries, path_queries, source_queries  # noqa: E402, F401  register their queries beside these

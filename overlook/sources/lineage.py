@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the folder that the session names in spark.checkpoint.dir (one of our own only where it is unset) and read back."""
-    spark = df.sparkSession
+def fresh_folder(spark: SparkSession) -> str:
+    """A path of its own in the folder that the session names in spark.checkpoint.dir (one of our own only where it is unset)."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
@@ -18,6 +17,11 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         folder = tempfile.mkdtemp(prefix="overlook-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/overlook/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/overlook/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to a folder that all nodes share and read back."""
+    path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

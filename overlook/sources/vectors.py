@@ -135,11 +135,39 @@ def csv_waypoints(spark: SparkSession, path: str, required=("id", "longitude", "
     return df.select("id", F.try_to_number("longitude", F.lit("S999D999999999")).cast("double").alias("lon"), F.try_to_number("latitude", F.lit("S999D999999999")).cast("double").alias("lat"))
 
 
-def point_faults(points: DataFrame) -> DataFrame:
-    """(id, fault) of waypoints: no id, an id that repeats, coordinates that are absent or out of range."""
+def point_faults(points: DataFrame, edges: DataFrame | None = None, band: float = 0.01) -> DataFrame:
+    """(id, fault) of waypoints: no id, an id that repeats, coordinates that are absent or out of range, and, with edges (poly, ax, ay, bx, by), a place in none of the polygons."""
     twice = points.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id", F.when(F.col("id").isNull(), "no id").otherwise("repeated id").alias("fault"))
     bad = points.where(~F.coalesce(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90), F.lit(False))).select("id", F.lit("coordinates").alias("fault"))
-    return twice.union(bad)
+    if edges is None:
+        return twice.union(bad)
+    from ..operators.filters import polygon_mask
+
+    placed = points.withColumn("px", F.col("lon")).withColumn("py", F.col("lat")).select("id", "px", "py").distinct()
+    inside = polygon_mask(placed, edges, band).select("id", "px", "py").distinct()
+    out = placed.where("px is not null and py is not null").join(inside, [placed.id.eqNullSafe(inside.id), placed.px == inside.px, placed.py == inside.py], "left_anti")
+    return twice.union(bad).union(out.select("id", F.lit("outside the area").alias("fault")))
+
+
+#: Vertices of lines that an import takes.
+MOST_VERTICES = 500_000
+
+
+def limited(vertices: DataFrame, most: int = MOST_VERTICES) -> DataFrame:
+    """The vertices of an import, counted first: more than `most` raise, and none is dropped."""
+    n = vertices.count()
+    if n > most:
+        raise ValueError(f"{n} vertices are more than {most}: narrow the import")
+    return vertices
+
+
+def fresh(lines: DataFrame, marks: DataFrame) -> DataFrame:
+    """lines (scenario, mark, ...) to export, whose inputs are still those of today, marks (scenario, mark): one whose scenario has another mark now, or none, raises."""
+    now = marks.select(F.col("scenario").alias("__s"), F.col("mark").alias("__m"))
+    j = lines.join(now, F.col("scenario") == F.col("__s"), "left")
+    same = F.coalesce(F.col("mark") == F.col("__m"), F.lit(False))
+    stale = F.raise_error(F.concat(F.lit("inputs changed since it was computed: "), F.col("scenario").cast("string"))).cast("boolean")
+    return j.where(F.when(same, F.lit(True)).otherwise(stale)).select(*lines.columns)
 
 
 def segments(vertices: DataFrame, key: list[str], x: str = "lon", y: str = "lat") -> DataFrame:
