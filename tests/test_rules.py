@@ -61,3 +61,38 @@ def test_ridges_bend_more_than_the_allowed_cells(spark):
     for r in out:
         assert r.ridge == (r.c < 23 and r.tpi > 8 and r.bend > sharp)
         assert r.c < 23 or not (r.bench or r.shoulder)
+
+
+def test_exports_of_other_inputs_and_imports_beyond_the_limit_raise(spark):
+    from overlook.plans import catalog
+    from overlook.sources import vectors
+
+    lines = spark.createDataFrame([("s1", "a", 1), ("s2", "b", 2)], "scenario string, mark string, k int")
+    marks = lambda *rows: spark.createDataFrame(list(rows), "scenario string, mark string")
+    assert vectors.fresh(lines, marks(("s1", "a"), ("s2", "b"), ("s3", "c"))).count() == 2
+    for now in (marks(("s1", "a"), ("s2", "x")), marks(("s1", "a"))):
+        with pytest.raises(Exception, match="inputs changed since it was computed: s2"):
+            vectors.fresh(lines, now).collect()
+    v = spark.range(10).selectExpr("id as k")
+    assert vectors.limited(v, 10).count() == 10
+    with pytest.raises(ValueError, match="10 vertices are more than 9"):
+        vectors.limited(v, 9)
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 10.0, 10.0), (2, 90.0, 0.0, 110.0, 10.0), (3, -5.0, 0.0, 3.0, 3.0)], "id int, x0 double, y0 double, x1 double, y1 double")
+    held = spark.createDataFrame([("roads", -50.0, -50.0, 100.0, 100.0), ("trails", -1.0, -1.0, 200.0, 20.0), ("roads", 80.0, -9.0, 120.0, 20.0)], "kind string, ex0 double, ey0 double, ex1 double, ey1 double")
+    for tile in (7.0, 1000.0):
+        assert {r.id: r.complete for r in catalog.complete_cover(boxes, held, ["roads", "trails"], tile).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_square_sums_and_stress(spark):
+    from overlook.functions import scoring
+
+    rng = np.random.default_rng(3)
+    z = rng.random((9, 7))
+    whole = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(9) for j in range(7)], "r int, c int, z double")
+    for r in terrain.square_sums(whole, 2, {"s": F.col("z"), "n": F.lit(1)}).collect():
+        part = z[max(0, r.r - 2) : r.r + 3, max(0, r.c - 2) : r.c + 3]
+        assert r.n == part.size and r.s == pytest.approx(part.sum())
+    f = spark.createDataFrame([(3, 10), (0, 0)], "hits int, n int").select(scoring.stress_factor(F.col("hits"), F.col("n"), 0.5).alias("f")).collect()
+    assert [r.f for r in f] == [0.85, 0.5]
+    with pytest.raises(ValueError):
+        scoring.stress_factor(F.col("a"), F.col("b"), 1.5)
