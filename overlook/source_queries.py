@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .decision_queries import CELL, LAYER, SETS, X0, Y0, _layer, _sets
 from .functions import geo, scoring, terrain
-from .operators import coverage, evaluation, filters, network, outlines, packed, ranking, visibility
+from .operators import coverage, evaluation, filters, network, outlines, packed, ranking, surfaces, visibility
 from .plans import catalog, pools
 from .queries import CELLS, POINT_SQL, RADIUS, ROLLING, RRES, VISIBLE_SQL, _cells, _points, _rolling, _seats, query, table
 from .sources import raster, sinks, vectors
@@ -288,3 +288,16 @@ def resumed_search(spark, sf_dir):
 @query("strata_cells", f"WITH {CELLS}, n AS (SELECT max(r) + 1 AS n FROM cells), s AS (SELECT r, c, (CASE WHEN r < n % 5 * (n // 5 + 1) THEN r // (n // 5 + 1) ELSE n % 5 + (r - n % 5 * (n // 5 + 1)) // (n // 5) END)::INT AS sr, (c // 10)::INT AS sc, md5('9:' || r || ':' || c)[1:12] AS h FROM cells, n) SELECT sr, sc, arg_min(r, h) AS r, arg_min(c, h) AS c FROM s GROUP BY sr, sc")
 def strata_cells(spark, sf_dir):
     return pools.strata(_cells(spark, sf_dir), 5, 9)
+
+
+@query("closed_surfaces", f"WITH p AS ({POINT_SQL}), c AS (SELECT DISTINCT label, round_even(x / 60 - 0.5, 0) AS x, round_even(y / 60 - 0.5, 0) AS y FROM p) SELECT count(*) AS cells, true AS meets_cells, 0 AS open_edges FROM (SELECT DISTINCT x, y FROM c)")
+def closed_surfaces(spark, sf_dir):
+    """The surface around cells at the points: how many cells there are, whether the surface encloses about their space, and edges that aren't in two triangles."""
+    c = _points(spark, sf_dir).select((F.col("x") / 60).alias("x"), (F.col("y") / 60).alias("y"), F.lit(0.5).alias("z"))
+    cells = c.select(F.rint(F.col("x") - 0.5).alias("x"), F.rint(F.col("y") - 0.5).alias("y")).distinct().agg(F.count("*").alias("cells"))
+    t = surfaces.foliage_surface(c, 1.0, 0.25)
+    six = "ax * (by * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by * cx)"
+    space = t.agg((F.sum(F.expr(six)) / 6).alias("space"))
+    # a rounded cell of one metre holds 0.87 cubic metres; its surface on this lattice a little less
+    out = cells.crossJoin(space).crossJoin(surfaces.open_edges(t).agg(F.count("*").cast("int").alias("open_edges")))  # one row each
+    return out.select("cells", (F.col("space") / F.col("cells")).between(0.7, 1.1).alias("meets_cells"), "open_edges")
