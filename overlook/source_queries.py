@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from .decision_queries import CELL, LAYER, SETS, X0, Y0, _layer, _sets
 from .functions import geo, scoring, terrain
-from .operators import coverage, evaluation, filters, network, outlines, packed, ranking, surfaces, visibility
+from .operators import coverage, evaluation, filters, ground, network, outlines, packed, ranking, surfaces, visibility
 from .plans import catalog, pools
-from .queries import CELLS, POINT_SQL, RADIUS, ROLLING, RRES, VISIBLE_SQL, _cells, _points, _rolling, _seats, query, table
+from .queries import CELLS, COLS, POINT_SQL, RADIUS, ROLLING, RRES, VISIBLE_SQL, _cells, _points, _rolling, _seats, query, table
 from .sources import raster, sinks, vectors
 from .sources import terrain as grids
 from .sources.lineage import fresh_folder
@@ -301,3 +301,12 @@ def closed_surfaces(spark, sf_dir):
     # a rounded cell of one metre holds 0.87 cubic metres; its surface on this lattice a little less
     out = cells.crossJoin(space).crossJoin(surfaces.open_edges(t).agg(F.count("*").cast("int").alias("open_edges")))  # one row each
     return out.select("cells", (F.col("space") / F.col("cells")).between(0.7, 1.1).alias("meets_cells"), "open_edges")
+
+
+@query("ground_heights", f"WITH {CELLS} SELECT r, c, (2 * (1 + 2 * c) + 3 * (1 + 2 * r) + 7)::DOUBLE AS z FROM cells WHERE c < {COLS} - 1 AND r < (SELECT max(r) FROM cells)")
+def ground_heights(spark, sf_dir):
+    """Heights between measured points of a plane, one near every second metre: the triangles leave no gap, and give the plane back."""
+    near = lambda k: F.pmod(F.floor(F.col("price") * k), F.lit(600)) / 1000 - 0.3
+    p = _cells(spark, sf_dir).select((2 * F.col("c") + near(1)).alias("x"), -(2 * F.col("r") + near(7)).alias("y"))
+    tri = ground.ground_triangles(ground.one_a_bin(p.withColumn("z", 2 * F.col("x") - 3 * F.col("y") + 7)))
+    return ground.ground_heights(tri, 1.0, -1.0, 2.0).select("r", "c", F.round("z", 6).alias("z"))
