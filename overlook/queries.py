@@ -12,7 +12,6 @@ from .functions import geo, scoring, terrain
 from .operators import attention, coverage, evaluation, filters, habitat, network, points, ranking, visibility
 from .plans import candidates, catalog
 from .sources import terrain as grids
-from .sources import vectors
 from .streaming import rates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -307,6 +307,6 @@ def closed_surfaces(spark, sf_dir):
 def ground_heights(spark, sf_dir):
     """Heights between measured points of a plane, one near every second metre: the triangles leave no gap, and give the plane back."""
     near = lambda k: F.pmod(F.floor(F.col("price") * k), F.lit(600)) / 1000 - 0.3
-    p = _cells(spark, sf_dir).select((2 * F.col("c") + near(1)).alias("x"), -(2 * F.col("r") + near(7)).alias("y"))
+    p = _cells(spark, sf_dir).select((2 * F.col("c") + near(1)).alias("x"), (-(2 * F.col("r") + near(7))).alias("y"))
     tri = ground.ground_triangles(ground.one_a_bin(p.withColumn("z", 2 * F.col("x") - 3 * F.col("y") + 7)))
     return ground.ground_heights(tri, 1.0, -1.0, 2.0).select("r", "c", F.round("z", 6).alias("z"))
