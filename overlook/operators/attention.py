@@ -53,6 +53,41 @@ def chosen(patches: DataFrame, by: str, budget: float, rate: float = 0.02, overh
     return items.select(by, best.alias("m")).select(by, F.col("m.v").alias("score"), F.col("m.p").alias("patches"), (F.col("m.u") * quantum).alias("minutes"))
 
 
+#: The middle mix and budget at which one cost at a time is changed, and the changes.
+MIDDLE = (0.5, 30.0)
+CHANGES = {"width20": {"width": 20}, "width45": {"width": 45}, "rate0.01": {"rate": 0.01}, "rate0.04": {"rate": 0.04}, "overhead0": {"overhead": 0.0}, "overhead1": {"overhead": 1.0}}
+
+
+def scenarios(points: DataFrame, mixes: list[float], budgets: list[float], cell_km2: float, width: int = 30, band: float = 500.0, radius: float = 2000.0, rate: float = 0.02, overhead: float = 0.5, quantum: float = 0.25) -> DataFrame:
+    """(id, scenario, strategy, score) of targets in sight (id, dx, dy, summer, winter, other): for each mix of seasons and each budget the exact choice of patches, an even look, and no
+    limit; and the exact choice under each of CHANGES to the costs at the middle mix and budget. Mixes and budgets are short fixed lists; a patch's
+    rewards for all mixes are made side by side, so that targets are read once."""
+
+    def patches_of(mix: float, wide: int) -> DataFrame:
+        reward = ((1 - mix) * F.col("summer") + mix * F.col("winter")) * F.col("other")
+        return polar_patches(points.select("id", "dx", "dy", reward.alias("reward")), "id", wide, band, radius, cell_km2)
+
+    costs = {"rate": rate, "overhead": overhead, "quantum": quantum}
+    named = lambda df, scenario, strategy: df.select("id", F.lit(scenario).alias("scenario"), F.lit(strategy).alias("strategy"), F.col("score"))
+    parts = []
+    for mix in mixes:
+        p = patches_of(mix, width)
+        full = p.groupBy("id").agg(F.sum("reward").alias("score"))
+        both = sweep(p, "id", list(budgets), **costs)
+        for b in budgets:
+            at = f"winter{mix:g}_minutes{b:g}"
+            one = both.where(F.col("budget") == float(b))
+            parts += [named(one.withColumn("score", F.col(s)), f"{s}_{at}", s) for s in ("selective", "uniform")] + [named(full, f"none_{at}", "none")]
+    if MIDDLE[0] in mixes:
+        for name, change in CHANGES.items():
+            p = patches_of(MIDDLE[0], change.get("width", width))
+            parts.append(named(knapsack(p, "id", MIDDLE[1], **{**costs, **{k: v for k, v in change.items() if k != "width"}}), name, "selective_sensitivity"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 def sweep(patches: DataFrame, by: str, budgets: list[float], **costs) -> DataFrame:
     """(by, budget, selective, uniform) for a fixed list of budgets: the exact choice of patches, and the score if the time went evenly over all that is visible."""
     rate = costs.get("rate", 0.02)

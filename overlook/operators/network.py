@@ -356,13 +356,55 @@ def with_evidence(roads: DataFrame, evidence: DataFrame, first, last) -> DataFra
     return roads.join(g, F.col("rid") == F.col("__rid"), "left").drop("__rid").withColumn("motor", F.coalesce("motor", F.lit(False))).withColumn("evidence", F.coalesce("evidence", F.lit(0)))
 
 
-def departures(segments: DataFrame, target: tuple[float, float], reach: float = 1609.344, step: float = 20.0) -> DataFrame:
-    """(x, y) stations every `step` metres along segments (ax, ay, bx, by), ends included, within reach of the target."""
+#: Departures that a search takes.
+MOST_DEPARTURES = 100_000
+
+
+def departures(segments: DataFrame, target: tuple[float, float], reach: float = 1609.344, step: float = 20.0, pinned: tuple[float, float] | None = None, most: int = MOST_DEPARTURES) -> DataFrame:
+    """(x, y) stations every `step` metres along segments (ax, ay, bx, by, and `line` if several make one), ends included, and each line's nearest point, all within reach of the target.
+
+    A pinned departure joins them if it lies on a segment, and raises otherwise, as do more than `most` stations.
+    """
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    at = lambda x, y: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((x - F.col("ax")) * dx + (y - F.col("ay")) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    line = F.col("line") if "line" in segments.columns else F.struct("ax", "ay", "bx", "by")
+    near = segments.select(line.alias("line"), "ax", "ay", "bx", "by", at(F.lit(float(target[0])), F.lit(float(target[1]))).alias("t")).select("line", F.round(F.col("ax") + F.col("t") * dx, 6).alias("x"), F.round(F.col("ay") + F.col("t") * dy, 6).alias("y"))
+    near = near.groupBy("line").agg(F.min(F.struct(((F.col("x") - target[0]) ** 2 + (F.col("y") - target[1]) ** 2).alias("d"), "x", "y")).alias("m")).select("m.x", "m.y")
     long = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     s = segments.withColumn("len", long).where("len > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.ceil(F.col("len") / step).cast("int"))))
     t = F.least(F.col("i") * step, F.col("len")) / F.col("len")
     p = s.select(F.round(F.col("ax") + t * (F.col("bx") - F.col("ax")), 6).alias("x"), F.round(F.col("ay") + t * (F.col("by") - F.col("ay")), 6).alias("y"))
-    return p.where((F.col("x") - target[0]) ** 2 + (F.col("y") - target[1]) ** 2 <= reach * reach).distinct()
+    p = p.union(near).where((F.col("x") - target[0]) ** 2 + (F.col("y") - target[1]) ** 2 <= reach * reach)
+    if pinned is not None:
+        x, y = F.lit(float(pinned[0])), F.lit(float(pinned[1]))
+        t = at(x, y)
+        on = segments.where((F.col("ax") + t * dx - x) ** 2 + (F.col("ay") + t * dy - y) ** 2 < 1e-12)
+        if not on.take(1):
+            raise ValueError("the pinned departure lies on no mapped way")
+        p = p.union(segments.sparkSession.createDataFrame([tuple(map(float, pinned))], "x double, y double"))
+    p = p.distinct()
+    n = p.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} departures: narrow the search")
+    return p
+
+
+def nearest_vertex(points: DataFrame, vertices: DataFrame, reach: float) -> DataFrame:
+    """(id, gap, node, nx, ny): the nearest of vertices (node, x, y) to each of points (id, x, y), ties to the smaller node. Buckets are as wide as the reach, which doubles for points that have found none, until every point has one."""
+    v = cut(vertices.select("node", F.col("x").alias("nx"), F.col("y").alias("ny")).distinct())
+    left, out = cut(points.select("id", "x", "y")), None
+    if not v.take(1):
+        return left.select("id", F.lit(None).cast("double").alias("gap"), F.lit(None).cast(vertices.schema["node"].dataType).alias("node"), F.lit(None).cast("double").alias("nx"), F.lit(None).cast("double").alias("ny"))
+    while True:
+        b = lambda c: F.floor(F.col(c) / reach).cast("long")  # noqa: B023, E731
+        wide = left.withColumn("bi", F.explode(F.sequence(b("x") - 1, b("x") + 1))).withColumn("bj", F.explode(F.sequence(b("y") - 1, b("y") + 1)))
+        j = wide.join(v.withColumn("bi", b("nx")).withColumn("bj", b("ny")), ["bi", "bj"]).withColumn("gap", F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2))
+        found = cut(j.where(F.col("gap") <= reach).groupBy("id").agg(F.min(F.struct("gap", "node", "nx", "ny")).alias("m")).select("id", "m.*"))
+        out = found if out is None else out.union(found)
+        left = cut(left.join(found.select("id"), "id", "left_anti"))
+        if not left.take(1):
+            return out
+        reach *= 2
 
 
 def merged_labels(paths: DataFrame) -> DataFrame:

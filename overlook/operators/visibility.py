@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.lineage import cut
 from ..sources.terrain import EARTH, TILE, corner_triangles, tiles
 
 CURVATURE = 6 / 7
@@ -318,6 +319,37 @@ def crossings(pairs: DataFrame, grid: DataFrame, rows: int, cols: int, res: floa
     return out.select("id", "clearance", "first_t", F.coalesce(F.abs("clearance") <= near, F.lit(False)).alias("borderline"), F.coalesce("complete", F.lit(True)).alias("complete"))
 
 
+def moved_profile(pairs: DataFrame, grid: DataFrame, rows: int, cols: int, res: float, eye: float, target: float, near: float = 0.05, curvature: float = 0.0) -> DataFrame:
+    """Lines between any two places of a grid, pairs (id, pr0, pc0, pr, pc: fractional rows and columns; z0: the ground under the observer, or NULL to take the grid's), against the triangles between
+    cell centres at every row, column and diagonal that they cross and at quarter cells.
+
+    (id, distance, clearance, first_t, borderline, complete, result): as `crossings`; result is that of an inspection. Two places nearer than 0.1 m raise.
+    """
+    far = F.sqrt((F.col("pr") - F.col("pr0")) ** 2 + (F.col("pc") - F.col("pc0")) ** 2) * res
+    close = F.raise_error(F.concat(F.lit("a target at its observer: "), F.col("id").cast("string"))).cast("double")
+    p = pairs.withColumn("d", F.when(far >= 0.1, far).otherwise(close))
+
+    def lines(a, b):  # t of the whole numbers between a and b
+        lo, hi = F.least(a, b), F.greatest(a, b)
+        first, last = F.ceil(lo).cast("long"), F.floor(hi).cast("long")
+        return F.transform(F.when((hi - lo > 1e-12) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")), lambda v: (v - a) / (b - a))
+
+    n = F.greatest(F.lit(2), F.ceil(F.col("d") / (res / 4)).cast("int"))
+    even = F.transform(F.sequence(F.lit(0), n), lambda i: i / n)
+    every = F.concat(even, lines(F.col("pr0"), F.col("pr")), lines(F.col("pc0"), F.col("pc")), lines(F.col("pc0") - F.col("pr0"), F.col("pc") - F.col("pr")))
+    s = p.withColumn("t", F.explode(F.array_distinct(F.transform(every, lambda t: F.round(F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0)), 12)))))
+    snap = lambda v: F.when(F.abs(v - F.round(v)) < 1e-9, F.round(v)).otherwise(v)
+    s = s.select("id", "d", "z0", "t", snap(F.col("pr0") + F.col("t") * (F.col("pr") - F.col("pr0"))).alias("pr"), snap(F.col("pc0") + F.col("t") * (F.col("pc") - F.col("pc0"))).alias("pc"))
+    s = s.withColumn("ray", F.col("id")).withColumn("id", F.struct("ray", "t"))
+    g = cut(corner_triangles(grid, s, rows, cols).withColumn("ground", F.col("z") - curvature * (F.col("t") * F.col("d")) ** 2 / (2 * EARTH)).select("ray", "d", "z0", "t", "z", "ground"))
+    ends = g.groupBy("ray").agg(F.max(F.when(F.col("t") == 0, F.col("z"))).alias("own"), F.max(F.when(F.col("t") == 1, F.col("ground"))).alias("last"))
+    g = g.join(ends, "ray").withColumn("line", (F.coalesce("z0", "own") + eye) * (1 - F.col("t")) + (F.col("last") + target) * F.col("t"))
+    gap = F.when((F.col("t") > 1e-8) & (F.col("t") < 1 - 1e-8), F.col("line") - F.col("ground"))
+    out = g.groupBy(F.col("ray").alias("id")).agg(F.first("d").alias("distance"), F.min(gap).alias("clearance"), F.min(F.when(gap < -1e-6, F.col("t"))).alias("first_t"), F.bool_and(F.col("line").isNotNull() & F.col("ground").isNotNull()).alias("complete"))
+    said = F.when(~F.col("complete"), "incomplete data").when(F.col("first_t").isNotNull(), "modeled ground obstruction").otherwise("no obstruction found in this ground model")
+    return out.select("id", "distance", "clearance", "first_t", F.coalesce(F.abs("clearance") <= near, F.lit(False)).alias("borderline"), "complete", said.alias("result"))
+
+
 #: Sides of inferred vegetation by scenario, in metres.
 VEGETATION_SIDES = {"sparse": 1.0, "medium": 1.5, "dense": 2.0}
 

@@ -818,8 +818,9 @@ def line_display(spark, sf_dir):
 
 @query(
     "departure_stations",
-    f"""WITH {LINK_SQL}, s AS (SELECT ax, ay, bx, by_, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM l), i AS (SELECT *, unnest(range(0, ceil(len / 20)::INT + 1)) AS i FROM s), p AS (SELECT round(ax + least(i * 20, len) / len * (bx - ax), 6) AS x, round(ay + least(i * 20, len) / len * (by_ - ay), 6) AS y FROM i)
-    SELECT DISTINCT x, y FROM p WHERE (x - 2400) * (x - 2400) + (y - 1350) * (y - 1350) <= 5290000""",
+    f"""WITH {LINK_SQL}, s AS (SELECT ax, ay, bx, by_, sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)) AS len FROM l), i AS (SELECT *, unnest(range(0, ceil(len / 20)::INT + 1)) AS i FROM s), p AS (SELECT round(ax + least(i * 20, len) / len * (bx - ax), 6) AS x, round(ay + least(i * 20, len) / len * (by_ - ay), 6) AS y FROM i),
+    n AS (SELECT ax, ay, bx, by_, greatest(0, least(1, ((2400 - ax) * (bx - ax) + (1350 - ay) * (by_ - ay)) / (len * len))) AS t FROM s), q AS (SELECT x, y FROM p UNION SELECT round(ax + t * (bx - ax), 6), round(ay + t * (by_ - ay), 6) FROM n)
+    SELECT DISTINCT x, y FROM q WHERE (x - 2400) * (x - 2400) + (y - 1350) * (y - 1350) <= 5290000""",
 )
 def departure_stations(spark, sf_dir):
     return network.departures(_links(spark, sf_dir), (2400.0, 1350.0), 2300.0)

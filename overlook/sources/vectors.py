@@ -150,7 +150,7 @@ def point_faults(points: DataFrame, edges: DataFrame | None = None, band: float
 
 
 #: Vertices of lines that an import takes.
-MOST_VERTICES = 500_000
+MOST_VERTICES = 100_000
 
 
 def limited(vertices: DataFrame, most: int = MOST_VERTICES) -> DataFrame:
@@ -161,6 +161,20 @@ def limited(vertices: DataFrame, most: int = MOST_VERTICES) -> DataFrame:
     return vertices
 
 
+def verified_network(files: DataFrame, seals: DataFrame, kept: DataFrame) -> DataFrame:
+    """The vertices kept of imported networks (path, feature, part, k, lon, lat), read only if the files (path, content) that they came from are there as sealed (path, sha256) and give the same vertices when parsed again; raises with the first that differ otherwise."""
+    have = files.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("found"))
+    changed = seals.join(have, "path", "left").where("not sha256 <=> found").select("path").orderBy("path").limit(3).collect()
+    if changed:
+        raise ValueError("network source changed: " + ", ".join(r["path"] for r in changed))
+    columns = ["path", "feature", "part", "k", "lon", "lat"]
+    again, held = geojson_lines(files).select(*columns), kept.select(*columns)
+    other = again.exceptAll(held).union(held.exceptAll(again)).select("path").distinct().orderBy("path").limit(3).collect()
+    if other:
+        raise ValueError("network geometry isn't what its source gives: " + ", ".join(r["path"] for r in other))
+    return kept
+
+
 def fresh(lines: DataFrame, marks: DataFrame) -> DataFrame:
     """lines (scenario, mark, ...) to export, whose inputs are still those of today, marks (scenario, mark): one whose scenario has another mark now, or none, raises."""
     now = marks.select(F.col("scenario").alias("__s"), F.col("mark").alias("__m"))
