@@ -10,6 +10,7 @@ from ..sources.lineage import cut
 from ..sources.terrain import coarsen
 from .attention import knapsack, polar_patches
 from .filters import known
+from .ranking import ranked
 from .visibility import banded, viewsheds
 
 
@@ -175,10 +176,20 @@ def evaluation_rows(cells: DataFrame, by: str, area: float, budget: float, rate:
     return rows.join(best.withColumnRenamed("score", "selective"), by, "left")
 
 
+def group_quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(by, n, mean, a column a share) of known values, quantiles exact and by linear interpolation: rows are ranked by group and value over ranges, and only the two rows at each share are looked at, so that no task holds a group."""
+    r = cut(ranked(df.select(by, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)"), [F.col(by), F.col("v")], "__n"))
+    g = r.groupBy(F.col(by).alias("__g")).agg(F.min("__n").alias("__first"), F.count("*").alias("n"), F.avg("v").alias("mean"))
+    places = {k: s * (F.col("n") - 1) for k, s in shares.items()}
+    j = r.join(g, F.col(by).eqNullSafe(F.col("__g"))).withColumn("__k", F.col("__n") - F.col("__first"))
+    near = [F.max(F.when(F.col("__k") == f(at).cast("int"), F.col("v"))).alias(f"__{k}{i}") for k, at in places.items() for i, f in enumerate((F.floor, F.ceil))]
+    out = j.groupBy(by, "n", "mean").agg(*near)
+    return out.select(by, "n", "mean", *((F.col(f"__{k}0") + (at - F.floor(at)) * (F.col(f"__{k}1") - F.col(f"__{k}0"))).alias(k) for k, at in places.items()))
+
+
 def delta_summary(pairs: DataFrame, a: str, b: str, by: str) -> DataFrame:
     """(by, n, mean, median, p05, p95) of b - a over rows where both are known; quantiles are exact, by linear interpolation."""
-    d = (F.col(b) - F.col(a)).alias("d")
-    return pairs.select(by, d).where("d is not null").groupBy(by).agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.percentile("d", 0.5).alias("median"), F.percentile("d", 0.05).alias("p05"), F.percentile("d", 0.95).alias("p95"))
+    return group_quantiles(pairs.select(by, (F.col(b) - F.col(a)).alias("d")), by, "d", {"median": 0.5, "p05": 0.05, "p95": 0.95})
 
 
 def target_shares(cells: DataFrame, flags: list[str]) -> DataFrame:
