@@ -184,7 +184,8 @@ def group_quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]
     j = r.join(g, F.col(by).eqNullSafe(F.col("__g"))).withColumn("__k", F.col("__n") - F.col("__first"))
     near = [F.max(F.when(F.col("__k") == f(at).cast("int"), F.col("v"))).alias(f"__{k}{i}") for k, at in places.items() for i, f in enumerate((F.floor, F.ceil))]
     out = j.groupBy(by, "n", "mean").agg(*near)
-    return out.select(by, "n", "mean", *((F.col(f"__{k}0") + (at - F.floor(at)) * (F.col(f"__{k}1") - F.col(f"__{k}0"))).alias(k) for k, at in places.items()))
+    between = lambda k, at: F.when(F.floor(at) == F.ceil(at), F.col(f"__{k}0")).otherwise((F.ceil(at) - at) * F.col(f"__{k}0") + (at - F.floor(at)) * F.col(f"__{k}1"))
+    return out.select(by, "n", "mean", *(between(k, at).alias(k) for k, at in places.items()))
 
 
 def delta_summary(pairs: DataFrame, a: str, b: str, by: str) -> DataFrame:
