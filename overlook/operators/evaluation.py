@@ -178,8 +178,10 @@ def evaluation_rows(cells: DataFrame, by: str, area: float, budget: float, rate:
 
 def group_quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
     """(by, n, mean, a column a share) of known values, quantiles exact and by linear interpolation: rows are ranked by group and value over ranges, and only the two rows at each share are looked at, so that no task holds a group."""
-    r = cut(ranked(df.select(by, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)"), [F.col(by), F.col("v")], "__n"))
-    g = r.groupBy(F.col(by).alias("__g")).agg(F.min("__n").alias("__first"), F.count("*").alias("n"), F.avg("v").alias("mean"))
+    known_ = df.select(by, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    r = cut(ranked(known_, [F.col(by), F.col("v")], "__n"))
+    g = r.groupBy(F.col(by).alias("__g")).agg(F.min("__n").alias("__first"), F.count("*").alias("n"))
+    g = g.join(known_.groupBy(F.col(by).alias("__m")).agg(F.avg("v").alias("mean")), F.col("__g").eqNullSafe(F.col("__m"))).drop("__m")
     places = {k: s * (F.col("n") - 1) for k, s in shares.items()}
     j = r.join(g, F.col(by).eqNullSafe(F.col("__g"))).withColumn("__k", F.col("__n") - F.col("__first"))
     near = [F.max(F.when(F.col("__k") == f(at).cast("int"), F.col("v"))).alias(f"__{k}{i}") for k, at in places.items() for i, f in enumerate((F.floor, F.ceil))]
