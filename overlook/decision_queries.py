@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import geo, scoring
 from .operators import attention, coverage, evaluation, filters, network, points, ranking, visibility
 from .plans import candidates, catalog
-from .queries import ACROSS, CELLS, COLS, DOWN, POINT_SQL, ROLLING, _cells, _points, _rolling, _rows, _seats, query, table
+from .queries import ACROSS, CELLS, COLS, COVER, DOWN, KNAPSACK_SQL, POINT_SQL, ROLLING, VISIBLE_SQL, _cells, _points, _rolling, _rows, _seats, query, table
 from .sources import sinks, vectors
 from .sources import terrain as grids
 
@@ -476,7 +476,13 @@ def resolution_control(spark, sf_dir):
     return out.select("id", *(F.round(c, 8).alias(c) for c in ("fine", "coarse", "relative")))
 
 
-@query("waypoint_recompute")
+_CLASS = "round(count(*) FILTER ({}) * 0.0001::DOUBLE, 8)"
+
+
+@query(
+    "waypoint_recompute",
+    f"WITH {VISIBLE_SQL}, {COVER('rolling')} SELECT id, {_CLASS.format('true')} AS area_km2, {_CLASS.format('tree < 0.1')} AS open, {_CLASS.format('tree >= 0.1 AND tree < 0.4')} AS partial, {_CLASS.format('tree >= 0.4')} AS dense, {_CLASS.format('tree IS NULL')} AS unknown, true AS closes FROM clear JOIN cover USING (r, c) WHERE clearance >= 0 OR clearance IS NULL GROUP BY id",
+)
 def waypoint_recompute(spark, sf_dir):
     out = evaluation.waypoint(_seats(spark, sf_dir), grids.with_cover(_rolling(spark, sf_dir)), 80.0, 10.0, 1.7, 0.8)
     return out.select("id", F.round("area_km2", 8).alias("area_km2"), *(F.round(c, 8).alias(c) for c in ("open", "partial", "dense", "unknown")), "closes")
@@ -490,7 +496,17 @@ def connector_costs(spark, sf_dir):
     return network.connectors(p, g, 20.0).select("id", F.round("cost", 5).alias("cost"))
 
 
-@query("adapted_candidates")
+def _spaced_sql(spacing: int) -> str:
+    return f"""w{spacing}(n, taken) AS (SELECT 0::BIGINT, CAST([] AS STRUCT(r INT, c INT, n BIGINT)[]) UNION ALL SELECT o.n, CASE WHEN len(list_filter(taken, lambda x: (x.r - o.r) * (x.r - o.r) + (x.c - o.c) * (x.c - o.c) < {spacing**2})) = 0 THEN list_append(taken, {{'r': o.r, 'c': o.c, 'n': o.n}}) ELSE taken END FROM w{spacing} w JOIN o ON o.n = w.n + 1),
+    s{spacing} AS (SELECT x.r AS r, x.c AS c, x.n AS n FROM (SELECT unnest(taken) AS x FROM w{spacing} WHERE n = (SELECT max(n) FROM o)))"""
+
+
+@query(
+    "adapted_candidates",
+    f"""WITH RECURSIVE {CELLS}, o AS MATERIALIZED (SELECT r, c, row_number() OVER (ORDER BY md5('7:' || r || ':' || c)[1:12], r, c) AS n FROM cells), {', '.join(_spaced_sql(k) for k in (15, 10, 7, 5))},
+    k AS (SELECT CASE WHEN (SELECT count(*) FROM s15) >= 48 THEN 15 WHEN (SELECT count(*) FROM s10) >= 48 THEN 10 WHEN (SELECT count(*) FROM s7) >= 48 THEN 7 ELSE 5 END AS spacing),
+    a AS (SELECT *, 15 AS spacing FROM s15 UNION ALL SELECT *, 10 FROM s10 UNION ALL SELECT *, 7 FROM s7 UNION ALL SELECT *, 5 FROM s5) SELECT r, c, spacing::DOUBLE AS spacing FROM a JOIN k USING (spacing) ORDER BY n LIMIT 48""",
+)
 def adapted_candidates(spark, sf_dir):
     """Spacing that shrinks until four fifths of the wanted points are there; `spaced` is held against going through in order."""
     g = _cells(spark, sf_dir).withColumn("draw", candidates.drawn(["r", "c"], 7))
@@ -569,7 +585,7 @@ def kml_polygons(spark, sf_dir):
     return vectors.to_kml_polygon(v, "id")
 
 
-@query("chosen_patches")
+@query("chosen_patches", f"WITH RECURSIVE {KNAPSACK_SQL} SELECT grp, round(m.v, 6) AS score, m.p[2:] AS patches, m.u * 0.25::DOUBLE AS minutes FROM z")
 def chosen_patches(spark, sf_dir):
     """The patches behind `patch_knapsack`'s scores; held against exhaustive search in the tests."""
     p = table(spark, sf_dir, "part").select(F.col("p_size").alias("grp"), F.col("p_partkey").alias("patch"), ((F.col("p_partkey") % 9 + 1) / 100).alias("full_km2"), (F.round(F.col("p_retailprice")) / 1000).alias("reward"))

@@ -271,9 +271,16 @@ def polar_patches(spark, sf_dir):
     return out.select("label", "patch", F.round("full_km2", 6).alias("full_km2"), F.round("visible_km2", 6).alias("visible_km2"), F.round("reward", 4).alias("reward"))
 
 
-@query("patch_knapsack")
+#: The fold over a group's patches, one a step: best rewards, minutes used and patches by units of time.
+KNAPSACK_SQL = """i AS MATERIALIZED (SELECT p_size AS grp, p_partkey AS patch, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n, greatest(1, ceil(((p_partkey % 9 + 1) / 100.0::DOUBLE / 0.02::DOUBLE + 0.5::DOUBLE) / 0.25::DOUBLE - 1e-9))::INT AS u, round(p_retailprice) / 1000 AS v FROM part),
+    w(grp, n, best) AS (SELECT DISTINCT grp, 0::BIGINT, list_transform(range(41), lambda t: {'v': 0.0::DOUBLE, 'u': 0::INT, 'p': ''}) FROM i
+        UNION ALL SELECT w.grp, i.n, list_transform(range(1, 42), lambda t: CASE WHEN t > i.u AND w.best[t - i.u].v + i.v > w.best[t].v + 1e-14 THEN {'v': w.best[t - i.u].v + i.v, 'u': w.best[t - i.u].u + i.u, 'p': w.best[t - i.u].p || ',' || i.patch} ELSE w.best[t] END) FROM w JOIN i ON i.grp = w.grp AND i.n = w.n + 1),
+    z AS (SELECT grp, arg_max(best, n)[41] AS m FROM w GROUP BY grp)"""
+
+
+@query("patch_knapsack", f"WITH RECURSIVE {KNAPSACK_SQL} SELECT grp, round(m.v, 6) AS score FROM z")
 def patch_knapsack(spark, sf_dir):
-    """Best patches in a time budget, a group for each size of part; a fold that SQL can't state, held against exhaustive search in the tests."""
+    """Best patches in a time budget, a group for each size of part; held against exhaustive search in the tests too."""
     p = table(spark, sf_dir, "part").select(F.col("p_size").alias("grp"), F.col("p_partkey").alias("patch"), ((F.col("p_partkey") % 9 + 1) / 100).alias("full_km2"), (F.round(F.col("p_retailprice")) / 1000).alias("reward"))
     return attention.knapsack(p, "grp", 10.0).select("grp", F.round("score", 6).alias("score"))
 
@@ -587,7 +594,12 @@ def stratified_draw(spark, sf_dir):
     return s.select(F.floor(F.col("r") / 20).cast("int").alias("sr"), F.floor(F.col("c") / 20).cast("int").alias("sc"), "r", "c")
 
 
-@query("spaced_candidates")
+@query(
+    "spaced_candidates",
+    f"""WITH RECURSIVE {CELLS}, o AS MATERIALIZED (SELECT r, c, row_number() OVER (ORDER BY md5('7:' || r || ':' || c)[1:12], r, c) AS n FROM cells),
+    w(n, taken) AS (SELECT 0::BIGINT, CAST([] AS STRUCT(r INT, c INT)[]) UNION ALL SELECT o.n, CASE WHEN len(list_filter(taken, lambda x: (x.r - o.r) * (x.r - o.r) + (x.c - o.c) * (x.c - o.c) < 64)) = 0 THEN list_append(taken, {{'r': o.r, 'c': o.c}}) ELSE taken END FROM w JOIN o ON o.n = w.n + 1)
+    SELECT x.r AS r, x.c AS c FROM (SELECT unnest(taken) AS x FROM w WHERE n = (SELECT max(n) FROM o))""",
+)
 def spaced_candidates(spark, sf_dir):
     """Cells no closer than eight cells, as if taken one by one in order of draw (checked so in the tests)."""
     g = _cells(spark, sf_dir).withColumn("draw", candidates.drawn(["r", "c"], 7))
@@ -884,7 +896,18 @@ def attention_sweep(spark, sf_dir):
     return out.select("label", "budget", F.round("selective", 9).alias("selective"), F.round("uniform", 9).alias("uniform"))
 
 
-@query("connection_screen")
+def _reached(limit: float, n: int) -> str:
+    """Cells that hang together with the first row over open cells and steps within the limit, by flood fill."""
+    return f"""o{n} AS MATERIALIZED (SELECT r, c, z FROM sl WHERE ok AND slope <= {limit}), e{n} AS MATERIALIZED (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM o{n} a, range(-1, 2) x(i), range(-1, 2) y(j), o{n} b WHERE (i <> 0 OR j <> 0) AND b.r = a.r + i AND b.c = a.c + j AND degrees(atan(abs(b.z - a.z) / (12 * sqrt(i * i + j * j)))) <= {limit}
+        AND (i = 0 OR j = 0 OR (EXISTS (SELECT 1 FROM o{n} k WHERE k.r = a.r + i AND k.c = a.c) AND EXISTS (SELECT 1 FROM o{n} k WHERE k.r = a.r AND k.c = a.c + j)))), f{n}(r, c) AS (SELECT r, c FROM o{n} WHERE r = 0 UNION SELECT e.r2, e.c2 FROM f{n} JOIN e{n} e USING (r, c))"""
+
+
+@query(
+    "connection_screen",
+    f"""WITH RECURSIVE {ROLLING}, steep AS (SELECT r, c, z * 1.8::DOUBLE AS z FROM rolling), {GRADIENT('steep', 'z', 12.0)}, sl AS MATERIALIZED (SELECT r, c, z, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope, (r * 3 + c * 7) % 5 <> 0 AS ok FROM graded), {_reached(25.0, 1)}, {_reached(35.0, 2)}
+    SELECT r || '-' || c AS id, CASE WHEN f1.r IS NOT NULL OR f2.r IS NOT NULL THEN 'connected' WHEN NOT ok THEN 'outside the domain' WHEN slope > 35 THEN 'too steep' ELSE 'no connection' END AS status, CASE WHEN f1.r IS NOT NULL THEN 25.0 WHEN f2.r IS NOT NULL THEN 35.0 END::DOUBLE AS "limit"
+    FROM sl LEFT JOIN f1 USING (r, c) LEFT JOIN f2 USING (r, c) WHERE r % 7 = 3 AND c % 6 = 2""",
+)
 def connection_screen(spark, sf_dir):
     """Seats that hang together with a departure at the first slope limit that allows it; held against a flood fill in the tests."""
     g = terrain.gradient(_rolling(spark, sf_dir).withColumn("z", F.col("z") * 1.8), "z", 12.0)
