@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import geo, scoring
 from .operators import attention, coverage, evaluation, filters, network, points, ranking, visibility
 from .plans import candidates, catalog
-from .queries import ACROSS, CELLS, COLS, COVER, DOWN, KNAPSACK_SQL, POINT_SQL, ROLLING, VISIBLE_SQL, _cells, _points, _rolling, _rows, _seats, query, table
+from .queries import ACROSS, CELLS, COLS, COVER, DOWN, DROP, KNAPSACK_SQL, POINT_SQL, ROLLING, SEAT_SQL, VISIBLE_SQL, _cells, _points, _rolling, _rows, _seats, query, table
 from .sources import sinks, vectors
 from .sources import terrain as grids
 
@@ -363,7 +363,23 @@ def triangle_samples(spark, sf_dir):
     return grids.corner_triangles(g, p, _rows(g), COLS).select("id", F.round("z", 6).alias("z"))
 
 
-@query("exact_crossings")
+def _between(a: str, b: str) -> str:
+    """t of the whole numbers strictly between a and b."""
+    return f"SELECT id, round((v - {a}) / ({b} - {a})::DOUBLE, 12) AS t FROM p, unnest(range(least({a}, {b}) + 1, greatest({a}, {b}))) u(v)"
+
+
+_SNAP = "CASE WHEN abs({0} - round({0})) < 1e-9 THEN round({0}) ELSE {0} END"
+
+
+@query(
+    "exact_crossings",
+    f"""WITH {ROLLING}, {SEAT_SQL}, p AS (SELECT s.id || '-' || g.r || '-' || g.c AS id, r0, c0, g.r, g.c, o.z AS z0, g.z AS z1, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) * 10 AS d FROM s JOIN rolling o ON o.r = r0 AND o.c = c0 JOIN rolling g ON abs(g.r - r0) <= 8 AND abs(g.c - c0) <= 8 WHERE (g.r <> r0 OR g.c <> c0) AND sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) * 10 <= 80),
+    t AS (SELECT DISTINCT id, t FROM ({_between('r0', 'r')} UNION ALL {_between('c0', 'c')} UNION ALL {_between('(c0 - r0)', '(c - r)')})),
+    x AS (SELECT p.*, t, {_SNAP.format('(r0 + t * (r - r0))')} AS pr, {_SNAP.format('(c0 + t * (c - c0))')} AS pc FROM p JOIN t USING (id)), q AS (SELECT *, least(greatest(floor(pr), 0), {DOWN} - 2)::INT AS i, least(greatest(floor(pc), 0), {ACROSS} - 2)::INT AS j FROM x),
+    h AS (SELECT q.*, pr - i AS fr, pc - j AS fc, a.z AS a, b.z AS b, d.z AS dd, e.z AS e FROM q JOIN rolling a ON a.r = i AND a.c = j JOIN rolling b ON b.r = i AND b.c = j + 1 JOIN rolling d ON d.r = i + 1 AND d.c = j JOIN rolling e ON e.r = i + 1 AND e.c = j + 1),
+    k AS (SELECT id, t, (z0 + 1.7) * (1 - t) + (z1 + 0.8 - {DROP!r} * d * d) * t + {DROP!r} * (t * d) * (t * d) - CASE WHEN fr <= fc THEN a * (1 - fc) + b * (fc - fr) + e * fr ELSE a * (1 - fr) + e * fc + dd * (fr - fc) END AS gap FROM h), m AS (SELECT id, min(gap) AS clearance, min(t) FILTER (gap < 0) AS first_t FROM k GROUP BY id)
+    SELECT p.id, round(clearance, 6) AS clearance, round(first_t, 9) AS first_t, coalesce(abs(clearance) <= 0.05, false) AS borderline, true AS complete FROM p LEFT JOIN m USING (id)""",
+)
 def exact_crossings(spark, sf_dir):
     """Rays held against every row, column and diagonal they cross; checked in the tests against dense sampling of the same triangles."""
     g = _rolling(spark, sf_dir)
