@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import geo, scoring
 from .operators import attention, coverage, evaluation, filters, network, points, ranking, visibility
 from .plans import candidates, catalog
-from .queries import ACROSS, CELLS, COLS, COVER, DOWN, DROP, KNAPSACK_SQL, POINT_SQL, ROLLING, SEAT_SQL, VISIBLE_SQL, _cells, _points, _rolling, _rows, _seats, query, table
+from .queries import ACROSS, CELLS, COLS, COVER, DOWN, DROP, KNAPSACK_SQL, POINT_SQL, ROLLING, SEAT_SQL, VISIBLE_SQL, _cells, _points, _rolling, _rows, _seats, query, searched_sql, table
 from .sources import sinks, vectors
 from .sources import terrain as grids
 
@@ -504,7 +504,13 @@ def waypoint_recompute(spark, sf_dir):
     return out.select("id", F.round("area_km2", 8).alias("area_km2"), *(F.round(c, 8).alias(c) for c in ("open", "partial", "dense", "unknown")), "closes")
 
 
-@query("connector_costs")
+@query(
+    "connector_costs",
+    f"""WITH RECURSIVE {searched_sql(30, 'plain')}, e AS MATERIALIZED (SELECT area, u, v, length * (1 + power(slope_b / 15, 2)) AS cost FROM e1 WHERE slope_a <= 30 AND slope_b <= 30 AND grade <= 30),
+    p AS (SELECT s_suppkey AS id, s_suppkey // 10 AS area, s_suppkey * 3 % 29 AS r0, s_suppkey * 7 % 49 AS c0, s_suppkey * 11 % 29 AS r1, s_suppkey * 17 % 49 AS c1 FROM supplier),
+    d(id, node, cost) USING KEY (id, node) AS (SELECT id, node, 0.0::DOUBLE FROM p JOIN o ON o.area = p.area AND o.r = r0 AND o.c = c0 UNION SELECT d.id, e.v, min(d.cost + e.cost)::DOUBLE FROM d JOIN e ON e.u = d.node LEFT JOIN recurring.d k ON k.id = d.id AND k.node = e.v WHERE k.cost IS NULL OR d.cost + e.cost < k.cost GROUP BY d.id, e.v)
+    SELECT p.id, round(d.cost, 5) AS cost FROM p LEFT JOIN g ON g.area = p.area AND g.r = r1 AND g.c = c1 LEFT JOIN d ON d.id = p.id AND d.node = g.node""",
+)
 def connector_costs(spark, sf_dir):
     """Least-cost walks between pairs of cells, tile by tile; held against relaxation in the tests."""
     g = _rolling(spark, sf_dir).withColumn("ok", (F.col("r") * 3 + F.col("c")) % 11 != 0).withColumn("area", F.expr("r div 30")).withColumn("r", F.col("r") % 30)

@@ -182,14 +182,19 @@ RRES, RADIUS = 10.0, 80.0
 #: A seat for each supplier, down the whole grid.
 SEAT_SQL = "s AS (SELECT s_suppkey AS id, (s_suppkey * 3 + 1)::INT AS r0, (9 + s_suppkey * 7 % 32)::INT AS c0 FROM supplier)"
 DROP = 6 / 7 / (2 * 6378137.0)
-VISIBLE_SQL = f"""{ROLLING}, {SEAT_SQL}, p AS (SELECT s.*, g.r, g.c, g.z AS z1, o.z AS z0, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) AS far FROM s JOIN rolling o ON o.r = r0 AND o.c = c0 JOIN rolling g ON abs(g.r - r0) <= 8 AND abs(g.c - c0) <= 8),
-    q AS (SELECT *, far * {RRES} AS d, greatest(3, floor(far * 4)::INT) AS steps FROM p WHERE far * {RRES} <= {RADIUS}),
-    i AS (SELECT *, unnest(range(1, steps)) AS i FROM q WHERE d > 0), t AS (SELECT *, i / steps AS t, r0 + i / steps * (r - r0) AS pr, c0 + i / steps * (c - c0) AS pc FROM i),
-    k AS (SELECT t.*, floor(pr)::INT AS fr, floor(pc)::INT AS fc FROM t),
-    h AS (SELECT k.*, (1 - (pr - fr)) * ((1 - (pc - fc)) * a.z + (pc - fc) * b.z) + (pr - fr) * ((1 - (pc - fc)) * e.z + (pc - fc) * f.z) AS z
-        FROM k JOIN rolling a ON a.r = fr AND a.c = fc JOIN rolling b ON b.r = fr AND b.c = least(fc + 1, {ACROSS} - 1) JOIN rolling e ON e.r = least(fr + 1, {DOWN} - 1) AND e.c = fc JOIN rolling f ON f.r = least(fr + 1, {DOWN} - 1) AND f.c = least(fc + 1, {ACROSS} - 1)),
-    clear AS (SELECT id, r0, c0, r, c, d, min((z0 + 1.7) * (1 - t) + (z1 + 0.8 - {DROP!r} * d * d) * t + {DROP!r} * (t * d) * (t * d) - z) AS clearance FROM h GROUP BY ALL
-        UNION ALL SELECT id, r0, c0, r, c, d, NULL FROM q WHERE d = 0)"""
+def visible_sql(grid: str, seats: str, res: float, radius: float, down: str, across: str, n: str = "") -> str:
+    """`clear`: the clearance of every ray of seats (id, r0, c0) within the radius over a grid (r, c, z), sample by sample; n tells the names of two such apart."""
+    return f"""p{n} AS (SELECT s.*, g.r, g.c, g.z AS z1, o.z AS z0, sqrt((g.r - r0) * (g.r - r0) + (g.c - c0) * (g.c - c0)) AS far FROM {seats} s JOIN {grid} o ON o.r = r0 AND o.c = c0 JOIN {grid} g ON abs(g.r - r0) <= {int(radius / res)} AND abs(g.c - c0) <= {int(radius / res)}),
+    q{n} AS (SELECT *, far * {res} AS d, greatest(3, floor(far * 4)::INT) AS steps FROM p{n} WHERE far * {res} <= {radius}),
+    i{n} AS (SELECT *, unnest(range(1, steps)) AS i FROM q{n} WHERE d > 0), t{n} AS (SELECT *, i / steps AS t, r0 + i / steps * (r - r0) AS pr, c0 + i / steps * (c - c0) AS pc FROM i{n}),
+    k{n} AS (SELECT t.*, floor(pr)::INT AS fr, floor(pc)::INT AS fc FROM t{n} t),
+    h{n} AS (SELECT k.*, (1 - (pr - fr)) * ((1 - (pc - fc)) * a.z + (pc - fc) * b.z) + (pr - fr) * ((1 - (pc - fc)) * e.z + (pc - fc) * f.z) AS z
+        FROM k{n} k JOIN {grid} a ON a.r = fr AND a.c = fc JOIN {grid} b ON b.r = fr AND b.c = least(fc + 1, {across} - 1) JOIN {grid} e ON e.r = least(fr + 1, {down} - 1) AND e.c = fc JOIN {grid} f ON f.r = least(fr + 1, {down} - 1) AND f.c = least(fc + 1, {across} - 1)),
+    clear{n} AS (SELECT id, r0, c0, r, c, d, min((z0 + 1.7) * (1 - t) + (z1 + 0.8 - {DROP!r} * d * d) * t + {DROP!r} * (t * d) * (t * d) - z) AS clearance FROM h{n} GROUP BY ALL
+        UNION ALL SELECT id, r0, c0, r, c, d, NULL FROM q{n} WHERE d = 0)"""
+
+
+VISIBLE_SQL = f"{ROLLING}, {SEAT_SQL}, {visible_sql('rolling', 's', RRES, RADIUS, DOWN, ACROSS)}"
 
 
 def _seats(spark, sf_dir):
@@ -606,7 +611,23 @@ def spaced_candidates(spark, sf_dir):
     return candidates.spaced(g, 8.0).select("r", "c")
 
 
-@query("approach_costs")
+def searched_sql(side: int, priced: str) -> str:
+    """Cells of areas of `side` rows with slopes inside each area, and the steps between them at 20 m: u to v, no corner cut; `priced` gives a step's cost and whether it is free, from cells a (u) and b (v), its length and its grade."""
+    diff = lambda z, k, of: f"(coalesce(lead({z}) OVER (PARTITION BY {of} ORDER BY {k}), {z}) - coalesce(lag({z}) OVER (PARTITION BY {of} ORDER BY {k}), {z})) / ((CASE WHEN lead({z}) OVER (PARTITION BY {of} ORDER BY {k}) IS NULL OR lag({z}) OVER (PARTITION BY {of} ORDER BY {k}) IS NULL THEN 1 ELSE 2 END) * 20)"
+    return f"""{ROLLING}, {COVER('rolling')}, g0 AS (SELECT r // {side} AS area, r % {side} AS r, c, z, tree, shrub, (r * 3 + c) % 11 <> 0 AS ok FROM cover), g1 AS (SELECT *, {diff('z', 'c', 'area, r')} AS gx, {diff('z', 'r', 'area, c')} AS gy FROM g0),
+    g AS MATERIALIZED (SELECT area, r, c, z, coalesce(tree, 1) AS tree, coalesce(shrub, 1) AS shrub, ok, degrees(atan(sqrt(gx * gx + gy * gy))) AS slope, (area * {side} + r) * {COLS} + c AS node FROM g1),
+    st AS (SELECT i, j, 20 * sqrt(i * i + j * j) AS length FROM range(-1, 2) x(i), range(-1, 2) y(j) WHERE i <> 0 OR j <> 0), o AS (SELECT * FROM g WHERE ok),
+    e0 AS (SELECT a.area, a.node AS u, b.node AS v, a.r, a.c, i, j, length, degrees(atan(abs(b.z - a.z) / length)) AS grade, a.slope AS slope_a, b.slope AS slope_b, a.tree AS tree_a, b.tree AS tree_b, a.shrub AS shrub_a, b.shrub AS shrub_b, b.z - a.z AS rise FROM o a CROSS JOIN st JOIN o b ON b.area = a.area AND b.r = a.r + i AND b.c = a.c + j),
+    e1 AS (SELECT e0.* FROM e0 LEFT JOIN o k ON k.area = e0.area AND k.r = e0.r + i AND k.c = e0.c LEFT JOIN o l ON l.area = e0.area AND l.r = e0.r AND l.c = e0.c + j WHERE i = 0 OR j = 0 OR (k.node IS NOT NULL AND l.node IS NOT NULL {'AND k.slope <= 30 AND l.slope <= 30' if priced == 'plain' else ''}))"""
+
+
+@query(
+    "approach_costs",
+    f"""WITH RECURSIVE {searched_sql(50, 'weighed')}, w(name, ws, wt, wb, wg) AS (VALUES ('recommended', 1.0, 1.0, 1.0, 1.0), ('shortest', 0.0, 0.0, 0.0, 0.0), ('brush', 1.0, 3.0, 3.0, 1.0)),
+    e AS MATERIALIZED (SELECT name, area, u, v, length * (1 + ws * power(greatest(slope_a, slope_b, grade) / 15, 2) + wt * (tree_a + tree_b) / 2 + wb * (shrub_a + shrub_b) / 2) + 10 * wg * greatest(0, rise) AS cost FROM e1, w WHERE greatest(slope_a, slope_b, grade) <= 30),
+    d(name, node, cost) USING KEY (name, node) AS (SELECT name, node, 0.0::DOUBLE FROM o, w WHERE r = 20 AND c = 20 UNION SELECT e.name, e.u, min(d.cost + e.cost)::DOUBLE FROM d JOIN e ON e.name = d.name AND e.v = d.node LEFT JOIN recurring.d k ON k.name = e.name AND k.node = e.u WHERE k.cost IS NULL OR d.cost + e.cost < k.cost GROUP BY e.name, e.u)
+    SELECT w.name || '-' || g.area AS scenario, g.r || '-' || g.c AS start, round(d.cost, 5) AS cost FROM g JOIN w ON true JOIN (SELECT DISTINCT area FROM g WHERE r = 20 AND c = 20) t USING (area) LEFT JOIN d ON d.name = w.name AND d.node = g.node WHERE g.r % 13 = 5 AND g.c % 13 = 4""",
+)
 def approach_costs(spark, sf_dir):
     """Least-cost approaches for three objectives; heap searches inside grouped tasks, held against relaxation in the tests."""
     g = grids.with_cover(_rolling(spark, sf_dir)).withColumn("ok", (F.col("r") * 3 + F.col("c")) % 11 != 0)
