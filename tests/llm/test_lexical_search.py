@@ -5,11 +5,10 @@ from collections import Counter
 
 import duckdb
 import numpy as np
-import pytest
 
 from overlook.llm import lexical_search as op
 
-from .helpers import awkward, clashing, docs_frame
+from .helpers import awkward, clashing
 
 TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(0x41, 0x5B)})
