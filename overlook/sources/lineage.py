@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,7 +19,28 @@ def fresh_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
         folder = tempfile.mkdtemp(prefix="overlook-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/overlook/{uuid.uuid4().hex}"
+    path = f"{folder.rstrip('/')}/overlook/{uuid.uuid4().hex}"
+    if (held := _HELD.get()) is not None:
+        held.append(path)
+    return path
+
+
+#: Paths given out since the innermost `swept` began.
+_HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
+@contextmanager
+def swept(spark: SparkSession):
+    """Deletes, at its end and after an error too, all tables that were written inside: results must have been written elsewhere, or collected, by then."""
+    held: list[str] = []
+    token = _HELD.set(held)
+    try:
+        yield
+    finally:
+        _HELD.reset(token)
+        for path in held:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -96,3 +96,23 @@ def test_square_sums_and_stress(spark):
     assert [r.f for r in f] == [0.85, 0.5]
     with pytest.raises(ValueError):
         scoring.stress_factor(F.col("a"), F.col("b"), 1.5)
+
+
+def test_tables_of_iterations_go_when_swept(spark, tmp_path):
+    import os
+
+    from overlook.operators import network
+    from overlook.sources import lineage
+
+    folder = os.path.dirname(lineage.fresh_folder(spark)).removeprefix("file:")
+    there = lambda: set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    before = there()
+    e = spark.createDataFrame([(i, i + 1) for i in range(9)], "u long, v long")
+    with lineage.swept(spark):
+        network.components(e, spark.range(10).toDF("node")).write.parquet(str(tmp_path / "kept"))
+        assert there() > before
+    assert there() == before and spark.read.parquet(str(tmp_path / "kept")).count() == 10
+    with pytest.raises(ValueError), lineage.swept(spark):
+        lineage.cut(spark.range(3))
+        raise ValueError
+    assert there() == before
