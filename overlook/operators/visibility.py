@@ -60,7 +60,7 @@ def banded(visible: DataFrame, res: float, by: str = "id") -> DataFrame:
 
 
 #: Cells of a ray sample chunk, every how many samples a ray is tried first, and seats that share a task's window.
-CHUNK, COARSE, SEATS = 1 << 21, 8, 64
+CHUNK, COARSE, SEATS = 1 << 21, 8, 8
 
 #: Samples a cell along the sweep's directions, directions a cell of the outermost ring, rings that are always looked at ray by ray, and how much wider than its bounds a horizon counts as undecided.
 FINE, PER_CELL, NEAR_RINGS, WIDER = 4, 4, 3, 0.5
