@@ -77,7 +77,10 @@ def coarsen(grid: DataFrame, k: int, values: list[str]) -> DataFrame:
 
 
 def sample_bilinear(grid: DataFrame, points: DataFrame, rows: int, cols: int) -> DataFrame:
-    """points (id, pr, pc: fractional row and column) with z by bilinear weights, edges extended: four keyed lookups."""
+    """points (id, pr, pc: fractional row and column) with z by bilinear weights, edges extended: four keyed lookups.
+
+    Sizes of exploded rows are taken for those of the rows before, so the lookups name their join: no side of it is sent to every task.
+    """
     r0, c0 = F.floor("pr"), F.floor("pc")
     fr, fc = F.col("pr") - r0, F.col("pc") - c0
     corner = lambda dr, dc: F.struct(
@@ -87,7 +90,7 @@ def sample_bilinear(grid: DataFrame, points: DataFrame, rows: int, cols: int) ->
     )
     asked = points.withColumn("__k", F.explode(F.array(*(corner(a, b) for a in (0, 1) for b in (0, 1))))).select("*", "__k.r", "__k.c", "__k.w").drop("__k")
     keys = [c for c in points.columns]
-    return asked.join(grid.select("r", "c", "z"), ["r", "c"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("z")).alias("z"))
+    return asked.hint("merge").join(grid.select("r", "c", "z"), ["r", "c"]).groupBy(*keys).agg(F.sum(F.col("w") * F.col("z")).alias("z"))
 
 
 def sample_nearest(grid: DataFrame, points: DataFrame, x0: float, y0: float, res: float, outside: str = "drop") -> DataFrame:
@@ -110,13 +113,13 @@ def corner_triangles(grid: DataFrame, points: DataFrame, rows: int, cols: int) -
     r, c = F.least(F.greatest(F.floor("pr"), F.lit(0)), F.lit(rows - 2)).cast("int"), F.least(F.greatest(F.floor("pc"), F.lit(0)), F.lit(cols - 2)).cast("int")
     p = points.withColumn("__r", r).withColumn("__c", c)
     at = F.array(*(F.struct((F.col("__r") + i).alias("r"), (F.col("__c") + j).alias("c"), F.lit(n).alias("n")) for i, j, n in ((0, 0, "a"), (0, 1, "b"), (1, 0, "d"), (1, 1, "e"))))
-    seen = p.select("id", F.explode(at).alias("k")).select("id", "k.*").join(grid.select("r", "c", "z"), ["r", "c"])
+    seen = p.select("id", F.explode(at).alias("k")).select("id", "k.*").hint("merge").join(grid.select("r", "c", "z"), ["r", "c"])
     four = seen.groupBy("id").agg(*(F.max(F.when(F.col("n") == n, F.col("z"))).alias(f"__{n}") for n in "abde"))
     fr, fc = F.col("pr") - F.col("__r"), F.col("pc") - F.col("__c")
     inside = (F.col("pr") >= 0) & (F.col("pc") >= 0) & (F.col("pr") <= rows - 1) & (F.col("pc") <= cols - 1)
     above = F.col("__a") * (1 - fc) + F.col("__b") * (fc - fr) + F.col("__e") * fr
     below = F.col("__a") * (1 - fr) + F.col("__e") * fc + F.col("__d") * (fr - fc)
-    return p.join(four, "id", "left").withColumn("z", F.when(inside, F.when(fr <= fc, above).otherwise(below))).drop("__r", "__c", *(f"__{n}" for n in "abde"))
+    return p.join(four.hint("merge"), "id", "left").withColumn("z", F.when(inside, F.when(fr <= fc, above).otherwise(below))).drop("__r", "__c", *(f"__{n}" for n in "abde"))
 
 
 def tiles(grid: DataFrame, value: str = "z", size: int = TILE) -> DataFrame:

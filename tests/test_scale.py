@@ -1,6 +1,7 @@
 """What only larger tables show: numbers that leave their type, tables that a plan takes for small, work that grows with copies."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from overlook import queries
 
@@ -42,3 +43,19 @@ def test_cell_outlines_of_far_rows(spark, sf_dir, tmp_path):
     folder = moved(tmp_path, sf_dir, {"orders": "o_orderkey"}, 2_000_000)
     got = queries.QUERIES["cell_outlines"](spark, folder).agg({"area": "sum"}).first()[0]
     assert got == len([1 for r, c in marked_cells(folder) if r % 10 != 9 and c % 10 != 9])
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_exploded_stations_are_not_sent_to_every_task(spark, sf_dir):
+    from overlook.sources import terrain as grids
+
+    g = grids.cells(spark, 40, 40).withColumn("z", F.col("r") * 2.0 + F.col("c"))
+    p = spark.range(20).select("id", F.explode(F.sequence(F.lit(0), F.lit(30))).alias("k")).select(F.struct("id", "k").alias("id"), (F.col("k") * 1.2).alias("pr"), (F.col("id") * 1.5).alias("pc"))
+    for f in (grids.sample_bilinear, grids.corner_triangles):
+        out = f(g, p, 40, 40)
+        assert broadcasts(out) == 0
+        assert all(abs(x.z - (x.pr * 2 + x.pc)) < 1e-9 for x in out.collect())
+    assert broadcasts(queries.QUERIES["route_profile"](spark, sf_dir)) == 0
