@@ -1,6 +1,7 @@
 """What only larger tables show: numbers that leave their type, tables that a plan takes for small, work that grows with copies."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from overlook import queries
@@ -59,3 +60,62 @@ def test_exploded_stations_are_not_sent_to_every_task(spark, sf_dir):
         assert broadcasts(out) == 0
         assert all(abs(x.z - (x.pr * 2 + x.pc)) < 1e-9 for x in out.collect())
     assert broadcasts(queries.QUERIES["route_profile"](spark, sf_dir)) == 0
+
+
+def test_a_grid_beyond_the_contract_becomes_several_rasters(spark, tmp_path):
+    from overlook.sources import raster
+    from overlook.sources import terrain as grids
+
+    g = grids.cells(spark, 50, 37).withColumn("z", F.col("r") * 100.0 + F.col("c"))
+    for most, n in ((37 * 16, 4), (8 * 20, 7 * 3), (10**6, 1)):
+        folder = f"{tmp_path}/{most}"
+        areas = raster.write_areas(g, folder, 8, 0.0, 0.0, 10.0, most=most)
+        assert len(areas) == n and sum(r * c for _, _, r, c in areas) == 50 * 37 and max(r * c for _, _, r, c in areas) <= most
+        got = raster.read_areas(spark, folder, areas, (7, 40), (3, 34)).collect()
+        assert sorted((x.r, x.c) for x in got) == [(r, c) for r in range(7, 40) for c in range(3, 34)] and all(x.z == x.r * 100 + x.c for x in got)
+        assert raster.read_areas(spark, folder, areas, (60, 70), (0, 37)).count() == 0
+    with pytest.raises(Exception, match="no cells at all in"):
+        raster.write_areas(g.where("r < 8 or r >= 32"), f"{tmp_path}/gap", 8, 0.0, 0.0, 10.0, most=37 * 16)
+
+
+def test_raster_blocks_of_more_cells_than_a_raster_may_hold(spark, sf_dir, tmp_path, monkeypatch):
+    from overlook.sources import raster
+
+    assert queries.QUERIES["raster_blocks"](spark, moved(tmp_path, sf_dir, {"orders": "o_orderkey"}, 0)).count() == 13 * 34
+    monkeypatch.setattr(raster.write_areas, "__defaults__", ("m", 400))
+    assert queries.QUERIES["raster_blocks"](spark, sf_dir).count() == 13 * 34
+
+
+def test_copies_of_a_box_are_compared_once(spark):
+    from overlook.plans import catalog
+
+    q = spark.range(3000).selectExpr("id", "'p' as product", "id % 3 as x0", "0L as y0", "id % 3 + 2 as x1", "2L as y1")
+    c = spark.range(4000).selectExpr("id + 7 as entry", "'p' as product", "0L as ex0", "0L as ey0", "3 + id % 2 * 2 as ex1", "4L as ey1")
+    out = catalog.covering(q, c)
+    assert {(x.id % 3, x.entry) for x in out.collect()} == {(0, 7), (1, 7), (2, 8)} and out.count() == 3000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 4  # both sides are made distinct before they meet
+
+
+def test_adapted_looks_at_the_least_draws_first(spark, monkeypatch):
+    from overlook.plans import candidates
+    from overlook.sources import terrain as grids
+
+    g = grids.cells(spark, 60, 50).withColumn("draw", candidates.drawn(["r", "c"], 3))
+    whole, sizes = candidates.spaced, []
+
+    def counted(points, spacing, rounds=None):
+        sizes.append(points.count())
+        return whole(points, spacing, rounds)
+
+    monkeypatch.setattr(candidates, "spaced", counted)
+    for wanted, spacings in ((10, (6,)), (10, (60, 7))):
+        sizes.clear()
+        got = {(x.r, x.c, x.spacing) for x in candidates.adapted(g, wanted, spacings, 5.0).collect()}
+        need = int(0.8 * wanted)
+        for s in (*spacings, 5.0):
+            all_ = whole(g, s).orderBy("draw", "r", "c").collect()
+            if len(all_) >= need or s == 5.0:
+                break
+        assert got == {(x.r, x.c, float(s)) for x in all_[:need]}
+        assert sizes[0] < 2 * 64 * need
