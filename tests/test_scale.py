@@ -172,3 +172,47 @@ def test_rays_over_several_tiles_are_sampled_in_the_tiles(spark, monkeypatch):
                 line = (z[r0, c0] + 1.7) * (1 - t) + (z[r, c] + 0.8 - drop * d**2) * t + drop * (t * d) ** 2
                 least = min(least, line - sum(w * z[a, b] for a, b, w in corners))
         assert abs(got[k] - least) < 1e-9
+
+
+def tables_written(spark, run):
+    """How many tables a query writes to the shared folder, rounds of a search among them."""
+    from overlook.sources import lineage
+
+    with lineage.swept(spark):
+        run().collect()
+        return len(lineage._HELD.get())
+
+
+def test_shortest_paths_take_rounds_by_patches(spark, sf_dir):
+    assert tables_written(spark, lambda: queries.QUERIES["network_shortest_path"](spark, sf_dir)) <= 6
+
+
+def test_patches_settle_what_a_plain_search_finds(spark):
+    import random
+
+    from overlook.operators import search
+
+    rng = random.Random(4)
+    places = [(float(x), float(y)) for x in range(9) for y in range(9)]
+    edges = [(u, v, float(rng.choice([1, 1, 2, 3]))) for u in places for v in places if abs(u[0] - v[0]) + abs(u[1] - v[1]) == 1 and rng.random() < 0.8]
+    starts = [("s", places[0]), ("s", places[70]), ("t", places[44])]
+    want = set()
+    for s in "st":
+        label = {n: (0.0, 0, None) for k, n in starts if k == s}
+        while True:  # by hops, as an edge at a time would go
+            new = dict(label)
+            for u, v, c in edges:
+                if u in label:
+                    x = (label[u][0] + c, label[u][1] + 1, u)
+                    if v not in new or x < new[v]:
+                        new[v] = x
+            if new == label:
+                break
+            label = new
+        want |= {(s, *n, *x[:2], *(x[2] or (None, None))) for n, x in label.items()}
+    node = "struct<x: double, y: double>"
+    e = spark.createDataFrame(edges, f"u {node}, v {node}, cost double")
+    src = spark.createDataFrame([(k, n, 0.0) for k, n in starts], f"scenario string, node {node}, distance double")
+    for side in (2.0, 100.0):
+        got = search.settled(e, src, search.squares(side)).select("scenario", "node.x", "node.y", "distance", "hops", F.col("previous.x").alias("px"), F.col("previous.y").alias("py"))
+        assert {tuple(r) for r in got.collect()} == want
