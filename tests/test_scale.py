@@ -216,3 +216,12 @@ def test_patches_settle_what_a_plain_search_finds(spark):
     for side in (2.0, 100.0):
         got = search.settled(e, src, search.squares(side)).select("scenario", "node.x", "node.y", "distance", "hops", F.col("previous.x").alias("px"), F.col("previous.y").alias("py"))
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_noding_shuffles_no_pairs_and_sends_no_spans_to_every_task(spark):
+    from overlook.operators import paths
+
+    ways = spark.createDataFrame([(i, 10.0 * i, 0.0, 10.0 * i + 35.0, 40.0) for i in range(40)], "id int, ax double, ay double, bx double, by double")
+    plan = paths.noded(ways, 8.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert not any("HashAggregate(keys=[id" in line and "id2" in line for line in plan.splitlines())
