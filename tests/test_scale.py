@@ -225,3 +225,37 @@ def test_noding_shuffles_no_pairs_and_sends_no_spans_to_every_task(spark):
     plan = paths.noded(ways, 8.0)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan
     assert not any("HashAggregate(keys=[id" in line and "id2" in line for line in plan.splitlines())
+
+
+def test_rolling_sums_are_dealt_by_time_and_equal_brute_force(spark):
+    import random
+
+    from overlook.streaming import rates
+
+    rng = random.Random(2)
+    base = 1_700_000_000_000_000
+    times = [base + rng.randrange(0, 200) * 1_000_000 for _ in range(150)] + [base // 30_000_000 * 30_000_000 + k * 30_000_000 for k in range(4)]
+    rows = [(i, "ab"[i % 2], t, float(rng.randrange(-50, 50)) if i % 9 else None) for i, t in enumerate(times)] + [(900, "a", None, 2.0), (901, "a", None, 3.0)]
+    e = spark.createDataFrame(rows, "id int, k string, us long, value double").select("id", "k", F.timestamp_micros("us").alias("ts"), "value")
+    out = rates.rolling(e, "k", 30, 3)
+    assert "hashpartitioning(k" in (plan := out._jdf.queryExecution().executedPlan().toString()) and "__span" in plan.split("hashpartitioning(")[1].split(")")[0]
+    assert out.columns == ["id", "k", "ts", "value", "total", "rate"]
+    got = {r.id: (r.total, r.rate) for r in out.collect()}
+    for i, k, t, _ in rows:
+        near = [(u, v) for _, k2, u, v in rows if k2 == k and ((t is None and u is None) or (None not in (t, u) and t - 30_000_000 <= u <= t))]
+        values = [v for _, v in near if v is not None]
+        total = sum(values) if values else None
+        span = None if t is None else (t - min(u for u, _ in near)) / 1e6
+        assert got[i] == (total, total / span if total is not None and span is not None and span >= 3 else None), i
+    assert len(got) == len(rows)
+
+
+def test_requests_of_one_meaning_are_dealt_to_parts(spark):
+    from overlook.plans import catalog
+
+    req = spark.range(3000).select("id", F.lit("https://h.org/w?a=1").alias("url"))
+    held = spark.range(70).select(F.col("id").alias("entry"), F.lit("https://h.org/w?a=1&bbox=2").alias("url"))
+    out = catalog.reusable(req, held)
+    assert out.count() == 210_000 and out.distinct().count() == 210_000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [k" in plan and "part" in plan.split("SortMergeJoin [k")[1].split("]")[0]
