@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.lineage import cut
 
 #: Metres of a tile, of an edge at most, of a circle round a triangle at most, and of a bin that gives one measured point.
-SIDE, EDGE, WIDEST, BIN = 24.0, 5.0, 250.0, 0.25
+SIDE, EDGE, WIDEST, BIN = 64.0, 5.0, 250.0, 0.25
 #: Points are moved by up to this, by their own coordinates, so that no four lie on one circle and every tile makes the same triangles.
 SHIFT = 1e-5
 

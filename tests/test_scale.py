@@ -259,3 +259,9 @@ def test_requests_of_one_meaning_are_dealt_to_parts(spark):
     assert out.count() == 210_000 and out.distinct().count() == 210_000
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [k" in plan and "part" in plan.split("SortMergeJoin [k")[1].split("]")[0]
+
+
+def test_tiles_of_ground_share_few_points():
+    from overlook.operators import ground
+
+    assert ((ground.SIDE + 2 * ground.EDGE) / ground.SIDE) ** 2 < 1.4
