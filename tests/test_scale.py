@@ -265,3 +265,13 @@ def test_tiles_of_ground_share_few_points():
     from overlook.operators import ground
 
     assert ((ground.SIDE + 2 * ground.EDGE) / ground.SIDE) ** 2 < 1.4
+
+
+def test_witnesses_take_rounds_by_patches(spark):
+    from overlook.operators import paths
+
+    n = 60
+    node = lambda k: F.struct((k * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    e = spark.range(n).select(node(F.col("id")).alias("u"), node(F.col("id") + 1).alias("v"))
+    one = lambda k, name: spark.range(1).select(F.lit(k).alias(name), node(F.lit(k)).alias("node"))
+    assert tables_written(spark, lambda: paths.witnesses(e, one(0, "entry"), one(n, "target"))) < n / 2
