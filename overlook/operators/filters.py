@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,20 +70,74 @@ def access(points: DataFrame, evidence: DataFrame, require_verified: bool, max_h
     return j.where(ok).select(*points.columns, verified.alias("verified"))
 
 
+#: Points of a bucket that share a task.
+POINTS = 1 << 16
+#: Points of a part of a bucket that are held against its segments one by one.
+FEW = 32
+
+
+def _nearest(x: np.ndarray, y: np.ndarray, seg: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distance, nx and ny of the nearest of segments (ax, ay, bx, by: rows of seg) to each point, infinite beyond `most`. The points are quartered until few are left; of the segments, a quarter keeps those
+    that may be nearest to one of its points: no farther from its middle than the nearest one and twice its half diagonal."""
+    found, nx, ny = np.full(len(x), np.inf), np.full(len(x), np.nan), np.full(len(x), np.nan)
+
+    def held(px, py, k):
+        ax, ay, bx, by = seg[k].T
+        dx, dy = bx - ax, by - ay
+        t = np.maximum(0.0, np.minimum(1.0, ((px - ax) * dx + (py - ay) * dy) / np.maximum(dx * dx + dy * dy, 1e-18)))
+        qx, qy = ax + t * dx, ay + t * dy
+        return np.sqrt((px - qx) ** 2 + (py - qy) ** 2), qx, qy
+
+    open_ = [(np.arange(len(x)), np.arange(len(seg)))]
+    while open_:
+        at, k = open_.pop()
+        lo_x, hi_x, lo_y, hi_y = x[at].min(), x[at].max(), y[at].min(), y[at].max()
+        far = math.hypot(hi_x - lo_x, hi_y - lo_y) / 2
+        if len(at) > FEW or far == 0:
+            mx, my = (lo_x + hi_x) / 2, (lo_y + hi_y) / 2
+            d = held(mx, my, k)[0]
+            k = k[d <= min(d.min() + 2 * far, most + far) * (1 + 1e-9) + 1e-6]
+            if not len(k):
+                continue
+        if len(at) > FEW and far > 0:
+            quarter = (x[at] > mx) * 2 + (y[at] > my)
+            open_ += [(at[quarter == q], k) for q in range(4) if (quarter == q).any()]
+            continue
+        for i in at[:1] if far == 0 else at:
+            d, qx, qy = held(x[i], y[i], k)
+            least = d.min()
+            if least <= most:
+                ties = np.flatnonzero(d == least)
+                j = ties[np.lexsort((qy[ties], qx[ties]))[0]]
+                same = at if far == 0 else i
+                found[same], nx[same], ny[same] = least, qx[j], qy[j]
+    return found, nx, ny
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, bucket: float, most: float) -> DataFrame:
     """points (id, x, y, z) with the nearest point of segments (ax, ay, bx, by) within `most` metres: (id, distance, nx, ny); NULLs if none is.
 
-    Segments go to the buckets around their bounding box, points to their own bucket.
+    Segments go to the buckets around their bounding box, points to their own bucket, and meet as arrays: no row a pair. Of equal distances the least (nx, ny) counts.
     """
     b = lambda v: F.floor(v / bucket).cast("long")
-    s = segments.withColumn("bi", F.explode(F.sequence(b(F.least("ax", "bx") - most), b(F.greatest("ax", "bx") + most)))).withColumn("bj", F.explode(F.sequence(b(F.least("ay", "by") - most), b(F.greatest("ay", "by") + most))))
-    j = points.withColumn("bi", b(F.col("x"))).withColumn("bj", b(F.col("y"))).join(s, ["bi", "bj"])
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    long = F.greatest(dx * dx + dy * dy, F.lit(1e-18))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / long))
-    j = j.withColumn("nx", F.col("ax") + t * dx).withColumn("ny", F.col("ay") + t * dy)
-    j = j.withColumn("distance", F.sqrt((F.col("x") - F.col("nx")) ** 2 + (F.col("y") - F.col("ny")) ** 2)).where(F.col("distance") <= most)
-    best = j.groupBy("id").agg(F.min(F.struct("distance", "nx", "ny")).alias("m")).select("id", "m.*")
+    ends = ("ax", "ay", "bx", "by")
+    s = segments.select(*(F.col(c).cast("double").alias(c) for c in ends)).distinct().where(" and ".join(f"{c} is not null and not isnan({c})" for c in ends))
+    s = s.withColumn("bi", F.explode(F.sequence(b(F.least("ax", "bx") - most), b(F.greatest("ax", "bx") + most)))).withColumn("bj", F.explode(F.sequence(b(F.least("ay", "by") - most), b(F.greatest("ay", "by") + most))))
+    p = points.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)").withColumn("bi", b(F.col("x"))).withColumn("bj", b(F.col("y")))
+    p = p.join(s.select("bi", "bj").distinct(), ["bi", "bj"], "left_semi")
+    parts = p.groupBy("bi", "bj").agg(F.ceil(F.count("*") / F.lit(POINTS)).cast("int").alias("__n"))
+    p = p.join(parts, ["bi", "bj"]).withColumn("__p", F.pmod(F.xxhash64("x", "y"), F.col("__n")).cast("int")).drop("__n")
+    s = s.join(parts, ["bi", "bj"]).withColumn("__p", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+
+    def one(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if not len(here) or not len(there):
+            return pd.DataFrame({"id": [], "distance": [], "nx": [], "ny": []})
+        d, nx, ny = _nearest(here.x.to_numpy(), here.y.to_numpy(), there[list(ends)].to_numpy(), most)
+        return pd.DataFrame({"id": here.id, "distance": d, "nx": nx, "ny": ny})[d <= most]
+
+    by = ["bi", "bj", "__p"]
+    best = p.groupBy(*by).cogroup(s.groupBy(*by)).applyInPandas(one, f"id {points.schema['id'].dataType.simpleString()}, distance double, nx double, ny double")
+    best = best.groupBy("id").agg(F.min(F.struct("distance", "nx", "ny")).alias("m")).select("id", "m.*")
     return points.join(best, "id", "left")
 
 

@@ -275,3 +275,28 @@ def test_witnesses_take_rounds_by_patches(spark):
     e = spark.range(n).select(node(F.col("id")).alias("u"), node(F.col("id") + 1).alias("v"))
     one = lambda k, name: spark.range(1).select(F.lit(k).alias(name), node(F.lit(k)).alias("node"))
     assert tables_written(spark, lambda: paths.witnesses(e, one(0, "entry"), one(n, "target"))) < n / 2
+
+
+def test_nearest_segments_meet_as_arrays_and_equal_brute_force(spark):
+    import math
+    import random
+
+    from overlook.operators import filters
+
+    rng = random.Random(6)
+    at = lambda: (round(rng.gauss(0, 400), 1), round(rng.gauss(0, 300), 1))
+    ways = [(*at(), *at()) for _ in range(60)] + [(5.0, 5.0, 5.0, 5.0), (100.0, 0.0, 100.0, 50.0), (140.0, 0.0, 140.0, 50.0)]
+    places = [at() for _ in range(400)] + [(120.0, 25.0)] * 40 + [(9000.0, 0.0), (None, 1.0)]
+    p = spark.createDataFrame([(i, *q) for i, q in enumerate(places)], "id int, x double, y double")
+    s = spark.createDataFrame(ways * 3, "ax double, ay double, bx double, by double")
+    out = filters.nearest_segment(p, s, 150.0, 60.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and out.count() == len(places)
+    for r in out.collect():
+        best = (math.inf, None, None)
+        for ax, ay, bx, by in ways if r.x is not None else ():
+            dx, dy = bx - ax, by - ay
+            t = max(0.0, min(1.0, ((r.x - ax) * dx + (r.y - ay) * dy) / max(dx * dx + dy * dy, 1e-18)))
+            nx, ny = ax + t * dx, ay + t * dy
+            best = min(best, (math.sqrt((r.x - nx) ** 2 + (r.y - ny) ** 2), nx, ny))
+        assert (r.distance, r.nx, r.ny) == (best if best[0] <= 60 else (None, None, None)), r.id
