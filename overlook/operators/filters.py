@@ -115,7 +115,12 @@ def _nearest(x: np.ndarray, y: np.ndarray, seg: np.ndarray, most: float) -> tupl
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, bucket: float, most: float) -> DataFrame:
-    """points (id, x, y, z) with the nearest point of segments (ax, ay, bx, by) within `most` metres: (id, distance, nx, ny); NULLs if none is.
+    """points (id, x, y, z) with the nearest point of segments (ax, ay, bx, by) within `most` metres: (id, distance, nx, ny); NULLs if none is."""
+    return points.join(_segments_found(points, segments, bucket, most), "id", "left")
+
+
+def _segments_found(points: DataFrame, segments: DataFrame, bucket: float, most: float) -> DataFrame:
+    """(id, distance, nx, ny) of the points that have a segment within `most` metres.
 
     Segments go to the buckets around their bounding box, points to their own bucket, and meet as arrays: no row a pair. Of equal distances the least (nx, ny) counts.
     """
@@ -137,8 +142,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, bucket: float, most:
 
     by = ["bi", "bj", "__p"]
     best = p.groupBy(*by).cogroup(s.groupBy(*by)).applyInPandas(one, f"id {points.schema['id'].dataType.simpleString()}, distance double, nx double, ny double")
-    best = best.groupBy("id").agg(F.min(F.struct("distance", "nx", "ny")).alias("m")).select("id", "m.*")
-    return points.join(best, "id", "left")
+    return best.groupBy("id").agg(F.min(F.struct("distance", "nx", "ny")).alias("m")).select("id", "m.*")
 
 
 def network_access(points: DataFrame, segments: DataFrame, heights: DataFrame, x0: float, y0: float, res: float, bucket: float, most: float, distance_m: float | None = None, height_m: float | None = None) -> DataFrame:
@@ -149,10 +153,13 @@ def network_access(points: DataFrame, segments: DataFrame, heights: DataFrame, x
     told, or where no segment lies within `most`, qualifies otherwise.
     """
     cell = lambda x, y: (F.floor((y0 - y) / res).cast("int"), F.floor((x - x0) / res).cast("int"))
-    at = nearest_segment(points.select("id", "x", "y"), segments, bucket, most)
-    for k, (x, y) in {"p": ("x", "y"), "n": ("nx", "ny")}.items():
+    best = _segments_found(points.select("id", "x", "y"), segments, bucket, most)  # only these have a line point: without, NULL cells would all share a task
+
+    def raised(df, x, y, name):
         r, c = cell(F.col(x), F.col(y))
-        at = at.withColumn("__r", r).withColumn("__c", c).join(heights.select(F.col("r").alias("__r"), F.col("c").alias("__c"), F.col("z").alias(f"__z{k}")), ["__r", "__c"], "left").drop("__r", "__c")
+        return df.withColumn("__r", r).withColumn("__c", c).join(heights.select(F.col("r").alias("__r"), F.col("c").alias("__c"), F.col("z").alias(name)), ["__r", "__c"], "left").drop("__r", "__c")
+
+    at = raised(points.select("id", "x", "y"), "x", "y", "__zp").join(raised(best, "nx", "ny", "__zn"), "id", "left")
     height = F.greatest(F.lit(0.0), F.col("__zp") - F.col("__zn"))
     height = F.when(F.col("__zp").isNotNull() & F.col("__zn").isNotNull(), height)
     far = F.lit(False) if distance_m is None else F.col("distance") > distance_m

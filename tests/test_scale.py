@@ -300,3 +300,15 @@ def test_nearest_segments_meet_as_arrays_and_equal_brute_force(spark):
             nx, ny = ax + t * dx, ay + t * dy
             best = min(best, (math.sqrt((r.x - nx) ** 2 + (r.y - ny) ** 2), nx, ny))
         assert (r.distance, r.nx, r.ny) == (best if best[0] <= 60 else (None, None, None)), r.id
+
+
+def test_points_without_a_line_point_share_no_task(spark, sf_dir):
+    """Cells far from all ways have no line point: a join on its cell would bring all their NULLs to one task."""
+    plan = queries.QUERIES["excluded_cells"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, x in enumerate(plan) if "Join LeftOuter" in x and "__r" in x]
+    for i in joins:
+        left = plan[i + 1 :]
+        depth = len(plan[i]) - len(plan[i].lstrip(" :+-"))
+        left = [x for x in left if len(x) - len(x.lstrip(" :+-")) > depth]
+        assert not any("Join LeftOuter, (id" in x for x in left), "\n".join(plan)
+    assert len(joins) == 2
