@@ -312,3 +312,21 @@ def test_points_without_a_line_point_share_no_task(spark, sf_dir):
         left = [x for x in left if len(x) - len(x.lstrip(" :+-")) > depth]
         assert not any("Join LeftOuter, (id" in x for x in left), "\n".join(plan)
     assert len(joins) == 2
+
+
+def test_spacing_goes_by_tiles_and_equals_going_in_order(spark, monkeypatch):
+    from overlook.plans import candidates
+    from overlook.sources import terrain as grids
+
+    monkeypatch.setattr(candidates, "SIDE", 5)
+    for key in ("hashed", "by row"):
+        draw = candidates.drawn(["r", "c"], 11) if key == "hashed" else F.col("r") / 100 + F.col("c") / 10000
+        g = grids.cells(spark, 36, 18).withColumn("draw", draw)
+        want = []
+        for x in g.orderBy("draw", "r", "c").collect():
+            if all((x.r - r) ** 2 + (x.c - c) ** 2 >= 9 for r, c in want):
+                want.append((x.r, x.c))
+        assert sorted((x.r, x.c) for x in candidates.spaced(g, 3.0).collect()) == sorted(want)
+    monkeypatch.undo()
+    g = grids.cells(spark, 120, 50).withColumn("draw", candidates.drawn(["r", "c"], 7))
+    assert tables_written(spark, lambda: candidates.spaced(g, 2.0)) <= 3
