@@ -330,3 +330,17 @@ def test_spacing_goes_by_tiles_and_equals_going_in_order(spark, monkeypatch):
     monkeypatch.undo()
     g = grids.cells(spark, 120, 50).withColumn("draw", candidates.drawn(["r", "c"], 7))
     assert tables_written(spark, lambda: candidates.spaced(g, 2.0)) <= 3
+
+
+def test_searches_of_a_tile_share_its_arrays(spark):
+    from overlook.operators import network, paths
+    from overlook.sources import terrain as grids
+
+    g = grids.cells(spark, 30, 50).select(F.lit(1).alias("area"), "r", "c", (100 + F.col("r") * 1.5 + F.col("c") % 7).alias("z"), ((F.col("r") * 3 + F.col("c")) % 11 != 0).alias("ok"), F.lit(0.2).alias("tree"), F.lit(0.1).alias("shrub"))
+    assert network.patches_of(g).count() == 1  # no tiles that are rim alone
+    pairs = spark.range(40).selectExpr("id", "1 as area", "cast(id * 3 % 29 as int) as r0", "cast(id * 7 % 49 as int) as c0", "cast(id * 11 % 29 as int) as r1", "cast(id * 17 % 49 as int) as c1")
+    whole = {r.id: r.cost for r in network.connectors(pairs, g, 20.0).collect()}
+    assert tables_written(spark, lambda: network.connectors(pairs, g, 20.0)) == 2
+    assert sum(v is not None for v in whole.values()) > 20
+    walks = paths.connector_paths(pairs, g, 20.0).groupBy("id").agg(F.max("cost").alias("cost")).collect()
+    assert {int(r.id): r.cost for r in walks} == {k: v for k, v in whole.items() if v is not None}
