@@ -344,3 +344,21 @@ def test_searches_of_a_tile_share_its_arrays(spark):
     assert sum(v is not None for v in whole.values()) > 20
     walks = paths.connector_paths(pairs, g, 20.0).groupBy("id").agg(F.max("cost").alias("cost")).collect()
     assert {int(r.id): r.cost for r in walks} == {k: v for k, v in whole.items() if v is not None}
+
+
+def test_connections_leave_only_links_of_tiles_to_components(spark, monkeypatch):
+    from overlook.operators import network
+    from overlook.sources import terrain as grids
+
+    whole, sizes = network.components, []
+
+    def counted(edges, nodes):
+        sizes.append((edges.count(), nodes.count()))
+        return whole(edges, nodes)
+
+    monkeypatch.setattr(network, "components", counted)
+    g = grids.cells(spark, 130, 20).select("r", "c", F.lit(5.0).alias("z"), F.lit(1.0).alias("slope"), ((F.col("r") != 100) | (F.col("c") == 19)).alias("ok"))
+    seats = spark.createDataFrame([("far", 129, 0), ("wall", 100, 3)], "id string, r int, c int")
+    got = {r.id: r.status for r in network.connections(g, seats, g.where("r = 0").select("r", "c"), 10.0, (25.0,)).collect()}
+    assert got == {"far": "connected", "wall": "outside the domain"}
+    assert sizes[0][0] <= 8 and sizes[0][1] <= 4
