@@ -383,7 +383,8 @@ _SNAP = "CASE WHEN abs({0} - round({0})) < 1e-9 THEN round({0}) ELSE {0} END"
 def exact_crossings(spark, sf_dir):
     """Rays held against every row, column and diagonal they cross; checked in the tests against dense sampling of the same triangles."""
     g = _rolling(spark, sf_dir)
-    pairs = visibility.targets_within(_seats(spark, sf_dir), g.select("r", "c"), 80.0, 10.0).drop("d").withColumn("id", F.concat_ws("-", "id", "r", "c"))
+    seats = _seats(spark, sf_dir).join(g.select(F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("z").alias("z0")), ["r0", "c0"])
+    pairs = visibility.targets_within(seats, g.withColumnRenamed("z", "z1"), 80.0, 10.0).drop("d").withColumn("id", F.concat_ws("-", "id", "r", "c"))
     return visibility.crossings(pairs, g, _rows(g), COLS, 10.0, 1.7, 0.8).select("id", F.round("clearance", 6).alias("clearance"), F.round("first_t", 9).alias("first_t"), "borderline", "complete")
 
 

@@ -362,3 +362,55 @@ def test_connections_leave_only_links_of_tiles_to_components(spark, monkeypatch)
     got = {r.id: r.status for r in network.connections(g, seats, g.where("r = 0").select("r", "c"), 10.0, (25.0,)).collect()}
     assert got == {"far": "connected", "wall": "outside the domain"}
     assert sizes[0][0] <= 8 and sizes[0][1] <= 4
+
+
+def written(spark, run):
+    """Rows that the stages of a run hand on to others: what its exchanges write."""
+    before = set()
+    df = run()
+    df.collect()
+    plan, found = [df._jdf.queryExecution().executedPlan()], []
+    while plan:
+        p = plan.pop()
+        name = p.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plan.append(p.executedPlan())
+            continue
+        if name.startswith(("ShuffleQueryStage", "BroadcastQueryStage")):
+            plan.append(p.plan())
+            continue
+        if name == "Exchange" and p.id() not in before:
+            before.add(p.id())
+            found.append(p.metrics().apply("shuffleRecordsWritten").value())
+        kids = p.children()
+        plan += [kids.apply(i) for i in range(kids.size())]
+    return sum(found)
+
+
+def test_crossings_hand_on_rays_not_what_they_cross(spark):
+    """A ray of 100 cells crosses some 200 lines; its row goes to the few tiles that it meets, whatever their size, and results are those of one tile."""
+    from overlook.operators import visibility
+    from overlook.sources import terrain as grids
+
+    g = grids.cells(spark, 66, 130).withColumn("z", 100 + 9 * F.sin(F.col("r") * 0.7) * F.cos(F.col("c") * 0.9)).withColumn("z", F.when((F.col("r") != 40) | (F.col("c") != 77), F.col("z")))
+    p = spark.range(400).selectExpr("id", "cast(id * 7 % 66 as int) as r0", "cast(id * 3 % 20 as int) as c0", "cast(65 - id * 11 % 66 as int) as r", "cast(129 - id * 5 % 30 as int) as c")
+    edges = [(400, 65, 0, 65, 129), (401, 0, 129, 65, 129), (402, 64, 5, 64, 120), (403, 3, 64, 60, 64), (404, 0, 0, 65, 65), (405, 65, 65, 0, 0), (406, 5, 5, 5, 6), (407, 9, 9, 9, 9)]
+    p = p.union(spark.createDataFrame(edges, "id long, r0 int, c0 int, r int, c int"))
+    key = lambda rows: sorted((x.id, x.clearance and round(x.clearance, 9), x.first_t, x.borderline, x.complete) for x in rows)
+    go = lambda tile: visibility.crossings(p, g, 66, 130, 10.0, 1.7, 0.8, tile=tile)
+    want = key(go(256).collect())
+    assert [x[0] for x in want] == list(range(407)) and len({x[1] for x in want}) > 300 and not all(x[4] for x in want)
+    for tile in (5, 13, 64, 65):
+        assert key(go(tile).collect()) == want
+    twice = key(visibility.crossings(p.union(p.where("id = 3")), g, 66, 130, 10.0, 1.7, 0.8).collect())
+    assert twice == sorted([*want, want[3]])
+    assert written(spark, lambda: go(64)) < 408 * 12 + 66 * 130 * 2
+
+    q = p.selectExpr("id", "r0 + 0.25D as pr0", "c0 + 0.5D as pc0", "r - 0.75D as pr", "c - 0.125D as pc", "if(id % 3 = 0, 108D, null) as z0")  # some begin or end outside
+    go = lambda tile: visibility.moved_profile(q, g, 66, 130, 10.0, 1.7, 0.8, curvature=0.8, tile=tile)
+    key = lambda rows: sorted((x.id, round(x.distance, 9), x.clearance and round(x.clearance, 9), x.first_t, x.borderline, x.complete, x.result) for x in rows)
+    want = key(go(256).collect())
+    assert len(want) == 408 and 0 < sum(x[5] for x in want) < 400
+    for tile in (7, 64):
+        assert key(go(tile).collect()) == want
+    assert written(spark, lambda: go(64)) < 408 * 24 + 66 * 130 * 3
