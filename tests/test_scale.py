@@ -1,6 +1,7 @@
 """What only larger tables show: numbers that leave their type, tables that a plan takes for small, work that grows with copies."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,3 +415,56 @@ def test_crossings_hand_on_rays_not_what_they_cross(spark):
     for tile in (7, 64):
         assert key(go(tile).collect()) == want
     assert written(spark, lambda: go(64)) < 408 * 24 + 66 * 130 * 3
+
+
+def kernels_by_hand(z, there, taps):
+    """Sums over mirrored cells, one cell and one tap at a time; NaN is unknown, absent cells count nothing."""
+    n, m = z.shape
+    mirror = lambda i, k: i % (2 * k) if i % (2 * k) < k else 2 * k - 1 - i % (2 * k)
+    for axis in (1, 0):
+        out = np.zeros_like(z)
+        for i, j in np.ndindex(n, m):
+            for o, w in taps:
+                a, b = (i, mirror(j + o, m)) if axis else (mirror(i + o, n), j)
+                out[i, j] += z[a, b] * w if there[a, b] else 0.0
+        z = np.where(there, out, 0.0)
+    return z
+
+
+def test_kernels_go_by_blocks_and_equal_sums_cell_by_cell(spark):
+    from overlook.functions import terrain
+
+    rng = np.random.default_rng(6)
+    z, there = rng.normal(size=(61, 9)), rng.random((61, 9)) > 0.08
+    there[0, 0] = there[60, 8] = True
+    z[30, 4], there[30, 4] = np.nan, True
+    # the grid begins at row -20 and column 5
+    g = spark.createDataFrame([(i - 20, j + 5, None if np.isnan(z[i, j]) else float(z[i, j])) for i, j in np.ndindex(z.shape) if there[i, j]], "r int, c int, z double")
+    smooth = kernels_by_hand(z, there, terrain.gaussian_taps(1))
+    mean = kernels_by_hand(smooth, there, terrain.box_taps(6))
+    assert np.isnan(mean[there]).any() and not np.isnan(mean[there]).all()
+    for block in (4, 16, 256):
+        df = terrain.kernels(g, "z", {"smooth": terrain.gaussian_taps(1), "mean": terrain.box_taps(6)}, block)
+        assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()
+        got = {(x.r + 20, x.c - 5): (x.smooth, x.mean) for x in df.collect()}
+        assert len(got) == there.sum()
+        for (i, j), pair in got.items():
+            for x, want in zip(pair, (smooth[i, j], mean[i, j])):
+                assert x is None if np.isnan(want) else x == pytest.approx(want, abs=1e-12)
+    both = terrain.separable(g.withColumn("other", F.lit("o")), "z", terrain.gaussian_taps(1), "smooth")
+    assert both.columns == ["r", "c", "z", "other", "smooth"] and {(x.r, x.c): x.smooth for x in both.collect()} == {(i - 20, j + 5): s for (i, j), (s, _) in got.items()}
+    assert terrain.kernels(g.limit(0), "z", {"a": terrain.box_taps(3)}).collect() == []
+
+
+def test_landforms_of_ground_with_gaps_equal_sql_and_meet_the_allowed_cells_once(spark, sf_dir, tmp_path):
+    duckdb.sql(f"COPY (SELECT * FROM '{sf_dir}/orders.parquet' WHERE o_orderkey % 97 <> 5 AND o_orderkey NOT BETWEEN 260 AND 290) TO '{tmp_path}/orders.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    names = ["r", "c", "slope", "tpi", "bend", "bench", "shoulder", "ridge"]
+    want = con.sql(f"SELECT {', '.join(names)} FROM ({queries.ORACLES['landform_flags']}) ORDER BY r, c").fetchall()
+    out = queries.QUERIES["landform_flags"](spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = [tuple(x) for x in out.select(*names).orderBy("r", "c").collect()]
+    assert len(got) == len(want) > 1400
+    for a, b in zip(got, want):
+        assert a[:2] + a[5:] == b[:2] + b[5:] and a[2:5] == pytest.approx(b[2:5], abs=2e-5)
