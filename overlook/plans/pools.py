@@ -72,7 +72,12 @@ def _clear(pools: DataFrame, taken: DataFrame, spacing: float, keep: str) -> Dat
     near = taken.withColumn("bi", F.explode(F.sequence(b(F.col("r2")) - 1, b(F.col("r2")) + 1))).withColumn("bj", F.explode(F.sequence(b(F.col("c2")) - 1, b(F.col("c2")) + 1)))
     here = pools.withColumn("bi", b(F.col("r"))).withColumn("bj", b(F.col("c")))
     close = [here.bi == near.bi, here.bj == near.bj, (here.r - near.r2) ** 2 + (here.c - near.c2) ** 2 < spacing**2]
-    return here.join(near, close, keep).drop("bi", "bj")
+    return here.join(F.broadcast(near), close, keep).drop("bi", "bj")
+
+
+def _held(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """The cells (r, c, ...) of a bounded number of points (r, c): it is the points that go to every task, whatever the plan takes the cells for."""
+    return cells.join(F.broadcast(points.select("r", "c")), ["r", "c"], "left_semi")
 
 
 def pooled(cells: DataFrame, pools: list[str], count: int, spacing: float, seed: int, manual: list[tuple[str, int, int]] = (), side: int | None = None) -> DataFrame:
@@ -87,7 +92,7 @@ def pooled(cells: DataFrame, pools: list[str], count: int, spacing: float, seed:
     spark = cells.sparkSession
     if manual:
         asked = spark.createDataFrame(list(manual), "name string, r int, c int")
-        lost = asked.join(cells, ["r", "c"], "left_anti").orderBy("name").limit(3).collect()
+        lost = asked.join(_held(cells, asked), ["r", "c"], "left_anti").orderBy("name").limit(3).collect()
         if lost:
             raise ValueError("manual points outside the domain: " + ", ".join(x["name"] for x in lost))
     for name, r, c in manual:
@@ -147,7 +152,7 @@ def pooled(cells: DataFrame, pools: list[str], count: int, spacing: float, seed:
     names = F.array(*(F.lit(p) for p in pools))
     given = near.groupBy("pool", "i").agg(F.min("n").alias("n")).groupBy("n").agg(F.collect_set(names[F.col("pool")]).alias("given"))
     holds = F.filter(F.array(*(F.when(F.col(f"is_{p}"), F.lit(p)) for p in pools if p != BACKGROUND)), lambda x: x.isNotNull())
-    out = rows.join(given, "n", "left").join(cells, ["r", "c"], "left").withColumn("held", holds)
+    out = rows.join(given, "n", "left").join(_held(cells, rows), ["r", "c"], "left").withColumn("held", holds)
     every = F.array_sort(F.array_distinct(F.concat("own", F.coalesce("given", F.array().cast("array<string>")), F.coalesce("held", F.array().cast("array<string>")))))
     return out.select(F.format_string("C%04d", F.col("n") + 1).alias("id"), "r", "c", every.alias("provenance"))
 

@@ -92,6 +92,28 @@ def test_a_pool_that_cannot_be_filled_raises(spark):
         pools.pooled(grid(spark, cells, names), names, 5, 3.0, 4, [("lost", 99, 0)])
 
 
+def sent_to_all(plan):
+    """Rows of each broadcast of a plan that has run."""
+    name = plan.nodeName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return sent_to_all(plan.executedPlan())
+    if name.endswith("QueryStage"):
+        return sent_to_all(plan.plan())
+    below = [x for i in range(plan.children().size()) for x in sent_to_all(plan.children().apply(i))]
+    return below + ([plan.metrics().apply("numOutputRows").value()] if name == "BroadcastExchange" else [])
+
+
+def test_cells_are_not_sent_to_every_task(spark):
+    """Cells are few bytes as a file; the plan took them for small, and the driver built them whole."""
+    names, cells = made(5, 60)
+    assert len(cells) > 2000
+    out = pools.pooled(grid(spark, cells, names), names, 20, 5.0, 5)
+    got = [(r.id, r.r, r.c, r.provenance) for r in out.orderBy("id").collect()]
+    assert got == one_by_one(cells, names, 20, 5.0, 5)
+    out.collect()
+    assert max(sent_to_all(out._jdf.queryExecution().executedPlan()), default=0) <= 20 * 9
+
+
 def test_strata_are_runs_of_equal_length(spark):
     n = 11
     df = spark.range(n).select(F.col("id").cast("int").alias("r"), F.lit(0).alias("c"))
