@@ -51,6 +51,22 @@ def test_rings_give_the_cells_back(spark, seed):
     assert set(outer.values()) == {1}
 
 
+@pytest.mark.parametrize("side", [4, 7, 64])
+def test_tiles_give_the_same_rings(spark, side):
+    """Every way to cut the cells into tiles: the same rings, corners and places, for cells of several values."""
+    values = np.random.default_rng(5).integers(0, 3, (23, 19))
+    values[2:20, 4] = 0
+    df = spark.createDataFrame([(int(r), int(c), int(v)) for (r, c), v in np.ndenumerate(values) if v < 2], "r int, c int, v int")
+    key = lambda out: sorted(map(tuple, out.collect()))
+    got = key(outlines.outlines(df, 0.0, 0.0, 1.0, "v", side))
+    assert got == key(outlines.outlines(df.repartition(3), 0.0, 0.0, 1.0, "v", 200))
+    area = {}
+    for e in outlines.ring_edges(outlines.outlines(df, 0.0, 0.0, 1.0, "v", side)).collect():
+        area[e.poly] = area.get(e.poly, 0) + (e.bx * e.ay - e.ax * e.by) / 2
+    parts = [p for v in (0, 1) for p in parts_of(values == v)]
+    assert area == {min(r * (1 << 31) + c for r, c in p): len(p) for p in parts}
+
+
 def test_a_long_ring_and_no_cells(spark):
     mask = np.zeros((60, 60), bool)
     mask[::4] = True
