@@ -548,3 +548,20 @@ def test_places_round_as_spark_does(spark):
     t = np.concatenate([rng.random(2000), (rng.integers(0, 10**7, 2000) + 0.5) / 10**7, [0.0, 1.0, 0.00000005, 0.99999995]])
     want = [x.k for x in spark.createDataFrame([(i, float(v)) for i, v in enumerate(t)], "i int, t double").orderBy("i").select(F.round("t", 7).alias("k")).collect()]
     assert [float(k) / 10**7 for k in visibility._places(t)] == want
+
+
+def test_reusable_sources_come_in_short_runs(spark, tmp_path):
+    """All pairs of a meaning are the result; their order decides how much room they take in files."""
+    from overlook.plans import catalog
+
+    url = "concat('https://h.org/a?layer=', id % 2, '&bbox=', id)"
+    held = spark.range(40_000).selectExpr("id * 1000003 as entry", f"{url} as url")
+    asked = spark.range(300).selectExpr("id", f"{url} as url")
+    lots = catalog._arrays(held.select("entry", (F.col("entry") % 2).alias("k")), "entry", 1).select(F.size("of").alias("n")).collect()
+    assert sum(x.n for x in lots) == 40_000 and max(x.n for x in lots) < 2 * catalog.RUN
+    out = catalog.reusable(asked, held)
+    out.write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.distinct().count() == 300 * 20_000 and got.where("(entry / 1000003) % 2 <> id % 2").count() == 0
+    size = sum(f.stat().st_size for f in (tmp_path / "out").iterdir())
+    assert size < 20_000_000, size  # once 42 million bytes
